@@ -49,9 +49,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 def balance(cells: DataFrame, targets: DataFrame, cap: float = CAP, iterations: int = ITERATIONS) -> DataFrame:
     """source, lambda: Newton's iterations on the dual of each source's token constraint.
 
-    ``cells`` (source, base, tokens) is aggregated; a source without tokens keeps lambda 0. A step
-    beyond 1 is cut to 1, which keeps the exponent from running away. Tables of one source or none
-    work; the loop ends when every source is within ``TOLERANCE`` of its target.
+    ``cells`` (source, base, tokens) is aggregated; a source without tokens or target, or one whose
+    rates are all at the cap below its target, keeps its lambda. Tables of one source or none work;
+    the loop ends when every source is within ``TOLERANCE`` of its target.
     """
     dual = targets.select("source", "target", F.lit(0.0).alias("lambda"))
     for _ in range(iterations):
@@ -59,7 +59,10 @@ def balance(cells: DataFrame, targets: DataFrame, cap: float = CAP, iterations:
         now = cells.join(dual, cells.source.eqNullSafe(dual.source)).select(dual.source, "target", "lambda", (F.col("tokens") * F.least(free, F.lit(cap))).alias("all"), F.when(free < cap, F.col("tokens") * free).otherwise(0.0).alias("slope"))
         now = now.groupBy("source", "target", "lambda").agg(F.sum("all").alias("all"), F.sum("slope").alias("slope"))
         gap = F.col("target") - F.col("all")
-        step = F.when((F.abs(gap) <= F.lit(TOLERANCE) * F.greatest("target", F.lit(1.0))) | (F.col("slope") <= 0), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), gap / F.col("slope"))))
+        # Newton's step on the logarithm of the constraint; where every rate is at the cap the slope is 0
+        scale = F.when(F.col("slope") > 0, F.least(F.col("all") / F.col("slope"), F.lit(8.0))).otherwise(1.0)
+        met = (F.abs(gap) <= F.lit(TOLERANCE) * F.greatest("target", F.lit(1.0))) | (F.col("all") <= 0) | (F.col("target") <= 0) | ((F.col("slope") <= 0) & (gap > 0))
+        step = F.when(met, 0.0).otherwise(F.ln(F.col("target") / F.col("all")) * scale)
         dual = materialize(now.select("source", "target", (F.col("lambda") + step).alias("lambda"), (step != 0).alias("off")), "mix-dual")
         if not dual.where("off").limit(1).count():
             break
