@@ -36,7 +36,9 @@ HOT = 20_000
 CHUNK = 2_000_000
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_LOW = np.uint64(511)
+_PLACE = np.uint64((1 << 24) - 1)
+#: Starts of a long text that are taken at a time; a memory bound, without effect on results.
+SEGMENT = 1 << 22
 
 
 class Powers:
@@ -80,22 +82,26 @@ def pieces(b: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
     none = np.zeros(0, np.uint64)
     if len(b) < length:
         return none, none, none.astype(np.int64), none.astype(np.int64)
+    if len(b) > SEGMENT + length:  # the starts of each segment by themselves; pieces are only cut once more
+        parts = [(*pieces(b[i : i + SEGMENT + length - 1], length, gram), i) for i in range(0, len(b) - length + 1, SEGMENT)]
+        return tuple(np.concatenate([x[k] + x[4] if k == 2 else x[k] for x in parts]) for k in range(4))
     w = length - gram + 1
     p = prefix_hash(b, 0)
     _, down = _POWERS[0].get(len(p))
     h = _mix((p[gram:] - p[:-gram]) * down[: len(p) - gram])
-    # the place, modulo 512, in the low bits: a run then has one occurrence of its minimizer, and so no string twice
-    h = (h & ~_LOW) | (np.arange(len(h), dtype=np.uint64) & _LOW)
-    m, s = h, 1
+    # ordered by 40 bits of the hash and then by place, so that equal strings agree on the leftmost
+    # smallest one; a run then has one occurrence of its minimizer, and so no string twice
+    m, s = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), 1
+    n = len(h) - w + 1
     while 2 * s <= w:
         m, s = np.minimum(m[:-s], m[s:]), 2 * s
-    m = np.minimum(m[: len(h) - w + 1], m[w - s :])
+    m = np.minimum(m[:n], m[w - s :])
     start = np.concatenate([[0], np.flatnonzero(m[1:] != m[:-1]) + 1])
     count = np.diff(np.append(start, len(m)))
     end = start + count + length - 1
     q = prefix_hash(b, 1)
     ch = range_hash(p, start, end, 0) * np.uint64(0x2545F4914F6CDD1D) + range_hash(q, start, end, 1)
-    return m[start] >> np.uint64(9), ch, start, count
+    return h[m[start] & _PLACE], ch, start, count
 
 
 def _scan(length: int):

@@ -16,6 +16,7 @@ minimum; ``n_ids`` tells where it ends. The index gives direct access to any blo
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +33,11 @@ MAGIC, BLOCK, PERCENTILE, END_ID = b"PFORIDS1", 256, 90, 1
 FILE_IDS = 1 << 20
 #: Words a worker remembers before it starts again; a memory bound, without effect on results.
 CACHE_WORDS = 400_000
+#: Characters that are encoded at a time; a memory bound, without effect on results.
+SLICE = 1_000_000
+
+#: Letters of Latin script (below U+0250, without the one whose lower case is two characters), then ASCII punctuation.
+_PLAIN = re.compile(r"((?:(?![\u0130])[^\W\d_\u0250-\U0010ffff])+)([!-/:-@\[-`{-~]*)")
 
 _DOC = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("n", "<u8")])
 
@@ -143,15 +149,42 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on
+        own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in own]
+        self.shown = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.clear()
+        # the short way is taken only if it gives the tokenizer's own ids on a probe of each kind
+        probe = ["Abc", "é,", "ÉÀß.%%%", "the!!", "ǅÿ", "naïveté_;", "a'"]
+        self.plain = True
+        self.plain = all(self.ids_of(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {"": 0}
+        self.parts: dict[str, list[int]] = {}
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
+    def ids_of(self, word: str) -> list[int]:
+        """The tokenizer's ids of one word. Plain words skip its normalizer and pre-tokenizer: letters
+        are lower-cased and one pre-token, punctuation behind them is another one."""
+        m = _PLAIN.fullmatch(word) if self.plain else None
+        if not m:
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        out: list[int] = []
+        for part in m.groups():
+            if not part:
+                continue
+            part = part.lower()
+            if part not in self.parts:
+                seen = part if part.isascii() else "".join(map(self.shown.__getitem__, part.encode()))
+                self.parts[part] = [t.id for t in self.tokenizer.model.tokenize(seen)]
+            out += self.parts[part]
+        return out
+
     def learn(self, words: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        found = [self.ids_of(w) for w in words]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         first, total = len(self.known), int(sizes.sum())
         while first + len(words) > len(self.start):
@@ -191,16 +224,25 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``most`` characters each."""
+    size = np.cumsum([len(x) if x else 0 for x in batch.column(column).to_pylist()])
+    cuts = [0, *(np.flatnonzero(np.diff(size // most)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+    for a, z in zip(cuts[:-1], cuts[1:]):
+        yield batch.slice(a, z - a)
+
+
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
-            ids, n = enc.encode(b.column("text").to_pylist())
-            whole = np.insert(ids, np.cumsum(n), end_id).astype("<u4")
-            kind = "<u2" if not len(whole) or whole.max() < 1 << 16 else "<u4"
-            cuts = np.concatenate([[0], np.cumsum(n + 1)])
-            raw = [whole[a:z].astype(kind).tobytes() for a, z in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("bucket"), pa.array(n + 1), pa.array(raw, pa.binary())], ["doc_id", "bucket", "n_tokens", "ids"])
+        for batch in batches:
+            for b in slices(batch):
+                ids, n = enc.encode(b.column("text").to_pylist())
+                whole = np.insert(ids, np.cumsum(n), end_id).astype("<u4")
+                kind = "<u2" if not len(whole) or whole.max() < 1 << 16 else "<u4"
+                cuts = np.concatenate([[0], np.cumsum(n + 1)])
+                raw = [whole[a:z].astype(kind).tobytes() for a, z in zip(cuts[:-1], cuts[1:])]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("bucket"), pa.array(n + 1), pa.array(raw, pa.binary())], ["doc_id", "bucket", "n_tokens", "ids"])
 
     return run
 
