@@ -10,10 +10,12 @@ when they are read, the digest is computed again from the stored bytes and the r
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import table
+from sievework.llm.common import partitions, table
 from sievework.scratch import new_dir
 
 #: Payloads below so many bytes are never replaced by a revisit record.
@@ -59,9 +61,18 @@ def write_archive(pages: DataFrame, folder: str, date: str = DATE) -> None:
         F.lit(f"{CRLF}WARC-Payload-Digest: sha256:"), F.col("digest"), F.lit(CRLF), refers, F.lit(f"Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), length.cast("string"), F.lit(CRLF + CRLF), http,
     )
     facts.select(F.encode(head, "UTF-8").alias("header"), "digest").write.parquet(f"{folder}/headers")
-    # One row keeps each payload; its digest names it, so which of the equal ones stays makes no difference.
-    keep = rows.join(first.select(F.col("digest").alias("d"), F.col("first_id")), (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("first_id")), "left_semi")
-    keep.select("digest", "payload").dropDuplicates(["digest"]).write.parquet(f"{folder}/payloads")
+    # One row keeps each payload; its digest names it, so which of the equal ones stays makes no
+    # difference. The first id is the smallest, so "not above" means equal, and both the join and the
+    # deduplication deal rows by digest alone: payload bytes are shuffled once, and none again when
+    # the archive is read, because the table is bucketed by digest.
+    one = first.select(F.col("digest").alias("d"), F.col("first_id"))
+    keep = rows.join(one, (F.col("digest") == F.col("d")) & (F.col("first_id").isNull() | (F.col("page_id") <= F.col("first_id"))), "left_semi")
+    keep = keep.select("digest", "payload").dropDuplicates(["digest"])
+    keep.write.bucketBy(partitions(pages.sparkSession), "digest").sortBy("digest").option("path", f"{folder}/payloads").saveAsTable(_table(folder))
+
+
+def _table(folder: str) -> str:
+    return f"warc_payloads_{hashlib.md5(folder.encode()).hexdigest()}"
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,7 +81,8 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     A revisit's record ends with its header, as it was written; its ``payload`` is the stored one.
     """
     headers = spark.read.parquet(f"{folder}/headers")
-    payloads = spark.read.parquet(f"{folder}/payloads")
+    bucketed = spark.catalog.tableExists(_table(folder))  # known to the session that wrote it
+    payloads = spark.table(_table(folder)) if bucketed else spark.read.parquet(f"{folder}/payloads")
     head = F.decode("header", "UTF-8")
     revisit = F.regexp_extract(head, r"^WARC/1\.1\r\nWARC-Type: (\w+)\r\n", 1) == "revisit"
     record = F.concat(F.col("header"), F.when(revisit, F.encode(F.lit(""), "UTF-8")).otherwise(F.col("payload")), F.encode(F.lit(CRLF + CRLF), "UTF-8"))
