@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,13 @@ MAGIC, BLOCK, PERCENTILE, END_ID = b"PFORIDS1", 256, 90, 1
 #: A file is closed once it holds so many ids: it bounds what a reader holds.
 FILE_IDS = 1 << 20
 #: Words a worker remembers before it starts again; a memory bound, without effect on results.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Characters that are encoded at a time; a memory bound, without effect on results.
 SLICE = 1_000_000
 
-#: Letters of Latin script (below U+0250, without the one whose lower case is two characters), then ASCII punctuation.
-_PLAIN = re.compile(r"((?:(?![\u0130])[^\W\d_\u0250-\U0010ffff])+)([!-/:-@\[-`{-~]*)")
+#: What keeps a text from being lower-cased and divided before it is encoded: characters from U+0250
+#: on, the one below whose lower case is two characters, and what may be a special token.
+_OTHER = re.compile("[\u0130\u0250-\U0010ffff]|<\\|")
 
 _DOC = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("n", "<u8")])
 
@@ -155,65 +157,77 @@ class WordEncoder:
         self.shown = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.clear()
         # the short way is taken only if it gives the tokenizer's own ids on a probe of each kind
-        probe = ["Abc", "é,", "ÉÀß.%%%", "the!!", "ǅÿ", "naïveté_;", "a'"]
+        probe = ["abc", "é", "ß", "ÿ", "naïveté", "ɏ", "abcdefghijklmnopqrstuvwxyz", "æðøþœ"]
         self.plain = True
         self.plain = all(self.ids_of(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {"": 0}
-        self.parts: dict[str, list[int]] = {}
+        self.mark = np.zeros(1 << 16, np.int8)
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
     def ids_of(self, word: str) -> list[int]:
-        """The tokenizer's ids of one word. Plain words skip its normalizer and pre-tokenizer: letters
-        are lower-cased and one pre-token, punctuation behind them is another one."""
-        m = _PLAIN.fullmatch(word) if self.plain else None
-        if not m:
+        """The tokenizer's ids of one word; a plain word is one pre-token that its normalizer leaves as it is."""
+        if not (self.plain and word.isalpha() and word == word.lower() and not _OTHER.search(word)):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
-        for part in m.groups():
-            if not part:
-                continue
-            part = part.lower()
-            if part not in self.parts:
-                seen = part if part.isascii() else "".join(map(self.shown.__getitem__, part.encode()))
-                self.parts[part] = [t.id for t in self.tokenizer.model.tokenize(seen)]
-            out += self.parts[part]
-        return out
+        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else "".join(map(self.shown.__getitem__, word.encode())))]
 
     def learn(self, words: list[str]) -> None:
         found = [self.ids_of(w) for w in words]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         first, total = len(self.known), int(sizes.sum())
         while first + len(words) > len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+            self.start, self.size, self.mark = (np.resize(x, 2 * len(x)) for x in (self.start, self.size, self.mark))
         while self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.size[first : first + len(words)] = sizes
         self.start[first : first + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        # 1: a stop that may have been divided off; 2: ends with what would be one pre-token with a stop
+        self.mark[first : first + len(words)] = [(w in (".", ",")) + 2 * (not w[-1].isalnum()) for w in words]
         self.used += total
         self.known.update(zip(words, range(first, first + len(words))))
 
+    @staticmethod
+    def plain_words(text: str) -> list[str]:
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text; where that is sound, in lower case and with the stops behind them divided off."""
+        if not self.plain or not text.isascii() and _OTHER.search(text) or "<|" in text:
+            return self.plain_words(text)
+        return (text.lower().replace("\n", " ") + " ").replace("\t", " ").replace("\r", " ").replace(". ", " . ").replace(", ", " , ").split(" ")
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text)."""
-        each = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        words = [w for ws in each for w in ws]
-        if len(self.known) > CACHE_WORDS:
-            self.clear()
-        if new := list(set(words).difference(self.known)):
-            self.learn(new)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        each = [self.words(t or "") for t in texts]
+        at = self._look_up(each)
+        last = np.cumsum([len(ws) for ws in each])
+        # a stop behind other punctuation belongs to it: such texts are divided at white space only
+        mark = self.mark[at]
+        odd = np.flatnonzero((mark[1:] & 1 > 0) & (mark[:-1] >= 2)) + 1
+        if len(odd):
+            for i in np.unique(np.searchsorted(last, odd, side="right")).tolist():
+                each[i] = self.plain_words(texts[i])
+            at = self._look_up(each)
+            last = np.cumsum([len(ws) for ws in each])
         sizes, begins = self.size[at], self.start[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.arange(total) + np.repeat(begins - ends + sizes, sizes)]
-        last = np.cumsum([len(ws) for ws in each])
         done = np.concatenate([[0], ends])[last] if len(each) else np.zeros(0, np.int64)
         return ids, np.diff(np.concatenate([[0], done])).astype(np.int64)
 
+    def _look_up(self, each: list[list[str]]) -> np.ndarray:
+        if len(self.known) > CACHE_WORDS:
+            self.clear()
+        words = list(chain.from_iterable(each))
+        if new := list(set(words).difference(self.known)):
+            self.learn(new)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
 
 _ENCODERS: dict[str, WordEncoder] = {}
 

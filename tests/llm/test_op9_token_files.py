@@ -27,6 +27,15 @@ def test_blocks_use_exceptions_and_narrow_widths():
     assert len(data) < 2 * 7 + 6 + 1
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab .,.,!İÉé_3ªǅ\u0345\n")), max_size=40), max_size=4))
+def test_stops_and_cases_encode_as_whole_texts(texts):
+    t = Tokenizer.from_file(PATH)
+    ids, n = tf.encoder(PATH).encode(texts)
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(list("abÉé ñ\n\t\r\u0085 ́'sßΣ19!<|>endoftx\x1c")), max_size=40), max_size=6))
 def test_words_encode_as_whole_texts(texts):
