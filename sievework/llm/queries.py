@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sievework.llm import chat_format, jaccard_join, mixing, piece_lattice, suffix_dedup, token_files, warc_store
+from sievework.llm import chat_format, jaccard_join, language_id, mixing, piece_lattice, suffix_dedup, token_files, warc_store
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_chat_format": chat_format.op4_chat_format,
+    "op5_language_id": language_id.op5_language_id,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_piece_lattice": piece_lattice.op8_piece_lattice,
     "op9_token_files": token_files.op9_token_files,
