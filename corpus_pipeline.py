@@ -1,15 +1,67 @@
-"""The corpus pipeline (filled in as its stages' operators are built)."""
+"""The corpus pipeline: language ID, n-gram Jaccard join, suffix-array dedup, mixing, SentencePiece encoding.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns the
+columns of ``documents``; the last returns the encoded rows. A stage's result is written as Parquet
+and read again as the next one's ``docs``. Each stage starts by deleting the scratch tables of the
+ones before it, which their written results no longer need.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievework.llm.jaccard_join import jaccard_join, keep_one
+from sievework.llm.language_id import document_evidence, identify, train
+from sievework.llm.mixing import mix_sources, repeat_rows
+from sievework.llm.piece_lattice import encode_pieces
+from sievework.llm.suffix_dedup import without_repeats
+from sievework.scratch import new_dir, release
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the evidence does not settle go."""
+    release(spark)
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    found = identify(document_evidence(docs).withColumn("key", key), train(docs))
+    out = found.where("rejected").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct()
+    return docs.withColumn("_key", key).join(out, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left_anti").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at 0.8 stays, that of the smallest doc_id."""
+    release(spark)
+    return keep_one(docs, jaccard_join(docs))
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes that start more than once go from the texts."""
+    release(spark)
+    return without_repeats(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stand as often as the mix of sources takes them."""
+    release(spark)
+    return repeat_rows(docs, mix_sources(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source and the best segmentation's piece ids, with the N best scores and the round trip."""
+    release(spark)
+    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
+
 
-STAGES: list = []
+STAGES = [("language_id", language), ("jaccard_join", near_copies), ("suffix_dedup", repeats), ("mixing", mix), ("piece_encoding", encode)]
+#: MinHash, a trained model and a lattice search are not SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        folder = new_dir(spark, f"pipeline-{name}").replace("/tables/", "/results/")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
     return docs

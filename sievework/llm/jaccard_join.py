@@ -266,6 +266,7 @@ def keep_one(docs: DataFrame, joined: DataFrame) -> DataFrame:
 
     Rows without a class id (a null doc_id and no linked row with one) all stay.
     """
+    joined = materialize(joined.select("doc_id", "class_id"), "nj-joined")
     firsts = joined.where("doc_id = class_id").select("doc_id").distinct()
     kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     loose = joined.where("class_id is null").limit(1).count()

@@ -65,16 +65,16 @@ class TextModel:
         return [round(float(x), 9) for x in s - s.max()], len(t)
 
 
-def train(labelled: DataFrame, text: str = "text", language: str = "lang") -> TextModel:
+def train(labelled: DataFrame, text: str = "text", language: str = "lang") -> TextModel | None:
     """Count trigrams of about ``TRAIN_DOCS`` documents of each language, chosen by a hash of the text.
 
     Rows without text or language are not used. Counts leave the executors summed by task and
-    language, ``BUCKETS`` numbers each.
+    language, ``BUCKETS`` numbers each. Without any such row there is no model (None).
     """
     named = labelled.where(F.col(language).isNotNull() & F.col(text).isNotNull())
     sizes = sorted((r[0], r[1]) for r in named.groupBy(language).count().orderBy(F.desc("count"), language).limit(MAX_LANGUAGES).collect())
     if not sizes:
-        raise ValueError("no labelled documents to train on")
+        return None
     share = F.create_map(*[F.lit(x) for name, n in sizes for x in (name, min(1.0, TRAIN_DOCS / n))])
     draw = F.pmod(F.xxhash64(text), F.lit(1_000_003)) / F.lit(1_000_003.0)
     sample = named.where(draw < F.try_element_at(share, F.col(language))).select(F.col(text).alias("text"), F.col(language).alias("language"))
@@ -112,14 +112,19 @@ def _softmax(logs: list[Column]) -> list[Column]:
     return [x / total for x in e]
 
 
-def identify(rows: DataFrame, model: TextModel) -> DataFrame:
+def identify(rows: DataFrame, model: TextModel | None) -> DataFrame:
     """Adds language, posterior, rejected, n_trigrams to rows (key columns, text, declared, suffix, host, domain).
 
     Columns other than those five are carried along. Nulls: a text without letters gives no text
     evidence, a null declared value or suffix is a value of its own, a null host or domain falls
     back to the level above. "und" is the language of rejected rows; ties go to the first language
-    by name. Repeated rows all stay; an empty table gives no rows.
+    by name. Repeated rows all stay; an empty table gives no rows. Without a model nothing is told:
+    every row is "und" with a null posterior and not rejected.
     """
+    if model is None:
+        rest = [c for c in rows.columns if c not in ("text", "declared", "suffix", "host", "domain")]
+        none = {"language": F.lit("und"), "posterior": F.lit(None).cast("double"), "rejected": F.lit(False), "n_trigrams": F.lit(0).cast("long")}
+        return rows.select(*rest, *[v.alias(k) for k, v in none.items()], "declared", "suffix", "host")
     languages = model.languages
     size = len(languages)
     known = {"text", "declared", "suffix", "host", "domain"}

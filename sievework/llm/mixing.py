@@ -109,6 +109,13 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     return placed.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def repeat_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it; rows that share a doc_id take the same."""
+    copies = mixed.groupBy(F.col("doc_id").alias("_d")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_d")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 

@@ -313,26 +313,34 @@ def _starts(length: int):
     return run
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _finish(whole_characters: bool):
     """Texts with their covered spans: what is removed and kept."""
-    for b in batches:
-        rows = []
-        for rid, text, spans in zip(*(b.column(c).to_pylist() for c in ("rid", "text", "spans"))):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            merged: list[list[int]] = []
-            for s in sorted((x["a"], x["z"]) for x in spans):
-                if merged and s[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s[1])
-                else:
-                    merged.append([*s])
-            kept, at = [], 0
-            for a, z in merged:
-                kept.append(raw[at:a])
-                at = z
-            kept = b"".join([*kept, raw[at:]])
-            rows.append((rid, len(raw) - len(kept), len(merged), kept))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["rid", "n_removed", "n_spans", "kept"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for rid, text, spans in zip(*(b.column(c).to_pylist() for c in ("rid", "text", "spans"))):
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                merged: list[list[int]] = []
+                for a, z in sorted((x["a"], x["z"]) for x in spans):
+                    while whole_characters and 0x80 <= raw[a] < 0xC0:
+                        a -= 1
+                    while whole_characters and z < len(raw) and 0x80 <= raw[z] < 0xC0:
+                        z += 1
+                    if merged and a <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], z)
+                    else:
+                        merged.append([a, z])
+                kept, at = [], 0
+                for a, z in merged:
+                    kept.append(raw[at:a])
+                    at = z
+                kept = b"".join([*kept, raw[at:]])
+                rows.append((rid, len(raw) - len(kept), len(merged), kept))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["rid", "n_removed", "n_spans", "kept"])
+
+    return run
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -377,19 +385,21 @@ def _with_text(docs: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     return text.join(wanted, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("s") == F.col("sha"))).select("rid", "text", column)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, whole_characters: bool = False) -> DataFrame:
     """rid, doc_id, n_bytes, n_removed, n_spans, kept (bytes; null where the whole text is kept), sha.
 
     One row for each row of ``docs`` (doc_id, text). A null text is empty; texts shorter than
     ``length`` bytes keep all; repeated rows are copies of each other and lose all if long enough;
     an empty table gives no rows; other columns are ignored. Spans are judged on the input: every
-    byte goes that a string of ``length`` bytes covers which also starts anywhere else.
+    byte goes that a string of ``length`` bytes covers which also starts anywhere else. With
+    ``whole_characters`` the other bytes of a character that loses one go too, so that ``kept`` is
+    valid UTF-8.
     """
     texts, spans = repeated_spans(docs, length, hot)
     alone = texts.where("copies = 1")
     by_doc = spans.groupBy("rid").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
     hit = by_doc.join(alone.select("rid", "doc_id", "sha"), "rid")
-    cut = arrow_map(_with_text(docs, hit, "spans"), _finish, "rid long, n_removed long, n_spans long, kept binary")
+    cut = arrow_map(_with_text(docs, hit, "spans"), _finish(whole_characters), "rid long, n_removed long, n_spans long, kept binary")
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     out = texts.join(cut, "rid", "left")
     return out.select(
@@ -399,6 +409,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     )
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with every repeated span taken out of ``text`` and ``n_chars`` counted again; all rows stay."""
+    cut = remove_repeats(docs, length, whole_characters=True).where("n_removed > 0")
+    cut = cut.select(F.col("doc_id").alias("_d"), F.col("sha").alias("_s"), F.decode("kept", "UTF-8").alias("_kept")).dropDuplicates(["_d", "_s"])
+    sha = F.unhex(F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
+    out = docs.withColumn("_sha", sha).join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_sha") == F.col("_s")), "left")
+    text = F.coalesce("_kept", "text")
+    new = {"text": text, "n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col("n_chars"))}
+    return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     digest = F.when(F.col("kept").isNull(), F.lower(F.hex("sha"))).otherwise(F.sha2("kept", 256))

@@ -52,6 +52,8 @@ def test_against_brute_force(spark, model):
     want = sorted((row[0], *w) for row, w in zip(rows, brute([x[1:6] for x in rows], model)))
     assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])
     assert li.identify(df.limit(0), model).count() == 0
+    assert li.train(spark.createDataFrame([(None, "en"), ("x", None)], "text string, lang string")) is None
+    assert {(x.language, x.rejected) for x in li.identify(df, None).collect()} == {("und", False)}
 
 
 def test_held_out_accuracy(spark, model):
