@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sievework.llm import chat_format, jaccard_join, language_id, mixing, piece_lattice, suffix_dedup, token_files, vector_graph, warc_store
+from sievework.llm import chat_format, image_copies, jaccard_join, language_id, mixing, piece_lattice, suffix_dedup, token_files, vector_graph, warc_store
 
 QUERIES = {
+    "op1_image_copies": image_copies.op1_image_copies,
     "op2_mixing": mixing.op2_mixing,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_chat_format": chat_format.op4_chat_format,
