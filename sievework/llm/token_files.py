@@ -170,9 +170,11 @@ class WordEncoder:
 
     def ids_of(self, word: str) -> list[int]:
         """The tokenizer's ids of one word; a plain word is one pre-token that its normalizer leaves as it is."""
+        if self.plain and word.isascii() and word.isalpha() and word.islower():
+            return [t.id for t in self.tokenizer.model.tokenize(word)]
         if not (self.plain and word.isalpha() and word == word.lower() and not _OTHER.search(word)):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
-        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else "".join(map(self.shown.__getitem__, word.encode())))]
+        return [t.id for t in self.tokenizer.model.tokenize("".join(map(self.shown.__getitem__, word.encode())))]
 
     def learn(self, words: list[str]) -> None:
         found = [self.ids_of(w) for w in words]
@@ -224,9 +226,11 @@ class WordEncoder:
         if len(self.known) > CACHE_WORDS:
             self.clear()
         words = list(chain.from_iterable(each))
-        if new := list(set(words).difference(self.known)):
-            self.learn(new)
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        at = list(map(self.known.get, words))
+        if None in at:
+            self.learn(list({w for w, i in zip(words, at) if i is None}))
+            at = [self.known[w] if i is None else i for w, i in zip(words, at)]
+        return np.array(at, np.int64)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
