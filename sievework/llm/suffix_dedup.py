@@ -31,9 +31,9 @@ from sievework.scratch import materialize
 
 LENGTH, GRAM = 200, 32
 #: Different pieces under one minimizer beyond which it is split by start; bounds a task's suffix array.
-HOT = 20_000
+HOT = 10_000
 #: Bytes of pieces that one suffix array takes in, for many minimizers together.
-CHUNK = 2_000_000
+CHUNK = 700_000
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -125,21 +125,25 @@ def suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, n
     Only suffixes that still tie are sorted again. ``codes`` are below 512; 0 stands behind the end.
     """
     n = len(codes)
-    padded = np.concatenate([codes.astype(np.uint64), np.zeros(8, np.uint64)])
+    padded = np.zeros(n + 8, np.uint16)
+    padded[:n] = codes
     key = np.zeros(n, np.uint64)
     for j in range(7):  # seven codes of nine bits
-        key = (key << np.uint64(9)) | padded[j : j + n]
-    order = np.argsort(key, kind="stable")
-    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    ranks, k = {7: rank.astype(np.int32)}, 7
+        key <<= np.uint64(9)
+        key |= padded[j : j + n]
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    del key
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
+    ranks, k = {7: rank.copy()}, 7
     slots = _tied(new)
     while k < depth and len(slots):
         at = order[slots]
         after = at + k
-        follow = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        pair = (rank[at].astype(np.uint64) << np.uint64(32)) | follow.astype(np.uint64)
+        pair = rank[at].astype(np.uint64) << np.uint64(32)
+        pair |= np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0).astype(np.uint64)
         by = np.argsort(pair, kind="stable")
         at, pair = at[by], pair[by]
         order[slots] = at
@@ -148,14 +152,14 @@ def suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, n
         new[slots] |= fresh
         slots = slots[_tied(fresh)]
         k *= 2
-        ranks[k] = rank.astype(np.int32)
+        ranks[k] = rank.copy()
     return order, ranks
 
 
 def _tied(new: np.ndarray) -> np.ndarray:
     """Places that share their group with another."""
     last = np.append(new[1:], True)
-    return np.flatnonzero(~(new & last))
+    return np.flatnonzero(~(new & last)).astype(np.int32)
 
 
 def common_prefix(codes: np.ndarray, ranks: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -205,23 +209,21 @@ def repeats_of(strings: list[bytes], starts: list[int], least: int = LENGTH) ->
     """
     size = np.array([len(s) for s in strings], np.int64)
     base = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
-    codes = np.zeros(int((size + 1).sum()), np.int64)
-    body = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
-    codes[:] = body
+    codes = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
     codes[base + size] = 0
-    of = np.repeat(np.arange(len(strings)), size + 1)
-    offset = np.arange(len(codes)) - base[of]
-    owned = offset < np.array(starts, np.int64)[of]
+    of = np.repeat(np.arange(len(strings), dtype=np.int32), size + 1)
+    offset = np.arange(len(codes), dtype=np.int32) - base.astype(np.int32)[of]
+    owned = offset < np.array(starts, np.int32)[of]
     order, ranks = suffix_array(codes, int(size.max(initial=0)))
     order = order[owned[order]]
     a, b = order[:-1], order[1:]
     lcp = np.zeros(len(order), np.int64)
     near = np.flatnonzero((ranks[7][a] == ranks[7][b]) | (least < 7))
     lcp[near + 1] = common_prefix(codes, ranks, a[near], b[near])
-    rest = (size[of] - offset)[order]
+    rest = size[of[order]] - offset[order]
     if len(order) > 1:
         lcp[1:] = np.minimum(lcp[1:], np.minimum(rest[:-1], rest[1:]))
-    left = np.where(offset == 0, 1000 + of, codes[np.maximum(np.arange(len(codes)) - 1, 0)])[order]
+    left = np.where(offset[order] == 0, 1000 + of[order], codes[np.maximum(order - 1, 0)])
     # an outermost interval without left diversity has none inside: those need no scan
     deep = lcp >= least
     first = np.flatnonzero(~deep)  # each place that starts an outermost interval
