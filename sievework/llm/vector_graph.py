@@ -29,7 +29,7 @@ from sievework.scratch import materialize
 
 THRESHOLD = 0.93
 SAMPLE, CENTROIDS, ROUNDS = 20_000, 1024, 8
-PER_SHARD, SHARD, OVERLAP = 300, 1024, 3
+PER_SHARD, SHARD, OVERLAP = 100, 512, 3
 CANDIDATES, DEGREE, NEAREST, ALPHA = 64, 24, 6, 1.2
 BEAM, SLACK = 24, 0.02
 _EPS = 1e-12
@@ -141,6 +141,7 @@ def range_search(v: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, st
     graph = np.full((n, max(degree, 1)), -1, np.int64)
     for i, x in enumerate(lists):
         graph[i, : len(x)] = x
+    step = max(1, 40_000 // graph.shape[1])
     out_q, out_f = [], []
     for a in range(0, len(queries), 128):
         q = queries[a : a + 128]
@@ -156,14 +157,12 @@ def range_search(v: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, st
             if not len(i):
                 break
             done[i, j] = True
-            i, j = np.repeat(i, graph.shape[1]), graph[j].reshape(-1)
-            ok = j >= 0
-            i, j = i[ok], j[ok]
-            new = seen[i, j] == -2
-            key = np.unique(i[new] * n + j[new])
-            i, j = key // n, key % n
-            for c in range(0, len(i), 50_000):
-                x, y = i[c : c + 50_000], j[c : c + 50_000]
+            for c in range(0, len(i), step):  # in parts, so that many nodes in range at once take no more memory
+                x, y = np.repeat(i[c : c + step], graph.shape[1]), graph[j[c : c + step]].reshape(-1)
+                ok = y >= 0
+                ok[ok] = seen[x[ok], y[ok]] == -2
+                key = np.unique(x[ok] * n + y[ok])
+                x, y = key // n, key % n
                 seen[x, y] = np.einsum("ij,ij->i", v[q[x]], v[y])
         i, j = np.nonzero(seen >= threshold)
         other = q[i] != j
@@ -235,14 +234,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pair = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     key = ["label", "dim", "shard", "lo", "hi"]
     edges = arrow_map(pair.select(*key, "node", "v", "block").repartition(n, *key).sortWithinPartitions(*key), _build, "node long, to long")
-    both = materialize(edges.union(edges.select(F.col("to").alias("node"), F.col("node").alias("to"))), "vg-edges")
-    # united lists; a backward edge is kept as well, at most DEGREE of them for each node
-    graph = both.distinct().groupBy("node").agg(F.collect_list("to").alias("to"))
+    # united lists, of DEGREE nodes from each shard's block at most; a link needs one of its ends to reach the other
+    graph = materialize(edges.groupBy("node").agg(F.collect_set("to").alias("to")), "vg-lists")
     known = materialize(nodes.select("node", "v").join(graph, "node", "left"), "vg-graph")
     cell = ["label", "dim", "shard", "block"]
-    members = placed.where(F.col("rank") < OVERLAP).select(*cell, "node")
+    members = placed.where("rank = 0").select(*cell, "node")  # each node is a query once, in its nearest shard
     halo = members.join(graph, "node").select(*cell, F.explode("to").alias("node")).distinct()
-    cells = members.withColumn("member", F.lit(True)).union(halo.withColumn("member", F.lit(False))).groupBy(*cell, "node").agg(F.max("member").alias("member"))
+    near = placed.where("rank > 0").select(*cell, "node").union(halo)
+    cells = members.withColumn("member", F.lit(True)).union(near.withColumn("member", F.lit(False))).groupBy(*cell, "node").agg(F.max("member").alias("member"))
     cells = cells.join(known, "node").repartition(n, *cell).sortWithinPartitions(*cell)
     found = materialize(arrow_map(cells.select(*cell, "node", "v", "to", "member"), _search(threshold), "a long, links array<long>"), "vg-found")
     pairs = found.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
