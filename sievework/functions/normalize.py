@@ -64,22 +64,24 @@ def add_phone(df: DataFrame, field: str = "phone") -> DataFrame:
 
     A number of another region, or one whose digits its region does not use, is kept with confidence 0.5.
     """
-    raw = clean(F.col(field))
-    digits = F.regexp_replace(raw, r"[^0-9+]", "")
-    plus = digits.startswith("+")
-    bare = F.regexp_replace(digits, r"\+", "")
-    full = F.when(plus | ((F.length(bare) == 12) & bare.startswith("91")), bare).otherwise(F.concat(F.lit("91"), F.regexp_replace(bare, "^0", "")))
-    rest = F.when(full.startswith("91"), F.substr(full, F.lit(3))).when(full.startswith("1"), F.substr(full, F.lit(2))).otherwise(full)
-    size = F.length(rest)
-    region = F.when(full.startswith("91"), "in").when(full.startswith("1"), "us").otherwise("other")
-    possible = F.when(region == "other", size.between(7, 15)).otherwise(size == 10)
-    valid = F.when(region == "in", rest.rlike("^[2-9]")).when(region == "us", rest.rlike("^[2-9]")).otherwise(False)
-    readable = raw.isNotNull() & (F.length(bare) > 0) & ~raw.rlike("[A-Za-z]{3,}")
-    ok = F.coalesce(readable & possible, F.lit(False))
+    # staged in columns, each used many times after: an expression built of the whole would repeat them all
+    out = df.withColumn("_raw", clean(F.col(field))).withColumn("_plus", F.regexp_replace("_raw", r"[^0-9+]", "")).withColumn("_bare", F.regexp_replace("_plus", r"\+", ""))
+    bare = F.col("_bare")
+    out = out.withColumn("_full", F.when(F.col("_plus").startswith("+") | ((F.length(bare) == 12) & bare.startswith("91")), bare).otherwise(F.concat(F.lit("91"), F.regexp_replace(bare, "^0", ""))))
+    full = F.col("_full")
+    out = out.withColumn("_region", F.when(full.startswith("91"), "in").when(full.startswith("1"), "us").otherwise("other"))
+    out = out.withColumn("_rest", F.when(F.col("_region") == "in", F.substr(full, F.lit(3))).when(F.col("_region") == "us", F.substr(full, F.lit(2))).otherwise(full))
+    size, region = F.length("_rest"), F.col("_region")
+    out = out.withColumn("_readable", F.coalesce(F.col("_raw").isNotNull() & (F.length(bare) > 0) & ~F.col("_raw").rlike("[A-Za-z]{3,}"), F.lit(False)))
+    out = out.withColumn("_possible", F.coalesce(F.when(region == "other", size.between(7, 15)).otherwise(size == 10), F.lit(False)))
+    out = out.withColumn("_valid", F.coalesce((region != "other") & F.col("_rest").rlike("^[2-9]"), F.lit(False)))
+    readable, possible, valid = F.col("_readable"), F.col("_possible"), F.col("_valid")
+    ok = readable & possible
     return (
-        df.withColumn(f"{field}_value", F.when(ok, F.concat(F.lit("+"), full))).withColumn(f"{field}_mobile", F.coalesce(ok & (region == "in") & rest.rlike("^[6-9]"), F.lit(False)))
+        out.withColumn(f"{field}_value", F.when(ok, F.concat(F.lit("+"), full))).withColumn(f"{field}_mobile", F.coalesce(ok & (region == "in") & F.col("_rest").rlike("^[6-9]"), F.lit(False)))
         .withColumn(f"{field}_confidence", F.when(ok, F.when(valid, 1.0).otherwise(0.5)).otherwise(0.0).cast("double"))
-        .withColumn(f"{field}_codes", _codes((raw.isNotNull() & ~readable, "phone_unparseable"), (readable & ~possible, "phone_impossible"), (ok & ~valid, "phone_invalid")))
+        .withColumn(f"{field}_codes", _codes((F.col("_raw").isNotNull() & ~readable, "phone_unparseable"), (readable & ~possible, "phone_impossible"), (ok & ~valid, "phone_invalid")))
+        .drop("_raw", "_plus", "_bare", "_full", "_region", "_rest", "_readable", "_possible", "_valid")
     )
 
 
@@ -105,30 +107,30 @@ def host_class(host: Column, registrable: Column) -> Column:
 
 def add_url(df: DataFrame, field: str = "website", kind: str = "website") -> DataFrame:
     """``field``_value, _host, _domain, _class, _owned, _handle, _numeric, _confidence, _codes."""
-    raw = clean(F.col(field))
-    full = F.when(raw.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), raw).otherwise(F.concat(F.lit("https://"), raw))
-    rest = F.regexp_replace(full, r"^[A-Za-z][A-Za-z0-9+.\-]*://", "")
-    authority = F.regexp_extract(rest, r"^([^/?#]*)", 1)
-    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(authority), r"^.*@", ""), r":\d*$", ""), r"\.$", "")
-    host = F.regexp_replace(host, r"^www\.", "")
-    ok = raw.isNotNull() & F.contains(host, F.lit("."))
-    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), r"/{2,}", "/"), r"/+$", "")
-    query = strip_tracking(F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1))
-    value = F.concat(F.lit("https://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    out = df.withColumn(f"{field}_value", F.when(ok, value)).withColumn(f"{field}_host", F.when(ok, host))
+    out = df.withColumn("_raw", clean(F.col(field)))
+    out = out.withColumn("_rest", F.regexp_replace("_raw", r"^[A-Za-z][A-Za-z0-9+.\-]*://", ""))
+    host = F.lower(F.regexp_extract("_rest", r"^([^/?#]*)", 1))
+    for pattern in (r"^.*@", r":\d*$", r"\.$", r"^www\."):  # user, port, trailing dot, www
+        host = F.regexp_replace(host, pattern, "")
+    out = out.withColumn("_host", host).withColumn("_path", F.regexp_replace(F.regexp_replace(F.regexp_extract("_rest", r"^[^/?#]*([^?#]*)", 1), r"/{2,}", "/"), r"/+$", ""))
+    out = out.withColumn("_query", strip_tracking(F.regexp_extract("_rest", r"^[^?#]*\?([^#]*)", 1)))
+    raw, path, query = F.col("_raw"), F.col("_path"), F.col("_query")
+    ok = F.coalesce(raw.isNotNull() & F.contains("_host", F.lit(".")), F.lit(False))
+    value = F.concat(F.lit("https://"), F.col("_host"), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    out = out.withColumn(f"{field}_value", F.when(ok, value)).withColumn(f"{field}_host", F.when(ok, F.col("_host")))
     out = out.withColumn(f"{field}_domain", F.coalesce(registrable_domain(F.col(f"{field}_host")), F.col(f"{field}_host")))
     klass = host_class(F.col(f"{field}_host"), F.col(f"{field}_domain"))
     handle = F.coalesce(*[F.nullif(F.lower(F.regexp_extract(path, p, 1)), F.lit("")) for p in fixed.HANDLE_PATTERNS.get(kind, [])], F.lit(None).cast("string"))
     out = out.withColumn(f"{field}_class", klass).withColumn(f"{field}_owned", F.col(f"{field}_host").isNotNull() & F.col(f"{field}_class").isNull())
     out = out.withColumn(f"{field}_handle", F.when(ok, handle)).withColumn(f"{field}_numeric", F.coalesce(F.col(f"{field}_handle").rlike(r"^\d{8,}$"), F.lit(False)))
-    missing = raw.isNotNull() & ~F.contains(host, F.lit("."))
+    missing = raw.isNotNull() & ~ok
     codes = [(missing, "url_missing_host")]
     if kind == "website":
         codes += [(F.col(f"{field}_class") == c, f"website_not_owned_{c}") for c in fixed.HOST_CLASSES]
     else:
         codes.append((F.col(f"{field}_numeric"), "profile_numeric_id_only"))
     confidence = F.when(~ok | raw.isNull(), 0.0).when(F.col(f"{field}_class").isNotNull() if kind == "website" else F.lit(False), 0.4).otherwise(1.0)
-    return out.withColumn(f"{field}_confidence", confidence.cast("double")).withColumn(f"{field}_codes", _codes(*codes))
+    return out.withColumn(f"{field}_confidence", confidence.cast("double")).withColumn(f"{field}_codes", _codes(*codes)).drop("_raw", "_rest", "_host", "_path", "_query")
 
 
 def add_followers(df: DataFrame) -> DataFrame:
@@ -212,5 +214,9 @@ def normalize_rows(rows: DataFrame, gazetteer: DataFrame, taxonomy: DataFrame) -
     out = out.withColumn("display_name", F.coalesce("name_display", F.concat(F.lit("(unnamed "), "batch", F.lit("#"), F.col("row_no").cast("string"), F.lit(")"))))
     out = out.withColumn("normalized_name", F.coalesce("name_value", F.lower("display_name"))).withColumn("company_domain", F.when(F.col("website_owned"), F.col("website_domain")))
     pairs = [("name", "name_codes"), ("city", "city_codes"), ("category", "category_codes"), ("followers", "followers_codes"), ("email", "email_codes"), ("phone", "phone_codes"), ("website", "website_codes"), ("facebook", "facebook_codes")]
-    each = [F.transform(c, lambda x, f=f: F.struct(F.lit(f).alias("field"), x.alias("code"))) for f, c in pairs]
+
+    def named(f: str, c: str) -> Column:
+        return F.transform(c, lambda x: F.struct(F.lit(f).alias("field"), x.alias("code")))
+
+    each = [named(f, c) for f, c in pairs]
     return out.withColumn("field_codes", F.flatten(F.array(*each))).drop(*[c for _, c in pairs])

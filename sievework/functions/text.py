@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Latin letters that fold to others of ASCII by dropping one accent.
 _ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüýÿçñÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÇÑ"
@@ -24,7 +25,7 @@ def strip_accents(c: Column) -> Column:
     return F.translate(c, _ACCENTED, _BARE)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compatibility decomposition without combining marks, in Arrow batches (Spark has no normalize())."""
     import unicodedata

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from sievework.functions import fixed
 
@@ -17,8 +18,12 @@ def mail_provider(hosts: Column, domain: Column) -> Column:
     within = lambda h, s: (h == s) | h.endswith(F.concat(F.lit("."), s))
     own = F.forall(low, lambda h: within(h, domain))
     out = F.when(own, "self_hosted").otherwise("other")
+
+    def any_within(suffix: str) -> Column:
+        return F.exists(low, lambda h: within(h, F.lit(suffix)))
+
     for suffix, name in reversed(fixed.MX_SUFFIXES):
-        out = F.when(F.exists(low, lambda h, s=suffix: within(h, F.lit(s))), name).otherwise(out)
+        out = F.when(any_within(suffix), name).otherwise(out)
     return F.when(F.size(hosts) == 0, "none").otherwise(out)
 
 
@@ -85,7 +90,7 @@ def signals(identifiers: DataFrame, domain_cache: DataFrame, url_cache: DataFram
     return mail.join(site, "lead_key", "full_outer")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_public_ip(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Whether an address can be reached from the internet; text that is no address cannot."""
     import ipaddress

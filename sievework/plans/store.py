@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,18 @@ from sievework.sources import batches
 NOW = "2026-01-15 00:00:00"
 
 
+@contextmanager
+def plain_constraints(spark: SparkSession) -> Iterator[None]:
+    """Plan without inferring constraints: over the normalisers' many derived columns that takes minutes and finds nothing."""
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @dataclass
 class Store:
     rows: DataFrame
@@ -75,7 +89,9 @@ def owned_urls(identifiers: DataFrame) -> DataFrame:
 def ingest(spark: SparkSession, sf_dir: str) -> Store:
     gaz = batches.gazetteer(spark, sf_dir)
     raw = rules.add_rule_codes(normalize_rows(batches.source_rows(spark, sf_dir), gaz, batches.taxonomy(spark)))
-    rows = resolve.resolve(materialize(raw, "normalized"))
+    with plain_constraints(spark):
+        normalized = materialize(raw, "normalized")
+    rows = resolve.resolve(normalized)
     issues = rules.issues(rows).join(rows.select("row_id", "lead_key"), "row_id")
     identifiers = materialize(resolve.merge_identifiers(rows), "identifiers")
     leads = materialize(resolve.merge_leads(rows), "leads")
