@@ -145,10 +145,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(number), *(pa.array(f[c].astype(np.float32)) for c in ("x", "y", "angle", "scale")), pa.array([x.tobytes() for x in f["bits"]], pa.binary())], [c for c, _ in _CORNER])
 
 
-def _parts(features: DataFrame) -> DataFrame:
+def _keys(features: DataFrame) -> DataFrame:
+    """One row for each part of each descriptor: its number and value as one long."""
     size = BITS // 8 // TABLES
-    part = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.substring("bits", 1 + t * size, size).alias("value")) for t in range(TABLES)]))
-    return features.withColumn("_p", part).select("*", F.col("_p.t").alias("part"), F.col("_p.value").alias("value")).drop("_p")
+    part = lambda t: F.conv(F.hex(F.substring("bits", 1 + t * size, size)), 16, 10).cast("long") + F.lit(t << (8 * size))
+    return features.withColumn("key", F.explode(F.array(*[part(t) for t in range(TABLES)])))
 
 
 _MATCH = np.dtype([("image", "<i8"), ("qc", "<i4"), ("dc", "<i4"), ("q", "<f4", 4), ("d", "<f4", 4)])
@@ -225,12 +226,14 @@ def image_copies(images: DataFrame, queries: DataFrame) -> DataFrame:
     n = max(1, partitions(images.sparkSession))
     find = lambda df, name: materialize(arrow_map(df.select(F.col("image_id").cast("long").alias("image_id"), F.col("image").cast("binary").alias("image")), _features, _SCHEMA), name)
     index, asked = find(images, "img-index"), find(queries, "img-queries")
-    blocks = max(1, -(-images.count() // IMAGE_BLOCK))
+    blocks = max(1, -(-images.select("image_id").count() // IMAGE_BLOCK))
     block = F.pmod(F.xxhash64("image_id"), F.lit(blocks)).cast("int")
+    wanted = _keys(asked).withColumnRenamed("image_id", "query_id")
+    # parts that no query has end here, before any descriptor is moved
+    hits = _keys(index.select("image_id", "corner", "bits")).drop("bits").join(wanted.select("key").distinct(), "key", "left_semi")
     entry = F.struct("image_id", "corner", "x", "y", "angle", "scale", "bits")
-    postings = _parts(index).groupBy("part", "value", block.alias("block")).agg(F.collect_list(entry).alias("postings"))
-    wanted = _parts(asked).withColumnRenamed("image_id", "query_id")
-    joined = wanted.join(postings, ["part", "value"]).select("query_id", "block", "corner", "x", "y", "angle", "scale", "bits", "postings")
+    postings = hits.join(index, ["image_id", "corner"]).groupBy("key", block.alias("block")).agg(F.collect_list(entry).alias("postings"))
+    joined = wanted.join(postings, "key").select("query_id", "block", "corner", "x", "y", "angle", "scale", "bits", "postings")
     matches = arrow_map(joined, _compare, "query_id long, block int, matches binary")
     units = matches.repartition(n, "query_id", "block").sortWithinPartitions("query_id", "block")
     return arrow_map(units, _agree, "query_id long, image_id long, inliers long").groupBy("query_id", "image_id").agg(F.max("inliers").alias("inliers"))
@@ -267,5 +270,5 @@ def _pictures(edited: bool):
 def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table holds images: every row of ``embeddings`` is drawn; the queries are edited crops of the rows whose id is divisible by 20."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("image_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    images = materialize(arrow_map(rows, _pictures(False), "image_id long, image binary"), "img-all")
+    images = arrow_map(rows, _pictures(False), "image_id long, image binary")  # drawn when read, never stored
     return image_copies(images, arrow_map(rows.where("image_id % 20 = 0"), _pictures(True), "image_id long, image binary"))

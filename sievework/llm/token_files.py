@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -165,8 +165,8 @@ class WordEncoder:
     def clear(self) -> None:
         self.known: dict[str, int] = {"": 0}
         self.mark = np.zeros(1 << 16, np.int8)
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.start, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.flat, self.used = np.zeros(1 << 18, np.uint32), 1
 
     def ids_of(self, word: str) -> list[int]:
         """The tokenizer's ids of one word; a plain word is one pre-token that its normalizer leaves as it is."""
@@ -202,8 +202,8 @@ class WordEncoder:
             return self.plain_words(text)
         return (text.lower().replace("\n", " ") + " ").replace("\t", " ").replace("\r", " ").replace(". ", " . ").replace(", ", " , ").split(" ")
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, number of ids of each text)."""
+    def encode(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each text), each with ``end_id`` behind it if given."""
         each = [self.words(t or "") for t in texts]
         at = self._look_up(each)
         last = np.cumsum([len(ws) for ws in each])
@@ -215,10 +215,16 @@ class WordEncoder:
                 each[i] = self.plain_words(texts[i])
             at = self._look_up(each)
             last = np.cumsum([len(ws) for ws in each])
+        if end_id is not None:  # a word of its own, whose ids stand at place 0
+            self.flat[0] = end_id
+            at = np.insert(at, last, -1)
+            last = last + np.arange(1, len(last) + 1)
         sizes, begins = self.size[at], self.start[at]
-        ends = np.cumsum(sizes)
+        if end_id is not None:
+            sizes[last - 1], begins[last - 1] = 1, 0
+        ends = np.cumsum(sizes, dtype=np.int32)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(begins - ends + sizes, sizes)]
+        ids = self.flat[np.arange(total, dtype=np.int32) + np.repeat(begins - ends + sizes, sizes)]
         done = np.concatenate([[0], ends])[last] if len(each) else np.zeros(0, np.int64)
         return ids, np.diff(np.concatenate([[0], done])).astype(np.int64)
 
@@ -226,11 +232,12 @@ class WordEncoder:
         if len(self.known) > CACHE_WORDS:
             self.clear()
         words = list(chain.from_iterable(each))
-        at = list(map(self.known.get, words))
-        if None in at:
-            self.learn(list({w for w, i in zip(words, at) if i is None}))
-            at = [self.known[w] if i is None else i for w, i in zip(words, at)]
-        return np.array(at, np.int64)
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int32, len(words))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            self.learn(list({words[i] for i in new}))
+            at[new] = [self.known[words[i]] for i in new]
+        return at
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -255,12 +262,11 @@ def _encode(path: str, end_id: int):
         enc = encoder(path)
         for batch in batches:
             for b in slices(batch):
-                ids, n = enc.encode(b.column("text").to_pylist())
-                whole = np.insert(ids, np.cumsum(n), end_id).astype("<u4")
-                kind = "<u2" if not len(whole) or whole.max() < 1 << 16 else "<u4"
-                cuts = np.concatenate([[0], np.cumsum(n + 1)])
-                raw = [whole[a:z].astype(kind).tobytes() for a, z in zip(cuts[:-1], cuts[1:])]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("bucket"), pa.array(n + 1), pa.array(raw, pa.binary())], ["doc_id", "bucket", "n_tokens", "ids"])
+                ids, n = enc.encode(b.column("text").to_pylist(), end_id)
+                ids = ids.astype("<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4")
+                cuts = (np.concatenate([[0], np.cumsum(n)]) * ids.itemsize).astype(np.int32)
+                raw = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("bucket"), pa.array(n), raw], ["doc_id", "bucket", "n_tokens", "ids"])
 
     return run
 
