@@ -28,7 +28,7 @@ from sievework.scratch import materialize
 SCALES, CORNERS, PATCH = (1.0, 0.75), 20, 7
 BITS, TABLES = 256, 8
 #: Most differing bits of a match, and fewest agreeing corners of a copy, and pixels they may be off.
-DISTANCE, INLIERS, PIXELS = 40, 6, 2.5
+DISTANCE, INLIERS, PIXELS = 32, 6, 2.5
 IMAGE_BLOCK = 4096
 
 _R = np.random.default_rng(7)
@@ -239,14 +239,22 @@ def image_copies(images: DataFrame, queries: DataFrame) -> DataFrame:
     return arrow_map(units, _agree, "query_id long, image_id long, inliers long").groupBy("query_id", "image_id").agg(F.max("inliers").alias("inliers"))
 
 
+_FIELDS: dict[tuple[int, int], np.ndarray] = {}
+
+
 def draw(vector: list[float] | None, side: int = 64) -> bytes | None:
-    """A vector as a picture: its components on a square grid of grey values, interpolated. None if it has no finite spread."""
+    """A vector as a picture: fixed noise fields, one for each component, weighted by it.
+
+    Near vectors give near pictures, unrelated ones unrelated textures. None if it has no finite spread.
+    """
     a = np.array([np.nan if x is None else x for x in (vector or [])], float)
-    k = int(np.sqrt(len(a)))
-    if k < 2 or not np.isfinite(a).all() or a.std() == 0:
+    if not len(a) or not np.isfinite(a).all() or a.std() == 0:
         return None
-    grid = ((a[: k * k] - a.mean()) / a.std() * 48 + 128).reshape(k, k).astype(np.float32)
-    return encode_pgm(resize(grid, side, side))
+    if (len(a), side) not in _FIELDS:
+        noise = np.random.default_rng(len(a)).normal(size=(len(a), side, side)).astype(np.float32)
+        _FIELDS[len(a), side] = _box(_box(noise, 1), 1)
+    grey = np.tensordot(a.astype(np.float32), _FIELDS[len(a), side], 1)
+    return encode_pgm((grey - grey.mean()) / grey.std() * 48 + 128)
 
 
 def edit(data: bytes | None) -> bytes | None:

@@ -4,7 +4,7 @@ from sievework.llm import image_copies as ic
 
 
 def picture(seed, side=64):
-    return ic.resize(np.random.default_rng(seed).integers(0, 256, (8, 8)).astype(np.float32), side, side)
+    return ic.decode(ic.draw(np.random.default_rng(seed).normal(size=64).tolist(), side))
 
 
 def test_decode():
