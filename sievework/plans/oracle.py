@@ -210,6 +210,8 @@ _QUERIES = {
     "source_queries": "SELECT lead_key, matched_query AS query, bool_and(source_inferred) AS inferred FROM rows_ WHERE matched_query IS NOT NULL GROUP BY ALL",
     "weak_labels": "SELECT lead_key, min(relevance) AS label FROM rows_ WHERE relevance IS NOT NULL GROUP BY 1",
     "latest_followers": "SELECT lead_key, latest_followers FROM leads",
+    "companies": "SELECT cn.domain, name, website, branches, branches > 1 AS multi_branch FROM cn LEFT JOIN cu ON cu.domain = cn.domain",
+    "companies_page": "SELECT cn.domain, name, coalesce(n, 0) AS branch_count, locations FROM cn LEFT JOIN (SELECT company_domain, count(*) AS n, array_to_string(list_sort(list(DISTINCT location_name)), ',') AS locations FROM act GROUP BY 1) a ON a.company_domain = cn.domain WHERE coalesce(n, 0) >= 2 ORDER BY branch_count DESC, cn.domain LIMIT 50",
     "companies_multi_branch": "SELECT company_domain AS domain, count(*) AS branches FROM leads WHERE company_domain IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "quality_factors": "SELECT lead_key, " + ", ".join(f"round_even(f_{n}, 9) AS {n}" for n in fixed.WEIGHTS) + " FROM xscore",
     "quality_score": "SELECT lead_key, round_even(base, 6) AS base, penalty_total, factors_evaluated, weight_available, round_even(score, 1) AS score_1 FROM xscore",
@@ -277,6 +279,15 @@ _QUERIES = {
     "flagship": "SELECT a.lead_key, display_name, entity_kind, category_slug, company_domain, factors_evaluated FROM act a JOIN xscore USING (lead_key)",
 }
 _ON_ROWS = {"scan_union_batches", "row_hash", "norm_email", "email_classify", "email_lookalike", "norm_phone", "norm_url", "url_classify", "url_handle", "norm_followers", "norm_name", "entity_kind", "norm_city", "norm_category", "normalize_records", "validate_issues", "profile_duplicates", "profile_overlap", "profile_agreement", "profile_crosstab", "profile_completeness", "profile_regex_shares"}
+_COMPANIES = r""",
+cw AS (SELECT company_domain, lead_key, display_name, string_split(trim(regexp_replace(display_name, '\s+', ' ', 'g')), ' ') AS w FROM leads WHERE company_domain IS NOT NULL),
+cs AS (SELECT company_domain, count(*) AS branches, min(len(w)) AS shortest, arg_min(display_name, lead_key) AS first_name, arg_min(w, lead_key) AS fw FROM cw GROUP BY 1),
+cp AS (SELECT company_domain, min(pos) AS stop FROM (SELECT company_domain, i - 1 AS pos FROM cw, range(1, len(w) + 1) t(i) GROUP BY company_domain, i HAVING count(DISTINCT lower(w[i])) > 1) GROUP BY 1),
+cn AS (SELECT cs.company_domain AS domain, CASE WHEN branches = 1 THEN first_name WHEN least(shortest, coalesce(stop, shortest)) > 0 THEN array_to_string(fw[1:least(shortest, coalesce(stop, shortest))], ' ')
+  ELSE upper(left(cs.company_domain, 1)) || substr(split_part(cs.company_domain, '.', 1), 2) END AS name, branches FROM cs LEFT JOIN cp ON cp.company_domain = cs.company_domain),
+cu AS (SELECT domain, value AS website FROM (SELECT domain, value, row_number() OVER (PARTITION BY domain ORDER BY lead_key, value) AS r FROM ident WHERE kind = 'website' AND owned) WHERE r = 1)
+"""
+_TAIL = {"companies": _COMPANIES, "companies_page": _COMPANIES}
 _FACTS = ",\nfacts AS (" + " UNION ALL ".join(f"SELECT lead_key, '{n}' AS field, CAST({e} AS VARCHAR) AS value FROM leads l" for n, e in _compared) + ")\n"
 
 _parked = " OR ".join(f"contains(t, '{m}')" for m in fixed.PARKED_MARKERS)
@@ -297,4 +308,4 @@ _PLAIN = {
     "profile_quantiles": "SELECT min(l_extendedprice) AS min, quantile_cont(l_extendedprice, 0.25) AS p25, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.75) AS p75, quantile_cont(l_extendedprice, 0.95) AS p95, max(l_extendedprice) AS max, round_even(avg(CASE WHEN l_extendedprice < 1000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS share_below FROM lineitem",
 }
 
-SQL = _PLAIN | {n: (_ROWS if n in _ON_ROWS else _ALL.rstrip() + (_FACTS if n == "pair_comparison" else "\n")) + q for n, q in _QUERIES.items()}
+SQL = _PLAIN | {n: (_ROWS if n in _ON_ROWS else _ALL.rstrip() + (_FACTS if n == "pair_comparison" else _TAIL.get(n, "\n"))) + q for n, q in _QUERIES.items()}
