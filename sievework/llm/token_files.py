@@ -23,6 +23,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ MAGIC, BLOCK, PERCENTILE, END_ID = b"PFORIDS1", 256, 90, 1
 #: A file is closed once it holds so many ids: it bounds what a reader holds.
 FILE_IDS = 1 << 20
 #: Words a worker remembers before it starts again; a memory bound, without effect on results.
-CACHE_WORDS = 600_000
-#: Characters that are encoded at a time; a memory bound, without effect on results.
+CACHE_WORDS = 1_500_000
+#: Bytes of text that are encoded at a time; a memory bound, without effect on results.
 SLICE = 1_000_000
 
 #: What keeps a text from being lower-cased and divided before it is encoded: characters from U+0250
@@ -198,8 +199,13 @@ class WordEncoder:
 
     def words(self, text: str) -> list[str]:
         """The words of a text; where that is sound, in lower case and with the stops behind them divided off."""
-        if not self.plain or not text.isascii() and _OTHER.search(text) or "<|" in text:
+        if not self.plain or "<|" in text:
             return self.plain_words(text)
+        try:
+            text.encode("latin-1")  # a copy at most, where a search would look at every character
+        except UnicodeEncodeError:
+            if _OTHER.search(text):
+                return self.plain_words(text)
         return (text.lower().replace("\n", " ") + " ").replace("\t", " ").replace("\r", " ").replace(". ", " . ").replace(", ", " , ").split(" ")
 
     def encode(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -250,8 +256,8 @@ def encoder(path: str) -> WordEncoder:
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about ``most`` characters each."""
-    size = np.cumsum([len(x) if x else 0 for x in batch.column(column).to_pylist()])
+    """The batch in parts of about ``most`` bytes of text each."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     cuts = [0, *(np.flatnonzero(np.diff(size // most)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
     for a, z in zip(cuts[:-1], cuts[1:]):
         yield batch.slice(a, z - a)
