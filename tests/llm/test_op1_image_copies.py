@@ -21,7 +21,7 @@ def test_copies_and_only_copies_are_found(spark):
         1: images[1][4:60, 12:64],
         2: np.rot90(images[2]),
         3: images[3] + np.random.default_rng(1).normal(scale=3, size=(64, 64)),
-        4: ic.resize(images[4], 84, 84),
+        4: 255 - (255 - images[4][6:, :56]) * 0.7,
         99: picture(1000),
     }
     df = lambda d: spark.createDataFrame([(k, ic.encode_pgm(v), "x") for k, v in d.items()] + [(None, ic.encode_pgm(images[0]), "x"), (70, None, "x"), (71, b"junk", "x"), (72, ic.encode_pgm(np.zeros((64, 64))), "x")], "image_id long, image binary, corner string")
