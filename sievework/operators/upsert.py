@@ -41,7 +41,7 @@ def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def replace_for(old: DataFrame, new: DataFrame, owner: str) -> DataFrame:
     """Delete then insert: all rows of the owners that ``new`` has rows of are replaced."""
-    return old.join(new.select(owner).distinct(), owner, "left_anti").unionByName(new.select(*old.columns))
+    return old.join(new.select(owner).distinct(), owner, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
 class Table:
