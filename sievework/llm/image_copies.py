@@ -29,7 +29,7 @@ from sievework.llm.common import arrow_map, partitions, table
 from sievework.scratch import materialize
 
 SCALES, CORNERS, PATCH = (1.0, 0.75), 20, 7
-BITS, TABLES = 256, 8
+BITS, TABLES = 280, 7
 #: Most differing bits of a match, and fewest agreeing corners of a copy, and pixels they may be off.
 DISTANCE, INLIERS, PIXELS = 56, 6, 2.5
 IMAGE_BLOCK = 4096
