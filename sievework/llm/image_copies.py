@@ -3,10 +3,10 @@
 * Corners: Harris responses on an image pyramid (``SCALES``), the strongest ``CORNERS`` local maxima of each level.
 * Descriptors: ``BITS`` intensity comparisons of a smoothed patch, turned by the direction of the
   patch's intensity centroid (binary tests, orientation-normalised).
-* Hamming tables: the bits fall into ``TABLES`` parts; descriptors that differ in fewer bits than
-  there are tables agree in one part whole. Postings of a part's value are packed, at most
-  ``IMAGE_BLOCK`` images in a row, and joined with the queries' parts: frequent values cost a row for
-  each block of images, not one for each pair.
+* Hamming tables: the bits are divided ``ROUNDS`` times into parts of ``PART`` bits, and descriptors
+  meet that differ in one bit at most of some part. A pair ``DISTANCE`` bits apart meets with
+  probability 0.95, a nearer one more surely. Blocks of images and of queries are units of work;
+  the tables are built inside a unit, so that a frequent value costs comparisons but no rows.
 * Consensus: each match of a query and an image proposes a similarity transform (shift, turn,
   scale); the image is a copy if ``INLIERS`` corners agree with one of them.
 
@@ -29,13 +29,19 @@ from sievework.llm.common import arrow_map, partitions, table
 from sievework.scratch import materialize
 
 SCALES, CORNERS, PATCH = (1.0, 0.75), 20, 7
-BITS, TABLES = 280, 7
+BITS = 280
+#: Bits of a part, and how often the bits are divided into parts.
+PART, ROUNDS = 18, 2
 #: Most differing bits of a match, and fewest agreeing corners of a copy, and pixels they may be off.
 DISTANCE, INLIERS, PIXELS = 56, 6, 2.5
-IMAGE_BLOCK = 4096
+#: Images of a unit of work, and corners of its queries; they bound a task, not what is compared.
+IMAGE_BLOCK, UNIT_CORNERS = 4096, 200_000
+#: Corners of images and of queries that meet at a time, and descriptors compared at a time.
+INDEX_CORNERS, QUERY_CORNERS, CANDIDATES = 500_000, 2000, 1_000_000
 
 _R = np.random.default_rng(7)
 _TESTS = _R.integers(-PATCH, PATCH + 1, size=(BITS, 2, 2)).astype(float)  # (bit, end, xy)
+_PARTS = [p for _ in range(ROUNDS) for p in _R.permutation(BITS)[: BITS // PART * PART].reshape(-1, PART)]
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -128,95 +134,141 @@ def corners(a: np.ndarray) -> dict[str, np.ndarray]:
     return dict(zip(("image", "x", "y", "angle", "scale", "bits"), (np.concatenate(v) for v in zip(*found))))
 
 
-_CORNER = [("image_id", pa.int64()), ("corner", pa.int32()), ("x", pa.float32()), ("y", pa.float32()), ("angle", pa.float32()), ("scale", pa.float32()), ("bits", pa.binary())]
-_SCHEMA = "image_id long, corner int, x float, y float, angle float, scale float, bits binary"
+_CORNER = np.dtype([("x", "<f4"), ("y", "<f4"), ("angle", "<f4"), ("scale", "<f4"), ("bits", "u1", BITS // 8)])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The corners of each image, packed into one row."""
     for b in batches:
         shapes: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
         for i, data in zip(b.column("image_id").to_pylist(), b.column("image").to_pylist()):
             a = decode(data)
-            if a is not None and i is not None:
+            if a is not None and i is not None and a.size:
                 shapes.setdefault(a.shape, []).append((i, a))
-        for own in shapes.values():
-            for k in range(0, len(own), 64):
-                part = own[k : k + 64]
+        for (h, w), own in shapes.items():
+            some = max(1, (1 << 18) // (h * w))
+            for k in range(0, len(own), some):
+                part = own[k : k + some]
                 f = corners(np.stack([a for _, a in part]))
-                ids = np.array([i for i, _ in part], np.int64)[f["image"].astype(int)]
-                number = np.arange(len(ids), dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(number), *(pa.array(f[c].astype(np.float32)) for c in ("x", "y", "angle", "scale")), pa.array([x.tobytes() for x in f["bits"]], pa.binary())], [c for c, _ in _CORNER])
-
-
-def _keys(features: DataFrame) -> DataFrame:
-    """One row for each part of each descriptor: its number and value as one long."""
-    size = BITS // 8 // TABLES
-    part = lambda t: F.conv(F.hex(F.substring("bits", 1 + t * size, size)), 16, 10).cast("long") + F.lit(t << (8 * size))
-    return features.withColumn("key", F.explode(F.array(*[part(t) for t in range(TABLES)])))
-
-
-_MATCH = np.dtype([("image", "<i8"), ("qc", "<i4"), ("dc", "<i4"), ("q", "<f4", 4), ("d", "<f4", 4)])
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Descriptors of a posting within DISTANCE bits of the query's, packed into one row."""
-    count = np.array([bin(i).count("1") for i in range(256)], np.uint16)
-    for b in batches:
-        ids, blocks, packed = [], [], []
-        own = (b.column(c).to_pylist() for c in ("query_id", "block", "corner", "x", "y", "angle", "scale", "bits", "postings"))
-        for q, k, qc, x, y, angle, scale, bits, postings in zip(*own):
-            d = np.frombuffer(b"".join(p["bits"] for p in postings), np.uint8).reshape(len(postings), -1)
-            near = np.flatnonzero(count[d ^ np.frombuffer(bits, np.uint8)].sum(1) <= DISTANCE)
-            if len(near):
-                m = np.zeros(len(near), _MATCH)
-                m["qc"], m["q"] = qc, (x, y, angle, scale)
-                m["image"], m["dc"] = [postings[i]["image_id"] for i in near], [postings[i]["corner"] for i in near]
-                m["d"] = [(postings[i]["x"], postings[i]["y"], postings[i]["angle"], postings[i]["scale"]) for i in near]
-                ids.append(q)
-                blocks.append(k)
-                packed.append(m.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], ["query_id", "block", "matches"])
+                m = np.zeros(len(f["x"]), _CORNER)
+                for c in m.dtype.names:
+                    m[c] = f[c]
+                packed = [m[f["image"] == i] for i in range(len(part))]
+                rows = [(i, len(x), x.tobytes()) for (i, _), x in zip(part, packed) if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["id", "n", "corners"])
+
+
+def _keys(bits: np.ndarray) -> np.ndarray:
+    """The values of each descriptor's parts."""
+    pick = np.zeros((BITS, len(_PARTS)), np.float32)
+    for t, own in enumerate(_PARTS):
+        pick[own, t] = 2.0 ** np.arange(len(own))
+    some = 1 << 14
+    return np.concatenate([np.zeros((0, len(_PARTS)), np.uint32), *((np.unpackbits(bits[k : k + some], axis=1).astype(np.float32) @ pick).astype(np.uint32) for k in range(0, len(bits), some))])
+
+
+class Tables:
+    """Descriptors by the values of their parts."""
+
+    def __init__(self, bits: np.ndarray):
+        self.words, self.keys = _words(bits), _keys(bits)
+        self.order = [np.argsort(k, kind="stable").astype(np.int32) for k in self.keys.T]
+        self.start = [np.concatenate([[0], np.cumsum(np.bincount(k, minlength=1 << PART))]).astype(np.int32) for k in self.keys.T]
+
+    def search(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of ``bits``, own row) of descriptors that differ in DISTANCE bits at most and, in some part, in one at most."""
+        words, keys = _words(bits), _keys(bits)
+        probes = np.concatenate([[0], 1 << np.arange(PART)]).astype(np.uint32)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for t in range(len(_PARTS)):
+            at = (keys[:, t, None] ^ probes).reshape(-1)
+            lo = self.start[t][at]
+            n = self.start[t][at + 1] - lo
+            own = np.flatnonzero(n)
+            lo, n = lo[own], n[own].astype(np.int64)
+            end = np.cumsum(n)
+            a = 0
+            while a < len(n):
+                z = max(a + 1, int(np.searchsorted(end, end[a] - n[a] + CANDIDATES, "right")))
+                some = n[a:z]
+                i = np.repeat(own[a:z] // len(probes), some)
+                j = self.order[t][np.repeat(lo[a:z] - (np.cumsum(some) - some), some) + np.arange(some.sum())]
+                off = np.zeros(len(i), np.uint16)
+                for k in range(words.shape[1]):
+                    off += np.bitwise_count(words[i, k] ^ self.words[j, k])
+                    if k:
+                        near = off <= DISTANCE
+                        i, j, off = i[near], j[near], off[near]
+                new = ~(np.bitwise_count(keys[i, :t] ^ self.keys[j, :t]) <= 1).any(1)  # not found by an earlier part
+                found.append((i[new], j[new].astype(np.int64)))
+                a = z
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _words(bits: np.ndarray) -> np.ndarray:
+    return np.asfortranarray(np.pad(bits, ((0, 0), (0, -BITS // 8 % 8))).view(np.uint64))
 
 
 def consensus(q: np.ndarray, d: np.ndarray) -> tuple[int, float, float, float, float]:
     """Most corners (different on both sides) that agree with one match's transform, and that transform."""
     turn, grow = d[:, 2] - q[:, 2], q[:, 3] / d[:, 3]
     c, s = np.cos(turn) * grow, np.sin(turn) * grow
-    dx, dy = (q[None, :, k] - q[:, None, k] for k in (0, 1))
-    off = np.hypot(d[:, None, 0] + c[:, None] * dx - s[:, None] * dy - d[None, :, 0], d[:, None, 1] + s[:, None] * dx + c[:, None] * dy - d[None, :, 1])
-    ok = (off <= PIXELS) & (np.abs(np.angle(np.exp(1j * (turn[:, None] - turn[None, :])))) < 0.4)
-    best = int(ok.sum(1).argmax())
-    own = np.flatnonzero(ok[best])
+    agree = []
+    some = max(1, (1 << 20) // len(q))
+    for k in range(0, len(q), some):
+        part = slice(k, k + some)
+        dx, dy = (q[None, :, k] - q[part, None, k] for k in (0, 1))
+        off = np.hypot(d[part, None, 0] + c[part, None] * dx - s[part, None] * dy - d[None, :, 0], d[part, None, 1] + s[part, None] * dx + c[part, None] * dy - d[None, :, 1])
+        ok = (off <= PIXELS) & (np.abs((turn[part, None] - turn[None, :] + np.pi) % (2 * np.pi) - np.pi) < 0.4)
+        first = int(ok.sum(1).argmax())
+        agree.append((int(ok[first].sum()), k + first, np.flatnonzero(ok[first])))
+    _, best, own = max(agree, key=lambda x: x[0])
     n = min(len(np.unique(np.round(x[own, :2]), axis=0)) for x in (q, d))
     return n, float(turn[best]), float(grow[best]), float(d[best, 0] - q[best, 0]), float(d[best, 1] - q[best, 1])
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def solve(query: int, parts: list[bytes]) -> list[tuple]:
-        m = np.unique(np.frombuffer(b"".join(parts), _MATCH))
-        _, start = np.unique(m["image"], return_index=True)
-        out = []
-        for a, z in zip(start, [*start[1:], len(m)]):
-            if z - a >= INLIERS:
-                n, turn, grow, dx, dy = consensus(m["q"][a:z], m["d"][a:z])
-                if n >= INLIERS:
-                    out.append((query, int(m["image"][a]), n))
-        return out
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64()))], ["query_id", "image_id", "inliers"])
-
-    held: list[bytes] = []
-    now = None
+def _solve(asked: list[tuple[int, np.ndarray]], images: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Copies among the images, which come with their corners; rows of one image stand together."""
+    ids, at = np.repeat([i for i, _ in images], [len(c) for _, c in images]), np.concatenate([c for _, c in images])
+    geometry = lambda c: np.stack([c[k] for k in ("x", "y", "angle", "scale")], 1)
+    tables, place = Tables(at["bits"]), geometry(at)
+    k = 0
+    while k < len(asked):
+        z, n = k, 0
+        while z < len(asked) and (z == k or n + len(asked[z][1]) <= QUERY_CORNERS or asked[z][0] == asked[z - 1][0]):
+            n += len(asked[z][1])
+            z += 1
+        who, own = np.repeat([i for i, _ in asked[k:z]], [len(c) for _, c in asked[k:z]]), np.concatenate([c for _, c in asked[k:z]])
+        k = z
+        i, j = tables.search(own["bits"])
+        by = np.lexsort((ids[j], who[i]))
+        i, j = i[by], j[by]
+        new = np.flatnonzero(np.concatenate([[True], (who[i][1:] != who[i][:-1]) | (ids[j][1:] != ids[j][:-1])])) if len(i) else []
+        asked_at, rows = geometry(own), []
+        for a, b in zip(new, [*new[1:], len(i)]):
+            if b - a >= INLIERS:
+                count = consensus(asked_at[i[a:b]], place[j[a:b]])[0]
+                if count >= INLIERS:
+                    rows.append((int(who[i[a]]), int(ids[j[a]]), count))
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["query_id", "image_id", "inliers"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a unit: its queries first, then its images by id."""
+    unit, asked, images, held = None, [], [], 0
     for b in batches:
-        for q, k, m in zip(*(b.column(c).to_pylist() for c in ("query_id", "block", "matches"))):
-            if (q, k) != now:
-                if held:
-                    yield batch(solve(now[0], held))
-                held, now = [], (q, k)
-            held.append(m)
-    if held:
-        yield batch(solve(now[0], held))
+        for block, part, side, i, packed in zip(*(b.column(c).to_pylist() for c in ("block", "part", "side", "id", "corners"))):
+            if images and ((block, part) != unit or (held >= INDEX_CORNERS and i != images[-1][0])):
+                if asked:
+                    yield from _solve(asked, images)
+                images, held = [], 0
+            if (block, part) != unit:
+                unit, asked = (block, part), []
+            own = np.frombuffer(packed, _CORNER)
+            (images if side else asked).append((i, own))
+            held += len(own) * side
+    if asked and images:
+        yield from _solve(asked, images)
 
 
 def image_copies(images: DataFrame, queries: DataFrame) -> DataFrame:
@@ -227,19 +279,16 @@ def image_copies(images: DataFrame, queries: DataFrame) -> DataFrame:
     count as one. An empty table on either side gives no rows; other columns are ignored.
     """
     n = max(1, partitions(images.sparkSession))
-    find = lambda df, name: materialize(arrow_map(df.select(F.col("image_id").cast("long").alias("image_id"), F.col("image").cast("binary").alias("image")), _features, _SCHEMA), name)
-    index, asked = find(images, "img-index"), find(queries, "img-queries")
+    find = lambda df: arrow_map(df.select(F.col("image_id").cast("long").alias("image_id"), F.col("image").cast("binary").alias("image")), _features, "id long, n int, corners binary")
+    asked = materialize(find(queries), "img-queries")
     blocks = max(1, -(-images.select("image_id").count() // IMAGE_BLOCK))
-    block = F.pmod(F.xxhash64("image_id"), F.lit(blocks)).cast("int")
-    wanted = _keys(asked).withColumnRenamed("image_id", "query_id")
-    # parts that no query has end here, before any descriptor is moved
-    hits = _keys(index.select("image_id", "corner", "bits")).drop("bits").join(wanted.select("key").distinct(), "key", "left_semi")
-    entry = F.struct("image_id", "corner", "x", "y", "angle", "scale", "bits")
-    postings = hits.join(index, ["image_id", "corner"]).groupBy("key", block.alias("block")).agg(F.collect_list(entry).alias("postings"))
-    joined = wanted.join(postings, "key").select("query_id", "block", "corner", "x", "y", "angle", "scale", "bits", "postings")
-    matches = arrow_map(joined, _compare, "query_id long, block int, matches binary")
-    units = matches.repartition(n, "query_id", "block").sortWithinPartitions("query_id", "block")
-    return arrow_map(units, _agree, "query_id long, image_id long, inliers long").groupBy("query_id", "image_id").agg(F.max("inliers").alias("inliers"))
+    parts = max(1, -(-(asked.agg(F.sum("n")).first()[0] or 0) // UNIT_CORNERS))
+    own = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    wanted = asked.select(each(blocks).alias("block"), own(parts).alias("part"), F.lit(0).alias("side"), "id", "corners")
+    held = find(images).select(own(blocks).alias("block"), each(parts).alias("part"), F.lit(1).alias("side"), "id", "corners")
+    units = wanted.union(held).repartition(n, "block", "part").sortWithinPartitions("block", "part", "side", "id")
+    return arrow_map(units, _meet, "query_id long, image_id long, inliers long").groupBy("query_id", "image_id").agg(F.max("inliers").alias("inliers"))
 
 
 _FIELDS: dict[tuple[int, int], np.ndarray] = {}

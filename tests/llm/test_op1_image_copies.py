@@ -43,3 +43,35 @@ def test_query_finds_every_source(spark):
     asked = [r.vec_id for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").where("vec_id % 20 = 0").collect()]
     assert sum((q, q) in out for q in asked) >= 0.95 * len(asked)
     assert sum(q != i for q, i in out) <= 0.1 * len(asked)
+
+
+def _within(bits, others):
+    """Pairs of descriptors at most DISTANCE bits apart, by brute force."""
+    off = np.array([np.bitwise_count(b ^ others).sum(1) for b in bits])
+    return set(zip(*(x.tolist() for x in np.nonzero(off <= ic.DISTANCE))))
+
+
+def test_tables_find_what_brute_force_finds():
+    draws = np.random.default_rng(3)
+    bits = draws.integers(0, 256, (3000, ic.BITS // 8), dtype=np.uint8)
+    far = np.unpackbits(bits[:1000], axis=1)
+    for b in far:
+        b[draws.permutation(ic.BITS)[: ic.DISTANCE]] ^= 1
+    i, j = ic.Tables(bits).search(np.packbits(far, axis=1))
+    there, found = _within(np.packbits(far, axis=1), bits), list(zip(i.tolist(), j.tolist()))
+    assert len(found) == len(set(found)) and set(found) <= there
+    assert len(there) >= 1000 and len(found) >= 0.9 * len(there)
+
+
+def test_noisy_copies_are_found(spark):
+    images = {i: picture(i) for i in range(40)}
+    noisy = {i: a + np.random.default_rng(i).normal(scale=25, size=a.shape) for i, a in images.items()}
+    df = lambda d: spark.createDataFrame([(k, ic.encode_pgm(v)) for k, v in d.items()], "image_id long, image binary")
+    there = 0
+    for i in images:
+        q, d = (ic.corners(ic.decode(ic.encode_pgm(x[i]))[None]) for x in (noisy, images))
+        pairs = sorted(_within(q["bits"], d["bits"]))
+        place = lambda f, k: np.stack([f[c][[p[k] for p in pairs]] for c in ("x", "y", "angle", "scale")], 1)  # noqa: B023,E731
+        there += len(pairs) >= ic.INLIERS and ic.consensus(place(q, 0), place(d, 1))[0] >= ic.INLIERS
+    found = {(r.query_id, r.image_id) for r in ic.image_copies(df(images), df(noisy)).collect()}
+    assert there >= 20 and sum((i, i) in found for i in images) >= 0.9 * there
