@@ -10,8 +10,8 @@
 * Consensus: each match of a query and an image proposes a similarity transform (shift, turn,
   scale); the image is a copy if ``INLIERS`` corners agree with one of them.
 
-Crops, turns, noise and changes of brightness or contrast are covered. Sizes are not: the levels bridge
-small changes of scale only, and a copy of fine texture resized by a third is not found.
+Crops, turns, noise, changes of brightness or contrast and sizes from a half to twice are covered, if the
+copy has enough corners left.
 
 Images are binary PGM or PPM (P5, P6; colours are averaged). Anything else has no corners.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from sievework.llm.common import arrow_map, partitions, table
 from sievework.scratch import materialize
 
-SCALES, CORNERS, PATCH = (1.0, 0.75), 20, 7
+SCALES, CORNERS, PATCH = tuple(1.2**-k for k in range(5)), 20, 7
 BITS = 280
 #: Bits of a part, and how often the bits are divided into parts.
 PART, ROUNDS = 18, 2
@@ -98,7 +98,8 @@ def corners(a: np.ndarray) -> dict[str, np.ndarray]:
         h, w = round(a.shape[1] * scale), round(a.shape[2] * scale)
         if min(h, w) < 2 * PATCH + 6:
             continue
-        g = _box(a if scale == 1 else resize(a, h, w), 1)
+        level = a if scale == 1 else resize(level, h, w)  # from the level before, so that no texture is skipped
+        g = _box(level, 1)
         gy, gx = np.gradient(g, axis=(1, 2))
         xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
         r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2

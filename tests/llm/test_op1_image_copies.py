@@ -75,3 +75,12 @@ def test_noisy_copies_are_found(spark):
         there += len(pairs) >= ic.INLIERS and ic.consensus(place(q, 0), place(d, 1))[0] >= ic.INLIERS
     found = {(r.query_id, r.image_id) for r in ic.image_copies(df(images), df(noisy)).collect()}
     assert there >= 20 and sum((i, i) in found for i in images) >= 0.9 * there
+
+
+def test_resized_copies_are_found(spark):
+    images = {i: picture(i, 64 if i < 20 else 128) for i in range(24)}
+    sizes = {0: 84, 1: 84, 2: 96, 3: 52, 4: 48, 20: 84, 21: 64, 22: 200, 23: 256}
+    df = lambda d: spark.createDataFrame([(k, ic.encode_pgm(v)) for k, v in d.items()], "image_id long, image binary")
+    edits = {i: ic.resize(images[i], n, n) for i, n in sizes.items()}
+    found = {(r.query_id, r.image_id) for r in ic.image_copies(df(images), df(edits)).collect()}
+    assert found == {(i, i) for i in sizes}
