@@ -1,6 +1,6 @@
 """Media columns: cropped or edited copies of images by local descriptors.
 
-* Corners: Harris responses on an image pyramid (``SCALES``), the strongest ``CORNERS`` local maxima of each level.
+* Corners: Harris responses on an image pyramid (``SCALES``), all local maxima over ``RESPONSE`` of each level.
 * Descriptors: ``BITS`` intensity comparisons of a smoothed patch, turned by the direction of the
   patch's intensity centroid (binary tests, orientation-normalised).
 * Hamming tables: the bits are divided ``ROUNDS`` times into parts of ``PART`` bits, and descriptors
@@ -8,7 +8,8 @@
   probability 0.95, a nearer one more surely. Blocks of images and of queries are units of work;
   the tables are built inside a unit, so that a frequent value costs comparisons but no rows.
 * Consensus: each match of a query and an image proposes a similarity transform (shift, turn,
-  scale); the image is a copy if ``INLIERS`` corners agree with one of them.
+  scale); the image is a copy if ``INLIERS`` corners agree with one of them, or more where pictures are
+  so large that as many would agree by chance.
 
 Crops, turns, noise, changes of brightness or contrast and sizes from a half to twice are covered, if the
 copy has enough corners left.
@@ -28,12 +29,16 @@ from pyspark.sql import functions as F
 from sievework.llm.common import arrow_map, partitions, table
 from sievework.scratch import materialize
 
-SCALES, CORNERS, PATCH = tuple(1.2**-k for k in range(5)), 20, 7
+SCALES, PATCH = tuple(1.2**-k for k in range(5)), 7
+#: Least response of a corner, well above that of rounded grey values; and corners described at a time.
+RESPONSE, DESCRIBED = 1e-2, 4096
 BITS = 280
 #: Bits of a part, and how often the bits are divided into parts.
 PART, ROUNDS = 18, 2
 #: Most differing bits of a match, and fewest agreeing corners of a copy, and pixels they may be off.
 DISTANCE, INLIERS, PIXELS = 56, 6, 2.5
+#: Most copies expected among as many matches that agree by chance (Chernoff bound of a Poisson tail).
+CHANCE = 1e-4
 #: Images of a unit of work, and corners of its queries; they bound a task, not what is compared.
 IMAGE_BLOCK, UNIT_CORNERS = 4096, 200_000
 #: Corners of images and of queries that meet at a time, and descriptors compared at a time.
@@ -93,7 +98,7 @@ def _box(a: np.ndarray, r: int) -> np.ndarray:
 
 def corners(a: np.ndarray) -> dict[str, np.ndarray]:
     """Corners of images (n, h, w): image, x, y, angle, scale and packed descriptor of each."""
-    found = []
+    found, d = [], np.arange(-PATCH, PATCH + 1)
     for scale in SCALES:
         h, w = round(a.shape[1] * scale), round(a.shape[2] * scale)
         if min(h, w) < 2 * PATCH + 6:
@@ -105,31 +110,26 @@ def corners(a: np.ndarray) -> dict[str, np.ndarray]:
         r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
         edge = PATCH + 2
         r[:, :edge], r[:, -edge:], r[:, :, :edge], r[:, :, -edge:] = 0, 0, 0, 0
-        peak = (r > 1e-2) & (r > 1e-3 * r.max((1, 2), keepdims=True))
+        peak = r > RESPONSE
         for dy in range(-2, 3):
             for dx in range(-2, 3):
                 if dy or dx:
                     near = np.roll(r, (dy, dx), (1, 2))
                     peak &= (r >= near) if (dy, dx) < (0, 0) else (r > near)
-        score = np.where(peak, r, 0).reshape(len(a), -1)
-        k = min(CORNERS, score.shape[1])
-        top = np.argpartition(-score, k - 1, axis=1)[:, :k]
-        image = np.repeat(np.arange(len(a)), k)
-        at = top.reshape(-1)
-        ok = score[image, at] > 0
-        image, at = image[ok], at[ok]
-        y, x = at // w, at % w
-        d = np.arange(-PATCH, PATCH + 1)
         disc = (d[:, None] ** 2 + d[None, :] ** 2) <= PATCH * PATCH
-        patch = g[image[:, None, None], y[:, None, None] + d[None, :, None], x[:, None, None] + d[None, None, :]] * disc
-        angle = np.arctan2((patch * d[None, :, None]).sum((1, 2)), (patch * d[None, None, :]).sum((1, 2)))
-        c, s = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
-        tx, ty = _TESTS[None, :, :, 0], _TESTS[None, :, :, 1]
-        px = np.clip(np.round(x[:, None, None] + c * tx - s * ty), 0, w - 1).astype(int)
-        py = np.clip(np.round(y[:, None, None] + s * tx + c * ty), 0, h - 1).astype(int)
-        value = _box(g, 1)[image[:, None, None], py, px]
-        bits = np.packbits(value[:, :, 0] < value[:, :, 1], axis=1)
-        found.append((image, x / scale, y / scale, angle, np.full(len(image), scale), bits))
+        smooth = _box(g, 1)
+        every = np.stack(np.nonzero(peak))
+        for k in range(0, every.shape[1], DESCRIBED):
+            image, y, x = every[:, k : k + DESCRIBED]
+            patch = g[image[:, None, None], y[:, None, None] + d[None, :, None], x[:, None, None] + d[None, None, :]] * disc
+            angle = np.arctan2((patch * d[None, :, None]).sum((1, 2)), (patch * d[None, None, :]).sum((1, 2)))
+            c, s = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
+            tx, ty = _TESTS[None, :, :, 0], _TESTS[None, :, :, 1]
+            px = np.clip(np.round(x[:, None, None] + c * tx - s * ty), 0, w - 1).astype(int)
+            py = np.clip(np.round(y[:, None, None] + s * tx + c * ty), 0, h - 1).astype(int)
+            value = smooth[image[:, None, None], py, px]
+            bits = np.packbits(value[:, :, 0] < value[:, :, 1], axis=1)
+            found.append((image, x / scale, y / scale, angle, np.full(len(image), scale), bits))
     if not found:
         return {k: np.zeros((0, BITS // 8) if k == "bits" else 0, np.uint8 if k == "bits" else float) for k in ("image", "x", "y", "angle", "scale", "bits")}
     return dict(zip(("image", "x", "y", "angle", "scale", "bits"), (np.concatenate(v) for v in zip(*found))))
@@ -210,21 +210,30 @@ def _words(bits: np.ndarray) -> np.ndarray:
     return np.asfortranarray(np.pad(bits, ((0, 0), (0, -BITS // 8 % 8))).view(np.uint64))
 
 
-def consensus(q: np.ndarray, d: np.ndarray) -> tuple[int, float, float, float, float]:
-    """Most corners (different on both sides) that agree with one match's transform, and that transform."""
+def consensus(q: np.ndarray, d: np.ndarray, area: float = np.inf) -> tuple[int, float, float, float, float]:
+    """Most corners (different on both sides) that agree with one match's transform, and that transform.
+
+    None (0) if so many would agree by chance with some of as many matches, spread over ``area``.
+    """
     turn, grow = d[:, 2] - q[:, 2], q[:, 3] / d[:, 3]
-    c, s = np.cos(turn) * grow, np.sin(turn) * grow
+    z = (grow * np.exp(1j * turn)).astype(np.complex64)
+    to, at = (x[:, 0] + 1j * x[:, 1] for x in (d, q))
+    to, at, shift = to.astype(np.complex64), at.astype(np.complex64), (to - z * at).astype(np.complex64)
     agree = []
     some = max(1, (1 << 20) // len(q))
     for k in range(0, len(q), some):
         part = slice(k, k + some)
-        dx, dy = (q[None, :, k] - q[part, None, k] for k in (0, 1))
-        off = np.hypot(d[part, None, 0] + c[part, None] * dx - s[part, None] * dy - d[None, :, 0], d[part, None, 1] + s[part, None] * dx + c[part, None] * dy - d[None, :, 1])
-        ok = (off <= PIXELS) & (np.abs((turn[part, None] - turn[None, :] + np.pi) % (2 * np.pi) - np.pi) < 0.4)
+        off = z[part, None] * at + shift[part, None] - to
+        turned = z[part, None] - z
+        like = turned.real**2 + turned.imag**2 <= (0.4 * grow[part, None]) ** 2
+        ok = like & (off.real**2 + off.imag**2 <= PIXELS**2)
         first = int(ok.sum(1).argmax())
-        agree.append((int(ok[first].sum()), k + first, np.flatnonzero(ok[first])))
-    _, best, own = max(agree, key=lambda x: x[0])
+        agree.append((int(ok[first].sum()), k + first, np.flatnonzero(ok[first]), int(like[first].sum())))
+    _, best, own, alike = max(agree, key=lambda x: x[0])
     n = min(len(np.unique(np.round(x[own, :2]), axis=0)) for x in (q, d))
+    chance, more = alike * np.pi * PIXELS**2 / area, n - 1
+    if chance and (more <= chance or more - chance + more * np.log(chance / more) + np.log(len(q)) > np.log(CHANCE)):
+        n = 0
     return n, float(turn[best]), float(grow[best]), float(d[best, 0] - q[best, 0]), float(d[best, 1] - q[best, 1])
 
 
@@ -233,6 +242,7 @@ def _solve(asked: list[tuple[int, np.ndarray]], images: list[tuple[int, np.ndarr
     ids, at = np.repeat([i for i, _ in images], [len(c) for _, c in images]), np.concatenate([c for _, c in images])
     geometry = lambda c: np.stack([c[k] for k in ("x", "y", "angle", "scale")], 1)
     tables, place = Tables(at["bits"]), geometry(at)
+    area = {i: float(np.prod(np.ptp(np.stack([c["x"], c["y"]]), axis=1) + 2 * PIXELS)) for i, c in images}
     k = 0
     while k < len(asked):
         z, n = k, 0
@@ -248,7 +258,7 @@ def _solve(asked: list[tuple[int, np.ndarray]], images: list[tuple[int, np.ndarr
         asked_at, rows = geometry(own), []
         for a, b in zip(new, [*new[1:], len(i)]):
             if b - a >= INLIERS:
-                count = consensus(asked_at[i[a:b]], place[j[a:b]])[0]
+                count = consensus(asked_at[i[a:b]], place[j[a:b]], area[int(ids[j[a]])])[0]
                 if count >= INLIERS:
                     rows.append((int(who[i[a]]), int(ids[j[a]]), count))
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["query_id", "image_id", "inliers"])

@@ -84,3 +84,16 @@ def test_resized_copies_are_found(spark):
     edits = {i: ic.resize(images[i], n, n) for i, n in sizes.items()}
     found = {(r.query_id, r.image_id) for r in ic.image_copies(df(images), df(edits)).collect()}
     assert found == {(i, i) for i in sizes}
+
+
+def test_small_crops_of_large_uneven_pictures_are_found(spark):
+    """The strongest corners lie in a busy field outside of the crop."""
+    images = {}
+    for i in range(8):
+        a = (picture(i, 256) - 128) * 0.2 + 128
+        a[8:72, 8:120] = np.kron(np.random.default_rng(i).integers(0, 2, (8, 14)), np.ones((8, 8))) * 255
+        images[i] = a
+    edits = {i: images[i][120 + 8 * i : 168 + 8 * i, 150 - 9 * i : 198 - 9 * i] for i in images}
+    df = lambda d: spark.createDataFrame([(k, ic.encode_pgm(v)) for k, v in d.items()], "image_id long, image binary")
+    found = {(r.query_id, r.image_id) for r in ic.image_copies(df(images), df(edits)).collect()}
+    assert found == {(i, i) for i in images}
