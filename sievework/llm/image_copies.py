@@ -210,10 +210,11 @@ def _words(bits: np.ndarray) -> np.ndarray:
     return np.asfortranarray(np.pad(bits, ((0, 0), (0, -BITS // 8 % 8))).view(np.uint64))
 
 
-def consensus(q: np.ndarray, d: np.ndarray, area: float = np.inf) -> tuple[int, float, float, float, float]:
+def consensus(q: np.ndarray, d: np.ndarray, met: float = 0.0) -> tuple[int, float, float, float, float]:
     """Most corners (different on both sides) that agree with one match's transform, and that transform.
 
-    None (0) if so many would agree by chance with some of as many matches, spread over ``area``.
+    None (0) if so many would agree by chance with some of as many matches; ``met`` is the share of
+    places that are near one another.
     """
     turn, grow = d[:, 2] - q[:, 2], q[:, 3] / d[:, 3]
     z = (grow * np.exp(1j * turn)).astype(np.complex64)
@@ -231,18 +232,26 @@ def consensus(q: np.ndarray, d: np.ndarray, area: float = np.inf) -> tuple[int,
         agree.append((int(ok[first].sum()), k + first, np.flatnonzero(ok[first]), int(like[first].sum())))
     _, best, own, alike = max(agree, key=lambda x: x[0])
     n = min(len(np.unique(np.round(x[own, :2]), axis=0)) for x in (q, d))
-    chance, more = alike * np.pi * PIXELS**2 / area, n - 1
+    chance, more = alike * met, n - 1
     if chance and (more <= chance or more - chance + more * np.log(chance / more) + np.log(len(q)) > np.log(CHANCE)):
         n = 0
     return n, float(turn[best]), float(grow[best]), float(d[best, 0] - q[best, 0]), float(d[best, 1] - q[best, 1])
 
 
+def crowding(c: np.ndarray) -> float:
+    """Share of a picture's pairs of corners that are PIXELS apart at most, at least that of an even spread."""
+    place, side = np.stack([c["x"], c["y"]], 1), PIXELS * np.sqrt(np.pi)
+    _, n = np.unique(np.floor(place / side), axis=0, return_counts=True)
+    pairs = (n * (n - 1.0)).sum() / max(1, len(c) * (len(c) - 1))
+    return max(float(pairs), float(np.pi * PIXELS**2 / np.prod(np.ptp(place, axis=0) + 2 * PIXELS)))
+
+
 def _solve(asked: list[tuple[int, np.ndarray]], images: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """Copies among the images, which come with their corners; rows of one image stand together."""
     ids, at = np.repeat([i for i, _ in images], [len(c) for _, c in images]), np.concatenate([c for _, c in images])
     geometry = lambda c: np.stack([c[k] for k in ("x", "y", "angle", "scale")], 1)
     tables, place = Tables(at["bits"]), geometry(at)
-    area = {i: float(np.prod(np.ptp(np.stack([c["x"], c["y"]]), axis=1) + 2 * PIXELS)) for i, c in images}
+    met = {i: crowding(c) for i, c in images}
     k = 0
     while k < len(asked):
         z, n = k, 0
@@ -258,7 +267,7 @@ def _solve(asked: list[tuple[int, np.ndarray]], images: list[tuple[int, np.ndarr
         asked_at, rows = geometry(own), []
         for a, b in zip(new, [*new[1:], len(i)]):
             if b - a >= INLIERS:
-                count = consensus(asked_at[i[a:b]], place[j[a:b]], area[int(ids[j[a]])])[0]
+                count = consensus(asked_at[i[a:b]], place[j[a:b]], met[int(ids[j[a]])])[0]
                 if count >= INLIERS:
                     rows.append((int(who[i[a]]), int(ids[j[a]]), count))
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["query_id", "image_id", "inliers"])
@@ -320,26 +329,60 @@ def draw(vector: list[float] | None, side: int = 64) -> bytes | None:
     return encode_pgm((grey - grey.mean()) / grey.std() * 48 + 128)
 
 
-def edit(data: bytes | None) -> bytes | None:
-    """Crop an eighth off each side, halve the contrast by a fifth and brighten."""
+def draw_grid(vector: list[float] | None, side: int = 64) -> bytes | None:
+    """A vector as a picture: its components on a square grid of grey values, interpolated.
+
+    All have their corners in the same places and much alike. None if it has no finite spread.
+    """
+    a = np.array([np.nan if x is None else x for x in (vector or [])], float)
+    k = int(np.sqrt(len(a)))
+    if k < 2 or not np.isfinite(a).all() or a.std() == 0:
+        return None
+    grid = ((a[: k * k] - a.mean()) / a.std() * 48 + 128).reshape(k, k).astype(np.float32)
+    return encode_pgm(resize(grid, side, side))
+
+
+def edit(data: bytes | None, kind: int = 0) -> bytes | None:
+    """One of ``EDITS`` edits: crop an eighth off each side, halve the contrast by a fifth and brighten;
+    enlarge by 1.3; turn by a quarter and darken; noise; crop a corner off; shrink to 0.8."""
     a = decode(data)
     if a is None:
         return None
     h, w = a.shape
+    if kind == 1:
+        return encode_pgm(resize(a, round(h * 1.3), round(w * 1.3)))
+    if kind == 2:
+        return encode_pgm(np.rot90(a) * 0.9)
+    if kind == 3:
+        return encode_pgm(a + np.random.default_rng(h * w).normal(scale=8, size=a.shape))
+    if kind == 4:
+        return encode_pgm(a[h // 4 :, : w - w // 4])
+    if kind == 5:
+        return encode_pgm(resize(a, round(h * 0.8), round(w * 0.8)))
     return encode_pgm(a[h // 8 : h - h // 8, w // 8 : w - w // 8] * 0.8 + 30)
 
 
+EDITS = 6
+
+
 def _pictures(edited: bool):
+    """Every fourth group of 20 ids is drawn as grids, the others as noise fields."""
+
+    def one(i: int | None, v: list[float] | None) -> bytes | None:
+        group = (i or 0) // 20
+        out = (draw if group % 4 else draw_grid)(v)
+        return edit(out, group % EDITS) if edited else out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [draw(v) for v in b.column("embedding").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("image_id"), pa.array([edit(x) for x in out] if edited else out, pa.binary())], ["image_id", "image"])
+            out = [one(i, v) for i, v in zip(b.column("image_id").to_pylist(), b.column("embedding").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("image_id"), pa.array(out, pa.binary())], ["image_id", "image"])
 
     return run
 
 
 def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No table holds images: every row of ``embeddings`` is drawn; the queries are edited crops of the rows whose id is divisible by 20."""
+    """No table holds images: every row of ``embeddings`` is drawn; the queries are edited copies of the rows whose id is divisible by 20."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("image_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     images = arrow_map(rows, _pictures(False), "image_id long, image binary")  # drawn when read, never stored
     return image_copies(images, arrow_map(rows.where("image_id % 20 = 0"), _pictures(True), "image_id long, image binary"))

@@ -97,3 +97,13 @@ def test_small_crops_of_large_uneven_pictures_are_found(spark):
     df = lambda d: spark.createDataFrame([(k, ic.encode_pgm(v)) for k, v in d.items()], "image_id long, image binary")
     found = {(r.query_id, r.image_id) for r in ic.image_copies(df(images), df(edits)).collect()}
     assert found == {(i, i) for i in images}
+
+
+def test_query_has_structured_pictures_and_several_edits():
+    vector = np.random.default_rng(0).normal(size=64).tolist()
+    grid = ic.decode(ic.draw_grid(vector))
+    at = lambda a: {tuple(x) for x in np.round(np.stack([ic.corners(a[None])[k] for k in "xy"], 1) / 8).astype(int)}
+    other = ic.decode(ic.draw_grid(np.random.default_rng(1).normal(size=64).tolist()))
+    assert len(at(grid) & at(other)) >= 10
+    edited = [ic.decode(ic.edit(ic.draw(vector), k)) for k in range(ic.EDITS)]
+    assert len({a.shape for a in edited}) >= 4 and len({a.tobytes() for a in edited}) == ic.EDITS
