@@ -9,26 +9,31 @@ For each language l the posterior of a row is proportional to
 * declared (markup language) and suffix (last label of the address): tables estimated over all rows
   by one grouped aggregation each, from the rows' posteriors given their text alone.
 * host: a prior smoothed over three levels, all rows, then the registrable domain, then the host,
-  again from grouped sums of the texts' posteriors, without the row's own share.
+  again from grouped sums of the texts' posteriors.
 
-The three tables have a row for each distinct declared value, suffix, domain and host. They are
-joined, never collected; only the number of languages is bounded.
+A row's own posterior is taken out of every sum that it is judged by. The four tables have a row for
+each distinct declared value, suffix, domain and host. They are joined, never collected; the model
+alone is collected, ``BUCKETS`` numbers for each language.
 """
 
 from __future__ import annotations
 
+import html
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from sievework.llm.common import arrow_map, table
+from sievework.llm.common import arrow_map, spare, table
 from sievework.scratch import materialize
 
-#: Expected documents of each language that the text model is trained on, and the most languages.
-TRAIN_DOCS, MAX_LANGUAGES = 1000, 32
+#: Expected documents of each language that the text model is trained on.
+TRAIN_DOCS = 1000
+#: More languages than that are an error, never left out: the model would not fit a task.
+MOST_LANGUAGES = 1000
 BUCKETS, SMOOTHING = 1 << 15, 0.5
 TEXT_WEIGHT = 60
 #: Pseudo-rows of each level's parent in the host prior, and of uniform evidence in the tables.
@@ -68,16 +73,19 @@ class TextModel:
 def train(labelled: DataFrame, text: str = "text", language: str = "lang") -> TextModel | None:
     """Count trigrams of about ``TRAIN_DOCS`` documents of each language, chosen by a hash of the text.
 
-    Rows without text or language are not used. Counts leave the executors summed by task and
-    language, ``BUCKETS`` numbers each. Without any such row there is no model (None).
+    Rows without text or language are not used. Counts are summed and packed on the executors, one
+    row of ``BUCKETS`` numbers for each language reaches the driver. Without any usable row there is
+    no model (None); more than ``MOST_LANGUAGES`` languages raise a ValueError.
     """
-    named = labelled.where(F.col(language).isNotNull() & F.col(text).isNotNull())
-    sizes = sorted((r[0], r[1]) for r in named.groupBy(language).count().orderBy(F.desc("count"), language).limit(MAX_LANGUAGES).collect())
+    named = labelled.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(language).cast("string").alias("language"))
+    sizes = sorted((r[0], r[1]) for r in named.groupBy("language").count().limit(MOST_LANGUAGES + 1).collect())
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
         return None
     share = F.create_map(*[F.lit(x) for name, n in sizes for x in (name, min(1.0, TRAIN_DOCS / n))])
-    draw = F.pmod(F.xxhash64(text), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = named.where(draw < F.try_element_at(share, F.col(language))).select(F.col(text).alias("text"), F.col(language).alias("language"))
+    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    sample = named.where(draw < F.try_element_at(share, F.col("language")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -88,103 +96,135 @@ def train(labelled: DataFrame, text: str = "text", language: str = "lang") -> Te
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(c[at])], ["language", "bucket", "n"])
 
-    rows = arrow_map(sample, count, "language string, bucket long, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = []
+            for at, n in zip(b.column("buckets").to_pylist(), b.column("counts").to_pylist()):
+                whole = np.zeros(BUCKETS, "<i8")
+                whole[at] = n
+                packed.append(whole.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("language"), pa.array(packed, pa.binary())], ["language", "counts"])
+
+    summed = arrow_map(sample, count, "language string, bucket long, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
+    lists = summed.groupBy("language").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).select("language", F.col("c.bucket").alias("buckets"), F.col("c.n").alias("counts"))
+    rows = dict(map(tuple, arrow_map(lists, pack, "language string, counts binary").collect()))
+    none = np.zeros(BUCKETS)
     names = [n for n, _ in sizes]
-    counts = np.zeros((len(names), BUCKETS))
-    counts[rows["language"].map({n: i for i, n in enumerate(names)}).to_numpy(int), rows["bucket"].to_numpy(int)] = rows["n"]
-    return TextModel(names, counts)
+    return TextModel(names, np.stack([np.frombuffer(rows[n], "<i8") if n in rows else none for n in names]).astype(float))
+
+
+#: What identify() reads, besides the columns that it carries along, and what it adds.
+EVIDENCE = ["declared", "suffix", "host", "domain"]
+ADDED = ["language", "posterior", "rejected", "n_trigrams"]
 
 
-def _score(model: TextModel):
+def _score(model: TextModel, entities: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [model.score(t) for t in b.column("text").to_pylist()]
-            keep = [c for c in b.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([s for s, _ in found], pa.list_(pa.float64())), pa.array([n for _, n in found], pa.int64())], [*keep, "text_ll", "n_trigrams"])
+            found = [model.score(html.unescape(t) if entities and t else t) for t in b.column("text").to_pylist()]
+            soft = []
+            for logs, n in found:
+                e = np.exp(logs)
+                soft.append((e / e.sum() if n else np.zeros(len(e))).tolist())
+            lists = pa.list_(pa.float64())
+            own = [pa.array([s for s, _ in found], lists), pa.array(soft, lists), pa.array([n for _, n in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("carried"), *(b.column(c) for c in EVIDENCE), *own], ["carried", *EVIDENCE, "text_ll", "p", "n_trigrams"])
 
     return run
 
 
-def _softmax(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    e = [F.exp(x - top) for x in logs]
-    total = sum(e[1:], e[0])
-    return [x / total for x in e]
+def _fuse(languages: list[str], total: np.ndarray):
+    """Joined evidence (the grouped sums of each row's declared value, suffix, domain and host) to posteriors."""
+    size = len(languages)
+    base = (total + 1.0 / size) / (total.sum() + 1.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            grid = lambda c: np.array([[0.0] * size if x is None else x for x in b.column(c).to_pylist()])  # noqa: B023,E731
+            p, n = grid("p"), b.column("n_trigrams").to_numpy()
+            less = lambda c: np.maximum(grid(c) - p, 0.0)  # noqa: B023,E731
+            log = grid("text_ll")
+            for key in ("declared", "suffix"):
+                log = log + np.log((less(f"{key}_s") + TABLE_WEIGHT / size) / (np.maximum(total - p, 0.0) + TABLE_WEIGHT))
+            prior = np.broadcast_to(base, p.shape)
+            for key in ("domain", "host"):
+                sums = np.where(np.array(b.column(f"{key}_s").is_valid())[:, None], less(f"{key}_s"), 0.0)
+                prior = (sums + HOST_WEIGHT * prior) / (sums.sum(1, keepdims=True) + HOST_WEIGHT)
+            log = log + np.log(prior)
+            e = np.exp(log - log.max(1, keepdims=True))
+            post = e / e.sum(1, keepdims=True)
+            best, top = post.argmax(1), post.max(1)
+            rejected = (n == 0) | (top < LEAST_POSTERIOR)
+            names = ["und" if no else languages[i] for i, no in zip(best, rejected)]
+            own = [pa.array(names, pa.string()), pa.array(top), pa.array(rejected), b.column("n_trigrams")]
+            yield pa.RecordBatch.from_arrays([b.column("carried"), *(b.column(c) for c in EVIDENCE), *own], ["carried", *EVIDENCE, *ADDED])
+
+    return run
 
 
-def identify(rows: DataFrame, model: TextModel | None) -> DataFrame:
+def identify(rows: DataFrame, model: TextModel | None, entities: bool = False) -> DataFrame:
     """Adds language, posterior, rejected, n_trigrams to rows (key columns, text, declared, suffix, host, domain).
 
-    Columns other than those five are carried along. Nulls: a text without letters gives no text
-    evidence, a null declared value or suffix is a value of its own, a null host or domain falls
-    back to the level above. "und" is the language of rejected rows; ties go to the first language
-    by name. Repeated rows all stay; an empty table gives no rows. Without a model nothing is told:
-    every row is "und" with a null posterior and not rejected.
+    Other columns are carried along, whatever their names and types; one that is called like an added
+    column gives way to it. With ``entities`` character references of the text stand for their
+    characters. Nulls: a text without letters gives no text evidence, a null declared value or suffix
+    is a value of its own, a null host or domain falls back to the level above. "und" is the language
+    of rejected rows; ties go to the first language by name. Repeated rows all stay; an empty table
+    gives no rows. Without a model nothing is told: every row is "und" with a null posterior and not
+    rejected.
     """
+    rest = [c for c in rows.columns if c not in ("text", *EVIDENCE, *ADDED)]
     if model is None:
-        rest = [c for c in rows.columns if c not in ("text", "declared", "suffix", "host", "domain")]
         none = {"language": F.lit("und"), "posterior": F.lit(None).cast("double"), "rejected": F.lit(False), "n_trigrams": F.lit(0).cast("long")}
-        return rows.select(*rest, *[v.alias(k) for k, v in none.items()], "declared", "suffix", "host")
-    languages = model.languages
-    size = len(languages)
-    known = {"text", "declared", "suffix", "host", "domain"}
-    rest = [f for f in rows.schema.fields if f.name not in known]
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "declared string", "suffix string", "host string", "domain string", "text_ll array<double>", "n_trigrams long"]
-    order = [f.name for f in rest] + ["declared", "suffix", "host", "domain", "text"]
-    scored = materialize(arrow_map(rows.select(*order), _score(model), ", ".join(fields)), "lid-scores")
-    at = lambda i: F.col("text_ll")[i]
-    soft = scored
-    for i, p in enumerate(_softmax([at(i) for i in range(size)])):
-        soft = soft.withColumn(f"_p{i}", F.when(F.col("n_trigrams") > 0, p).otherwise(0.0))
-    every = [F.sum(f"_p{i}").alias(f"s{i}") for i in range(size)]
-    total = soft.agg(*[F.coalesce(F.sum(f"_p{i}"), F.lit(0.0)) for i in range(size)]).first()
-    uniform = 1.0 / size
-    whole = sum(total)
-    base = [(x + uniform) / (whole + 1.0) for x in total]
-
-    def evidence(key: str) -> DataFrame:
-        """log p(key | language) by value of ``key``, smoothed by uniform pseudo-rows."""
-        sums = soft.groupBy(key).agg(*every)
-        return sums.select(F.col(key).alias(f"_{key}"), F.array(*[F.log((F.col(f"s{i}") + TABLE_WEIGHT / size) / (total[i] + TABLE_WEIGHT)) for i in range(size)]).alias(f"{key}_ll"))
-
-    def sums(key: str) -> DataFrame:
-        return soft.groupBy(key).agg(*[F.sum(f"_p{i}").alias(f"{key}_{i}") for i in range(size)]).where(F.col(key).isNotNull()).withColumnRenamed(key, f"_{key}")
-
-    out = soft
-    for key in ("declared", "suffix"):
-        out = out.join(evidence(key), F.col(key).eqNullSafe(F.col(f"_{key}"))).drop(f"_{key}")
-    for key in ("domain", "host"):
-        out = out.join(sums(key), F.col(key) == F.col(f"_{key}"), "left").drop(f"_{key}")
-
-    def smoothed(key: str, parent: list[Column]) -> list[Column]:
-        less = [F.greatest(F.coalesce(F.col(f"{key}_{i}") - F.col(f"_p{i}"), F.lit(0.0)), F.lit(0.0)) for i in range(size)]
-        n = sum(less[1:], less[0])
-        return [(less[i] + HOST_WEIGHT * parent[i]) / (n + HOST_WEIGHT) for i in range(size)]
-
-    prior = smoothed("host", smoothed("domain", [F.lit(x) for x in base]))
-    logs = [at(i) + F.col("declared_ll")[i] + F.col("suffix_ll")[i] + F.log(prior[i]) for i in range(size)]
-    out = out.withColumn("_log", F.array(*logs))
-    out = out.withColumn("_post", F.array(*_softmax([F.col("_log")[i] for i in range(size)])))
-    top = F.array_max("_post")
-    best = F.element_at(F.array(*map(F.lit, languages)), F.array_position("_post", top).cast("int"))
-    rejected = (F.col("n_trigrams") == 0) | (top < LEAST_POSTERIOR)
-    return out.select(*[f.name for f in rest], F.when(rejected, "und").otherwise(best).alias("language"), top.alias("posterior"), rejected.alias("rejected"), "n_trigrams", "declared", "suffix", "host")
+        return rows.select(*[F.col(f"`{c}`") for c in rest], *[v.alias(k) for k, v in none.items()], "declared", "suffix", "host")
+    size = len(model.languages)
+    carried = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.lit(0).alias("none")).alias("carried")
+    own = rows.select(carried, *[F.col(c).cast("string").alias(c) for c in ("text", *EVIDENCE)])
+    strings = [StructField(c, StringType()) for c in EVIDENCE]
+    doubles = ArrayType(DoubleType())
+    schema = StructType([own.schema["carried"], *strings, StructField("text_ll", doubles), StructField("p", doubles), StructField("n_trigrams", LongType())])
+    scored = materialize(arrow_map(own, _score(model, entities), schema), "lid-scores")
+    sums = F.array(*[F.coalesce(F.sum(F.col("p")[i]), F.lit(0.0)) for i in range(size)])
+    total = np.array(scored.agg(sums).first()[0])
+    out = scored
+    for key in EVIDENCE:
+        group = scored.groupBy(F.col(key).alias("of")).agg(sums.alias(f"{key}_s"))
+        if key in ("declared", "suffix"):
+            out = out.join(group, F.col(key).eqNullSafe(F.col("of"))).drop("of")
+        else:
+            out = out.join(group.where("of is not null"), F.col(key) == F.col("of"), "left").drop("of")
+    added = [StructField("language", StringType()), StructField("posterior", DoubleType()), StructField("rejected", BooleanType()), StructField("n_trigrams", LongType())]
+    told = arrow_map(out, _fuse(model.languages, total), StructType([own.schema["carried"], *strings, *added]))
+    return told.select(*[F.col(f"carried.c{i}").alias(c) for i, c in enumerate(rest)], *ADDED, "declared", "suffix", "host")
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """page_id, text, declared, suffix, host and domain of web pages (page_id, url, html)."""
-    html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
+    """page_id, text (with its character references), declared, suffix, host and domain of web pages (page_id, url, html)."""
+    page, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
     host = F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    declared = F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1)), F.lit(""))
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-zA-Z#0-9]+;", " ")
+    declared = F.nullif(F.lower(F.regexp_extract(page, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1)), F.lit(""))
+    bare = F.regexp_replace(page, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
     return pages.select(F.col("page_id"), bare.alias("text"), declared.alias("declared"), F.nullif(F.regexp_extract(host, r"\.([^.]+)$", 1), F.lit("")).alias("suffix"), host.alias("host"), F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")).alias("domain"))
 
 
-def document_evidence(docs: DataFrame) -> DataFrame:
-    """doc_id, text, declared (their lang) and host (their source); they have no address."""
+def document_evidence(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the columns ``keep``, text, declared (their lang) and host (their source); they have no address."""
     none = F.lit(None).cast("string")
-    return docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.lower(F.col("lang").cast("string")).alias("declared"), none.alias("suffix"), F.col("source").cast("string").alias("host"), none.alias("domain"))
+    return docs.select(F.col("doc_id"), *keep, F.col("text").cast("string").alias("text"), F.lower(F.col("lang").cast("string")).alias("declared"), none.alias("suffix"), F.col("source").cast("string").alias("host"), none.alias("domain"))
+
+
+def without_unsettled(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, lang, source) without the rows that identify() rejects; equal rows share their fate."""
+    key, gone, of = spare("key", docs), spare("gone", docs), spare("of", docs)
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("lang").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("")))
+    keyed = docs.withColumn(key, text)
+    found = identify(document_evidence(keyed, key), train(docs))
+    out = found.where("rejected").select(F.col("doc_id").alias(of), F.col(key).alias(gone)).distinct()
+    left = keyed.join(out, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(key) == F.col(gone)), "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(page_evidence(table(spark, sf_dir, "pages")), train(table(spark, sf_dir, "documents")))
+    return identify(page_evidence(table(spark, sf_dir, "pages")), train(table(spark, sf_dir, "documents")), entities=True)
