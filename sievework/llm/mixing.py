@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import WORD, table
+from sievework.llm.common import WORD, spare, table
 from sievework.scratch import materialize
 
 #: Weights dealt to the sources by rank, the share of all words that the mix takes, and the most copies.
@@ -30,7 +30,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
     Weights repeat over the sources by code point, null last. A target above ``cap`` times its
     source stops there and the excess goes to the others by weight, until none is above: with the
-    sources in the order of size by weight, those that stop are the first of them.
+    sources in the order of size by weight, those that stop are the first of them. The windows order
+    all sources in one task: a few numbers for each, so a million sources take tens of megabytes.
     """
     order = Window.orderBy(F.asc_nulls_last("source"))
     w = F.element_at(F.lit([float(x) for x in weights]).cast("array<double>"), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -110,10 +111,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
 
 
 def repeat_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; rows that share a doc_id take the same."""
-    copies = mixed.groupBy(F.col("doc_id").alias("_d")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_d")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    """``docs`` with each row as often as the mix takes it; rows that share a doc_id take the same. Other columns may have any name."""
+    of, copies, copy = spare("of", docs), spare("copies", docs), spare("copy", docs)
+    taken = mixed.groupBy(F.col("doc_id").alias(of)).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
+    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(of)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
