@@ -4,6 +4,9 @@ The template is data: for each role the segments a turn becomes, each with a los
 is data: from each state the roles that may follow. Control strings inside a text are escaped by one
 more backslash between ``<`` and ``|`` (``<|`` becomes ``<\\|``, ``<\\|`` becomes ``<\\\\|``), which
 ``unescape`` takes away again; so a text can neither end its turn nor open another one.
+
+Turns are dealt by conversation and sorted, which spills, and then formatted one after another: a task
+holds one turn of ``format_turns`` at a time, however long the conversation is.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import arrow_map, table
+from sievework.llm.common import arrow_map, partitions, table
 
 
 def escape(text: str) -> str:
@@ -44,24 +47,57 @@ class Template:
     final: frozenset[str] = frozenset({"assistant"})
 
 
-def render(turns: list[tuple[str, str]], template: Template) -> tuple[str, list[tuple[int, int, int, bool, str]], str]:
-    """(formatted text, segments (turn, start, end, loss, kind), why the order is invalid or "")."""
-    state, why, out, segments, at = "start", "", [], [], 0
-    for i, (role, text) in enumerate(turns):
-        if not why:
-            nxt = template.moves.get(state, {}).get(role)
-            why, state = (f"turn {i}: {role or '(none)'} after {state}", state) if nxt is None else ("", nxt)
-        for part, loss in template.segments:
+class Machine:
+    """One conversation, turn by turn: its state, and why its order is wrong or ""."""
+
+    def __init__(self, template: Template):
+        self.template, self.state, self.why, self.turn, self.at = template, "start", "", 0, 0
+
+    def next(self, role: str, text: str) -> tuple[str, list[tuple[int, int, int, bool, str]]]:
+        """(formatted turn, segments (turn, start, end, loss, kind)); places count from the conversation's start."""
+        if not self.why:
+            state = self.template.moves.get(self.state, {}).get(role)
+            if state is None:
+                self.why = f"turn {self.turn}: {role or '(none)'} after {self.state}"
+            else:
+                self.state = state
+        out, segments = [], []
+        for part, loss in self.template.segments:
             piece = part if part[0] != "{" else escape(role if part == "{role}" else text)
-            out.append(piece)
             kind = part[1:-1] if part[0] == "{" else "control"
-            segments.append((i, at, at + len(piece), loss and role in template.loss_roles, kind))
-            at += len(piece)
-    return "".join(out), segments, why or ("" if state in template.final else f"ends in {state}")
+            out.append(piece)
+            segments.append((self.turn, self.at, self.at + len(piece), loss and role in self.template.loss_roles, kind))
+            self.at += len(piece)
+        self.turn += 1
+        return "".join(out), segments
+
+    def end(self) -> str:
+        return self.why or ("" if self.state in self.template.final else f"ends in {self.state}")
+
+
+def render(turns: list[tuple[str, str]], template: Template) -> tuple[str, list[tuple[int, int, int, bool, str]], str]:
+    """(formatted text, segments, why the order is invalid or "") of a whole conversation."""
+    machine = Machine(template)
+    done = [machine.next(*t) for t in turns]
+    return "".join(t for t, _ in done), [s for _, own in done for s in own], machine.end()
+
+
+def parse(formatted: str, template: Template) -> list[tuple[str, str]]:
+    """(role, text) of each turn, unescaped, from the formatted text alone: control strings divide it and nothing else can."""
+    pattern = "".join(re.escape(p) if p[0] != "{" else f"(?P<{p[1:-1]}>.*?)" for p, _ in template.segments)
+    out, at = [], 0
+    for m in re.compile(pattern, re.S).finditer(formatted):
+        if m.start() != at:
+            break
+        out.append((unescape(m["role"]), unescape(m["text"])))
+        at = m.end()
+    if at != len(formatted):
+        raise ValueError("the text is not of this template")
+    return out
 
 
 def read_back(formatted: str, segments: list[tuple[int, int, int, bool, str]]) -> tuple[list[tuple[str, str]], str]:
-    """(turns, all text under the loss mask), unescaped, from the output alone."""
+    """(turns, all text under the loss mask), unescaped, by the segments' places."""
     turns: dict[int, dict[str, str]] = {}
     loss = []
     for i, a, z, in_loss, kind in segments:
@@ -73,56 +109,111 @@ def read_back(formatted: str, segments: list[tuple[int, int, int, bool, str]]) -
 
 
 _SEGMENT = pa.list_(pa.struct([("turn", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("loss", pa.bool_()), ("kind", pa.string())]))
+_NAMES = ("turn", "start", "end", "loss", "kind")
+_TURN = [("conv_id", pa.int64()), ("turn_no", pa.int64()), ("formatted", pa.string()), ("segments", _SEGMENT), ("last", pa.bool_()), ("order_error", pa.string())]
+_SEGMENTS = "segments array<struct<turn:int,start:long,end:long,loss:boolean,kind:string>>"
 
 
 def _format(template: Template):
+    """Sorted turns to formatted ones; a turn is held until the next one tells whether it is its conversation's last."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, machine, held = None, None, None
         for b in batches:
-            texts, parts, whys = [], [], []
-            for turns in b.column("turns").to_pylist():
-                text, segments, why = render([(t["role"] or "", t["text"] or "") for t in turns], template)
-                texts.append(text)
-                parts.append([dict(zip(("turn", "start", "end", "loss", "kind"), s)) for s in segments])
-                whys.append(why)
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), pa.array(texts, pa.string()), pa.array(parts, _SEGMENT), pa.array(whys, pa.string())], ["conv_id", "formatted", "segments", "order_error"])
+            rows = []
+            for own, role, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
+                if held is not None:
+                    last = own != conv
+                    rows.append((*held, last, machine.end() if last else None))
+                if machine is None or own != conv:
+                    conv, machine = own, Machine(template)
+                formatted, segments = machine.next(role, text)
+                held = (conv, machine.turn - 1, formatted, [dict(zip(_NAMES, s)) for s in segments])
+            yield _batch(rows, _TURN)
+        if held is not None:
+            yield _batch([(*held, True, machine.end())], _TURN)
 
     return run
 
 
-def format_conversations(turns: DataFrame, template: Template = Template()) -> DataFrame:
-    """conv_id, formatted, segments (turn, start, end, loss, kind) and order_error ("" if valid).
+def _batch(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], [c for c, _ in kinds])
+
+
+def format_turns(turns: DataFrame, template: Template = Template()) -> DataFrame:
+    """conv_id, turn_no, formatted, segments (turn, start, end, loss, kind), last, order_error, one row a turn in order.
 
     ``turns`` has conv_id, turn, role, text; rows without a conv_id form one conversation of their
     own. Turns stand in the order of turn (null last), then role, then text, so ties and repeated
-    rows have one order and all stay. A null role or text is empty. Conversations in a wrong order
-    are formatted too and say why; an empty table gives no rows; other columns are ignored.
+    rows have one order and all stay. A null role or text is empty. A conversation's formatted text
+    is its turns' one after another, and places count in it; its last turn says why its order is
+    wrong, "" if it is not. An empty table gives no rows; other columns are ignored.
     """
-    turn = F.struct(F.col("turn").isNull().alias("late"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = turns.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    schema = "conv_id long, formatted string, segments array<struct<turn:int,start:long,end:long,loss:boolean,kind:string>>, order_error string"
-    return arrow_map(whole, _format(template), schema)
+    n = max(1, partitions(turns.sparkSession))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role"), text("text"))
+    dealt = rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", F.asc_nulls_last("turn"), "role", "text")
+    return arrow_map(dealt, _format(template), f"conv_id long, turn_no long, formatted string, {_SEGMENTS}, last boolean, order_error string")
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts: list[str] = []
+    segments: list[dict] = []
+    kinds = [("conv_id", pa.int64()), ("formatted", pa.string()), ("segments", _SEGMENT), ("order_error", pa.string())]
     for b in batches:
         rows = []
-        for conv, text, segments, why in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "segments", "order_error"))):
-            turns, loss = read_back(text, [tuple(s.values()) for s in segments])
-            rows.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text), why == ""))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], _DIGEST)
+        for conv, text, own, last, why in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "segments", "last", "order_error"))):
+            texts.append(text)
+            segments += own
+            if last:
+                rows.append((conv, "".join(texts), segments, why))
+                texts, segments = [], []
+        yield _batch(rows, kinds)
+
+
+def format_conversations(turns: DataFrame, template: Template = Template()) -> DataFrame:
+    """conv_id, formatted, segments and order_error ("" if valid), one row a conversation, which must fit a row; see ``format_turns``."""
+    return arrow_map(format_turns(turns, template), _conversations, f"conv_id long, formatted string, {_SEGMENTS}, order_error string")
+
+
+_DIGEST = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("order_valid", pa.bool_())]
+
+
+def _digest(template: Template):
+    """Formatted turns of a conversation, one after another, to its digests: turns are parsed from the text, the loss mask is read from the segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh = lambda: [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+        bytes_of = lambda s: s.encode("utf-8", "surrogatepass")
+        now = fresh()
+        for b in batches:
+            rows = []
+            for conv, text, segments, last, why in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "segments", "last", "order_error"))):
+                for role, own in parse(text, template):
+                    now[0] += 1
+                    now[1].update(bytes_of(f"{role}\n{own}\n"))
+                for s in segments:
+                    if s["loss"]:
+                        piece = unescape(text[s["start"] - now[4] : s["end"] - now[4]])
+                        now[2] += len(piece)
+                        now[3].update(bytes_of(piece))
+                now[4] += len(text)
+                if last:
+                    rows.append((conv, now[0], now[1].hexdigest(), now[2], now[3].hexdigest(), now[4], why == ""))
+                    now = fresh()
+            yield _batch(rows, _DIGEST)
+
+    return run
 
 
-_DIGEST = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "order_valid"]
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)], "conv_id long, turn long, role string, text string")
-    out = format_conversations(turns.unionByName(probe))
-    return arrow_map(out, _digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, order_valid boolean")
+    out = format_turns(turns.unionByName(probe))
+    return arrow_map(out, _digest(Template()), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, order_valid boolean")
 
 
 OP4_SQL = r"""

@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -20,6 +21,7 @@ def test_render_reads_back(turns):
     back, loss = cf.read_back(text, segments)
     assert back == turns and loss == "".join(t for r, t in turns if r == "assistant")
     assert text.count("<|im_end|>") == len(turns)
+    assert cf.parse(text, cf.Template()) == turns
 
 
 def test_machine():
@@ -37,3 +39,19 @@ def test_edges(spark):
     assert got[2].formatted.count("same") == 2 and len(got[3].formatted) > 200_000 and got[None].formatted
     assert [got[1].formatted[s.start : s.end] for s in got[1].segments if s.loss] == ["b"]
     assert cf.format_conversations(df.limit(0)).count() == 0
+
+
+def test_only_text_of_the_template_is_parsed():
+    text, _, _ = cf.render([("user", cf.HOSTILE)], cf.Template())
+    for bad in (text[:-1], "x" + text, text + "<|im_start|>"):
+        with pytest.raises(ValueError):
+            cf.parse(bad, cf.Template())
+
+
+def test_turns_of_a_long_conversation_leave_one_by_one(spark):
+    rows = [(7, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(5000)] + [(8, 0, "user", "x")]
+    out = cf.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    own = [r for r in out if r.conv_id == 7]
+    assert [r.turn_no for r in own] == list(range(5000)) and [r.last for r in own].count(True) == 1 and own[-1].last and own[-1].order_error == ""
+    assert own[4999].segments[0].start == sum(len(r.formatted) for r in own[:4999])
+    assert [r.order_error for r in out if r.conv_id == 8] == ["ends in user"]
