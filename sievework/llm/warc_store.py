@@ -10,13 +10,16 @@ when they are read, the digest is computed again from the stored bytes and the r
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import partitions, table
-from sievework.scratch import new_dir
+from sievework.llm.common import arrow_map, partitions, put_file, table
+from sievework.scratch import materialize, new_dir
 
 #: Payloads below so many bytes are never replaced by a revisit record.
 REVISIT_BYTES = 100
@@ -81,14 +84,44 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     A revisit's record ends with its header, as it was written; its ``payload`` is the stored one.
     """
     headers = spark.read.parquet(f"{folder}/headers")
-    bucketed = spark.catalog.tableExists(_table(folder))  # known to the session that wrote it
+    bucketed = spark.catalog.tableExists(_table(folder))  # known to the session that wrote it, until it is read
     payloads = spark.table(_table(folder)) if bucketed else spark.read.parquet(f"{folder}/payloads")
+    payloads.schema  # resolved by now, so the catalog's entry is not needed any more; the files stay
+    spark.sql(f"DROP TABLE IF EXISTS {_table(folder)}")
     head = F.decode("header", "UTF-8")
     revisit = F.regexp_extract(head, r"^WARC/1\.1\r\nWARC-Type: (\w+)\r\n", 1) == "revisit"
     record = F.concat(F.col("header"), F.when(revisit, F.encode(F.lit(""), "UTF-8")).otherwise(F.col("payload")), F.encode(F.lit(CRLF + CRLF), "UTF-8"))
     return headers.join(payloads, "digest").withColumn("record", record)
 
 
+def write_warc_files(records: DataFrame, folder: str, most: int = 1 << 28) -> DataFrame:
+    """file, n_records, n_bytes: the ``record`` bytes as .warc.gz files that other tools read, a gzip member for each record.
+
+    A file is closed after about ``most`` bytes. ``folder`` must be one that pyarrow opens; files of
+    failed attempts are not in the result. An empty table gives no files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        part = size = 0
+
+        def flush() -> pa.RecordBatch:
+            name = put_file(folder, f"part-{part:06d}.warc.gz", b"".join(held))
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64()), pa.array([size], pa.int64())], ["file", "n_records", "n_bytes"])
+
+        for b in batches:
+            for record in b.column("record").to_pylist():
+                held.append(gzip.compress(record, 6, mtime=0))
+                size += len(held[-1])
+                if size >= most:
+                    yield flush()
+                    held, part, size = [], part + 1, 0
+        if held:
+            yield flush()
+
+    return materialize(arrow_map(records.select("record"), run, "file string, n_records long, n_bytes long"), "warc-files")
+
+
 def parse_records(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, from the records' own bytes."""
     text = F.decode("header", "UTF-8")

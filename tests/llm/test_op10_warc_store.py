@@ -42,3 +42,14 @@ def test_damage_is_found(spark, tmp_path):
 
     with pytest.raises(Exception, match="does not match"):
         ws.parse_records(archive.withColumn("payload", F.encode(F.lit("other"), "UTF-8"))).collect()
+
+
+def test_files_other_tools_read(spark, tmp_path):
+    import gzip
+
+    archive = run(spark, [(i, "u", LONG if i % 2 else f"page {i}", "", 1) for i in range(20)], tmp_path)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("warc_payloads")]
+    files = ws.write_warc_files(archive, str(tmp_path / "warc"), most=500).collect()
+    assert sum(f.n_records for f in files) == 20 and len(files) > 1
+    whole = b"".join(gzip.decompress((tmp_path / "warc" / f.file).read_bytes()) for f in files)
+    assert sorted(whole.split(b"WARC/1.1\r\n")[1:]) == sorted(bytes(r.record).removeprefix(b"WARC/1.1\r\n") for r in archive.collect())
