@@ -78,3 +78,45 @@ def test_query_against_plain_search(spark):
             assert r.nbest_scores == [s for s, _ in want] and r.ids_crc32 == r.nbest_crc32[0]
             same = [zlib.crc32(np.array(ids, "<u4").tobytes()) for s, ids in want if s == want[0][0]]
             assert r.ids_crc32 in same or len(same) > 1
+
+
+@pytest.fixture(scope="module")
+def model():
+    """Pieces and scores as the sentencepiece library tells them, without a line of the lattice's own code."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    pieces = {m.id_to_piece(i).replace("▁", " "): (i, m.get_score(i)) for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))}
+    fall = {int(m.id_to_piece(i)[3:5], 16): i for i in range(m.get_piece_size()) if m.is_byte(i)}
+    worst = min(s for _, s in pieces.values() if s > -1e8) - pl.UNKNOWN
+    return m, pieces, fall, worst
+
+
+def viterbi(text, n, pieces, fall, worst):
+    """The n best (score, ids) of a whole text, by keeping the n best of every prefix."""
+    whole = " " + text
+    best = [[(0.0, ())]] + [[] for _ in whole]
+    longest = max(map(len, pieces))
+    for e in range(1, len(whole) + 1):
+        ways = []
+        for s in range(max(0, e - longest), e):
+            hit = pieces.get(whole[s:e])
+            if hit or s == e - 1:
+                w, ids = (hit[1], (hit[0],)) if hit else (worst, tuple(fall[b] for b in whole[s].encode()))
+                ways += [(x + w, own + ids) for x, own in best[s]]
+        best[e] = sorted(ways, key=lambda x: -x[0])[:n]
+    return best[-1]
+
+
+def test_whole_texts_against_an_independent_viterbi_and_the_library(spark, model):
+    m, pieces, fall, worst = model
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    texts = [r.text for r in rows if r.text and len(r.text) < 3000][:40] + ["x" * 200 + " end", "猫は a▁b", "a" * 45 + "é" * 45, "  two  spaces "]
+    for text, got in zip(texts, LAT.encode(texts, 4)):
+        want = viterbi(text, 4, pieces, fall, worst)
+        assert [s for s, _ in got] == pytest.approx([s for s, _ in want], abs=1e-6)
+        for s, ids in got:
+            names = [m.id_to_piece(int(i)) for i in ids]
+            assert sum(m.get_score(int(i)) for i in ids if not m.is_byte(int(i))) >= s - 1e-6 and names
+            plain = text if "▁" not in text else None
+            assert plain is None or m.decode([int(i) for i in ids]).lstrip(" ") == plain.lstrip(" ")
