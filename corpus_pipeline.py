@@ -3,53 +3,68 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns the
 columns of ``documents``; the last returns the encoded rows. A stage's result is written as Parquet
 and read again as the next one's ``docs``. Each stage starts by deleting the scratch tables of the
-ones before it, which their written results no longer need.
+pipeline's stages before it, which their written results no longer need; tables of others stay.
+
+All stages: a null text is empty; texts are processed whole, however long; repeated rows and rows
+that tie in doc_id are told apart by their text, and equal rows are treated alike; an empty table
+gives an empty one; columns beyond those of ``documents`` are carried along whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sievework.llm.jaccard_join import jaccard_join, keep_one
-from sievework.llm.language_id import document_evidence, identify, train
+from sievework.llm.language_id import without_unsettled
 from sievework.llm.mixing import mix_sources, repeat_rows
 from sievework.llm.piece_lattice import encode_pieces
 from sievework.llm.suffix_dedup import without_repeats
-from sievework.scratch import new_dir, release
+from sievework.scratch import delete, new_dir, owned, release
+
+OWNER = "pipeline"
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(f: Callable[[DataFrame], DataFrame]) -> Stage:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, OWNER)
+        with owned(OWNER):
+            return f(docs)
+
+    run_stage.__doc__ = f.__doc__
+    return run_stage
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the evidence does not settle go."""
-    release(spark)
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    found = identify(document_evidence(docs).withColumn("key", key), train(docs))
-    out = found.where("rejected").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct()
-    return docs.withColumn("_key", key).join(out, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left_anti").select(*docs.columns)
+@stage
+def language(docs: DataFrame) -> DataFrame:
+    """Documents whose language the evidence does not settle, or that have no letter, go. A null lang or source is no evidence."""
+    return without_unsettled(docs)
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at 0.8 stays, that of the smallest doc_id."""
-    release(spark)
+@stage
+def near_copies(docs: DataFrame) -> DataFrame:
+    """One document of each group linked by five-word shingles at 0.8 stays, that of the smallest doc_id; a group without any doc_id keeps one too."""
     return keep_one(docs, jaccard_join(docs))
 
 
-def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 200 bytes that start more than once go from the texts."""
-    release(spark)
+@stage
+def repeats(docs: DataFrame) -> DataFrame:
+    """Strings of 200 bytes that start more than once go from the texts; all rows stay, and n_chars is counted again."""
     return without_repeats(docs)
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stand as often as the mix of sources takes them."""
-    release(spark)
+@stage
+def mix(docs: DataFrame) -> DataFrame:
+    """Documents stand as often as the mix of sources takes them: not at all, once or twice; null sources are one source."""
     return repeat_rows(docs, mix_sources(docs))
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and the best segmentation's piece ids, with the N best scores and the round trip."""
-    release(spark)
+@stage
+def encode(docs: DataFrame) -> DataFrame:
+    """doc_id and the best segmentation's piece ids, with the N best scores and the round trip; an empty text has no pieces."""
     return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
 
 
@@ -59,9 +74,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        folder = new_dir(spark, f"pipeline-{name}").replace("/tables/", "/results/")
-        stage(spark, docs, sf_dir).write.parquet(folder)
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, function in STAGES:
+        folder = new_dir(spark, f"pipeline-{name}")
+        function(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        if last:
+            delete(spark, last)
+        last = folder
+    release(spark, OWNER)
     return docs
