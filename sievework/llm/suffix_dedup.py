@@ -5,9 +5,9 @@ A string of ``length`` bytes belongs to its minimizer, the smallest hash among i
 substrings: equal strings have equal minimizers, and neighbouring ones mostly share theirs. Runs of
 starts with one minimizer form one *piece* of text (the run and the ``length - 1`` bytes behind it).
 
-* Texts that are equal as a whole are collapsed first, by SHA-256: all of a copied text is repeated.
-* Minimizers that occur once cannot hold a repeat; their pieces end here, without moving any text.
+* Texts that are equal as a whole, by SHA-256, are repeated whole; no spans are worked out for them.
 * Pieces that are equal as a whole, told by two rolling hashes and the minimizer, are repeated whole.
+* Minimizers that occur once cannot hold a repeat; their pieces end here, without moving any text.
 * What is left, different pieces under one minimizer, goes to that minimizer's task with its bytes.
   There a suffix array (prefix doubling on the ties that are left) and its LCP values are scanned
   with a stack; intervals of at least ``length`` whose occurrences differ in the byte before them
@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import arrow_map, partitions, table
+from sievework.llm.common import arrow_map, partitions, spare, table
 from sievework.scratch import materialize
 
 LENGTH, GRAM = 200, 32
@@ -104,21 +104,53 @@ def pieces(b: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
     return h[m[start] & _PLACE], ch, start, count
 
 
+#: A piece's place is its first start times this, plus its number of starts.
+PLACE = 1 << 16
+#: Pieces that a task counts before it sends its counts on.
+COUNTED = 1 << 20
+
+
 def _scan(length: int):
+    """Each text's digest and its pieces: minimizers, hashes and places."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for text in b.column("text").to_pylist():
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 key, ch, start, count = pieces(np.frombuffer(raw, np.uint8), length)
-                for o, x in zip(out, (hashlib.sha256(raw).digest(), len(raw), key.view(np.int64), ch.view(np.int64), start, count)):
+                for o, x in zip(out, (hashlib.sha256(raw).digest(), len(raw), key.view(np.int64), ch.view(np.int64), start * PLACE + count)):
                     o.append(x)
             longs = lambda xs: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *xs]).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), *(longs(x) for x in out[2:])], ["rid", "doc_id", "sha", "n_bytes", "keys", "chs", "starts", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), *(longs(x) for x in out[2:])], ["rid", "doc_id", "sha", "n_bytes", "keys", "chs", "places"])
 
     return run
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, ch, n, rid, place) of the different pieces among many texts, with one place of each."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        key, ch, rid, place = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((place, rid, ch, key))
+        key, ch, rid, place = key[order], ch[order], rid[order], place[order]
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (ch[1:] != ch[:-1])])) if len(key) else np.zeros(0, np.int64)
+        columns = (key[new], ch[new], np.diff(np.append(new, len(key))), rid[new], place[new])
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["key", "ch", "n", "rid", "place"])
+
+    for b in batches:
+        sizes = b.column("keys").value_lengths().to_numpy(zero_copy_only=False)
+        held.append((*(b.column(c).flatten().to_numpy() for c in ("keys", "chs")), np.repeat(b.column("rid").to_numpy(), sizes), b.column("places").flatten().to_numpy()))
+        size += int(sizes.sum())
+        if size >= COUNTED:
+            yield from counted()
+            held, size = [], 0
+    if held:
+        yield from counted()
+
+
 def suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """Order of all suffixes by their first ``depth`` codes at least, and ranks by 8, 16, 32, ... codes.
 
@@ -354,20 +386,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tup
     spark = docs.sparkSession
     n = max(1, partitions(spark))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", F.monotonically_increasing_id())
-    scan = materialize(arrow_map(rows, _scan(length), "rid long, doc_id long, sha binary, n_bytes long, keys array<long>, chs array<long>, starts array<long>, counts array<long>"), "sa-scan")
+    scan = materialize(arrow_map(rows, _scan(length), "rid long, doc_id long, sha binary, n_bytes long, keys array<long>, chs array<long>, places array<long>"), "sa-scan")
     groups = scan.groupBy("sha").agg(F.min("rid").alias("first_rid"), F.count("*").alias("copies"))
     texts = materialize(scan.select("rid", "doc_id", "sha", "n_bytes").join(groups, "sha").withColumn("first", F.col("rid") == F.col("first_rid")).drop("first_rid"), "sa-texts")
-    firsts = scan.select("rid", "keys", "chs", "starts", "counts").join(groups.select(F.col("first_rid").alias("rid")), "rid", "left_semi")
+    # Pieces are counted where the texts are, then those found more than once together, and only then is
+    # anything dealt by minimizer: one that a third of all texts hold comes to as many rows as it has
+    # different pieces, and a few for each task.
+    counted = arrow_map(scan.select("rid", "keys", "chs", "places"), _count, "key long, ch long, n long, rid long, place long")
+    one = F.min(F.struct("rid", "place")).alias("p")
+    many = counted.where("n > 1").groupBy("key", "ch").agg(F.sum("n").alias("n"), one).select("key", "ch", "n", "p.rid", "p.place")
+    dealt = counted.where("n = 1").union(many).repartition(n, "key").groupBy("key", "ch").agg(F.sum("n").alias("n"), one)
+    of_key = Window.partitionBy("key")
+    same = dealt.select("key", "ch", "n", "p.*", F.sum("n").over(of_key).alias("every"), F.count("*").over(of_key).alias("d"))
     # one occurrence of a minimizer cannot repeat anything
-    one = F.explode(F.arrays_zip("keys", "chs", "starts", "counts"))
-    all_pieces = firsts.select("rid", one.alias("p")).select("rid", F.col("p.keys").alias("key"), F.col("p.chs").alias("ch"), F.col("p.starts").alias("start"), F.col("p.counts").alias("count"))
-    often = all_pieces.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    found = materialize(all_pieces.join(often, "key"), "sa-pieces")
-    same = found.groupBy("key", "ch").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start", "count")).alias("p"))
-    same = materialize(same.select("key", "ch", "n", "p.*"), "sa-distinct")
-    whole = found.join(same.where("n > 1").select("key", "ch"), ["key", "ch"]).select("rid", F.col("start").alias("a"), (F.col("start") + F.col("count") + length - 1).alias("z"))
-    busy = same.groupBy("key").agg(F.count("*").alias("d")).where("d > 1").select("key", (F.col("d") > hot).alias("hot"))
-    wanted = same.join(busy, "key").groupBy("rid").agg(F.collect_list(F.struct("key", "start", "count", (F.col("n") == 1).alias("single"), "hot")).alias("wanted"))
+    start, count = F.floor(F.col("place") / PLACE).cast("long"), F.col("place") % PLACE
+    same = materialize(same.where("every > 1").select("key", "ch", "n", "d", "rid", start.alias("start"), count.alias("count")), "sa-distinct")
+    each = scan.select("rid", F.explode(F.arrays_zip("keys", "chs", "places")).alias("p")).select("rid", F.col("p.keys").alias("key"), F.col("p.chs").alias("ch"), F.col("p.places").alias("place"))
+    whole = each.join(same.where("n > 1").select("key", "ch"), ["key", "ch"], "left_semi").select("rid", start.alias("a"), (start + count + length - 1).alias("z"))
+    wanted = same.where("d > 1").groupBy("rid").agg(F.collect_list(F.struct("key", "start", "count", (F.col("n") == 1).alias("single"), (F.col("d") > hot).alias("hot"))).alias("wanted"))
     cut = arrow_map(_with_text(docs, wanted.join(texts.select("rid", "doc_id", "sha"), "rid"), "wanted"), _cut(length), "key long, rid long, start long, count long, single boolean, hot boolean, piece binary")
     cut = materialize(cut, "sa-cut")
     grouped = cut.where("not hot").drop("hot").repartition(n, "key").sortWithinPartitions("key")
@@ -412,14 +448,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, whole_
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with every repeated span taken out of ``text`` and ``n_chars`` counted again; all rows stay."""
+    """``docs`` with every repeated span taken out of ``text`` and ``n_chars`` counted again; all rows stay, other columns may have any name."""
+    of, own, sha, new = spare("of", docs), spare("own", docs), spare("sha", docs), spare("new", docs)
     cut = remove_repeats(docs, length, whole_characters=True).where("n_removed > 0")
-    cut = cut.select(F.col("doc_id").alias("_d"), F.col("sha").alias("_s"), F.decode("kept", "UTF-8").alias("_kept")).dropDuplicates(["_d", "_s"])
-    sha = F.unhex(F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
-    out = docs.withColumn("_sha", sha).join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_sha") == F.col("_s")), "left")
-    text = F.coalesce("_kept", "text")
-    new = {"text": text, "n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col("n_chars"))}
-    return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    cut = cut.select(F.col("doc_id").alias(of), F.col("sha").alias(own), F.decode("kept", "UTF-8").alias(new)).dropDuplicates([of, own])
+    digest = F.unhex(F.sha2(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"), 256))
+    out = docs.withColumn(sha, digest).join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.col(sha) == F.col(own)), "left")
+    changed = {"text": F.coalesce(F.col(new), F.col("text")), "n_chars": F.when(F.col(new).isNotNull(), F.length(F.col(new)).cast("long")).otherwise(F.col("n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    return out.select(*[(changed[c] if c in changed else F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
