@@ -54,6 +54,8 @@ PARKED_MARKERS = ["this domain is for sale", "buy this domain", "domain is parke
 #: Hours a result stays fresh, by status.
 TTL_HOURS = {"verified": 720, "unreachable": 168, "unknown": 6, "skipped": 720}
 WEB_PORTS = [80, 443, 8080, 8443]
+#: IPv4 networks that cannot be reached from the internet: special purpose, multicast and reserved.
+CLOSED_NETWORKS = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4"]
 
 # Duplicate pairs.
 HOST_GROUP, BLOCK_GROUP, NAME_RATIO = 12, 12, 92

@@ -5,11 +5,13 @@ Every normaliser leaves a value (null if unusable), its confidence and the codes
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import fixed
-from sievework.functions.similarity import indel_ratio
+from sievework.functions.similarity import first_near
 from sievework.functions.text import clean, key, slug, strip_accents
 
 
@@ -27,10 +29,9 @@ def email_syntax(raw: Column) -> Column:
     return F.when(e.rlike(fixed.EMAIL_PATTERN), e)
 
 
-def lookalike_of(domain: Column) -> Column:
-    """The first major domain this one resembles without being a free provider's, else null."""
-    near = F.coalesce(*[F.when(indel_ratio(domain, F.lit(m)) >= fixed.LOOKALIKE_RATIO, F.lit(m)) for m in fixed.MAJORS])
-    return F.when(~domain.isin(fixed.FREEMAIL), near)
+def lookalike_of(domain: Column, targets: list[str] = fixed.MAJORS, least: float = fixed.LOOKALIKE_RATIO) -> Column:
+    """The first target domain this one resembles without being a free provider's, else null."""
+    return F.when(~domain.isin(fixed.FREEMAIL), first_near(domain, targets, least))
 
 
 def add_email(df: DataFrame) -> DataFrame:
@@ -208,9 +209,15 @@ def add_category(df: DataFrame, taxonomy: DataFrame) -> DataFrame:
     )
 
 
-def normalize_rows(rows: DataFrame, gazetteer: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """All normalisers over source rows; ``field_codes`` has every issue (field, code), field by field."""
-    out = add_url(add_url(add_phone(add_email(add_followers(add_category(add_city(add_name(rows), gazetteer), taxonomy)))), "website"), "facebook", "facebook")
+def normalize_rows(rows: DataFrame, gazetteer: DataFrame, taxonomy: DataFrame, cut: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+    """All normalisers over source rows; ``field_codes`` has every issue (field, code), field by field.
+
+    ``cut`` may write the rows between the fields: planning and compiling cost grows faster than the
+    number of derived columns, so three narrow plans take a fraction of one wide one.
+    """
+    out = cut(add_followers(add_category(add_city(add_name(rows), gazetteer), taxonomy)), "normalized-names")
+    out = cut(add_phone(add_email(out)), "normalized-contacts")
+    out = add_url(add_url(out, "website"), "facebook", "facebook")
     out = out.withColumn("display_name", F.coalesce("name_display", F.concat(F.lit("(unnamed "), "batch", F.lit("#"), F.col("row_no").cast("string"), F.lit(")"))))
     out = out.withColumn("normalized_name", F.coalesce("name_value", F.lower("display_name"))).withColumn("company_domain", F.when(F.col("website_owned"), F.col("website_domain")))
     pairs = [("name", "name_codes"), ("city", "city_codes"), ("category", "category_codes"), ("followers", "followers_codes"), ("email", "email_codes"), ("phone", "phone_codes"), ("website", "website_codes"), ("facebook", "facebook_codes")]

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ipaddress
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from sievework.functions import fixed
 
@@ -90,17 +88,23 @@ def signals(identifiers: DataFrame, domain_cache: DataFrame, url_cache: DataFram
     return mail.join(site, "lead_key", "full_outer")
 
 
-@F.pandas_udf(BooleanType())
-def is_public_ip(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Whether an address can be reached from the internet; text that is no address cannot."""
-    import ipaddress
+def is_public_ip(ip: Column) -> Column:
+    """Whether an address can be reached from the internet; text that is no address, or null, cannot.
 
-    def public(s: str | None) -> bool:
-        try:
-            a = ipaddress.ip_address(s)
-        except ValueError:
-            return False
-        return not (a.is_private or a.is_loopback or a.is_link_local or a.is_multicast or a.is_reserved or a.is_unspecified)
-
-    for s in batches:
-        yield s.map(public)
+    IPv4 is a number tested against the closed networks. Of IPv6 the global range 2000::/3 is open,
+    less 2001::/23, documentation (2001:db8::/32, 3fff::/20) and 2002::/16.
+    """
+    ip = F.col(ip) if isinstance(ip, str) else ip
+    octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    parts = [F.regexp_extract(ip, rf"^{octet}\.{octet}\.{octet}\.{octet}$", i).try_cast("long") for i in range(1, 5)]
+    number = ((parts[0] * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3]
+    closed = F.lit(False)
+    for network in map(ipaddress.ip_network, fixed.CLOSED_NETWORKS):
+        closed = closed | number.between(int(network[0]), int(network[-1]))
+    low = F.lower(ip)
+    groups = F.size(F.filter(F.split(low, ":"), lambda g: g != ""))
+    whole = low.rlike(r"^([0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$") | (low.rlike(r"^(?!.*::.*::)[0-9a-f]{1,4}(::?[0-9a-f]{1,4})*(::)?$") & F.contains(low, F.lit("::")) & (groups <= 7))
+    group = lambda k: F.coalesce(F.conv(F.nullif(F.split_part(low, F.lit(":"), F.lit(k)), F.lit("")), 16, 10).cast("long"), F.lit(0))
+    one, two = group(1), group(2)
+    special = ((one == 0x2001) & ((two < 0x200) | (two == 0xDB8))) | (one == 0x2002) | ((one == 0x3FFF) & (two < 0x1000))
+    return F.coalesce(F.when(number.isNotNull(), ~closed).when(whole, one.between(0x2000, 0x3FFF) & ~special), F.lit(False))
