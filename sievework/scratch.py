@@ -49,7 +49,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: later uses neither recompute nor lose it."""
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
