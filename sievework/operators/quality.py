@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import fixed
 
 
+@dataclass(frozen=True)
+class Rubric:
+    """What a score depends on; its version is stamped on every score."""
+
+    version: str = fixed.RUBRIC_VERSION
+    weights: dict[str, float] = field(default_factory=lambda: dict(fixed.WEIGHTS))
+    penalties: dict[str, float] = field(default_factory=lambda: dict(fixed.PENALTIES))
+    most_penalty: float = fixed.MOST_PENALTY
+    followers_reference: float = fixed.FOLLOWERS_REFERENCE
+    channel_kinds: tuple[str, ...] = tuple(fixed.CHANNEL_KINDS)
+    managed_providers: tuple[str, ...] = tuple(fixed.MANAGED_PROVIDERS)
+
+    @classmethod
+    def of(cls, loaded: dict[str, Any]) -> Rubric:
+        """From what ``policy.rubric`` read."""
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in loaded.items()})
+
+
+RUBRIC = Rubric()
+
+
 def lead_facts(leads: DataFrame, identifiers: DataFrame, signals: DataFrame, issues: DataFrame) -> DataFrame:
     """Everything a score needs, one row for each lead; children are aggregated before they are joined."""
     kinds = identifiers.groupBy("lead_key").agg(F.collect_set("kind").alias("kinds"))
@@ -20,17 +44,17 @@ def lead_facts(leads: DataFrame, identifiers: DataFrame, signals: DataFrame, iss
     return out
 
 
-def add_factors(facts: DataFrame) -> DataFrame:
+def add_factors(facts: DataFrame, rubric: Rubric = RUBRIC) -> DataFrame:
     """One column f_<factor> for each factor; null where it has not been measured."""
     has = lambda k: F.coalesce(F.array_contains("kinds", k), F.lit(False))
     free, role = F.coalesce("free", F.lit(False)), F.coalesce("role", F.lit(False))
     contact = F.when(~has("email") & ~has("phone"), 0.0).when(~has("email"), 0.5).when(~free & ~role, 1.0).when(~free, 0.8).when(~role, 0.6).otherwise(0.45)
     measured = lambda c: F.col(c).isin("verified", "unreachable")
-    mailbox = F.when(has("email") & measured("mailbox_status"), F.when(F.col("mailbox_status") != "verified", 0.0).when(F.col("mail_provider").isin(fixed.MANAGED_PROVIDERS), 1.0).otherwise(0.85))
+    mailbox = F.when(has("email") & measured("mailbox_status"), F.when(F.col("mailbox_status") != "verified", 0.0).when(F.col("mail_provider").isin(list(rubric.managed_providers)), 1.0).otherwise(0.85))
     website = F.when(F.col("company_domain").isNotNull() & measured("website_status"), F.when(F.col("website_parked"), 0.0).when(F.col("website_live"), 1.0).otherwise(0.0))
     followers = F.col("latest_followers").cast("double")
-    audience = F.when(followers > 0, F.least(F.lit(1.0), F.log1p(followers) / F.log1p(F.lit(float(fixed.FOLLOWERS_REFERENCE))))).otherwise(0.0)
-    breadth = sum((has(k).cast("int") for k in fixed.CHANNEL_KINDS[1:]), has(fixed.CHANNEL_KINDS[0]).cast("int")) / len(fixed.CHANNEL_KINDS)
+    audience = F.when(followers > 0, F.least(F.lit(1.0), F.log1p(followers) / F.log1p(F.lit(float(rubric.followers_reference))))).otherwise(0.0)
+    breadth = sum((has(k).cast("int") for k in rubric.channel_kinds[1:]), has(rubric.channel_kinds[0]).cast("int")) / len(rubric.channel_kinds)
     factors = {
         "identity_present": F.when(F.col("is_placeholder"), 0.0).otherwise(1.0), "contact_reachable": contact, "mailbox_verified": mailbox, "owned_website": F.when(F.col("company_domain").isNotNull(), 1.0).otherwise(0.0), "website_live": website,
         "channel_breadth": breadth, "audience_evidence": audience, "location_resolved": F.coalesce("location_confidence", F.lit(0.0)), "category_known": F.when(F.coalesce("category_slug", F.lit(fixed.UNCLASSIFIED)) != fixed.UNCLASSIFIED, 1.0).otherwise(0.0),
@@ -47,17 +71,18 @@ def penalties(facts: DataFrame):
     return F.array_sort(F.array_distinct(F.concat(from_codes, F.filter(dead, lambda x: x.isNotNull()))))
 
 
-def add_scores(factored: DataFrame, weights: dict[str, float] = fixed.WEIGHTS) -> DataFrame:
+def add_scores(factored: DataFrame, rubric: Rubric = RUBRIC) -> DataFrame:
     """base, penalties, penalty_total, score, factors_evaluated, weight_available, rubric_version."""
-    amounts = F.create_map(*[F.lit(x) for k, v in fixed.PENALTIES.items() for x in (k, float(v))])
+    weights = rubric.weights
+    amounts = F.create_map(*[F.lit(x) for k, v in (rubric.penalties or {"": 0.0}).items() for x in (k, float(v))])
     earned = sum((F.coalesce(F.col(f"f_{n}"), F.lit(0.0)) * F.lit(float(w)) for n, w in weights.items()), F.lit(0.0))
     available = sum((F.when(F.col(f"f_{n}").isNotNull(), F.lit(float(w))).otherwise(0.0) for n, w in weights.items()), F.lit(0.0))
     count = sum((F.col(f"f_{n}").isNotNull().cast("int") for n in weights), F.lit(0))
     out = factored.withColumn("penalties", penalties(factored)).withColumn("weight_available", available).withColumn("factors_evaluated", count)
     out = out.withColumn("base", F.when(F.col("weight_available") > 0, earned / F.col("weight_available") * 100).otherwise(0.0))
-    out = out.withColumn("penalty_total", F.aggregate("penalties", F.lit(0.0), lambda s, p: s + F.element_at(amounts, p)))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("base") - F.least("penalty_total", F.lit(float(fixed.MOST_PENALTY)))))
-    return out.withColumn("score", F.bround(score, 2)).withColumn("rubric_version", F.lit(fixed.RUBRIC_VERSION))
+    out = out.withColumn("penalty_total", F.aggregate("penalties", F.lit(0.0), lambda s, p: s + F.coalesce(F.try_element_at(amounts, p), F.lit(0.0))))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("base") - F.least("penalty_total", F.lit(float(rubric.most_penalty)))))
+    return out.withColumn("score", F.bround(score, 2)).withColumn("rubric_version", F.lit(rubric.version))
 
 
 def explain(scored: DataFrame, weights: dict[str, float] = fixed.WEIGHTS) -> DataFrame:

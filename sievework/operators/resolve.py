@@ -9,6 +9,7 @@ from sievework.functions import fixed
 from sievework.functions.similarity import token_set_ratio
 from sievework.operators.components import connected_components
 from sievework.scratch import materialize
+from sievework.sources.batches import row_text
 
 #: Kinds that make two rows one lead, and all kinds of identifiers.
 IDENTITY = ["email", "phone", "facebook"]
@@ -88,6 +89,32 @@ def source_queries(rows: DataFrame) -> DataFrame:
     return rows.where("matched_query is not null").groupBy("lead_key", F.col("matched_query").alias("query")).agg(F.bool_and("source_inferred").alias("inferred"))
 
 
+def weak_labels(rows: DataFrame) -> DataFrame:
+    """lead_key, dimension, label, label_source: the relevance that a lead's first labelled row was shipped with, as weak supervision."""
+    own = rows.where("relevance is not null").groupBy("lead_key").agg(F.min_by("relevance", "row_id").alias("label"))
+    return own.select("lead_key", F.lit("relevance").alias("dimension"), "label", F.lit("weak_relevance").alias("label_source"))
+
+
+def provenance(rows: DataFrame, raw: list[str]) -> DataFrame:
+    """lead_key, row_id, source_file, source_sheet, row_no, row_sha256, raw: where each row of a lead came from, with its unread values as key=value lines."""
+    out = rows if "source_file" in rows.columns else rows.withColumn("source_file", F.lit(None).cast("string"))
+    lines = row_text(out, raw)
+    return out.select("lead_key", "row_id", "source_file", F.col("batch").alias("source_sheet"), "row_no", F.sha2(lines, 256).alias("row_sha256"), lines.alias("raw"))
+
+
+def match_stored(identifiers: DataFrame, stored: DataFrame) -> DataFrame:
+    """lead_key, stored_key, matches: new leads whose identity keys stored leads have, from both sides' identifiers.
+
+    Of several stored leads that one has the first key in the order email, phone, facebook, primary
+    before other, value; ``matches`` counts them all, so that a lead of more than one can be reviewed.
+    """
+    place = F.create_map(*[F.lit(x) for i, k in enumerate(IDENTITY) for x in (k, i)])
+    own = identifiers.where(F.col("kind").isin(IDENTITY)).select("lead_key", "kind", "value", F.struct(place[F.col("kind")].alias("k"), (~F.col("is_primary")).alias("p"), F.col("value").alias("v")).alias("at"))
+    there = stored.where(F.col("kind").isin(IDENTITY)).groupBy("kind", "value").agg(F.min("lead_key").alias("stored_key"))
+    hit = own.join(there, ["kind", "value"])
+    return hit.groupBy("lead_key", "stored_key").agg(F.min("at").alias("at")).groupBy("lead_key").agg(F.min_by("stored_key", "at").alias("stored_key"), F.count("*").alias("matches"))
+
+
 def companies(leads: DataFrame, identifiers: DataFrame) -> DataFrame:
     """domain, name, website, branches, multi_branch. Names: a lone lead's, else the common first words, else the domain's."""
     words = F.split(F.regexp_replace(F.trim("display_name"), r"\s+", " "), " ")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.operators.components import connected_components
 from sievework.scratch import materialize
 
+# workers get the fold with the plan, so they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DECISIONS = ("confirmed_duplicate", "rejected_distinct", "pending")
 HOPS = 16
 
@@ -46,12 +52,12 @@ def merge_root(pointers: DataFrame) -> DataFrame:
     return now
 
 
-_FOLD = "lead_a long, lead_b long, status string, reviewer string, applied_loser long, applied_target long, conflict string"
+_FOLD = "lead_a long, lead_b long, method string, status string, reviewer string, applied_loser long, applied_target long, conflict string"
 
 
 def _fold(log: pd.DataFrame) -> pd.DataFrame:
     into: dict[int, int] = {}
-    state: dict[tuple[int, int], dict] = {}
+    state: dict[tuple[int, int, str], dict] = {}
 
     def root(x: int) -> int:
         seen = set()
@@ -62,40 +68,59 @@ def _fold(log: pd.DataFrame) -> pd.DataFrame:
 
     for d in log.sort_values("seq").itertuples(index=False):
         pair = (int(d.lead_a), int(d.lead_b))
-        s = state.setdefault(pair, {"status": "pending", "reviewer": None, "loser": None, "target": None, "conflict": None})
-        if s["status"] == DECISIONS[0] and s["loser"] is not None:  # reverse what it applied, unless another pair still holds it
+        s = state.setdefault((*pair, d.method), {"status": "pending", "reviewer": None, "loser": None, "target": None, "conflict": None})
+        undone = None
+        if s["status"] == DECISIONS[0] and s["loser"] is not None:  # reverse what it applied, unless another candidate still holds it
             held = any(o is not s and o["status"] == DECISIONS[0] and o["loser"] == s["loser"] and o["target"] == s["target"] for o in state.values())
             if not held and into.get(s["loser"]) == s["target"]:
-                del into[s["loser"]]
-        s |= {"status": d.decision, "reviewer": d.reviewer, "loser": None, "target": None, "conflict": None}
+                undone = s["loser"], into.pop(s["loser"])
+        loser = target = conflict = None
         if d.decision == DECISIONS[0]:
-            survivor = int(d.survivor)
-            loser = pair[1] if survivor == pair[0] else pair[0]
-            target = root(survivor)
+            survivor = None if pd.isna(d.survivor) else int(d.survivor)
             if survivor not in pair:
-                s |= {"status": "pending", "conflict": "survivor is not of the pair"}
-            elif loser == target:
-                s |= {"status": "pending", "conflict": "already merged the other way"}
-            elif loser in into and into[loser] != target:
-                s |= {"status": "pending", "conflict": "already merged elsewhere"}
+                conflict = "survivor is not of the pair"
             else:
-                into[loser] = target
-                s |= {"loser": loser, "target": target}
-    return pd.DataFrame([(*p, s["status"], s["reviewer"], s["loser"], s["target"], s["conflict"]) for p, s in state.items()], columns=["lead_a", "lead_b", "status", "reviewer", "applied_loser", "applied_target", "conflict"]).astype({"applied_loser": "Int64", "applied_target": "Int64"})
-
-
-def fold_decisions(log: DataFrame) -> DataFrame:
-    """State of each pair after the log (seq, lead_a, lead_b, decision, reviewer, survivor), and the merge it applied.
-
-    Decisions of pairs that share no lead, however far, do not touch each other, so each connected
-    group is folded by itself; a group is as large as people's decisions, not as the corpus.
+                loser = pair[1] if survivor == pair[0] else pair[0]
+                target = root(survivor)
+                if loser == target:
+                    conflict = "already merged the other way"
+                elif into.get(loser, target) != target:
+                    conflict = "already merged elsewhere"
+        if conflict:  # a refused decision leaves everything as it was
+            s["conflict"] = conflict
+            if undone:
+                into[undone[0]] = undone[1]
+            continue
+        if loser is not None:
+            into[loser] = target
+        s |= {"status": d.decision, "reviewer": d.reviewer, "loser": loser, "target": target, "conflict": None}
+    return pd.DataFrame([(*p, s["status"], s["reviewer"], s["loser"], s["target"], s["conflict"]) for p, s in state.items()], columns=["lead_a", "lead_b", "method", "status", "reviewer", "applied_loser", "applied_target", "conflict"]).astype({"applied_loser": "Int64", "applied_target": "Int64"})
+
+
+def fold_decisions(log: DataFrame, survivors: DataFrame | None = None) -> DataFrame:
+    """State of each candidate after the log (seq, lead_a, lead_b, method, decision, reviewer, survivor), and the merge it applied.
+
+    A confirmation that names no survivor takes that of ``survivors`` (lead_a, lead_b, survivor);
+    without one it is refused. A refused decision changes nothing but ``conflict``. Decisions of pairs
+    that share no lead, however far, do not touch each other, so each connected group is folded by
+    itself; a group is as large as people's decisions, not as the corpus.
     """
+    if "method" not in log.columns:
+        log = log.withColumn("method", F.lit(""))
+    if survivors is not None:
+        log = log.join(survivors.withColumnRenamed("survivor", "_chosen"), ["lead_a", "lead_b"], "left").withColumn("survivor", F.coalesce("survivor", "_chosen")).drop("_chosen")
     comp = connected_components(log.select(F.col("lead_b").alias("u"), F.col("lead_a").alias("v"))).withColumnRenamed("node", "lead_a")
     return log.join(comp, "lead_a").groupBy("component").applyInPandas(_fold, _FOLD)
 
 
-def latest_status(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Candidates with the status and reviewer of their last decision, pending without one."""
-    w = Window.partitionBy("lead_a", "lead_b", "method").orderBy(F.desc("seq"))
-    last = decisions.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("lead_a", "lead_b", "method", F.col("decision").alias("status"), "reviewer")
+def pointers(folded: DataFrame) -> DataFrame:
+    """lead_key, merged_into of every lead that an applied confirmation took away; merged_into is the end of its chain."""
+    applied = folded.where("status = 'confirmed_duplicate' and applied_loser is not null")
+    own = applied.groupBy(F.col("applied_loser").alias("lead_key")).agg(F.min("applied_target").alias("merged_into"))
+    return merge_root(own).withColumnRenamed("root", "merged_into")
+
+
+def with_status(candidates: DataFrame, folded: DataFrame) -> DataFrame:
+    """Candidates with the status and reviewer that the folded log leaves them, pending without a decision."""
+    last = folded.select("lead_a", "lead_b", "method", "status", "reviewer")
     return candidates.join(last, ["lead_a", "lead_b", "method"], "left").withColumn("status", F.coalesce("status", F.lit("pending")))

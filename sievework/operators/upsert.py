@@ -12,12 +12,16 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...
     """``new`` over ``old`` by ``keys``: old values stay in ``keep`` columns, and in ``fill`` columns where the new one is null.
 
     Rows of either side alone stay, so nothing stale is deleted. Keys compare null-safe; of new rows
-    with one key an arbitrary one would win, so callers pass one.
+    with one key the one whose other columns are largest, in their order, stands for all.
     """
-    a, b = old.alias("a"), new.alias("b")
-    cond = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    others = [c for c in old.columns if c not in keys]
+    if others:
+        new = new.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_one")).select(*keys, *[F.col(f"_one.{c}").alias(c) for c in others])
+    else:
+        new = new.select(*keys).distinct()
     there = lambda s: F.col(f"{s}._there").isNotNull()
     a, b = old.withColumn("_there", F.lit(1)).alias("a"), new.withColumn("_there", F.lit(1)).alias("b")
+    cond = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     on = cond[0]
     for c in cond[1:]:
         on = on & c
@@ -35,8 +39,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...
 
 
 def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``old`` with the rows of ``new`` whose key it lacks."""
-    return old.unionByName(new.join(old.select(*keys), keys, "left_anti").select(*old.columns))
+    """``old`` with a row of ``new`` for each key that it lacks."""
+    return old.unionByName(new.join(old.select(*keys), keys, "left_anti").select(*old.columns).dropDuplicates(keys))
 
 
 def replace_for(old: DataFrame, new: DataFrame, owner: str) -> DataFrame:
@@ -47,7 +51,8 @@ def replace_for(old: DataFrame, new: DataFrame, owner: str) -> DataFrame:
 class Table:
     """A Parquet table whose versions are folders; a pointer file, moved into place whole, names the current one.
 
-    One writer at a time. A reader keeps the version it opened.
+    One writer at a time. A reader keeps the version it opened: the one before the current stays,
+    older ones are deleted.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -71,4 +76,7 @@ class Table:
         self._fs.create(self._path(f"{self.path}/current-{version}")).close()
         if last:
             self._fs.delete(self._path(f"{self.path}/current-{last}"), False)
+        for old in self._fs.globStatus(self._path(f"{self.path}/v-*")) or []:
+            if old.getPath().getName().removeprefix("v-") < (last or version):
+                self._fs.delete(old.getPath(), True)
         return self.read()

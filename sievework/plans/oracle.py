@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from sievework.functions import fixed
 from sievework.sources.batches import VERTICALS
 
@@ -130,10 +132,7 @@ tsr AS (SELECT {keys}, CASE WHEN ns > 0 AND (nl = 0 OR nr = 0) THEN 100.0::DOUBL
 
 _CAND = f"""{_tsr("np", "lead_a, lead_b")},
 fz AS (SELECT lead_a, lead_b, round_even(score / 100, 3) AS confidence FROM tsr WHERE score >= {fixed.NAME_RATIO}),
-cand0 AS (SELECT lead_a, lead_b, 'shared_website' AS method, 0.4::DOUBLE AS confidence FROM hp WHERE r = 1 UNION ALL SELECT lead_a, lead_b, 'fuzzy_name', confidence FROM fz),
-cand AS (SELECT *, CASE (lead_a + lead_b) % 5 WHEN 0 THEN 'confirmed_duplicate' WHEN 1 THEN 'rejected_distinct' ELSE 'pending' END AS status, CASE WHEN (lead_a + lead_b) % 5 <= 1 THEN 'r' || ((lead_a + lead_b) % 3) END AS reviewer FROM cand0),
-gone AS (SELECT lead_b AS lead_key, min(lead_a) AS merged_into FROM cand WHERE status = 'confirmed_duplicate' GROUP BY 1),
-act AS (SELECT * FROM leads WHERE lead_key NOT IN (SELECT lead_key FROM gone))"""
+cand0 AS (SELECT lead_a, lead_b, 'shared_website' AS method, 0.4::DOUBLE AS confidence FROM hp WHERE r = 1 UNION ALL SELECT lead_a, lead_b, 'fuzzy_name', confidence FROM fz)"""
 
 _hex = lambda c, i: f"(strpos('0123456789abcdef', substr(md5({c}), {i}, 1)) - 1)"
 _VERIFY = f"""
@@ -171,14 +170,30 @@ def _scores(prefix: str, signals: str) -> str:
 {prefix}score AS (SELECT *, round_even(greatest(0.0::DOUBLE, least(100.0::DOUBLE, base - least(penalty_total, 30.0::DOUBLE))), 2) AS score FROM {prefix}s)"""
 
 
-_ALL = f"WITH RECURSIVE {_SRC},{_NORM},{_RESOLVE},{_CAND},{_VERIFY},{_scores('x', 'sig')},{_scores('z', '(SELECT lead_key, NULL::VARCHAR AS mailbox_status, NULL::VARCHAR AS mail_provider, NULL::VARCHAR AS website_status, false AS website_parked, false AS website_live FROM sig)')}\n"
+_MERGED = """
+sn AS (SELECT x.lead_key, round_even(score, 1) AS s, (SELECT count(*) FROM ident i WHERE i.lead_key = x.lead_key) AS n FROM xscore x),
+sv AS (SELECT lead_a, lead_b, CASE WHEN (a.s, a.n, -lead_a) >= (b.s, b.n, -lead_b) THEN lead_a ELSE lead_b END AS survivor FROM (SELECT DISTINCT lead_a, lead_b FROM cand0) JOIN sn a ON a.lead_key = lead_a JOIN sn b ON b.lead_key = lead_b),
+lg AS MATERIALIZED (SELECT row_number() OVER (ORDER BY lead_a, lead_b, method) AS i, lead_a, lead_b, method, survivor, CASE WHEN survivor = lead_a THEN lead_b ELSE lead_a END AS loser FROM cand0 JOIN sv USING (lead_a, lead_b) WHERE (lead_a + lead_b) % 5 = 0),
+fd(i, m, target, why) AS (SELECT 0::BIGINT, MAP([0::BIGINT], [0::BIGINT]), NULL::BIGINT, NULL::VARCHAR UNION ALL
+  SELECT i, CASE WHEN why IS NULL THEN map_concat(m, MAP([loser], [target])) ELSE m END, target, why FROM (SELECT *, CASE WHEN loser = target THEN 'already merged the other way' WHEN m[loser] <> target THEN 'already merged elsewhere' END AS why
+  FROM (SELECT lg.i, loser, m, list_reduce(list_prepend(survivor, list_transform(range(16), lambda z: 0::BIGINT)), lambda x, y: coalesce(m[x], x)) AS target FROM fd JOIN lg ON lg.i = fd.i + 1))),
+ap AS (SELECT lead_a, lead_b, method, loser, target, why FROM lg JOIN fd USING (i)),
+cand AS (SELECT c.*, CASE WHEN (c.lead_a + c.lead_b) % 5 = 1 THEN 'rejected_distinct' WHEN ap.lead_a IS NOT NULL AND why IS NULL THEN 'confirmed_duplicate' ELSE 'pending' END AS status,
+  CASE WHEN (c.lead_a + c.lead_b) % 5 = 1 OR (ap.lead_a IS NOT NULL AND why IS NULL) THEN 'r' || ((c.lead_a + c.lead_b) % 3) END AS reviewer FROM cand0 c LEFT JOIN ap ON ap.lead_a = c.lead_a AND ap.lead_b = c.lead_b AND ap.method = c.method),
+gp AS (SELECT loser AS lead_key, min(target) AS p FROM ap WHERE why IS NULL GROUP BY 1),
+gw(lead_key, p, hops) AS (SELECT lead_key, p, 0 FROM gp UNION ALL SELECT gw.lead_key, gp.p, hops + 1 FROM gw JOIN gp ON gp.lead_key = gw.p WHERE hops < 16),
+gone AS (SELECT lead_key, arg_max(p, hops) AS merged_into FROM gw GROUP BY 1),
+act AS (SELECT * FROM leads WHERE lead_key NOT IN (SELECT lead_key FROM gone))"""
+
+
+_ALL = f"WITH RECURSIVE {_SRC},{_NORM},{_RESOLVE},{_CAND},{_VERIFY},{_scores('x', 'sig')},{_MERGED},{_scores('z', '(SELECT lead_key, NULL::VARCHAR AS mailbox_status, NULL::VARCHAR AS mail_provider, NULL::VARCHAR AS website_status, false AS website_parked, false AS website_live FROM sig)')}\n"
 _ROWS = f"WITH RECURSIVE {_SRC},{_NORM}\n"
 
 
 
 
 _pages_host = "lower(regexp_extract(url, '^https?://([^/?#:]*)', 1))"
-_compared = [("display_name", "display_name"), ("entity_kind", "entity_kind"), ("category_slug", "category_slug"), ("location_slug", "location_slug"), ("company_domain", "company_domain"), *[(k, f"(SELECT min(value) FROM ident i WHERE i.lead_key = l.lead_key AND kind = '{k}' AND is_primary)") for k in ("email", "phone", "website")]]
+_compared = [("display_name", "display_name"), ("entity_kind", "entity_kind"), ("category_slug", "category_slug"), ("location_slug", "location_slug"), ("company_domain", "company_domain"), *[(k, f"(SELECT min(value) FROM ident i WHERE i.lead_key = l.lead_key AND kind = '{k}' AND is_primary)") for k in ("email", "phone", "website")], ("score", "(SELECT printf('%.1f', round_even(score, 1)) FROM xscore x WHERE x.lead_key = l.lead_key)")]
 
 _QUERIES = {
     "scan_union_batches": "SELECT batch, batch_seq, count(*) AS n, min(row_no) AS first_row, max(row_no) AS last_row FROM src GROUP BY ALL",
@@ -208,7 +223,8 @@ _QUERIES = {
     "merge_identifiers": "SELECT lead_key, kind, value, is_primary, CAST(confidence AS DOUBLE) AS confidence FROM ident",
     "follower_observations": "SELECT * FROM obs",
     "source_queries": "SELECT lead_key, matched_query AS query, bool_and(source_inferred) AS inferred FROM rows_ WHERE matched_query IS NOT NULL GROUP BY ALL",
-    "weak_labels": "SELECT lead_key, min(relevance) AS label FROM rows_ WHERE relevance IS NOT NULL GROUP BY 1",
+    "weak_labels": "SELECT lead_key, 'relevance' AS dimension, arg_min(relevance, row_id) AS label, 'weak_relevance' AS label_source FROM rows_ WHERE relevance IS NOT NULL GROUP BY 1",
+    "labels_by_source": "SELECT 'weak_relevance' AS label_source, count(DISTINCT lead_key) AS n FROM rows_ WHERE relevance IS NOT NULL",
     "latest_followers": "SELECT lead_key, latest_followers FROM leads",
     "companies": "SELECT cn.domain, name, website, branches, branches > 1 AS multi_branch FROM cn LEFT JOIN cu ON cu.domain = cn.domain",
     "companies_page": "SELECT cn.domain, name, coalesce(n, 0) AS branch_count, locations FROM cn LEFT JOIN (SELECT company_domain, count(*) AS n, array_to_string(list_sort(list(DISTINCT location_name)), ',') AS locations FROM act GROUP BY 1) a ON a.company_domain = cn.domain WHERE coalesce(n, 0) >= 2 ORDER BY branch_count DESC, cn.domain LIMIT 50",
@@ -227,7 +243,8 @@ _QUERIES = {
     "verify_report": "SELECT CAST(sum(n) AS BIGINT) AS addresses, count(*) AS domains, CAST(sum(n) - count(*) AS BIGINT) AS saved, count(*) FILTER (WHERE fresh) AS cache_hits FROM dm LEFT JOIN dx USING (domain)",
     "leads_active": "SELECT lead_key FROM act",
     "filter_search": "SELECT lead_key FROM act WHERE contains(lower(display_name), 'clinic') OR contains(normalized_name, 'clinic') OR lead_key IN (SELECT lead_key FROM ident WHERE contains(lower(value), 'clinic'))",
-    "filter_dims": "SELECT lead_key FROM act WHERE category_slug IN ('technology', 'real_estate') AND location_state IN ('ASIA', 'EUROPE')",
+    "filter_dims": "SELECT lead_key FROM act WHERE category_slug IN ('technology', 'real_estate') AND location_state IN ('ASIA', 'EUROPE') AND location_slug IN ('china', 'japan', 'asia', 'france', 'europe')",
+    "filter_location": "SELECT lead_key FROM leads WHERE location_slug IN ('asia', 'china', 'france')",
     "filter_entity_kind": "SELECT lead_key FROM act WHERE entity_kind = 'business' AND NOT is_placeholder",
     "filter_owned_website": "SELECT lead_key FROM act WHERE company_domain IS NOT NULL",
     "filter_multi_branch": "SELECT lead_key FROM (SELECT lead_key, company_domain, count(*) OVER (PARTITION BY company_domain) AS n FROM act) WHERE company_domain IS NOT NULL AND n > 1",
@@ -245,8 +262,24 @@ _QUERIES = {
     "lead_summary": "SELECT a.lead_key, display_name, entity_kind, channels, primary_email, primary_phone, primary_website, followers, observations, changed, coalesce(n, 0) AS issue_count, CASE WHEN primary_email IS NOT NULL THEN coalesce(mailbox_status, 'unknown') END AS mailbox_status, CASE WHEN company_domain IS NOT NULL THEN coalesce(website_status, 'unknown') END AS website_status FROM act a LEFT JOIN (SELECT lead_key, array_to_string(list_sort(list(DISTINCT kind)), ',') AS channels, min(value) FILTER (WHERE kind = 'email' AND is_primary) AS primary_email, min(value) FILTER (WHERE kind = 'phone' AND is_primary) AS primary_phone, min(value) FILTER (WHERE kind = 'website' AND is_primary) AS primary_website FROM ident GROUP BY 1) i ON i.lead_key = a.lead_key LEFT JOIN (SELECT lead_key, arg_max(value, batch_seq) AS followers, count(*) AS observations, count(DISTINCT value) > 1 AS changed FROM obs GROUP BY 1) o ON o.lead_key = a.lead_key LEFT JOIN (SELECT lead_key, count(*) AS n FROM iss GROUP BY 1) s ON s.lead_key = a.lead_key LEFT JOIN sig ON sig.lead_key = a.lead_key",
     "followers_rollup": "SELECT lead_key, arg_max(value, batch_seq) AS value, count(*) AS observations, count(DISTINCT value) > 1 AS changed FROM obs GROUP BY 1",
     "verification_tristate": "SELECT l.lead_key, CASE WHEN l.lead_key IN (SELECT lead_key FROM ident WHERE kind = 'email') THEN coalesce(mailbox_status, 'unknown') END AS mailbox_status, CASE WHEN company_domain IS NOT NULL THEN coalesce(website_status, 'unknown') END AS website_status, coalesce(company_domain IS NOT NULL AND website_live, false) AS is_live, coalesce(company_domain IS NOT NULL AND website_parked, false) AS is_parked FROM leads l LEFT JOIN sig ON sig.lead_key = l.lead_key",
-    "lead_detail": "SELECT lead_key, display_name, (SELECT count(*) FROM ident i WHERE i.lead_key = l.lead_key) AS n_identifiers, (SELECT count(*) FROM obs i WHERE i.lead_key = l.lead_key) AS n_metrics, (SELECT count(*) FROM iss i WHERE i.lead_key = l.lead_key) AS n_issues FROM leads l WHERE lead_key = 10000008",
-    "provenance": "SELECT lead_key, batch, row_no, row_id FROM rows_",
+    "lead_detail": """SELECT l.lead_key, display_name, entity_kind, category_slug, location_slug, company_domain,
+  (SELECT array_to_string(list_sort(list(DISTINCT kind)), ',') FROM ident i WHERE i.lead_key = l.lead_key) AS channels,
+  """ + ", ".join(f"(SELECT min(value) FROM ident i WHERE i.lead_key = l.lead_key AND kind = '{k}' AND is_primary) AS primary_{k}" for k in ("email", "phone", "website")) + """,
+  (SELECT arg_max(value, batch_seq) FROM obs o WHERE o.lead_key = l.lead_key) AS followers, (SELECT count(*) FROM iss i WHERE i.lead_key = l.lead_key) AS issue_count,
+  CASE WHEN EXISTS (SELECT 1 FROM ident i WHERE i.lead_key = l.lead_key AND kind = 'email') THEN coalesce(mailbox_status, 'unknown') END AS mailbox_status, CASE WHEN company_domain IS NOT NULL THEN coalesce(website_status, 'unknown') END AS website_status,
+  nullif((SELECT count(*) FROM cand WHERE lead_a = l.lead_key OR lead_b = l.lead_key), 0) AS candidate_count,
+  (SELECT string_agg(concat_ws('|', kind, value, CAST(is_primary AS VARCHAR)), ';' ORDER BY kind, value, is_primary) FROM ident i WHERE i.lead_key = l.lead_key) AS identifiers,
+  (SELECT string_agg(concat_ws('|', batch_seq, value), ';' ORDER BY batch_seq, value) FROM obs o WHERE o.lead_key = l.lead_key) AS metrics,
+  (SELECT string_agg(q, ';' ORDER BY q) FROM (SELECT DISTINCT matched_query AS q FROM rows_ r WHERE r.lead_key = l.lead_key AND matched_query IS NOT NULL)) AS queries,
+  (SELECT string_agg(field || '|' || code, ';' ORDER BY field, code) FROM iss i WHERE i.lead_key = l.lead_key) AS issues,
+  (SELECT string_agg(s.normalized_name || '|' || s.lead_key, ';' ORDER BY s.normalized_name, s.lead_key) FROM leads s WHERE s.company_domain = l.company_domain AND s.lead_key <> l.lead_key) AS siblings
+  FROM leads l LEFT JOIN sig ON sig.lead_key = l.lead_key WHERE l.lead_key = 10000008""",
+    "provenance": "SELECT lead_key, row_id, CASE WHEN batch_seq = 2 THEN 'supplier' ELSE 'customer' END AS source_file, batch AS source_sheet, row_no, sha256(raw) AS row_sha256, raw FROM (SELECT *, concat(" + ", ".join(f"coalesce('{c}=' || {c} || chr(10), '')" for c in sorted(["name", "email", "phone", "website", "facebook", "city", "followers"])) + ") AS raw FROM rows_)",
+    "merged_leads": "SELECT lead_key, merged_into FROM gone",
+    "review_fold": "SELECT lead_a, lead_b, method, CASE WHEN s = 'confirmed_duplicate' AND (lead_a + lead_b) % 15 = 0 THEN 'rejected_distinct' WHEN s = 'pending' AND (lead_a + lead_b) % 15 = 0 THEN 'rejected_distinct' ELSE s END AS status, CASE WHEN (lead_a + lead_b) % 15 = 0 THEN 'second' WHEN s = 'pending' THEN NULL ELSE 'r' || ((lead_a + lead_b) % 3) END AS reviewer, CASE WHEN s = 'confirmed_duplicate' AND (lead_a + lead_b) % 15 <> 0 THEN loser END AS applied_loser, CASE WHEN s = 'confirmed_duplicate' AND (lead_a + lead_b) % 15 <> 0 THEN target END AS applied_target, CASE WHEN (lead_a + lead_b) % 15 <> 0 THEN why END AS conflict FROM (SELECT lead_a, lead_b, method, CASE WHEN why IS NULL THEN 'confirmed_duplicate' ELSE 'pending' END AS s, loser, target, why FROM ap UNION ALL SELECT lead_a, lead_b, method, 'rejected_distinct', NULL, NULL, NULL FROM cand0 WHERE (lead_a + lead_b) % 5 = 1)",
+    "cluster_sizes": "SELECT n_rows, count(*) AS leads FROM (SELECT lead_key, count(*) AS n_rows FROM rows_ GROUP BY 1) GROUP BY 1",
+    "filter_rubric_version": "SELECT lead_key FROM xscore WHERE round_even(greatest(0.0::DOUBLE, least(100.0::DOUBLE, (coalesce(f_identity_present, 0) * 1 + coalesce(f_contact_reachable, 0) * 3 + coalesce(f_owned_website, 0) * 2) / 6.0::DOUBLE * 100 - CASE WHEN list_contains(codes, 'thin_record') THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END)), 2) >= 55",
+    "reingest_match": """SELECT lead_key, arg_min(stored_key, (CASE kind WHEN 'email' THEN 0 WHEN 'phone' THEN 1 ELSE 2 END, NOT is_primary, value)) AS stored_key, count(DISTINCT stored_key) AS matches FROM id3 JOIN (SELECT kind, value, min(lead_key) AS stored_key FROM id2 GROUP BY 1, 2) USING (kind, value) GROUP BY 1""",
     "company_detail": "SELECT company_domain, string_agg(CAST(lead_key AS VARCHAR), ',' ORDER BY display_name, lead_key) AS branches FROM leads WHERE company_domain = 'biz6.test' GROUP BY 1",
     "category_counts": "SELECT v.slug, count(l.lead_key) FILTER (WHERE g.lead_key IS NULL) AS active, count(l.lead_key) AS total FROM (SELECT DISTINCT slug FROM (VALUES " + ", ".join(f"('{s}')" for _, s in VERTICALS) + ") t(slug)) v LEFT JOIN leads l ON l.category_slug = v.slug LEFT JOIN gone g ON g.lead_key = l.lead_key GROUP BY 1",
     "location_counts": "SELECT v.slug, count(l.lead_key) FILTER (WHERE g.lead_key IS NULL) AS active, count(l.lead_key) AS total FROM (SELECT lower(replace(n_name, '_', '-')) AS slug FROM nation UNION SELECT lower(replace(r_name, ' ', '-')) FROM region) v LEFT JOIN leads l ON l.location_slug = v.slug LEFT JOIN gone g ON g.lead_key = l.lead_key GROUP BY 1",
@@ -269,7 +302,8 @@ _QUERIES = {
     "upsert_identifiers": "SELECT lead_key, kind, value, arg_max(CAST(confidence AS DOUBLE), CASE WHEN row_id >= 30000000 THEN 1 ELSE 0 END) AS confidence FROM id0 GROUP BY 1, 2, 3",
     "upsert_queries": "SELECT lead_key, matched_query AS query, bool_and(batch_seq = 3) AS inferred FROM rows_ WHERE matched_query IS NOT NULL GROUP BY ALL",
     "upsert_issues": "SELECT DISTINCT lead_key, code FROM iss WHERE row_id >= 30000000 OR lead_key NOT IN (SELECT lead_key FROM iss WHERE row_id >= 30000000)",
-    "choose_survivor": "SELECT lead_a, lead_b, CASE WHEN (a.s, a.n, -lead_a) >= (b.s, b.n, -lead_b) THEN lead_a ELSE lead_b END AS survivor FROM (SELECT DISTINCT lead_a, lead_b FROM cand) JOIN (SELECT x.lead_key, round_even(score, 1) AS s, (SELECT count(*) FROM ident i WHERE i.lead_key = x.lead_key) AS n FROM xscore x) a ON a.lead_key = lead_a JOIN (SELECT x.lead_key, round_even(score, 1) AS s, (SELECT count(*) FROM ident i WHERE i.lead_key = x.lead_key) AS n FROM xscore x) b ON b.lead_key = lead_b",
+    "choose_survivor": "SELECT lead_a, lead_b, survivor FROM sv",
+    "profile_signals": ", t AS (" + " UNION ALL ".join(f"SELECT row_id, '{c}' AS signal, {c} AS value FROM norm WHERE {c} IS NOT NULL" for c in ("phone_value", "email_value", "website_value")) + "), g AS (SELECT signal, value, count(*) AS n FROM t GROUP BY ALL HAVING count(*) > 1) SELECT signal, count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows FROM g GROUP BY 1 UNION ALL SELECT 'any', NULL, count(DISTINCT row_id) FROM t JOIN g USING (signal, value)",
     "profile_duplicates": "SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows FROM (SELECT phone_value, count(*) AS n FROM norm WHERE phone_value IS NOT NULL GROUP BY 1 HAVING count(*) > 1)",
     "profile_overlap": "SELECT a.batch AS left, b.batch AS right, count(*) AS shared FROM (SELECT DISTINCT batch, email_value FROM norm WHERE email_value IS NOT NULL) a JOIN (SELECT DISTINCT batch, email_value FROM norm) b ON a.email_value = b.email_value AND a.batch < b.batch GROUP BY 1, 2",
     "profile_agreement": " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) AS n, avg(CASE WHEN a.{f} IS NOT DISTINCT FROM b.{f} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share FROM src a JOIN src b ON a.k = b.k AND a.batch_seq = 1 AND b.batch_seq = 3" for f in ("name", "email", "followers")),
@@ -278,7 +312,7 @@ _QUERIES = {
     "profile_regex_shares": "SELECT 'business' AS test, avg(CASE WHEN regexp_matches(name, '(?i)clinic|ltd') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share FROM src UNION ALL SELECT 'numeric_facebook', avg(CASE WHEN regexp_matches(facebook, '/\\d{8,}$') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FROM src",
     "flagship": "SELECT a.lead_key, display_name, entity_kind, category_slug, company_domain, factors_evaluated FROM act a JOIN xscore USING (lead_key)",
 }
-_ON_ROWS = {"scan_union_batches", "row_hash", "norm_email", "email_classify", "email_lookalike", "norm_phone", "norm_url", "url_classify", "url_handle", "norm_followers", "norm_name", "entity_kind", "norm_city", "norm_category", "normalize_records", "validate_issues", "profile_duplicates", "profile_overlap", "profile_agreement", "profile_crosstab", "profile_completeness", "profile_regex_shares"}
+_ON_ROWS = {"profile_signals", "scan_union_batches", "row_hash", "norm_email", "email_classify", "email_lookalike", "norm_phone", "norm_url", "url_classify", "url_handle", "norm_followers", "norm_name", "entity_kind", "norm_city", "norm_category", "normalize_records", "validate_issues", "profile_duplicates", "profile_overlap", "profile_agreement", "profile_crosstab", "profile_completeness", "profile_regex_shares"}
 _COMPANIES = r""",
 cw AS (SELECT company_domain, lead_key, display_name, string_split(trim(regexp_replace(display_name, '\s+', ' ', 'g')), ' ') AS w FROM leads WHERE company_domain IS NOT NULL),
 cs AS (SELECT company_domain, count(*) AS branches, min(len(w)) AS shortest, arg_min(display_name, lead_key) AS first_name, arg_min(w, lead_key) AS fw FROM cw GROUP BY 1),
@@ -287,11 +321,20 @@ cn AS (SELECT cs.company_domain AS domain, CASE WHEN branches = 1 THEN first_nam
   ELSE upper(left(cs.company_domain, 1)) || substr(split_part(cs.company_domain, '.', 1), 2) END AS name, branches FROM cs LEFT JOIN cp ON cp.company_domain = cs.company_domain),
 cu AS (SELECT domain, value AS website FROM (SELECT domain, value, row_number() OVER (PARTITION BY domain ORDER BY lead_key, value) AS r FROM ident WHERE kind = 'website' AND owned) WHERE r = 1)
 """
-_TAIL = {"companies": _COMPANIES, "companies_page": _COMPANIES}
+_keyed = lambda n, where: f"""
+k{n} AS (SELECT ks.row_id, key FROM ks JOIN norm USING (row_id) WHERE {where}),
+s{n} AS (SELECT row_id AS a, min(row_id) OVER (PARTITION BY key) AS b FROM k{n}),
+e{n} AS (SELECT DISTINCT a, b FROM s{n} WHERE a <> b UNION SELECT DISTINCT b, a FROM s{n} WHERE a <> b),
+r{n}(a, b) AS (SELECT row_id, row_id FROM norm WHERE {where} UNION SELECT r{n}.a, e{n}.b FROM r{n} JOIN e{n} ON r{n}.b = e{n}.a),
+l{n} AS (SELECT a AS row_id, min(b) AS lead_key FROM r{n} GROUP BY a),
+id{n} AS (SELECT *, row_id = min(row_id) OVER (PARTITION BY lead_key, kind) AS is_primary FROM (SELECT l{n}.lead_key, kind, value, min(row_id) AS row_id FROM id0 JOIN l{n} USING (row_id) WHERE kind IN ('email', 'phone', 'facebook') GROUP BY ALL))"""
+_MATCH = "," + _keyed(2, "batch_seq < 3") + "," + _keyed(3, "batch_seq = 3") + "\n"
+_TAIL = {"companies": _COMPANIES, "companies_page": _COMPANIES, "reingest_match": _MATCH}
 _FACTS = ",\nfacts AS (" + " UNION ALL ".join(f"SELECT lead_key, '{n}' AS field, CAST({e} AS VARCHAR) AS value FROM leads l" for n, e in _compared) + ")\n"
 
 _parked = " OR ".join(f"contains(t, '{m}')" for m in fixed.PARKED_MARKERS)
 _title = r"nullif(substr(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), 1, 200), '')"
+_ORDERS = [("o_orderkey", "bigint", "o_orderkey"), ("o_custkey", "bigint", "o_custkey"), ("o_orderstatus", "string", "o_orderstatus"), ("o_totalprice", "double", "CAST(o_totalprice AS DECIMAL(38, 6))"), ("o_orderdate", "timestamp_ntz", "o_orderdate"), ("o_orderpriority", "string", "o_orderpriority")]
 _PLAIN = {
     "remap_defaults": "SELECT CAST(c_custkey AS VARCHAR) AS serial, c_name AS name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment ELSE 'Meta Ads' END AS source, 'Day_3' AS batch, 3 AS batch_seq, true AS source_inferred FROM customer",
     "dim_categories": "SELECT slug, count(*) AS aliases FROM (VALUES " + ", ".join(f"('{a}', '{s}')" for a, s in VERTICALS) + ") t(alias, slug) GROUP BY 1",
@@ -301,9 +344,9 @@ _PLAIN = {
     "html_title": f"SELECT page_id, {_title} AS title FROM pages",
     "html_parked": f"SELECT page_id, {_parked} AS parked FROM (SELECT page_id, lower(coalesce({_title} || ' ', '') || substr(html, 1, 4000)) AS t FROM pages)",
     "token_set_ratio": "WITH p AS (SELECT DISTINCT p_name AS a FROM part), pr AS (SELECT x.a AS a, y.a AS b, x.a AS x, y.a AS y FROM p x JOIN p y ON split_part(x.a, ' ', 1) = split_part(y.a, ' ', 1) AND x.a < y.a)," + _tsr("pr", "a, b") + " SELECT a, b, round_even(score, 6) AS ratio FROM tsr",
-    "labels_by_source": "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL",
     "merge_root": "WITH RECURSIVE w(lead_key, p, hops) AS (SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey > 0 UNION ALL SELECT lead_key, p - (p & -p), hops + 1 FROM w WHERE p > 0 AND hops < 16) SELECT lead_key, min(p) AS root FROM w GROUP BY 1",
-    "profile_columns": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS non_null, count(DISTINCT {c}) AS \"distinct\", CAST(max(length(CAST({c} AS VARCHAR))) AS BIGINT) AS max_length FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")),
+    "profile_columns": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS type, count(v) AS non_null, round_even(100 * count(v) / count(*)::DOUBLE, 2) AS filled, count(DISTINCT v) AS \"distinct\", CAST(max(length(v)) AS BIGINT) AS max_length, min(v) AS sample FROM (SELECT CAST({e} AS VARCHAR) AS v FROM orders)" for c, t, e in _ORDERS),
+    "is_public_ip": "SELECT c_custkey, ip, NOT (" + " OR ".join(f"n BETWEEN {int(x[0])} AND {int(x[-1])}" for x in map(ipaddress.ip_network, fixed.CLOSED_NETWORKS)) + ") AS public FROM (SELECT c_custkey, (c_custkey % 224) || '.' || (c_custkey % 256) || '.' || (c_custkey % 7) || '.1' AS ip, (c_custkey % 224) * 16777216 + (c_custkey % 256) * 65536 + (c_custkey % 7) * 256 + 1 AS n FROM customer)",
     "profile_topk": "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20",
     "profile_quantiles": "SELECT min(l_extendedprice) AS min, quantile_cont(l_extendedprice, 0.25) AS p25, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.75) AS p75, quantile_cont(l_extendedprice, 0.95) AS p95, max(l_extendedprice) AS max, round_even(avg(CASE WHEN l_extendedprice < 1000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS share_below FROM lineitem",
 }

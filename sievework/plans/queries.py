@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from sievework.functions.similarity import token_set_ratio
 from sievework.operators import quality, resolve, review, upsert, verify
 from sievework.plans import serve, stats
 from sievework.plans.serve import Filters
-from sievework.plans.store import NOW, mail_domains, owned_urls, store
+from sievework.plans.store import NOW, mail_domains, owned_urls, store, survivors
 from sievework.sources import batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,7 +105,7 @@ simple("merge_leads", lambda s: s.leads)
 simple("merge_identifiers", lambda s: s.identifiers.select("lead_key", "kind", "value", "is_primary", "confidence"))
 simple("follower_observations", lambda s: s.observations)
 simple("source_queries", lambda s: s.queries)
-simple("weak_labels", lambda s: s.rows.where("relevance is not null").groupBy("lead_key").agg(F.min("relevance").alias("label")))
+simple("weak_labels", lambda s: s.labels)
 simple("latest_followers", lambda s: s.leads.select("lead_key", "latest_followers"))
 simple("companies", lambda s: s.companies)
 simple("companies_multi_branch", lambda s: s.companies.where("multi_branch").select("domain", "branches"))
@@ -164,7 +165,7 @@ def leads_where(name: str, **conditions) -> None:
 
 leads_where("leads_active")
 leads_where("filter_search", q="clinic")
-leads_where("filter_dims", category=("technology", "real_estate"), state=("ASIA", "EUROPE"))
+leads_where("filter_dims", category=("technology", "real_estate"), state=("ASIA", "EUROPE"), location=("china", "japan", "asia", "france", "europe"))
 leads_where("filter_entity_kind", entity_kind=("business",), placeholder_name=False)
 leads_where("filter_owned_website", owned_website=True)
 leads_where("filter_multi_branch", multi_branch=True)
@@ -176,25 +177,40 @@ leads_where("filter_quality", min_quality=40.0, max_quality=75.0)
 leads_where("filter_mailbox_status", mailbox_status="unreachable")
 leads_where("filter_website_status", website_status="verified")
 leads_where("filter_mail_provider", mail_provider="google")
+leads_where("filter_location", location=("asia", "china", "france"), include_merged=True)
 leads_where("filter_issue_code", issue_code="thin_record")
 simple("leads_count", lambda s: serve.filter_leads(s, Filters(has=("phone",))).agg(F.count("*").alias("n")))
 simple("leads_page", lambda s: serve.leads_page(s, Filters(), "-followers", 2, 25).select("lead_key", "display_name", "latest_followers"))
 simple("lead_summary", lambda s: serve.lead_summary(s, serve.active(s)).select("lead_key", "display_name", "entity_kind", "channels", "primary_email", "primary_phone", "primary_website", "followers", "observations", "changed", "issue_count", "mailbox_status", "website_status"))
 simple("followers_rollup", serve.followers_rollup)
 simple("verification_tristate", serve.tristate)
-simple("lead_detail", lambda s: serve.lead_detail(s, 10000008).select("lead_key", "display_name", F.size("identifiers").cast("long").alias("n_identifiers"), F.coalesce(F.size("metrics"), F.lit(0)).cast("long").alias("n_metrics"), F.size("issues").cast("long").alias("n_issues")))
-simple("provenance", lambda s: s.rows.select("lead_key", "batch", "row_no", "row_id"))
+
+
+@query("lead_detail")
+def lead_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One lead with all its children, as text."""
+    d = serve.lead_detail(store(spark, sf_dir), 10000008)
+    text = lambda c, f: F.array_join(F.transform(c, f), ";").alias(c)
+    join = lambda *p: F.concat_ws("|", *p)
+    return d.select(
+        "lead_key", "display_name", "entity_kind", "category_slug", "location_slug", "company_domain", "channels", "primary_email", "primary_phone", "primary_website", "followers", "issue_count", "mailbox_status", "website_status", "candidate_count",
+        text("identifiers", lambda x: join(x.kind, x.value, x.is_primary.cast("string"))), text("metrics", lambda x: join(x.batch_seq.cast("string"), x.value.cast("string"))), text("queries", lambda x: x.query),
+        text("issues", lambda x: join(x.field, x.code)), text("siblings", lambda x: join(x.normalized_name, x.key.cast("string"))),
+    )
+
+
+simple("provenance", lambda s: resolve.provenance(s.rows, batches.RAW))
 simple("companies_page", lambda s: serve.companies_page(s, min_branches=2, size=50).select("domain", "name", "branch_count", "locations"))
 simple("company_detail", lambda s: serve.company_detail(s, "biz6.test").select("company_domain", F.array_join(F.transform("branches", lambda x: x.cast("string")), ",").alias("branches")))
 QUERIES["category_counts"] = lambda spark, d: serve.dim_counts(store(spark, d), "category_slug", batches.taxonomy(spark), "slug")
 QUERIES["location_counts"] = lambda spark, d: serve.dim_counts(store(spark, d), "location_slug", batches.gazetteer(spark, d).where("slug is not null"), "slug")
 simple("review_queue", lambda s: serve.review_queue(s, sort="-confidence", size=50).select("lead_a", "lead_b", "method", "confidence"))
-simple("pair_comparison", lambda s: serve.pair_comparison(s).where("field <> 'score'"))
+simple("pair_comparison", serve.pair_comparison)
 
 # Statistics.
 simple("identifiers_by_kind", lambda s: s.identifiers.groupBy("kind").agg(F.count("*").alias("n")))
 simple("leads_by_entity_kind", lambda s: serve.active(s).groupBy("entity_kind").agg(F.count("*").alias("n")))
-QUERIES["labels_by_source"] = lambda spark, d: batches.table(spark, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+simple("labels_by_source", lambda s: s.labels.groupBy("label_source").agg(F.count("*").alias("n")))
 simple("corpus_stats", stats.corpus_stats)
 simple("quality_stats", lambda s: stats.quality_stats(s).select("n", F.bround("mean", 1).alias("mean"), F.bround("p10", 1).alias("p10"), F.bround("p50", 1).alias("p50"), F.bround("p90", 1).alias("p90")))
 simple("quality_histogram", stats.quality_histogram)
@@ -230,10 +246,27 @@ simple("upsert_issues", lambda s: upsert.replace_for(*[s.issues.join(s.rows.wher
 @query("choose_survivor")
 def choose_survivor(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = store(spark, sf_dir)
-    n = s.identifiers.groupBy("lead_key").agg(F.count("*").alias("n_identifiers"))
-    # scores at one decimal, so that both engines' last digits agree
-    leads = s.leads.select("lead_key").join(s.scores.select("lead_key", F.bround("score", 1).alias("score")), "lead_key").join(n, "lead_key")
-    return review.choose_survivor(s.candidates.select("lead_a", "lead_b").distinct(), leads)
+    return survivors(s.candidates, s.leads, s.scores, s.identifiers)
+
+
+simple("merged_leads", serve.merged_leads)
+
+
+@query("reingest_match")
+def reingest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads of batch 3 by itself against leads of batches 1 and 2, as stored before it came."""
+    rows = store(spark, sf_dir).rows.drop("lead_key")
+    old, new = (resolve.merge_identifiers(resolve.resolve(rows.where(c))) for c in ("batch_seq < 3", "batch_seq = 3"))
+    return resolve.match_stored(new, old)
+
+
+@query("filter_rubric_version")
+def filter_rubric_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads by their score of another rubric, stored beside the current one."""
+    s = store(spark, sf_dir)
+    other = quality.Rubric(version="0.9", weights={"contact_reachable": 3.0, "owned_website": 2.0, "identity_present": 1.0}, penalties={"thin_record": 20.0}, most_penalty=10.0)
+    more = quality.add_scores(quality.add_factors(quality.lead_facts(s.leads, s.identifiers, s.signals, s.issues), other), other).select(*s.scores.columns)
+    return serve.filter_leads(replace(s, scores=s.scores.union(more)), Filters(min_quality=55.0, rubric_version="0.9", include_merged=True)).select("lead_key")
 
 
 @query("merge_root")
@@ -245,16 +278,19 @@ def merge_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("review_fold")
 def review_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recorded decisions, and after them a rejection of every third confirmed pair."""
     s = store(spark, sf_dir)
-    log = s.decisions.select("seq", "lead_a", "lead_b", "decision", "reviewer", F.when(F.col("decision") == "confirmed_duplicate", F.col("lead_a")).alias("survivor"))
-    return review.fold_decisions(log)
+    again = s.decisions.where("decision = 'confirmed_duplicate' and (lead_a + lead_b) % 15 = 0").withColumn("seq", F.col("seq") + 1_000_000_000_000_000_000).withColumn("decision", F.lit("rejected_distinct")).withColumn("reviewer", F.lit("second"))
+    return review.fold_decisions(s.decisions.union(again), survivors(s.candidates, s.leads, s.scores, s.identifiers))
 
 
 # Profiles.
-QUERIES["profile_columns"] = lambda spark, d: stats.profile_columns(batches.table(spark, d, "orders").drop("o_orderdate", "o_totalprice"))
+QUERIES["profile_columns"] = lambda spark, d: stats.profile_columns(batches.table(spark, d, "orders"))
 QUERIES["profile_topk"] = lambda spark, d: stats.top_values(batches.table(spark, d, "lineitem"), "l_partkey", 20)
 source("profile_duplicates", lambda r: stats.duplicate_groups(nz.add_phone(r), "phone_value"))
 QUERIES["profile_quantiles"] = lambda spark, d: stats.quantiles(batches.table(spark, d, "lineitem"), "l_extendedprice", 1000.0).withColumn("share_below", F.bround("share_below", 9))
+source("profile_signals", lambda r: stats.duplicate_signals(nz.add_url(nz.add_phone(nz.add_email(r))), ["phone_value", "email_value", "website_value"]))
+simple("cluster_sizes", lambda s: stats.cluster_sizes(s.rows))
 source("profile_overlap", lambda r: stats.overlap(nz.add_email(r), "email_value", "batch"))
 source("profile_agreement", lambda r: stats.agreement(r.where("batch_seq = 1").select("k", "name", "email", "followers"), r.where("batch_seq = 3").select("k", "name", "email", "followers"), "k", ["name", "email", "followers"]))
 source("profile_crosstab", lambda r: stats.crosstab(r.where("fb_category is not null"), "batch", "fb_category"))

@@ -8,6 +8,7 @@ from math import ceil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.functions import fixed
 from sievework.plans.store import Store
 
 
@@ -39,6 +40,7 @@ class Filters:
     website_status: str | None = None
     mail_provider: str | None = None
     issue_code: str | None = None
+    rubric_version: str | None = None
     include_unmeasured: bool = False
 
 
@@ -48,14 +50,19 @@ def like(c, text: str):
 
 
 def merged_leads(s: Store) -> DataFrame:
-    """lead_key, merged_into of the leads that confirmed pairs take into the other one (the smaller key stays)."""
-    return s.candidates.where("status = 'confirmed_duplicate'").groupBy(F.col("lead_b").alias("lead_key")).agg(F.min("lead_a").alias("merged_into"))
+    """lead_key, merged_into of the leads that applied confirmations took into the survivor that was chosen, at the end of its chain."""
+    return s.merges
 
 
 def active(s: Store) -> DataFrame:
     return s.leads.join(merged_leads(s), "lead_key", "left_anti")
 
 
+def current_scores(s: Store, version: str | None = None) -> DataFrame:
+    """Scores of one rubric, the current one by default; a store keeps those of every rubric it was scored by."""
+    return s.scores.where(F.col("rubric_version") == (version or fixed.RUBRIC_VERSION))
+
+
 def filter_leads(s: Store, f: Filters) -> DataFrame:
     out = s.leads if f.include_merged else active(s)
     ids = s.identifiers
@@ -84,7 +91,7 @@ def filter_leads(s: Store, f: Filters) -> DataFrame:
     if f.max_followers is not None:
         out = out.where(F.col("latest_followers") <= f.max_followers)
     if f.min_quality is not None or f.max_quality is not None:
-        good = s.scores
+        good = current_scores(s, f.rubric_version)
         good = good if f.min_quality is None else good.where(F.col("score") >= f.min_quality)
         out = semi(good if f.max_quality is None else good.where(F.col("score") <= f.max_quality))
     mail = ids.where("kind = 'email'")
@@ -126,8 +133,14 @@ def page_count(total: int, size: int) -> int:
     return ceil(total / min(size, 200))
 
 
+def page_envelope(items: DataFrame, number: int = 1, size: int = 25) -> dict:
+    """What a page is served in: its rows, the exact count of all, and where it stands; one count over the filtered rows."""
+    total = items.count()
+    return {"items": page(items, number, size), "total": total, "page": number, "page_size": min(size, 200), "page_count": page_count(total, size)}
+
+
 def leads_page(s: Store, f: Filters, sort: str = "-quality", number: int = 1, size: int = 25) -> DataFrame:
-    scored = filter_leads(s, f).join(s.scores.select("lead_key", "score"), "lead_key", "left")
+    scored = filter_leads(s, f).join(current_scores(s).select("lead_key", "score"), "lead_key", "left")
     return page(order(scored, sort, SORTS, ("lead_key",)), number, size)
 
 
@@ -148,7 +161,7 @@ def lead_summary(s: Store, leads: DataFrame) -> DataFrame:
     ids = s.identifiers.groupBy("lead_key").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("channels"), *[F.min(F.when((F.col("kind") == k) & F.col("is_primary"), F.col("value"))).alias(f"primary_{k}") for k in ("email", "phone", "website")])
     issues = s.issues.groupBy("lead_key").agg(F.count("*").alias("issue_count"))
     out = leads.select("lead_key", "display_name", "entity_kind", "category_slug", "location_slug", "company_domain")
-    for child in (ids, followers_rollup(s).withColumnRenamed("value", "followers"), issues, s.scores.select("lead_key", "score"), tristate(s), merged_leads(s)):
+    for child in (ids, followers_rollup(s).withColumnRenamed("value", "followers"), issues, current_scores(s).select("lead_key", "score"), tristate(s), merged_leads(s)):
         out = out.join(child, "lead_key", "left")
     return out.withColumn("issue_count", F.coalesce("issue_count", F.lit(0)))
 
@@ -166,7 +179,7 @@ def lead_detail(s: Store, lead_key: int) -> DataFrame:
 
 
 def companies_page(s: Store, q: str | None = None, min_branches: int = 1, sort: str = "-branches", number: int = 1, size: int = 25) -> DataFrame:
-    own = active(s).where("company_domain is not null").join(s.scores.select("lead_key", "score"), "lead_key", "left")
+    own = active(s).where("company_domain is not null").join(current_scores(s).select("lead_key", "score"), "lead_key", "left")
     agg = own.groupBy(F.col("company_domain").alias("domain")).agg(F.count("*").alias("branch_count"), F.array_join(F.array_sort(F.collect_set("location_name")), ",").alias("locations"), F.bround(F.avg("score"), 2).alias("mean_score"))
     out = s.companies.select("domain", "name").join(agg, "domain", "left").withColumn("branch_count", F.coalesce("branch_count", F.lit(0)))
     if q:
@@ -177,7 +190,7 @@ def companies_page(s: Store, q: str | None = None, min_branches: int = 1, sort:
 
 
 def company_detail(s: Store, domain: str) -> DataFrame:
-    own = s.leads.where(F.col("company_domain") == domain).join(s.scores.select("lead_key", "score"), "lead_key", "left")
+    own = s.leads.where(F.col("company_domain") == domain).join(current_scores(s).select("lead_key", "score"), "lead_key", "left")
     return own.groupBy("company_domain").agg(F.transform(F.array_sort(F.collect_list(F.struct("display_name", "lead_key"))), lambda x: x.lead_key).alias("branches"), F.avg("score").alias("mean_score"))
 
 
@@ -218,7 +231,7 @@ COMPARED = ["display_name", "entity_kind", "category_slug", "location_slug", "co
 def pair_comparison(s: Store) -> DataFrame:
     """lead_a, lead_b, method, field, value_a, value_b, agrees (null unless both are there) of every candidate."""
     primary = s.identifiers.where("is_primary").groupBy("lead_key").agg(*[F.min(F.when(F.col("kind") == k, F.col("value"))).alias(k) for k in ("email", "phone", "website")])
-    facts = s.leads.join(primary, "lead_key", "left").join(s.scores.select("lead_key", F.format_string("%.1f", F.bround("score", 1)).alias("score")), "lead_key", "left")
+    facts = s.leads.join(primary, "lead_key", "left").join(current_scores(s).select("lead_key", F.format_string("%.1f", F.bround("score", 1)).alias("score")), "lead_key", "left")
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in COMPARED])
     tall = facts.select("lead_key", each.alias("fields"))
     side = lambda p: tall.select(F.col("lead_key").alias(f"lead_{p}"), F.col("fields").alias(f"f{p}"))

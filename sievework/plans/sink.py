@@ -9,19 +9,51 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import fixed
+from sievework.operators import resolve
 from sievework.operators.upsert import Table, insert_new, replace_for, upsert
 from sievework.plans import stats
 from sievework.plans.store import Store
+from sievework.scratch import materialize
 
 #: Natural keys, and columns whose old value stays.
-KEYS = {"rows": ["row_id"], "leads": ["lead_key"], "identifiers": ["lead_key", "kind", "value"], "observations": ["lead_key", "batch"], "companies": ["domain"], "domain_cache": ["domain"], "url_cache": ["url"], "scores": ["lead_key", "rubric_version"], "candidates": ["lead_a", "lead_b", "method"], "gazetteer": ["key"], "signals": ["lead_key"]}
+KEYS = {"rows": ["row_id"], "leads": ["lead_key"], "identifiers": ["lead_key", "kind", "value"], "observations": ["lead_key", "batch"], "companies": ["domain"], "domain_cache": ["domain"], "url_cache": ["url"], "scores": ["lead_key", "rubric_version"], "candidates": ["lead_a", "lead_b", "method"], "gazetteer": ["key"], "signals": ["lead_key"], "merges": ["lead_key"], "labels": ["lead_key", "dimension", "label_source"]}
 KEEP = {"leads": ("first_batch",), "candidates": ("status", "reviewer")}
 FILL = {"companies": ("name", "website")}
 RUNS = "run_id string, source string, source_sha256 string, status string, rubric_version string, started_at timestamp_ntz, finished_at timestamp_ntz, stats string"
 
 
+def rekeyed(s: Store, stored: DataFrame) -> Store:
+    """``s`` with the keys of the ``stored`` leads that its leads match by identity key.
+
+    Of several stored leads the first in the order of ``match_stored`` is taken; the others stay as
+    they are, for review.
+    """
+    found = materialize(resolve.match_stored(s.identifiers, stored).where("lead_key <> stored_key").select("lead_key", "stored_key"), "matched")
+
+    def renamed(df: DataFrame, key: str) -> DataFrame:
+        own = found.select(F.col("lead_key").alias("_k"), F.col("stored_key").alias("_s"))
+        out = df.join(own, F.col(key) == F.col("_k"), "left").withColumn(key, F.coalesce("_s", key))
+        return out.select(*df.columns)
+
+    new = {}
+    for f in fields(s):
+        df = getattr(s, f.name)
+        for key in ("lead_key", "merged_into", "lead_a", "lead_b"):
+            df = renamed(df, key) if key in df.columns else df
+        if "lead_a" in df.columns:  # a pair keeps its smaller key first, and is none if both became one lead
+            df = df.where("lead_a <> lead_b").withColumn("_a", F.least("lead_a", "lead_b")).withColumn("lead_b", F.greatest("lead_a", "lead_b")).withColumn("lead_a", F.col("_a")).drop("_a")
+        new[f.name] = df
+    return Store(**new)
+
+
 def save(s: Store, path: str) -> dict[str, DataFrame]:
-    """Upsert every table under ``path``; issues of re-ingested leads are replaced, queries and decisions only added to."""
+    """Upsert every table under ``path``; issues of re-ingested leads are replaced, queries and decisions only added to.
+
+    A lead that has an identity key of a stored one is that lead, whatever number its rows give it.
+    """
+    stored = Table(s.rows.sparkSession, f"{path}/identifiers").read()
+    if stored is not None:
+        s = rekeyed(s, stored)
     out = {}
     for f in fields(s):
         new, t = getattr(s, f.name), Table(s.rows.sparkSession, f"{path}/{f.name}")

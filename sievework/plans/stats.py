@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import fixed
-from sievework.plans.serve import active, merged_leads
+from sievework.plans.serve import active, current_scores, merged_leads
 from sievework.plans.store import NOW, Store
+from sievework.scratch import materialize
 
 
 def reconcile(s: Store) -> DataFrame:
@@ -26,7 +27,7 @@ def corpus_stats(s: Store) -> DataFrame:
 
 
 def active_scores(s: Store) -> DataFrame:
-    return active(s).select("lead_key").join(s.scores, "lead_key")
+    return active(s).select("lead_key").join(current_scores(s), "lead_key")
 
 
 def quality_stats(s: Store) -> DataFrame:
@@ -51,7 +52,7 @@ def quality_histogram(s: Store) -> DataFrame:
 
 
 def quality_deciles(s: Store) -> DataFrame:
-    return s.scores.groupBy(F.least(F.floor(F.col("score") / 10) * 10, F.lit(90)).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
+    return current_scores(s).groupBy(F.least(F.floor(F.col("score") / 10) * 10, F.lit(90)).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def coverage(cache: DataFrame, name: str, now: str = NOW) -> DataFrame:
@@ -75,10 +76,27 @@ def review_stats(s: Store) -> DataFrame:
 # Profiles of any table.
 
 
+def as_text(df: DataFrame, column: str):
+    """A value as text: fractions with six decimals, so that engines agree; the others as they are written."""
+    c = F.col(f"`{column}`")
+    return c.cast("decimal(38,6)").cast("string") if df.schema[column].dataType.typeName() in ("double", "float") else c.cast("string")
+
+
 def profile_columns(df: DataFrame) -> DataFrame:
-    """column, non_null, distinct, max_length of each column, in one pass over the table."""
-    own = [F.struct(F.lit(c).alias("column"), F.count(c).alias("non_null"), F.countDistinct(c).alias("distinct"), F.max(F.length(F.col(c).cast("string"))).cast("long").alias("max_length")) for c in df.columns]
-    return df.agg(F.array(*own).alias("a")).select(F.explode("a").alias("x")).select("x.*")
+    """column, type, non_null, filled (%), distinct, max_length, sample of each column.
+
+    Values are counted by (column, value) first, partially aggregated on either side of the shuffle, so
+    no task holds a column's distinct values; ``sample`` is the smallest value as text. A table
+    without rows gives zeros and nulls.
+    """
+    fields = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+    each = F.array(*[F.struct(F.lit(i).alias("i"), as_text(df, name).alias("value")) for i, (name, _) in enumerate(fields)])
+    by_value = df.select(F.explode(each).alias("x")).groupBy("x.i", "x.value").agg(F.count("*").alias("n"))
+    has = F.col("value").isNotNull()
+    found = by_value.groupBy("i").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(has, F.col("n"))), F.lit(0)).alias("non_null"), F.count("value").alias("distinct"), F.max(F.length("value")).cast("long").alias("max_length"), F.min("value").alias("sample"))
+    names = df.sparkSession.createDataFrame([(i, *f) for i, f in enumerate(fields)], "i int, column string, type string")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return names.join(found, "i", "left").select("column", "type", zero("non_null").alias("non_null"), F.bround(100 * F.col("non_null") / F.col("rows"), 2).alias("filled"), zero("distinct").alias("distinct"), "max_length", "sample")
 
 
 def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
@@ -90,9 +108,43 @@ def duplicate_groups(df: DataFrame, column: str) -> DataFrame:
     return n.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
 
 
-def quantiles(df: DataFrame, column: str, below: float) -> DataFrame:
-    c = F.col(column).cast("double")
-    return df.where(F.col(column).isNotNull()).agg(F.min(c).alias("min"), *[F.percentile(c, F.lit(p)).alias(f"p{round(p * 100)}") for p in (0.25, 0.5, 0.75, 0.95)], F.max(c).alias("max"), F.avg((c < below).cast("double")).alias("share_below"))
+def quantiles(df: DataFrame, column: str, below: float, at: tuple[float, ...] = (0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """min, p<percent> ..., max, share_below: exact quantiles, interpolated between the two nearest values.
+
+    Values are counted, dealt by range and counted on from one range to the next: the only window
+    over everything has one row for each range. A table without values gives one row of nulls.
+    """
+    x = F.col(column).cast("double")
+    counts = df.where(x.isNotNull()).groupBy(x.alias("x")).agg(F.count("*").alias("n"))
+    dealt = materialize(counts.repartitionByRange("x").withColumn("part", F.spark_partition_id()), "quantiles")
+    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("part").agg(F.sum("n").alias("s")).select("part", F.coalesce(F.sum("s").over(whole), F.lit(0)).alias("before"), F.sum("s").over(Window.partitionBy()).alias("total"))
+    placed = dealt.join(before, "part").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("x")))
+    rank = lambda p: F.lit(float(p)) * (F.col("total") - 1)
+    value = lambda r: F.min(F.when(F.col("upto") > r, F.col("x")))
+    ends = [c for i, p in enumerate(at) for c in (value(F.floor(rank(p))).alias(f"lo{i}"), value(F.ceil(rank(p))).alias(f"hi{i}"))]
+    out = placed.agg(F.min("x").alias("min"), F.max("x").alias("max"), F.max("total").alias("total"), F.sum(F.when(F.col("x") < below, F.col("n")).otherwise(0)).alias("less"), *ends)
+
+    def between(i: int, p: float):
+        low, high, r = F.col(f"lo{i}"), F.col(f"hi{i}"), rank(p)
+        return F.when(low == high, low).otherwise((F.ceil(r) - r) * low + (r - F.floor(r)) * high)
+
+    return out.select("min", *[between(i, p).alias(f"p{round(p * 100)}") for i, p in enumerate(at)], "max", (F.col("less") / F.col("total")).alias("share_below"))
+
+
+def cluster_sizes(rows: DataFrame) -> DataFrame:
+    """n_rows, leads: how many leads have how many rows."""
+    return rows.groupBy("lead_key").agg(F.count("*").alias("n_rows")).groupBy("n_rows").agg(F.count("*").alias("leads"))
+
+
+def duplicate_signals(df: DataFrame, columns: list[str]) -> DataFrame:
+    """signal, groups, rows of every column, and "any": the rows that share a value of at least one."""
+    each = F.array(*[F.struct(F.lit(c).alias("signal"), F.col(c).cast("string").alias("value")) for c in columns])
+    tall = df.select("row_id", F.explode(each).alias("s")).select("row_id", "s.*").where("value is not null")
+    shared = tall.groupBy("signal", "value").agg(F.count("*").alias("n")).where("n > 1")
+    by = shared.groupBy("signal").agg(F.count("*").alias("groups"), F.sum("n").alias("rows"))
+    rows = tall.join(shared.select("signal", "value"), ["signal", "value"], "left_semi").select("row_id").distinct()
+    return by.union(rows.agg(F.lit("any").alias("signal"), F.lit(None).cast("long").alias("groups"), F.count("*").alias("rows")))
 
 
 def overlap(df: DataFrame, column: str, by: str) -> DataFrame:

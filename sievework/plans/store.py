@@ -47,6 +47,8 @@ class Store:
     signals: DataFrame
     scores: DataFrame
     gazetteer: DataFrame
+    merges: DataFrame
+    labels: DataFrame
 
 
 def _digit(c: str) -> F.Column:
@@ -88,9 +90,8 @@ def owned_urls(identifiers: DataFrame) -> DataFrame:
 
 def ingest(spark: SparkSession, sf_dir: str) -> Store:
     gaz = batches.gazetteer(spark, sf_dir)
-    raw = rules.add_rule_codes(normalize_rows(batches.source_rows(spark, sf_dir), gaz, batches.taxonomy(spark)))
     with plain_constraints(spark):
-        normalized = materialize(raw, "normalized")
+        normalized = materialize(rules.add_rule_codes(normalize_rows(batches.source_rows(spark, sf_dir), gaz, batches.taxonomy(spark), materialize)), "normalized")
     rows = resolve.resolve(normalized)
     issues = rules.issues(rows).join(rows.select("row_id", "lead_key"), "row_id")
     identifiers = materialize(resolve.merge_identifiers(rows), "identifiers")
@@ -102,20 +103,50 @@ def ingest(spark: SparkSession, sf_dir: str) -> Store:
     scores = quality.add_scores(quality.add_factors(quality.lead_facts(leads, identifiers, signals, issues)))
     keep = ["lead_key", "score", "base", "penalty_total", "penalties", "factors_evaluated", "weight_available", "rubric_version", *[f"f_{n}" for n in fixed.WEIGHTS]]
     pairs = materialize(resolve.candidates(rows), "candidates")
-    turn = (F.col("lead_a") + F.col("lead_b")) % 5
-    log = pairs.where(turn <= 1).select(F.xxhash64("lead_a", "lead_b", "method").alias("seq"), "lead_a", "lead_b", "method", F.when(turn == 0, "confirmed_duplicate").otherwise("rejected_distinct").alias("decision"), F.concat(F.lit("r"), ((F.col("lead_a") + F.col("lead_b")) % 3).cast("string")).alias("reviewer"))
+    scores = materialize(scores.select(*keep), "scores")
+    log = decisions(pairs)
+    folded = materialize(review.fold_decisions(log, survivors(pairs, leads, scores, identifiers)), "folded")
     return Store(
         rows=rows, issues=issues, leads=leads, identifiers=identifiers, observations=resolve.observations(rows), queries=resolve.source_queries(rows), companies=materialize(resolve.companies(leads, identifiers), "companies"),
-        candidates=review.latest_status(pairs, log), decisions=log, domain_cache=domains, url_cache=sites, signals=signals, scores=materialize(scores.select(*keep), "scores"), gazetteer=gaz,
+        candidates=materialize(review.with_status(pairs, folded), "reviewed"), decisions=log, domain_cache=domains, url_cache=sites, signals=signals, scores=scores, gazetteer=gaz, merges=review.pointers(folded), labels=resolve.weak_labels(rows),
     )
 
 
-_STORES: dict[tuple[str, str], Store] = {}
+def decisions(pairs: DataFrame) -> DataFrame:
+    """A recorded log: of candidates whose keys' sum leaves 0 by five a confirmation that names no survivor, 1 a rejection, in the order of the pairs."""
+    turn = (F.col("lead_a") + F.col("lead_b")) % 5
+    seq = (F.col("lead_a") * 1_000_000_000 + F.col("lead_b")) * 2 + (F.col("method") == "shared_website").cast("long")
+    reviewer = F.concat(F.lit("r"), ((F.col("lead_a") + F.col("lead_b")) % 3).cast("string"))
+    return pairs.where(turn <= 1).select(seq.alias("seq"), "lead_a", "lead_b", "method", F.when(turn == 0, "confirmed_duplicate").otherwise("rejected_distinct").alias("decision"), reviewer.alias("reviewer"), F.lit(None).cast("long").alias("survivor"))
+
+
+def survivors(pairs: DataFrame, leads: DataFrame, scores: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """lead_a, lead_b, survivor of each pair, by the score at one decimal, the number of identifiers and age."""
+    n = identifiers.groupBy("lead_key").agg(F.count("*").alias("n_identifiers"))
+    facts = leads.select("lead_key").join(scores.select("lead_key", F.bround("score", 1).alias("score")), "lead_key").join(n, "lead_key")
+    return review.choose_survivor(pairs.select("lead_a", "lead_b").distinct(), facts)
+
+
+#: The tables that an ingest reads.
+INPUTS = ["customer", "supplier", "part", "nation", "region"]
+_STORES: dict[tuple[str, str], tuple[tuple, Store]] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Size, number of files and time of the last change of each input."""
+    out = []
+    for name in INPUTS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        whole = fs.getContentSummary(path)
+        out.append((whole.getLength(), whole.getFileCount(), fs.getFileStatus(path).getModificationTime()))
+    return tuple(out)
 
 
 def store(spark: SparkSession, sf_dir: str) -> Store:
-    """The tables of ``sf_dir``, ingested once in a session."""
+    """The tables of ``sf_dir``, ingested once in a session and again when its files change."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORES:
-        _STORES[key] = ingest(spark, sf_dir)
-    return _STORES[key]
+    state = _state(spark, sf_dir)
+    if _STORES.get(key, (None, None))[0] != state:
+        _STORES[key] = state, ingest(spark, sf_dir)
+    return _STORES[key][1]

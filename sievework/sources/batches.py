@@ -52,10 +52,15 @@ def union_batches(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def row_hash(df: DataFrame, columns: list[str]):
-    """SHA-256 of "key=value" lines in the order of keys; a null value is left out."""
+def row_text(df: DataFrame, columns: list[str]):
+    """"key=value" lines in the order of keys; a null value is left out."""
     parts = [F.concat(F.lit(f"{c}="), F.col(c).cast("string"), F.lit("\n")) for c in sorted(columns)]
-    return F.sha2(F.concat(*[F.coalesce(p, F.lit("")) for p in parts]), 256)
+    return F.concat(*[F.coalesce(p, F.lit("")) for p in parts])
+
+
+def row_hash(df: DataFrame, columns: list[str]):
+    """SHA-256 of a row's text."""
+    return F.sha2(row_text(df, columns), 256)
 
 
 def file_hash(path: str, chunk: int = 1 << 20) -> str:
@@ -107,6 +112,10 @@ def xlsx_batches(spark: SparkSession, path: str, batches: list[Batch]) -> DataFr
     return union_batches(parts)
 
 
+#: The columns of a source row as they were read.
+RAW = ["name", "email", "phone", "website", "facebook", "city", "followers"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -123,7 +132,7 @@ def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.join(part, part.p_partkey == rows.k % 200).join(nation, nation.n_nationkey == rows.nk).join(region, region.r_regionkey == nation.n_regionkey)
     e = F.expr
     return rows.select(
-        "batch", "batch_seq", e("batch_seq * 10000000L + k").alias("row_id"), F.col("k").alias("row_no"), "k",
+        "batch", "batch_seq", e("case when batch_seq = 2 then 'supplier' else 'customer' end").alias("source_file"), e("batch_seq * 10000000L + k").alias("row_id"), F.col("k").alias("row_no"), "k",
         e("case when k % 97 = 0 then 'Advertiser ' || (13000000 + k) when k % 11 = 1 then 'Dr. ' || p_name when k % 11 = 2 then 'UNIT' || (k - k % 3) || '  ' || p_name || ' Pvt Ltd' when k % 11 = 3 then 'Unit' || (k - k % 3) || ' ' || p_name || ' Clinic' else 'Unit' || (k - k % 3) || ' ' || p_name end").alias("name"),
         e("case k % 9 when 0 then ' U' || k || '@Gmail.com ' when 1 then 'u' || k || '@gamil.com' when 2 then 'u' || k || '@gmaill.com' when 3 then 'info@biz' || k || '.test' when 4 then 'sales+x@biz' || k || '.test' when 5 then 'not-an-email' when 6 then 'u' || k || '@mailinator.com' when 8 then 'u' || k || '@yahoo.com' end").alias("email"),
         e("case when k % 50 = 1 then '+91 9' || lpad(k - 1, 9, '0') when k % 23 = 5 then '+91 12' else '+91 9' || lpad(k, 9, '0') end").alias("phone"),

@@ -38,7 +38,7 @@ def rubric(doc: dict[str, Any]) -> dict[str, Any]:
     kinds = (doc.get("parameters") or {}).get("channel_kinds", fixed.CHANNEL_KINDS)
     if unknown := set(kinds) - {"email", "phone", "whatsapp", "website", "facebook", "instagram", "youtube", "linkedin"}:
         raise PolicyError(f"unknown channel kinds {sorted(unknown)}")
-    return {"version": str(doc["version"]), "weights": weights, "penalties": {k: float(v["value"]) for k, v in (doc.get("penalties") or {}).items()}, "most_penalty": float(doc.get("max_total_penalty", fixed.MOST_PENALTY)), "channel_kinds": kinds}
+    return {"version": str(doc["version"]), "weights": weights, "penalties": {k: float(v["value"]) for k, v in (doc.get("penalties") or {}).items()}, "most_penalty": float(doc.get("max_total_penalty", fixed.MOST_PENALTY)), "channel_kinds": list(kinds), "followers_reference": float((doc.get("parameters") or {}).get("followers_reference", fixed.FOLLOWERS_REFERENCE)), "managed_providers": list((doc.get("parameters") or {}).get("managed_mail_providers") or fixed.MANAGED_PROVIDERS)}
 
 
 def gazetteer(spark: SparkSession, doc: dict[str, Any]) -> DataFrame:

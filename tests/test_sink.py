@@ -1,7 +1,10 @@
 import datetime as dt
+from dataclasses import fields
+
+from pyspark.sql import functions as F
 
 from sievework.plans import sink, stats
-from sievework.plans.store import store
+from sievework.plans.store import Store, store
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,6 +17,22 @@ def test_saving_twice_changes_nothing(spark, tmp_path):
     assert stats.reconcile(sink.load(spark, path)).first() == stats.reconcile(s).first()
 
 
+def test_leads_that_come_again_under_other_numbers_are_the_stored_ones(spark, tmp_path):
+    s, path = store(spark, SF), str(tmp_path / "store")
+    sink.save(s, path)
+    moved = {}
+    for f in fields(s):
+        df = getattr(s, f.name)
+        for key in ("lead_key", "merged_into", "lead_a", "lead_b"):
+            df = df.withColumn(key, F.col(key) + 500_000_000) if key in df.columns else df
+        moved[f.name] = df
+    again = sink.save(Store(**moved), path)
+    keyed = {r.lead_key for r in s.identifiers.where(F.col("kind").isin("email", "phone", "facebook")).collect()}
+    assert {r.lead_key for r in again["leads"].collect() if r.lead_key < 500_000_000} == {r.lead_key for r in s.leads.collect()}
+    assert again["leads"].count() == 2 * s.leads.count() - len(keyed)
+    assert again["identifiers"].where("lead_key < 500000000").count() == s.identifiers.count()
+
+
 def test_runs_and_report(spark, tmp_path):
     path, doc = str(tmp_path), sink.report(store(spark, SF))
     assert doc["reconciles"] and sum(doc["rows_by_batch"].values()) == doc["rows_read"] == 182

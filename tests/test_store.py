@@ -9,6 +9,7 @@ from sievework.operators import quality, resolve, review, upsert, verify
 from sievework.plans import serve, stats
 from sievework.plans.store import store
 from sievework.scratch import materialize
+from sievework.sources import policy
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,6 +80,60 @@ def test_upsert_is_idempotent(spark):
     assert upsert.insert_new(old, new.where("k is not null"), ["k"]).count() == 4 and upsert.replace_for(old, new.where("k = 2"), "k").count() == 3
 
 
+def test_upsert_takes_one_row_of_each_new_key(spark):
+    old = spark.createDataFrame([(1, "a")], "k int, v string")
+    new = spark.createDataFrame([(1, "x"), (1, "y"), (2, "b"), (2, None)], "k int, v string")
+    assert sorted(map(tuple, upsert.upsert(old, new, ["k"]).collect())) == [(1, "y"), (2, "b")]
+    assert upsert.insert_new(old, new, ["k"]).where("k = 2").count() == 1 and upsert.upsert(old.select("k"), new.select("k"), ["k"]).count() == 2
+
+
+def test_rubric_of_ones_own(spark, s):
+    facts = quality.add_factors(quality.lead_facts(s.leads, s.identifiers, s.signals, s.issues))
+    doc = {"version": "7", "factors": {"identity_present": {"weight": 1}}, "penalties": {"thin_record": {"value": 40}}, "max_total_penalty": 25}
+    rubric = quality.Rubric.of(policy.rubric(doc))
+    out = quality.add_scores(facts, rubric).collect()
+    assert {r.rubric_version for r in out} == {"7"} and {r.factors_evaluated for r in out} == {1}
+    assert {r.score for r in out} <= {0.0, 75.0, 100.0} and 75.0 in {r.score for r in out}
+
+
+def test_store_outlives_other_scratch_tables(spark, s):
+    from sievework.scratch import owned, release
+
+    before = s.leads.count()
+    with owned("someone"):
+        materialize(spark.range(3), "theirs")
+    release(spark, "someone")
+    assert s.leads.count() == before == store(spark, SF).leads.count()
+
+
+def test_store_is_ingested_again_when_its_files_change(spark, tmp_path, monkeypatch):
+    import shutil
+
+    from sievework.plans import store as module
+
+    made = []
+    monkeypatch.setattr(module, "ingest", lambda spark, sf: made.append(sf) or len(made))
+    for name in module.INPUTS:
+        shutil.copy(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    assert module.store(spark, str(tmp_path)) == module.store(spark, str(tmp_path)) == 1
+    shutil.copy("/root/testdata/sf0.01/part.parquet", tmp_path / "part.parquet")
+    assert module.store(spark, str(tmp_path)) == 2
+
+
+def test_merged_leads_follow_the_chosen_survivor(spark, s):
+    folded = spark.createDataFrame([(1, 2, "m", "confirmed_duplicate", 1, 2), (2, 3, "m", "confirmed_duplicate", 2, 3), (5, 6, "m", "rejected_distinct", None, None)], "lead_a long, lead_b long, method string, status string, applied_loser long, applied_target long")
+    assert sorted(map(tuple, review.pointers(folded).collect())) == [(1, 3), (2, 3)]
+    gone = {r.lead_key: r.merged_into for r in s.merges.collect()}
+    assert gone and not set(gone) & {r.lead_key for r in serve.active(s).collect()} and not set(gone) & set(gone.values())
+    confirmed = {(r.lead_a, r.lead_b) for r in s.candidates.where("status = 'confirmed_duplicate'").collect()}
+    assert confirmed and all(a in gone or b in gone for a, b in confirmed)
+
+
+def test_page_envelope(spark, s):
+    out = serve.page_envelope(s.leads.orderBy("lead_key"), 2, 100)
+    assert (out["total"], out["page"], out["page_size"], out["page_count"], out["items"].count()) == (156, 2, 100, 2, 56)
+
+
 def test_table_versions(spark, tmp_path):
     t = upsert.Table(spark, str(tmp_path / "t"))
     assert t.read() is None
@@ -98,6 +153,16 @@ def test_review(spark):
     assert out[7, 8].status == no and out[10, 11].status == undo and out[20, 21].applied_target == 21
     out = fold(spark, (1, 2, yes, "r", 1), (1, 3, yes, "r", 1), (2, 3, yes, "r", 2))
     assert out[2, 3].status == yes and out[2, 3].applied_target == 1
+    rows = [(0, 1, 2, yes, "r", None), (1, 4, 5, yes, "r", None), (2, 4, 5, no, "q", None)]
+    log = spark.createDataFrame(rows, "seq long, lead_a long, lead_b long, decision string, reviewer string, survivor long")
+    alone = {(r.lead_a, r.lead_b): r for r in review.fold_decisions(log).collect()}
+    assert alone[1, 2].status == "pending" and alone[1, 2].conflict and alone[4, 5].status == no
+    chosen = spark.createDataFrame([(1, 2, 2), (4, 5, 4)], "lead_a long, lead_b long, survivor long")
+    assert {(r.lead_a, r.lead_b): r.applied_loser for r in review.fold_decisions(log, chosen).collect()} == {(1, 2): 1, (4, 5): None}
+    two = [(0, 1, 2, "host", yes, "r", 1), (1, 1, 2, "name", yes, "r", 1), (2, 1, 2, "host", no, "r", None)]
+    out = {r.method: r for r in review.fold_decisions(spark.createDataFrame(two, "seq long, lead_a long, lead_b long, method string, decision string, reviewer string, survivor long")).collect()}
+    assert out["host"].status == no and (out["name"].status, out["name"].applied_loser) == (yes, 2)
+    assert [tuple(r) for r in review.pointers(spark.createDataFrame([tuple(r) for r in out.values()], "lead_a long, lead_b long, method string, status string, reviewer string, applied_loser long, applied_target long, conflict string")).collect()] == [(2, 1)]
     for bad in ({"decision": "maybe", "reviewer": "r"}, {"decision": no, "reviewer": ""}, {"decision": no, "reviewer": "r", "survivor": 1}, {"decision": yes, "reviewer": "r", "note": "x" * 2001}):
         with pytest.raises(review.DecisionError):
             review.check_decision(**bad)
