@@ -291,17 +291,18 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _solve(asked, images)
 
 
-def image_copies(images: DataFrame, queries: DataFrame) -> DataFrame:
+def image_copies(images: DataFrame, queries: DataFrame, n_images: int | None = None) -> DataFrame:
     """query_id, image_id, inliers: images (image_id, image) that the queries' images are copies of.
 
     Null ids and images that are null, empty or of another format match nothing; images too small or
     too plain to have ``INLIERS`` corners neither. Repeated rows are one image; images under one id
-    count as one. An empty table on either side gives no rows; other columns are ignored.
+    count as one. An empty table on either side gives no rows; other columns are ignored. ``n_images``
+    saves a count where the caller knows it; it only says how many blocks there are.
     """
     n = max(1, partitions(images.sparkSession))
     find = lambda df: arrow_map(df.select(F.col("image_id").cast("long").alias("image_id"), F.col("image").cast("binary").alias("image")), _features, "id long, n int, corners binary")
     asked = materialize(find(queries), "img-queries")
-    blocks = max(1, -(-images.select("image_id").count() // IMAGE_BLOCK))
+    blocks = max(1, -(-(images.select("image_id").count() if n_images is None else n_images) // IMAGE_BLOCK))
     parts = max(1, -(-(asked.agg(F.sum("n")).first()[0] or 0) // UNIT_CORNERS))
     own = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
     each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
@@ -385,4 +386,4 @@ def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table holds images: every row of ``embeddings`` is drawn; the queries are edited copies of the rows whose id is divisible by 20."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("image_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     images = arrow_map(rows, _pictures(False), "image_id long, image binary")  # drawn when read, never stored
-    return image_copies(images, arrow_map(rows.where("image_id % 20 = 0"), _pictures(True), "image_id long, image binary"))
+    return image_copies(images, arrow_map(rows.where("image_id % 20 = 0"), _pictures(True), "image_id long, image binary"), rows.count())
