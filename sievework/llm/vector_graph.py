@@ -3,15 +3,18 @@
 * Equal vectors of one label collapse to a node first; copies are counted, never paired.
 * Centroids are fitted by spherical k-means on a bounded sample (``SAMPLE`` vectors, at most
   ``CENTROIDS`` of them); every node is indexed, in the shards of its ``OVERLAP`` nearest centroids of
-  its own label. A shard of more than ``SHARD`` nodes is built in blocks, each with each other one,
-  so that no task holds an unbounded shard.
+  its own label. A shard of more than ``SHARD`` nodes is split again by centroids of its own, fitted
+  where its nodes are, up to ``LEVELS`` times, so the number of shards grows with the data and their
+  size does not. What cannot be split is built in blocks, each with each other one.
 * In a shard each node's nearest candidates are robust-pruned: a neighbour that is ``ALPHA`` times
   nearer to one already kept goes. A node's lists from all its shards are united.
-* Search runs in cells: a block of a shard's nodes with everything their united lists lead to. Each
-  node is a query; it starts at the shard's medoid and greedily expands its best ``BEAM`` nodes; every
-  node found in range is expanded too, until the range is exhausted.
-* Links found are verified by cosine in double precision. ``audit_recall`` measures what was found
-  against brute force for the nodes whose id is divisible by 20 and all rows, in blocks.
+* Search runs in cells: a block of a shard's nodes with everything their united lists lead to, all of
+  them with their united lists. Each node is a query; it starts at the shard's medoid and greedily
+  expands its best ``BEAM`` nodes; every node found in range is expanded too, until the range is
+  exhausted. A path that leaves the cell's nodes ends there, which ``audit_recall`` accounts for.
+* Links found are verified by cosine in double precision and leave packed, a list for each node of a
+  cell and an edge of the cell's spanning forest. ``audit_recall`` counts the links between different
+  vectors that were found against brute force, for the nodes with an id divisible by 20 and all rows.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from sievework.scratch import materialize
 THRESHOLD = 0.93
 SAMPLE, CENTROIDS, ROUNDS = 20_000, 1024, 8
 PER_SHARD, SHARD, OVERLAP = 100, 512, 3
+#: How often a shard is split again, into how many at most, fitted on how many of its nodes; and nodes that one task places.
+LEVELS, FAN, SPLIT_SAMPLE, SPLIT_NODES = 3, 64, 2048, 50_000
 CANDIDATES, DEGREE, NEAREST, ALPHA = 64, 24, 6, 1.2
 BEAM, SLACK = 24, 0.02
 _EPS = 1e-12
@@ -93,7 +98,7 @@ def _assign(centres: dict[tuple[int, int], np.ndarray]):
                 c = centres.get((label, len(raw) // 8))
                 near = [0] if c is None else np.argsort(-(c @ _direction([raw])[0]), kind="stable")[:OVERLAP].tolist()
                 rows += [(node, label, len(raw) // 8, s, r, raw) for r, s in enumerate(near)]
-            kinds = [("node", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("shard", pa.int32()), ("rank", pa.int32()), ("v", pa.binary())]
+            kinds = [("node", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("shard", pa.int64()), ("rank", pa.int32()), ("v", pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], [c for c, _ in kinds])
 
     return run
@@ -173,7 +178,7 @@ def range_search(v: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, st
 
 def _search(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, ("label", "dim", "shard", "block"), ("node", "v", "to", "member")):
+        for _, rows in _groups(batches, ("label", "dim", "shard", "block"), ("node", "v", "to", "member", "copies")):
             best: dict[int, tuple] = {}
             for r in rows:
                 if r[0] not in best or r[3]:
@@ -188,19 +193,78 @@ def _search(threshold: float):
             centre = v[members].mean(0)
             q, f = range_search(v, lists, members, int(members[(v[members] @ centre).argmax()]), threshold)
             sure = np.einsum("ij,ij->i", v[q], v[f]) >= threshold
-            nodes = np.array([r[0] for r in rows], np.int64)
-            a, b = nodes[q[sure]], nodes[f[sure]]
-            yield _adjacency(np.minimum(a, b), np.maximum(a, b))
+            yield _adjacency(np.array([r[0] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64), q[sure], f[sure])
 
     return run
 
 
-def _adjacency(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """One row for each node with the larger nodes it links to: links are packed, not spread over rows."""
-    key = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    first, start = np.unique(key[:, 0], return_index=True)
-    offsets = np.append(start, len(key)).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(key[:, 1], pa.int64()))], ["a", "links"])
+def _adjacency(nodes: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """For each node with links here: its root in a spanning forest of them, and its links with their numbers of copies, packed."""
+    key = np.unique(np.concatenate([a * len(nodes) + b, b * len(nodes) + a]))
+    a, b = key // len(nodes), key % len(nodes)
+    root = nodes.copy()
+    while len(a):
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        if (low == root).all():
+            break
+        root = low
+    first, start = np.unique(a, return_index=True)
+    offsets = np.append(start, len(a)).astype(np.int32)
+    links = pa.StructArray.from_arrays([pa.array(nodes[b], pa.int64()), pa.array(copies[b], pa.int64())], ["node", "copies"])
+    return pa.RecordBatch.from_arrays([pa.array(nodes[first], pa.int64()), pa.array(root[first], pa.int64()), pa.ListArray.from_arrays(offsets, links)], ["node", "root", "links"])
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Centroids of each shard's sample, packed into one row."""
+    for (label, dim, shard, k, salts), rows in _groups(batches, ("label", "dim", "shard", "k", "salts"), ("v",)):
+        v = _direction([r[0] for r in rows])
+        c = centroids(v, min(k, len(v)))
+        kinds = [("label", pa.int64()), ("dim", pa.int32()), ("shard", pa.int64()), ("salts", pa.int32()), ("v", pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip((label, dim, shard, salts, c.tobytes()), kinds)], [n for n, _ in kinds])
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a shard, its centroids first: each node with the parts it goes to, two if this is its nearest shard."""
+    unit = c = None
+    for b in batches:
+        rows = []
+        for label, dim, shard, salt, side, node, rank, raw in zip(*(b.column(x).to_pylist() for x in ("label", "dim", "shard", "salt", "side", "node", "rank", "v"))):
+            if (label, dim, shard, salt) != unit:
+                unit, c = (label, dim, shard, salt), None
+            if not side:
+                c = np.frombuffer(raw, np.float64).reshape(-1, dim)
+                continue
+            near = [0] if c is None else np.argsort(-(c @ _direction([raw])[0]), kind="stable")[: 1 if rank else 2].tolist()
+            rows += [(node, label, dim, shard * (FAN + 1) + 1 + part, rank + i, raw) for i, part in enumerate(near)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_SHARDS)], [n for n, _ in _SHARDS])
+
+
+_SHARDS = [("node", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("shard", pa.int64()), ("rank", pa.int32()), ("v", pa.binary())]
+
+
+def split_shards(shards: DataFrame, n: int) -> DataFrame:
+    """``shards`` with those of more than ``SHARD`` nodes split by centroids of their own, level by level."""
+    key = ["label", "dim", "shard"]
+    names = [c for c, _ in _SHARDS]
+    for level in range(LEVELS):
+        big = shards.groupBy(*key).agg(F.count("*").alias("size")).where(F.col("size") > SHARD)
+        if not big.limit(1).count():
+            break
+        parts = F.least(F.ceil(F.col("size") / PER_SHARD), F.lit(FAN)).cast("int")
+        big = materialize(big.select(*key, "size", parts.alias("k"), F.ceil(F.col("size") / SPLIT_NODES).cast("int").alias("salts")), "vg-big")
+        large = shards.join(big, key)
+        draw = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        sample = large.where(draw < F.lit(float(SPLIT_SAMPLE)) / F.col("size")).select(*key, "k", "salts", "v")
+        centres = arrow_map(sample.repartition(n, *key).sortWithinPartitions(*key), _fit, "label long, dim int, shard long, salts int, v binary")
+        none = lambda t: F.lit(None).cast(t)
+        heads = centres.select(*key, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"), none("long").alias("node"), none("int").alias("rank"), "v")
+        rows = large.select(*key, F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side"), "node", "rank", "v")
+        unit = [*key, "salt"]
+        placed = arrow_map(heads.union(rows).repartition(n, *unit).sortWithinPartitions(*unit, "side"), _place, "node long, label long, dim int, shard long, rank int, v binary")
+        rest = shards.join(big.select(*key), key, "left_anti").withColumn("shard", F.col("shard") * (FAN + 1)).select(*names)
+        shards = materialize(rest.union(placed), "vg-shards")
+    return shards
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -212,6 +276,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     counts the other rows linked directly, copies and repeated rows included; component_id is the
     smallest vec_id reachable; kept marks it. Null vec_ids stay; an empty table gives no rows.
     """
+    return _result(*find_links(vectors, threshold))
+
+
+def find_links(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows with their usable vectors, nodes, found lists of each cell, all links of each node)."""
     spark = vectors.sparkSession
     n = max(1, partitions(spark))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -228,7 +297,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         k = min(-(-count // PER_SHARD), max(1, CENTROIDS * count // whole), len(own))
         if k > 1:
             centres[key] = centroids(_direction(own), k)
-    shards = materialize(arrow_map(nodes.select("node", "label", "v"), _assign(centres), "node long, label long, dim int, shard int, rank int, v binary"), "vg-shards")
+    shards = materialize(arrow_map(nodes.select("node", "label", "v"), _assign(centres), "node long, label long, dim int, shard long, rank int, v binary"), "vg-shards")
+    shards = split_shards(shards, n)
     many = shards.groupBy("label", "dim", "shard").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("blocks"))
     placed = shards.join(many, ["label", "dim", "shard"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pair = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
@@ -236,26 +306,22 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     edges = arrow_map(pair.select(*key, "node", "v", "block").repartition(n, *key).sortWithinPartitions(*key), _build, "node long, to long")
     # united lists, of DEGREE nodes from each shard's block at most; a link needs one of its ends to reach the other
     graph = materialize(edges.groupBy("node").agg(F.collect_set("to").alias("to")), "vg-lists")
-    known = materialize(nodes.select("node", "v").join(graph, "node", "left"), "vg-graph")
+    known = materialize(nodes.select("node", "v", "copies").join(graph, "node", "left"), "vg-graph")
     cell = ["label", "dim", "shard", "block"]
     members = placed.where("rank = 0").select(*cell, "node")  # each node is a query once, in its nearest shard
     halo = members.join(graph, "node").select(*cell, F.explode("to").alias("node")).distinct()
     near = placed.where("rank > 0").select(*cell, "node").union(halo)
+    # rows of a cell: its nodes and what their lists of at most DEGREE a shard lead to, never more than that multiple of the nodes
     cells = members.withColumn("member", F.lit(True)).union(near.withColumn("member", F.lit(False))).groupBy(*cell, "node").agg(F.max("member").alias("member"))
     cells = cells.join(known, "node").repartition(n, *cell).sortWithinPartitions(*cell)
-    found = materialize(arrow_map(cells.select(*cell, "node", "v", "to", "member"), _search(threshold), "a long, links array<long>"), "vg-found")
-    pairs = found.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
-    links = materialize(pairs, "vg-links")
-    return _result(rows, nodes, links)
-
-
-def _result(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    copies = nodes.select("node", "copies")
-    edge = links.select("a", F.explode("links").alias("b"))
-    one = edge.join(copies.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("k"))
-    two = edge.join(copies.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.sum("copies").alias("k"))
-    counts = one.union(two).groupBy("node").agg(F.sum("k").alias("k"))
-    classes = connected_components(edge.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    found = materialize(arrow_map(cells.select(*cell, "node", "v", "to", "member", "copies"), _search(threshold), "node long, root long, links array<struct<node:long,copies:long>>"), "vg-found")
+    links = materialize(found.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links")), "vg-links")
+    return rows, nodes, found, links
+
+
+def _result(rows: DataFrame, nodes: DataFrame, found: DataFrame, links: DataFrame) -> DataFrame:
+    counts = links.select("node", F.aggregate("links", F.lit(0).cast("long"), lambda k, x: k + x.copies).alias("k"))
+    classes = connected_components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     placed = nodes.join(counts, "node", "left").join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
     ids = placed.groupBy("class").agg(F.min("first_id").alias("component_id"))
     placed = placed.join(ids, "class").select(F.col("label").alias("l"), F.col("v").alias("w"), "node", "component_id", (F.coalesce("k", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
@@ -264,19 +330,34 @@ def _result(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     return out.select("vec_id", "label", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), "node")
 
 
-def audit_recall(vectors: DataFrame, found: DataFrame, threshold: float = THRESHOLD, every: int = 20) -> tuple[int, int]:
-    """(links found, links there are) of the rows whose vec_id is divisible by ``every``, by brute force against all rows."""
-    rows = arrow_map(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")), _unit, "vec_id long, label long, v binary").where("v is not null")
-    queries = rows.where(f"vec_id % {every} = 0").select(F.col("vec_id").alias("q"), "label", F.col("v").alias("w"))
+#: Vectors of a block that the audit compares with another block at once.
+AUDIT_BLOCK = 512
+
+
+def audit_recall(vectors: DataFrame, threshold: float = THRESHOLD, every: int = 20) -> tuple[int, int]:
+    """(links found, links there are) between different vectors, of those with a vec_id divisible by ``every``, by brute force against all in blocks."""
+    rows, nodes, _, links = find_links(vectors, threshold)
+    asked = rows.where(f"v is not null and vec_id % {every} = 0").select("label", "v").distinct()
+    queries = nodes.join(asked, ["label", "v"], "left_semi").select("label", "node", "v")
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        held = df.select("label", F.octet_length("v").alias("dim"), "node", "v")
+        blocks = held.groupBy(F.col("label").alias("l"), F.col("dim").alias("d")).agg(F.ceil(F.count("*") / AUDIT_BLOCK).alias("blocks"))
+        held = held.join(blocks, (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d")))
+        block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+        return held.groupBy("label", "dim", block.alias("block")).agg(F.collect_list(F.struct("node", "v")).alias(name)).drop("block")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                x, y = (_direction([r for r in b.column(c).to_pylist()]) for c in ("v", "w"))
-                yield pa.RecordBatch.from_arrays([pa.array([int((np.einsum("ij,ij->i", x, y) >= threshold).sum())], pa.int64())], ["n"])
-
-    there = arrow_map(rows.join(queries, "label").where("q <> vec_id and octet_length(v) = octet_length(w)").select("v", "w"), count, "n long").agg(F.sum("n")).first()[0] or 0
-    got = found.where(f"vec_id % {every} = 0 and node is not null").agg(F.sum("n_links")).first()[0] or 0
+            n = 0
+            for q, x in zip(b.column("q").to_pylist(), b.column("x").to_pylist()):
+                near = _direction([r["v"] for r in q]) @ _direction([r["v"] for r in x]).T >= threshold
+                n += int((near & (np.array([r["node"] for r in q])[:, None] != np.array([r["node"] for r in x])[None, :])).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    both = packed(queries, "q").join(packed(nodes, "x"), ["label", "dim"]).select("q", "x")
+    there = arrow_map(both, count, "n long").agg(F.sum("n")).first()[0] or 0
+    got = links.join(queries.select("node"), "node", "left_semi").agg(F.sum(F.size("links"))).first()[0] or 0
     return int(got), int(there)
 
 

@@ -63,10 +63,42 @@ def test_edges(spark):
     assert vg.near_vectors(df.limit(0)).count() == 0
 
 
-def test_recall_on_the_table(spark):
+def test_recall_among_the_table_and_near_copies_of_it(spark):
+    """Links between different vectors, of the ids divisible by 20 against all rows; the table itself has none."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding", "label").where("embedding is not null").collect()
+    r = np.random.default_rng(5)
+    more = []
+    for i, row in enumerate(rows):
+        v = np.array(row.embedding, float)
+        if i % 10 == 0 and np.isfinite(v).all():
+            more += [(10_000_000 + 20 * i + k, (v + r.normal(size=len(v)) * np.linalg.norm(v) / np.sqrt(len(v)) * 0.22).tolist(), row.label) for k in range(4)]
+    df = spark.createDataFrame([(row.vec_id, [float(x) for x in row.embedding], row.label) for row in rows] + more, "vec_id long, embedding array<double>, label long")
+    got, there = vg.audit_recall(df)
+    print("recall", got, there)
+    assert there > 500 and 0.95 * there <= got <= there
+
+
+def test_recall_on_the_check_table(spark):
     path = "/root/testdata/check_s/embeddings.parquet"
     if not os.path.exists(path):
-        pytest.skip("no table with near vectors here")
-    df = spark.read.parquet(path)
-    got, there = vg.audit_recall(df, vg.near_vectors(df))
+        pytest.skip("no check tables here")
+    got, there = vg.audit_recall(spark.read.parquet(path))
+    print("recall on check_s", got, there)
     assert there > 0 and 0.95 * there <= got <= there
+
+
+def test_large_shards_split_and_lose_no_node(spark, monkeypatch):
+    for name, value in (("SHARD", 40), ("PER_SHARD", 20), ("CENTROIDS", 4), ("FAN", 4), ("SPLIT_NODES", 50)):
+        monkeypatch.setattr(vg, name, value)
+    rows = corpus(1, 400)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    seen = []
+    split = vg.split_shards
+    monkeypatch.setattr(vg, "split_shards", lambda shards, n: seen.append((shards, split(shards, n))) or seen[-1][1])
+    links = sum(r.n_links for r in vg.near_vectors(df).collect())
+    there = sum(w[1] for w in brute(rows))
+    before, after = seen[0]
+    assert 0.95 * there <= links <= there
+    assert {r.node for r in after.where("rank = 0").collect()} == {r.node for r in before.collect()}
+    sizes = lambda d: sorted(r["count"] for r in d.groupBy("label", "shard").count().collect())
+    assert sizes(after)[-1] < sizes(before)[-1] / 2 and len(sizes(after)) > 3 * len(sizes(before))
