@@ -37,6 +37,8 @@ FILE_IDS = 1 << 20
 CACHE_WORDS = 1_500_000
 #: Bytes of text that are encoded at a time; a memory bound, without effect on results.
 SLICE = 1_000_000
+#: Texts whose doc_id is divisible by it are encoded by the tokenizer as a whole too, and must give the same ids.
+CHECKED = 1009
 
 #: What keeps a text from being lower-cased and divided before it is encoded: characters from U+0250
 #: on, the one below whose lower case is two characters, and what may be a special token.
@@ -234,6 +236,11 @@ class WordEncoder:
         done = np.concatenate([[0], ends])[last] if len(each) else np.zeros(0, np.int64)
         return ids, np.diff(np.concatenate([[0], done])).astype(np.int64)
 
+    def check_text(self, text: str, ids: np.ndarray) -> None:
+        """Raise unless the tokenizer's own ids of the whole text are ``ids``."""
+        if self.tokenizer.encode(text, add_special_tokens=False).ids != ids.tolist():
+            raise ValueError("the words' ids are not those of the whole text; this tokenizer needs whole texts")
+
     def _look_up(self, each: list[list[str]]) -> np.ndarray:
         if len(self.known) > CACHE_WORDS:
             self.clear()
@@ -268,7 +275,12 @@ def _encode(path: str, end_id: int):
         enc = encoder(path)
         for batch in batches:
             for b in slices(batch):
-                ids, n = enc.encode(b.column("text").to_pylist(), end_id)
+                texts = b.column("text").to_pylist()
+                ids, n = enc.encode(texts, end_id)
+                ends = np.cumsum(n)
+                for k, doc in enumerate(b.column("doc_id").to_pylist()):
+                    if doc is not None and doc % CHECKED == 0 and texts[k]:
+                        enc.check_text(texts[k], ids[ends[k] - n[k] : ends[k] - 1])
                 ids = ids.astype("<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4")
                 cuts = (np.concatenate([[0], np.cumsum(n)]) * ids.itemsize).astype(np.int32)
                 raw = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
@@ -321,8 +333,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
 
     Returns the manifest (file, bucket, part, n_docs, n_ids), a written table; files of failed
     attempts are not in it. Rows with a null doc_id come last; equal doc_ids stand in the order of
-    their ids' bytes. An empty table gives no files; other columns are ignored. One bucket of the
-    range partitioning goes to each task, found from quantiles of doc_id.
+    their ids' bytes. An empty table gives no files; other columns are ignored. Buckets are ranges of
+    about as many rows each, found from quantiles of doc_id; each goes to a task of its own.
     """
     spark = docs.sparkSession
     n = max(1, partitions(spark))
@@ -334,14 +346,16 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         bucket = F.when(F.col("doc_id").isNotNull(), F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c < F.col("doc_id")))).otherwise(len(cuts) + 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), bucket.cast("int").alias("bucket"))
     ids = arrow_map(rows, _encode(tokenizer_path, end_id), "doc_id long, bucket int, n_tokens long, ids binary")
-    ordered = ids.repartition(n, "bucket").sortWithinPartitions("bucket", F.asc_nulls_last("doc_id"), "ids")
+    ordered = ids.repartitionById(len(cuts) + 2, "bucket").sortWithinPartitions("bucket", F.asc_nulls_last("doc_id"), "ids")
     return materialize(arrow_map(ordered, _write(folder, end_id), "file string, bucket int, part int, n_docs long, n_ids long"), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32, from the files."""
-    before = Window.orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
-    files = manifest.withColumn("file_start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    # sums of buckets first, of which there are as many as tasks, then those of files within one bucket
+    past = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = manifest.groupBy("bucket").agg(F.sum("n_ids").alias("n_ids")).select("bucket", past(Window.orderBy("bucket")).alias("before"))
+    files = manifest.join(buckets, "bucket").withColumn("file_start", F.col("before") + past(Window.partitionBy("bucket").orderBy("part")))
     spread = files.select("file", "file_start").repartition(partitions(manifest.sparkSession), "file")
     return arrow_map(spread, _read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 

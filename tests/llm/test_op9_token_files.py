@@ -73,3 +73,18 @@ def test_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(tuple(r) for r in tf.op9_token_files(spark, sf).collect()) == sorted(expected(rows))
+
+
+def test_whole_texts_are_checked():
+    enc = tf.encoder(PATH)
+    ids, _ = enc.encode(["some words"])
+    enc.check_text("some words", ids)
+    with pytest.raises(ValueError):
+        enc.check_text("other words", ids)
+
+
+def test_starts_go_on_from_bucket_to_bucket(spark, monkeypatch):
+    monkeypatch.setattr(tf, "FILE_IDS", 20)
+    rows = [(i, "a b c " * (i % 7)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in tf.token_files(df, PATH).collect()), key=lambda r: r[1]) == expected(rows)
