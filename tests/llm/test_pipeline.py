@@ -2,6 +2,7 @@ import sys
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from test_op3_jaccard_join import brute as brute_links
 from test_op7_suffix_dedup import brute as brute_repeats
 
@@ -62,3 +63,29 @@ def test_run_and_empty(spark, steps, tmp_path):
     for _, stage in cp.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_other_columns_are_carried_whatever_their_names(spark):
+    """Names that the stages use themselves, in the tables that each stage gets."""
+    names = ["key", "of", "own", "gone", "copies", "copy", "sha", "new", "rid", "class", "language", "p", "xx", "size", "rate", "carried", "part", "_key", "Text2"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    wide = docs.select("*", *[F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    more = [(None, None, None, None, None), (None, "", "en", "a", 0), (-5, "two words", None, None, 9), (-5, "two words", None, None, 9), (-5, "other words here", None, None, 16)]
+    wide = wide.unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long"), allowMissingColumns=True)
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns, name
+        for r in out.collect():
+            assert all(r[n] is None if r.key is None else r[n] == f"{n}-{r.doc_id}" for n in names), name
+    left = sorted((r.doc_id, r.text) for r in dict(cp.STAGES)["jaccard_join"](spark, wide, SF).where("key is null").collect() if r.doc_id)
+    assert left == [(-5, "other words here"), (-5, "two words")]
+
+
+def test_stages_leave_the_tables_of_others(spark, tmp_path):
+    from sievework.scratch import materialize
+
+    mine = materialize(spark.range(5), "mine")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    for _, stage in cp.STAGES:
+        stage(spark, docs, SF).count()
+    assert mine.count() == 5
