@@ -22,9 +22,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sievework.llm.common import arrow_map, partitions, spare, table
 from sievework.scratch import materialize
@@ -312,7 +315,7 @@ def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 
 def _arrays(length: int):
-    """Pieces ordered by minimizer: the spans that repeats cover in those that occur once."""
+    """Pieces ordered by minimizer: the spans that repeats cover in those that occur once. Hot ones go the other way."""
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
         covers = _cover([h[4] for h in held], [h[3] for h in held], length)
@@ -321,6 +324,7 @@ def _arrays(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
+            b = b.filter(pc.invert(b.column("hot")))
             for row in zip(*(b.column(c).to_pylist() for c in ("key", "rid", "start", "count", "piece", "single"))):
                 if size >= CHUNK and row[0] != held[-1][0]:
                     yield solve(held)
@@ -338,6 +342,7 @@ def _starts(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(b.column("hot"))
             for rid, start, count, piece, single in zip(*(b.column(c).to_pylist() for c in ("rid", "start", "count", "piece", "single"))):
                 raw = np.frombuffer(piece, np.uint8)
                 i = np.arange(count)
@@ -347,34 +352,48 @@ def _starts(length: int):
     return run
 
 
-def _finish(whole_characters: bool):
-    """Texts with their covered spans: what is removed and kept."""
+def take_out(raw: bytes, spans: list[tuple[int, int]], whole_characters: bool) -> tuple[int, bytes]:
+    """(number of merged spans, the bytes outside of them); whole characters go if one of their bytes does."""
+    merged: list[list[int]] = []
+    for a, z in sorted(spans):
+        while whole_characters and 0x80 <= raw[a] < 0xC0:
+            a -= 1
+        while whole_characters and z < len(raw) and 0x80 <= raw[z] < 0xC0:
+            z += 1
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], z)
+        else:
+            merged.append([a, z])
+    kept, at = [], 0
+    for a, z in merged:
+        kept.append(raw[at:a])
+        at = z
+    return len(merged), b"".join([*kept, raw[at:]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for rid, text, spans in zip(*(b.column(c).to_pylist() for c in ("rid", "text", "spans"))):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                merged: list[list[int]] = []
-                for a, z in sorted((x["a"], x["z"]) for x in spans):
-                    while whole_characters and 0x80 <= raw[a] < 0xC0:
-                        a -= 1
-                    while whole_characters and z < len(raw) and 0x80 <= raw[z] < 0xC0:
-                        z += 1
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], z)
-                    else:
-                        merged.append([a, z])
-                kept, at = [], 0
-                for a, z in merged:
-                    kept.append(raw[at:a])
-                    at = z
-                kept = b"".join([*kept, raw[at:]])
-                rows.append((rid, len(raw) - len(kept), len(merged), kept))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["rid", "n_removed", "n_spans", "kept"])
 
-    return run
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with their covered spans: what is removed and kept."""
+    for b in batches:
+        rows = []
+        for rid, text, spans in zip(*(b.column(c).to_pylist() for c in ("rid", "text", "spans"))):
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            n, kept = take_out(raw, [(x["a"], x["z"]) for x in spans], False)
+            rows.append((rid, len(raw) - len(kept), n, kept))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["rid", "n_removed", "n_spans", "kept"])
+
+
+@F.pandas_udf(StringType())
+def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """Texts without their spans (from, to, from, to, ...); null where either is."""
+    out = []
+    for t, s in zip(text, spans):
+        if t is None or s is None:
+            out.append(None)
+        else:
+            pairs = np.asarray(s, np.int64).reshape(-1, 2).tolist()
+            out.append(take_out(t.encode("utf-8", "surrogatepass"), pairs, True)[1].decode("utf-8", "surrogatepass"))
+    return pd.Series(out, dtype="object")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -405,10 +424,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tup
     whole = each.join(same.where("n > 1").select("key", "ch"), ["key", "ch"], "left_semi").select("rid", start.alias("a"), (start + count + length - 1).alias("z"))
     wanted = same.where("d > 1").groupBy("rid").agg(F.collect_list(F.struct("key", "start", "count", (F.col("n") == 1).alias("single"), (F.col("d") > hot).alias("hot"))).alias("wanted"))
     cut = arrow_map(_with_text(docs, wanted.join(texts.select("rid", "doc_id", "sha"), "rid"), "wanted"), _cut(length), "key long, rid long, start long, count long, single boolean, hot boolean, piece binary")
-    cut = materialize(cut, "sa-cut")
-    grouped = cut.where("not hot").drop("hot").repartition(n, "key").sortWithinPartitions("key")
-    ordered = arrow_map(grouped, _arrays(length), "rid long, a long, z long")
-    at = arrow_map(cut.where("hot").drop("hot"), _starts(length), "h0 long, h1 long, rid long, at long, single boolean")
+    # both ways take the same shuffled pieces, and their texts the same shuffle as the spans at the end, so
+    # each text moves once; the ways pick their pieces themselves, as a filter would be pushed below the shuffle
+    cut = cut.repartition(n, "key")
+    ordered = arrow_map(cut.sortWithinPartitions("key"), _arrays(length), "rid long, a long, z long")
+    at = arrow_map(cut, _starts(length), "h0 long, h1 long, rid long, at long, single boolean")
     twice = at.groupBy("h0", "h1").agg(F.count("*").alias("n")).where("n > 1").select("h0", "h1")
     split = at.where("single").join(twice, ["h0", "h1"]).select("rid", F.col("at").alias("a"), (F.col("at") + length).alias("z"))
     return texts, whole.union(ordered).union(split)
@@ -423,21 +443,19 @@ def _with_text(docs: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     return text.join(wanted, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("s") == F.col("sha"))).select("rid", "text", column)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, whole_characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """rid, doc_id, n_bytes, n_removed, n_spans, kept (bytes; null where the whole text is kept), sha.
 
     One row for each row of ``docs`` (doc_id, text). A null text is empty; texts shorter than
     ``length`` bytes keep all; repeated rows are copies of each other and lose all if long enough;
     an empty table gives no rows; other columns are ignored. Spans are judged on the input: every
-    byte goes that a string of ``length`` bytes covers which also starts anywhere else. With
-    ``whole_characters`` the other bytes of a character that loses one go too, so that ``kept`` is
-    valid UTF-8.
+    byte goes that a string of ``length`` bytes covers which also starts anywhere else.
     """
     texts, spans = repeated_spans(docs, length, hot)
     alone = texts.where("copies = 1")
     by_doc = spans.groupBy("rid").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
     hit = by_doc.join(alone.select("rid", "doc_id", "sha"), "rid")
-    cut = arrow_map(_with_text(docs, hit, "spans"), _finish(whole_characters), "rid long, n_removed long, n_spans long, kept binary")
+    cut = arrow_map(_with_text(docs, hit, "spans"), _finish, "rid long, n_removed long, n_spans long, kept binary")
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     out = texts.join(cut, "rid", "left")
     return out.select(
@@ -448,12 +466,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, whole_
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with every repeated span taken out of ``text`` and ``n_chars`` counted again; all rows stay, other columns may have any name."""
-    of, own, sha, new = spare("of", docs), spare("own", docs), spare("sha", docs), spare("new", docs)
-    cut = remove_repeats(docs, length, whole_characters=True).where("n_removed > 0")
-    cut = cut.select(F.col("doc_id").alias(of), F.col("sha").alias(own), F.decode("kept", "UTF-8").alias(new)).dropDuplicates([of, own])
-    digest = F.unhex(F.sha2(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"), 256))
-    out = docs.withColumn(sha, digest).join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.col(sha) == F.col(own)), "left")
+    """``docs`` with every repeated span taken out of ``text`` and ``n_chars`` counted again; all rows stay, other columns may have any name.
+
+    The other bytes of a character that loses one go too. Spans go to the rows, which move once; what
+    is kept never moves, and only texts that lose something pass through Python.
+    """
+    of, own, sha, cut, new = (spare(c, docs) for c in ("of", "own", "sha", "cut", "new"))
+    texts, spans = repeated_spans(docs, length)
+    flat = spans.groupBy("rid").agg(F.flatten(F.collect_list(F.array("a", "z"))).alias("spans"))
+    part = flat.join(texts.where("copies = 1").select("rid", "doc_id", "sha"), "rid").select("doc_id", "sha", "spans")
+    whole = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).groupBy("doc_id", "sha").agg(F.max("n_bytes").alias("n")).select("doc_id", "sha", F.array(F.lit(0).cast("long"), F.col("n")).alias("spans"))
+    cuts = part.union(whole).select(F.col("doc_id").alias(of), F.col("sha").alias(own), F.col("spans").alias(cut))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    out = docs.withColumn(sha, F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))).join(cuts, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.col(sha) == F.col(own)), "left")
+    out = out.withColumn(new, _without(F.when(F.col(cut).isNotNull(), text), F.col(cut)))
     changed = {"text": F.coalesce(F.col(new), F.col("text")), "n_chars": F.when(F.col(new).isNotNull(), F.length(F.col(new)).cast("long")).otherwise(F.col("n_chars") if "n_chars" in docs.columns else F.lit(None))}
     return out.select(*[(changed[c] if c in changed else F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
