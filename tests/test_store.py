@@ -114,9 +114,9 @@ def test_store_is_ingested_again_when_its_files_change(spark, tmp_path, monkeypa
     made = []
     monkeypatch.setattr(module, "ingest", lambda spark, sf: made.append(sf) or len(made))
     for name in module.INPUTS:
-        shutil.copy(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+        shutil.copyfile(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
     assert module.store(spark, str(tmp_path)) == module.store(spark, str(tmp_path)) == 1
-    shutil.copy("/root/testdata/sf0.01/part.parquet", tmp_path / "part.parquet")
+    shutil.copyfile("/root/testdata/sf0.01/part.parquet", tmp_path / "part.parquet")
     assert module.store(spark, str(tmp_path)) == 2
 
 
