@@ -64,11 +64,11 @@ def decode(data: bytes | None) -> np.ndarray | None:
             at = end
         w, h, top = numbers
         planes = {b"P5": 1, b"P6": 3}[kind]
-        if not 0 < top < 256:
+        if not 0 < top < 256 or w * h * planes > len(rest):
             return None
         a = np.frombuffer(rest, np.uint8, w * h * planes, at + 1).reshape(h, w, planes)
         return a.mean(2).astype(np.float32) * (255 / top)
-    except (TypeError, KeyError, ValueError, IndexError):
+    except (TypeError, KeyError, ValueError, IndexError, OverflowError):
         return None
 
 

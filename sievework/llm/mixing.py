@@ -4,8 +4,9 @@ Document rates r = min(cap, base * exp(lambda of its source)) minimise the token
 entropy to ``base`` under one token constraint for each source. Its convex dual separates by source,
 so every Newton iteration is one grouped aggregation over (source, base) cells and one join; the
 duals stay a table and only the number of sources still off target reaches the driver. Rates are
-then rounded into whole copies: every document takes floor(r) copies, and the rest of its source's
-tokens goes to documents in the order of a hash until the target is reached.
+then rounded into whole copies: every document takes floor(r) copies, and the rest of the tokens goes to
+documents of about the same fraction of a copy, in the order of a hash, until they have what their
+rates add up to; so documents of a higher rate get their extra copy more often.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from sievework.scratch import materialize
 #: Weights dealt to the sources by rank, the share of all words that the mix takes, and the most copies.
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
 TOLERANCE, ITERATIONS = 1e-9, 60
+#: Fractions of a copy are rounded within so many bands of equal width.
+BANDS = 16
 
 
 def word_count(text: str = "text"):
@@ -52,7 +55,8 @@ def balance(cells: DataFrame, targets: DataFrame, cap: float = CAP, iterations:
 
     ``cells`` (source, base, tokens) is aggregated; a source without tokens or target, or one whose
     rates are all at the cap below its target, keeps its lambda. Tables of one source or none work;
-    the loop ends when every source is within ``TOLERANCE`` of its target.
+    the loop ends when every source is within ``TOLERANCE`` of its target; if that takes more than
+    ``iterations`` rounds, it raises a RuntimeError.
     """
     dual = targets.select("source", "target", F.lit(0.0).alias("lambda"))
     for _ in range(iterations):
@@ -66,19 +70,20 @@ def balance(cells: DataFrame, targets: DataFrame, cap: float = CAP, iterations:
         step = F.when(met, 0.0).otherwise(F.ln(F.col("target") / F.col("all")) * scale)
         dual = materialize(now.select("source", "target", (F.col("lambda") + step).alias("lambda"), (step != 0).alias("off")), "mix-dual")
         if not dual.where("off").limit(1).count():
-            break
+            return dual.select("source", "lambda")
         dual = dual.drop("off")
-    return dual.select("source", "lambda")
+    raise RuntimeError(f"rates are still off their targets after {iterations} rounds")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, base: str | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, base: str | None = None, iterations: int = ITERATIONS) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken for each row of ``docs``.
 
     Needs doc_id, text and source; a null text has size 0, null sources form one source, a null or
     negative ``base`` weight is 0. Documents of size 0 take copies but no words. Rows that tie in
     doc_id stand in the order of size; repeated rows are interchangeable. No document takes more
-    than ``cap`` copies; each source's taken words differ from its target by less than half of one
-    document at the end of the order. An empty table gives no rows; other columns are ignored.
+    than ``cap`` copies, a whole number or rounded up. In each of the ``BANDS`` bands of a source's
+    rates the taken words differ from the rates' sum by at most half of one document; a source with
+    one ``base`` has one band. An empty table gives no rows; other columns are ignored.
     """
     weight = F.lit(1.0) if base is None else F.greatest(F.coalesce(F.col(base).cast("double"), F.lit(0.0)), F.lit(0.0))
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), weight.alias("base"))
@@ -86,7 +91,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     cells = materialize(rows.groupBy("source", "base").agg(F.sum("size").alias("tokens")), "mix-cells")
     sizes = cells.groupBy("source").agg(F.sum("tokens").alias("source_size"))
     targets = materialize(source_targets(sizes, weights, share, cap), "mix-targets")
-    dual = balance(cells, targets, cap)
+    dual = balance(cells, targets, cap, iterations)
     facts = targets.join(dual.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     facts = facts.withColumnRenamed("source", "of")
     rated = rows.join(facts, F.col("source").eqNullSafe(F.col("of"))).drop("of")
@@ -96,14 +101,16 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     rated = rated.withColumn("floor", F.floor("rate").cast("long")).withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rated = rated.withColumn("part", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
     rated = rated.withColumn("extra", F.col("size") * (F.col("rate") - F.col("floor")))
+    # rows whose rate is whole are a band of their own, in which nothing is left to take
+    rated = rated.withColumn("band", F.when(F.col("rate") > F.col("floor"), F.floor((F.col("rate") - F.col("floor")) * BANDS)).otherwise(-1).cast("int"))
     # Running sums in two levels, so that a source with a third of all rows is not one task: sums of
-    # 4096 hash ranges of a source first, then the order within one range.
-    parts = rated.groupBy("source", "part").agg(F.sum("extra").alias("part_extra"), F.sum("size").alias("part_size"))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy("source")
-    ranges = parts.select("part", F.col("source").alias("of"), F.round(F.sum("part_extra").over(every)).cast("long").alias("want"), F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("start"))
-    placed = rated.join(ranges.withColumnRenamed("part", "p"), (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("of"))).drop("p", "of")
-    inside = Window.partitionBy("source", "part").orderBy("h", F.asc_nulls_last("doc_id"), "size").rowsBetween(Window.unboundedPreceding, -1)
+    # 4096 hash ranges of a source's band first, then the order within one range.
+    parts = rated.groupBy("source", "band", "part").agg(F.sum("extra").alias("part_extra"), F.sum("size").alias("part_size"))
+    before = Window.partitionBy("source", "band").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("source", "band")
+    ranges = parts.select(F.col("part").alias("p"), F.col("band").alias("b"), F.col("source").alias("of"), F.round(F.sum("part_extra").over(every)).cast("long").alias("want"), F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("start"))
+    placed = rated.join(ranges, (F.col("part") == F.col("p")) & (F.col("band") == F.col("b")) & F.col("source").eqNullSafe(F.col("of"))).drop("p", "b", "of")
+    inside = Window.partitionBy("source", "band", "part").orderBy("h", F.asc_nulls_last("doc_id"), "size").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     more = (F.col("rate") > F.col("floor")) & (2 * at + F.col("size") <= 2 * F.col("want"))
     placed = placed.withColumn("copies", F.col("floor") + more.cast("long"))

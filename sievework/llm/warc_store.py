@@ -127,7 +127,7 @@ def parse_records(records: DataFrame) -> DataFrame:
     text = F.decode("header", "UTF-8")
     get = lambda name: F.regexp_extract(text, rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
-    block = F.octet_length("record") - F.length(F.regexp_extract(text, r"(?s)^(.*?\r\n\r\n)", 1)).cast("long") - 4
+    block = F.octet_length("record") - F.octet_length(F.regexp_extract(text, r"(?s)^(.*?\r\n\r\n)", 1)).cast("long") - 4
     ok = (F.sha2("payload", 256) == F.regexp_replace(get("WARC-Payload-Digest"), "^sha256:", "")) & (block == get("Content-Length").try_cast("long"))
     out = records.select(
         number(get("WARC-Record-ID")).alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("digest"), F.regexp_extract(text, r"WARC-Type: (\w+)", 1).alias("record_type"),

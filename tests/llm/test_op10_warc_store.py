@@ -14,7 +14,7 @@ def run(spark, rows, tmp_path):
 
 
 def test_records(spark, tmp_path):
-    rows = [(3, "http://a/\r\nX: y", LONG, "", 1), (1, "http://b/", LONG, "", 1), (2, None, None, "", 1), (4, "u", "", "", 1), (5, "u", "x" * 99, "", 1), (6, "u", "x" * 99, "", 1), (None, "u", LONG, "", 1), (7, "u", "y" * 300_000, "", 1)]
+    rows = [(3, "http://a/\r\nX: y", LONG, "", 1), (1, "http://b/", LONG, "", 1), (2, None, None, "", 1), (4, "u", "", "", 1), (5, "u", "x" * 99, "", 1), (6, "u", "x" * 99, "", 1), (None, "u", LONG, "", 1), (7, "http://a/café?q=日本", "y" * 300_000, "", 1)]
     archive = run(spark, rows, tmp_path)
     got = {r.page_id: r for r in ws.parse_records(archive).collect()}
     assert {k: (r.record_type, r.refers_to, r.payload_bytes) for k, r in got.items()} == {

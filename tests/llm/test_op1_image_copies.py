@@ -11,7 +11,7 @@ def test_decode():
     a = np.arange(12, dtype=np.float32).reshape(3, 4)
     assert (ic.decode(ic.encode_pgm(a)) == a).all()
     assert ic.decode(b"P6\n# c\n1 1\n255\n\x03\x06\x09")[0, 0] == 6
-    assert all(ic.decode(x) is None for x in (None, b"", b"P5", b"P5\n9 9\n255\n1", b"\x89PNG", b"P5\n1 1\n65535\n00"))
+    assert all(ic.decode(x) is None for x in (None, b"", b"P5", b"P5\n9 9\n255\n1", b"\x89PNG", b"P5\n1 1\n65535\n00", b"P5\n99999999999999999999 1\n255\n", b"P5\n99999999999999999999 0\n255\n", b"P5\n4000000000 4000000000\n255\nxx"))
 
 
 def test_copies_and_only_copies_are_found(spark):

@@ -43,3 +43,17 @@ def test_base_weights_tilt(spark):
     out = mixing.mix_sources(df, share=0.5, base="q").collect()
     rate = {i % 3: next(r.rate for r in out if r.doc_id == i) for i in range(3)}
     assert rate[0] == 0 and rate[2] == pytest.approx(2 * rate[1]) and sum(r.rate * r.size for r in out) == pytest.approx(600)
+
+
+def test_unequal_bases_meet_the_targets(spark):
+    """Bands of rates take what their rates add up to, so copies follow the bases."""
+    rows = [(i, " ".join(["w"] * (1 + i % 5)), f"s{i % 2}", [0.1, 0.5, 0.9][i % 3]) for i in range(900)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, q double"), share=0.7, base="q").collect()
+    for s in ("s0", "s1"):
+        own = [r for r in out if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 3 * 5 / 2
+        for k in range(3):
+            cell = [r for r in own if r.doc_id % 3 == k]
+            assert abs(sum(r.taken for r in cell) - sum(r.rate * r.size for r in cell)) <= 5 / 2
+    with pytest.raises(RuntimeError, match="off their targets"):
+        mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, q double"), share=0.7, base="q", iterations=1)
