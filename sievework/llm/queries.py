@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievework.llm import chat_format, image_copies, jaccard_join, language_id, mixing, piece_lattice, suffix_dedup, token_files, vector_graph, warc_store
+from sievework.llm import chat_format, filter_audit, image_copies, jaccard_join, language_id, mixing, piece_lattice, quality_rank, suffix_dedup, token_files, vector_graph, warc_store
 
 QUERIES = {
     "op1_image_copies": image_copies.op1_image_copies,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_piece_lattice": piece_lattice.op8_piece_lattice,
     "op9_token_files": token_files.op9_token_files,
     "op10_warc_store": warc_store.op10_warc_store,
+    "op11_quality_rank": quality_rank.op11_quality_rank,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 SQL = {
@@ -22,4 +24,5 @@ SQL = {
     "op4_chat_format": chat_format.OP4_SQL,
     "op6_vector_graph": vector_graph.OP6_SQL,
     "op10_warc_store": warc_store.OP10_SQL,
+    "op13_filter_audit": filter_audit.OP13_SQL,
 }
