@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievework.llm import chat_format, filter_audit, image_copies, jaccard_join, language_id, mixing, piece_lattice, quality_rank, suffix_dedup, token_files, vector_graph, warc_store
+from sievework.llm import chat_format, filter_audit, image_copies, jaccard_join, language_id, mixing, piece_lattice, quality_rank, suffix_dedup, token_alignment, token_files, vector_graph, warc_store
 
 QUERIES = {
     "op1_image_copies": image_copies.op1_image_copies,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_files": token_files.op9_token_files,
     "op10_warc_store": warc_store.op10_warc_store,
     "op11_quality_rank": quality_rank.op11_quality_rank,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
