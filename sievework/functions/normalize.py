@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sievework.functions import fixed
 from sievework.functions.similarity import first_near
 from sievework.functions.text import clean, key, slug, strip_accents
+from sievework.operators.suffixes import add_domains
 
 
 def _map(d: dict) -> Column:
@@ -60,29 +61,61 @@ def add_email(df: DataFrame) -> DataFrame:
     return out.withColumn("email_confidence", confidence.cast("double")).withColumn("email_codes", codes).drop("_e", "_d", "_near")
 
 
-def add_phone(df: DataFrame, field: str = "phone") -> DataFrame:
-    """``field``_value (E.164), _mobile, _confidence, _codes: numbers of the regions +91 (default) and +1.
+def _phone_table(rules: list[tuple]) -> tuple[Column, list[int]]:
+    """Prefix (calling code and leading digits) to what its region does, and the lengths of prefixes, longest first."""
+    by_prefix = {code + lead: (code, region, [int(n) for n in lengths.split()], fixed_line, mobile, trunk) for code, leads, region, lengths, fixed_line, mobile, trunk, _ in rules for lead in (leads.split() or [""])}
+    struct = lambda r: F.struct(*[F.lit(x).alias(n) for n, x in zip(("code", "region", "lengths", "fixed", "mobile", "trunk"), r)])
+    return F.create_map(*[x for k, r in by_prefix.items() for x in (F.lit(k), struct(r))]), sorted({len(k) for k in by_prefix}, reverse=True)
 
-    A number of another region, or one whose digits its region does not use, is kept with confidence 0.5.
+
+def add_phone(df: DataFrame, field: str = "phone", rules: list[tuple] = fixed.PHONE_RULES, region: str = "IN") -> DataFrame:
+    """``field``_value (E.164), _region, _national, _type, _mobile, _confidence, _codes.
+
+    ``rules`` is a table like ``fixed.PHONE_RULES``, small as a policy file; the longest prefix of calling
+    code and leading digits that a number begins with names its region. A number that begins with
+    neither + nor 00 is one of ``region``, unless only leaving that region's calling code away gives it
+    a length of the region. A trunk prefix goes where the number is of a right length without it, an
+    extension always. Numbers of a length that their region does not have are impossible (null);
+    numbers outside of its ranges, and of regions without rules, are kept with confidence 0.5. type is
+    mobile, fixed_line, fixed_line_or_mobile (where a region does not tell them apart) or unknown; the
+    first and the third are mobile.
     """
+    table, sizes = _phone_table(rules)
+    home = next((r for r in rules if r[2] == region), None)
+    if home is None:
+        raise ValueError(f"no rule of region {region}")
+    home_code, home_lengths = home[0], [int(n) for n in home[3].split()]
     # staged in columns, each used many times after: an expression built of the whole would repeat them all
-    out = df.withColumn("_raw", clean(F.col(field))).withColumn("_plus", F.regexp_replace("_raw", r"[^0-9+]", "")).withColumn("_bare", F.regexp_replace("_plus", r"\+", ""))
-    bare = F.col("_bare")
-    out = out.withColumn("_full", F.when(F.col("_plus").startswith("+") | ((F.length(bare) == 12) & bare.startswith("91")), bare).otherwise(F.concat(F.lit("91"), F.regexp_replace(bare, "^0", ""))))
-    full = F.col("_full")
-    out = out.withColumn("_region", F.when(full.startswith("91"), "in").when(full.startswith("1"), "us").otherwise("other"))
-    out = out.withColumn("_rest", F.when(F.col("_region") == "in", F.substr(full, F.lit(3))).when(F.col("_region") == "us", F.substr(full, F.lit(2))).otherwise(full))
-    size, region = F.length("_rest"), F.col("_region")
-    out = out.withColumn("_readable", F.coalesce(F.col("_raw").isNotNull() & (F.length(bare) > 0) & ~F.col("_raw").rlike("[A-Za-z]{3,}"), F.lit(False)))
-    out = out.withColumn("_possible", F.coalesce(F.when(region == "other", size.between(7, 15)).otherwise(size == 10), F.lit(False)))
-    out = out.withColumn("_valid", F.coalesce((region != "other") & F.col("_rest").rlike("^[2-9]"), F.lit(False)))
-    readable, possible, valid = F.col("_readable"), F.col("_possible"), F.col("_valid")
-    ok = readable & possible
+    out = df.withColumn("_raw", clean(F.col(field))).withColumn("_text", F.regexp_replace("_raw", r"(?i)[\s,;]*(ext\.?|extn\.?|x|#)\s*[0-9]{1,7}$", ""))
+    out = out.withColumn("_plus", F.regexp_replace(F.regexp_replace("_text", r"[^0-9+]", ""), r"^00", "+")).withColumn("_bare", F.regexp_replace("_plus", r"\+", ""))
+    bare, code_length = F.col("_bare"), len(home_code)
+    coded = bare.startswith(home_code) & (F.length(bare) - code_length).isin(home_lengths) & ~F.length(bare).isin(home_lengths)
+    abroad = F.col("_plus").startswith("+")
+    out = out.withColumn("_full", F.when(abroad | coded, bare).otherwise(F.concat(F.lit(home_code), bare)))
+    ruled = lambda c: F.coalesce(*[F.try_element_at(table, F.substring(c, 1, k)) for k in sizes])
+    out = out.withColumn("_rule", ruled(F.col("_full")))
+    rule = F.col("_rule")
+    out = out.withColumn("_rest", F.coalesce(F.substr("_full", F.length(rule.code) + 1), F.col("_full")))
+    rest = F.col("_rest")
+    bare_trunk = F.substr(rest, F.length(rule.trunk) + 1)
+    has = F.coalesce(rest.startswith(rule.trunk) & (rule.trunk != ""), F.lit(False))
+    fits = lambda c: F.coalesce(F.array_contains(rule.lengths, F.length(c)), F.lit(False))
+    falls = lambda c: F.coalesce(F.regexp_like(c, F.concat(F.lit("^("), rule.fixed, F.lit("|"), rule.mobile, F.lit(")$"))), F.lit(False))
+    out = out.withColumn("_national", F.when(has & (falls(bare_trunk) | (fits(bare_trunk) & ~falls(rest))), bare_trunk).otherwise(rest))
+    national = F.col("_national")
+    out = out.withColumn("_rule", F.coalesce(ruled(F.concat(rule.code, national)), rule))  # leading digits may stand behind the trunk prefix
+    whole = lambda p: F.coalesce(F.regexp_like(national, F.concat(F.lit("^("), p, F.lit(")$"))), F.lit(False))
+    out = out.withColumn("_readable", F.coalesce(F.col("_raw").isNotNull() & (F.length(bare) > 0) & ~F.col("_text").rlike("[A-Za-z]{3,}"), F.lit(False)))
+    out = out.withColumn("_possible", F.when(rule.isNull(), F.length(national).between(*fixed.PHONE_LENGTHS)).otherwise(fits(national)))
+    out = out.withColumn("_ok", F.coalesce(F.col("_readable") & F.col("_possible"), F.lit(False))).withColumn("_fixed", whole(rule.fixed)).withColumn("_mobile", whole(rule.mobile))
+    ok, is_fixed, is_mobile, readable = F.col("_ok"), F.col("_fixed"), F.col("_mobile"), F.col("_readable")
+    kind = F.when(is_fixed & is_mobile, "fixed_line_or_mobile").when(is_mobile, "mobile").when(is_fixed, "fixed_line").otherwise("unknown")
+    valid = is_fixed | is_mobile
     return (
-        out.withColumn(f"{field}_value", F.when(ok, F.concat(F.lit("+"), full))).withColumn(f"{field}_mobile", F.coalesce(ok & (region == "in") & F.col("_rest").rlike("^[6-9]"), F.lit(False)))
-        .withColumn(f"{field}_confidence", F.when(ok, F.when(valid, 1.0).otherwise(0.5)).otherwise(0.0).cast("double"))
-        .withColumn(f"{field}_codes", _codes((F.col("_raw").isNotNull() & ~readable, "phone_unparseable"), (readable & ~possible, "phone_impossible"), (ok & ~valid, "phone_invalid")))
-        .drop("_raw", "_plus", "_bare", "_full", "_region", "_rest", "_readable", "_possible", "_valid")
+        out.withColumn(f"{field}_value", F.when(ok, F.concat(F.lit("+"), F.coalesce(rule.code, F.lit("")), national))).withColumn(f"{field}_region", F.when(ok, rule.region)).withColumn(f"{field}_national", F.when(ok, national))
+        .withColumn(f"{field}_type", F.when(ok, kind)).withColumn(f"{field}_mobile", ok & is_mobile).withColumn(f"{field}_confidence", F.when(ok, F.when(valid, 1.0).otherwise(0.5)).otherwise(0.0).cast("double"))
+        .withColumn(f"{field}_codes", _codes((F.col("_raw").isNotNull() & ~readable, "phone_unparseable"), (readable & ~ok, "phone_impossible"), (ok & ~valid, "phone_invalid")))
+        .drop("_raw", "_text", "_plus", "_bare", "_full", "_rule", "_rest", "_national", "_readable", "_possible", "_ok", "_fixed", "_mobile")
     )
 
 
@@ -106,8 +139,12 @@ def host_class(host: Column, registrable: Column) -> Column:
     return out
 
 
-def add_url(df: DataFrame, field: str = "website", kind: str = "website") -> DataFrame:
-    """``field``_value, _host, _domain, _class, _owned, _handle, _numeric, _confidence, _codes."""
+def add_url(df: DataFrame, field: str = "website", kind: str = "website", rules: DataFrame | None = None) -> DataFrame:
+    """``field``_value, _host, _domain, _class, _owned, _handle, _numeric, _confidence, _codes.
+
+    The domain is the registrable one, or the host where there is none: by ``rules`` (a table of public
+    suffix rules, see ``suffixes``), which are joined, or else by the short list of fixed suffixes.
+    """
     out = df.withColumn("_raw", clean(F.col(field)))
     out = out.withColumn("_rest", F.regexp_replace("_raw", r"^[A-Za-z][A-Za-z0-9+.\-]*://", ""))
     host = F.lower(F.regexp_extract("_rest", r"^([^/?#]*)", 1))
@@ -119,7 +156,11 @@ def add_url(df: DataFrame, field: str = "website", kind: str = "website") -> Dat
     ok = F.coalesce(raw.isNotNull() & F.contains("_host", F.lit(".")), F.lit(False))
     value = F.concat(F.lit("https://"), F.col("_host"), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
     out = out.withColumn(f"{field}_value", F.when(ok, value)).withColumn(f"{field}_host", F.when(ok, F.col("_host")))
-    out = out.withColumn(f"{field}_domain", F.coalesce(registrable_domain(F.col(f"{field}_host")), F.col(f"{field}_host")))
+    if rules is None:
+        out = out.withColumn(f"{field}_domain", registrable_domain(F.col(f"{field}_host")))
+    else:
+        out = add_domains(out, f"{field}_host", rules, f"{field}_domain", "_suffix").drop("_suffix")
+    out = out.withColumn(f"{field}_domain", F.coalesce(f"{field}_domain", f"{field}_host"))
     klass = host_class(F.col(f"{field}_host"), F.col(f"{field}_domain"))
     handle = F.coalesce(*[F.nullif(F.lower(F.regexp_extract(path, p, 1)), F.lit("")) for p in fixed.HANDLE_PATTERNS.get(kind, [])], F.lit(None).cast("string"))
     out = out.withColumn(f"{field}_class", klass).withColumn(f"{field}_owned", F.col(f"{field}_host").isNotNull() & F.col(f"{field}_class").isNull())

@@ -201,7 +201,7 @@ _QUERIES = {
     "norm_email": "SELECT row_id, email_value, email_typo, email_confidence FROM norm",
     "email_classify": "SELECT row_id, email_domain, email_free, email_role, email_disposable FROM norm",
     "email_lookalike": "SELECT email_domain, count(*) AS n, min(m) AS resembles FROM norm WHERE email_domain IS NOT NULL GROUP BY 1",
-    "norm_phone": "SELECT row_id, phone_value, phone_value IS NOT NULL AS phone_mobile, CASE WHEN phone_value IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS phone_confidence FROM norm",
+    "norm_phone": "SELECT row_id, phone_value, CASE WHEN phone_value IS NOT NULL THEN 'IN' END AS phone_region, substr(phone_value, 4) AS phone_national, CASE WHEN phone_value IS NOT NULL THEN 'mobile' END AS phone_type, phone_value IS NOT NULL AS phone_mobile, CASE WHEN phone_value IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS phone_confidence FROM norm",
     "norm_url": "SELECT row_id, website_value, host AS website_host, website_confidence FROM norm",
     "url_classify": "SELECT row_id, website_class, website_owned FROM norm",
     "url_handle": "SELECT row_id, facebook_handle, facebook_numeric FROM norm",
@@ -332,6 +332,29 @@ _MATCH = "," + _keyed(2, "batch_seq < 3") + "," + _keyed(3, "batch_seq = 3") + "
 _TAIL = {"companies": _COMPANIES, "companies_page": _COMPANIES, "reingest_match": _MATCH}
 _FACTS = ",\nfacts AS (" + " UNION ALL ".join(f"SELECT lead_key, '{n}' AS field, CAST({e} AS VARCHAR) AS value FROM leads l" for n, e in _compared) + ")\n"
 
+_RULES = "[" + ", ".join(f"'{r}'" for r in fixed.SUFFIX_RULES) + "]"
+_DOMAINS = rf"""
+WITH p AS (SELECT page_id, {_pages_host} AS host, string_split({_pages_host}, '.') AS l FROM pages), h AS (SELECT DISTINCT host, l, array_to_string(l[-2:], '.') AS two, array_to_string(l[-3:], '.') AS three FROM p),
+w AS (SELECT unnest({_RULES}) AS rule UNION SELECT '*.' || two FROM h WHERE len(l) >= 3 AND ends_with(two, '.net') UNION SELECT '!' || three FROM h WHERE len(l) >= 3 AND ends_with(two, '.net') AND length(three) % 2 = 0
+  UNION SELECT three FROM h WHERE len(l) >= 3 AND ends_with(two, '.org') AND length(three) % 2 = 0),
+r AS (SELECT rule[1] AS c, ltrim(rule, '!*.') AS suffix FROM w),
+m AS (SELECT host, c, k, len(l) AS n FROM (SELECT host, l, unnest(range(1, len(l) + 1)) AS k FROM h) JOIN r ON suffix = array_to_string(l[-k:], '.')),
+d AS (SELECT host, coalesce(max(k - 1) FILTER (c = '!'), max(CASE WHEN c <> '*' THEN k WHEN n > k THEN k + 1 END)) AS depth FROM m GROUP BY 1)
+SELECT page_id, p.host, array_to_string(l[-coalesce(depth, 1):], '.') AS public_suffix, CASE WHEN len(l) > coalesce(depth, 1) THEN array_to_string(l[-coalesce(depth, 1) - 1:], '.') END AS domain FROM p LEFT JOIN d ON p.host = d.host"""
+_PHONE_RULES = ", ".join(f"({i}, '{c}', '{lead}', '{g}', [{', '.join(n.split())}], '^({f}|{m})$', '^({f})$', '^({m})$', '{t}', '{x}')" for i, (c, leads, g, n, f, m, t, x) in enumerate(fixed.PHONE_RULES) for lead in (leads.split() or [""]))
+_PHONES = rf"""
+WITH r AS (SELECT * FROM (VALUES {_PHONE_RULES}) v(i, code, lead, region, lengths, both_, fixed_, mobile_, trunk, example)),
+e AS (SELECT c_custkey, CASE WHEN c_custkey % 19 = 0 THEN left(example, 3) WHEN c_custkey % 17 = 0 THEN '0' || substr(example, 2) ELSE left(example, length(example) - 2) || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') END AS n, code, trunk
+  FROM customer JOIN (SELECT DISTINCT i, code, trunk, example FROM r) ON i = c_custkey % {len(fixed.PHONE_RULES)}),
+w AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '+' || code || ' ' || n WHEN 1 THEN '00' || code || '-' || n WHEN 2 THEN '+' || code || n || ' ext. 12' WHEN 3 THEN '+' || code || ' (' || trunk || ')' || n ELSE '+' || code || '.' || n || 'x5' END AS phone FROM e),
+f AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(phone, '( ext\. 12|x5)$', ''), '^(00|\+)', ''), '[^0-9]', '', 'g') AS whole FROM w),
+a AS (SELECT f.*, code, trunk, lengths, both_, substr(whole, length(code) + 1) AS rest FROM f JOIN r ON starts_with(whole, code || lead) QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY length(code || lead) DESC) = 1),
+b AS (SELECT *, CASE WHEN trunk <> '' AND starts_with(rest, trunk) AND (regexp_matches(substr(rest, length(trunk) + 1), both_) OR (list_contains(lengths, length(rest) - length(trunk)) AND NOT regexp_matches(rest, both_))) THEN substr(rest, length(trunk) + 1) ELSE rest END AS national FROM a),
+c AS (SELECT c_custkey, phone, national, r.code, r.region, list_contains(r.lengths, length(national)) AS ok, regexp_matches(national, fixed_) AS fx, regexp_matches(national, mobile_) AS mb
+  FROM b JOIN r ON starts_with(b.code || national, r.code || r.lead) QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY length(r.code || r.lead) DESC) = 1)
+SELECT c_custkey, phone, CASE WHEN ok THEN '+' || code || national END AS phone_value, CASE WHEN ok THEN region END AS phone_region, CASE WHEN ok THEN national END AS phone_national,
+  CASE WHEN ok THEN CASE WHEN fx AND mb THEN 'fixed_line_or_mobile' WHEN mb THEN 'mobile' WHEN fx THEN 'fixed_line' ELSE 'unknown' END END AS phone_type, ok AND mb AS phone_mobile,
+  CASE WHEN NOT ok THEN 0.0::DOUBLE WHEN fx OR mb THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS phone_confidence FROM c"""
 _parked = " OR ".join(f"contains(t, '{m}')" for m in fixed.PARKED_MARKERS)
 _title = r"nullif(substr(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), 1, 200), '')"
 _ORDERS = [("o_orderkey", "bigint", "o_orderkey"), ("o_custkey", "bigint", "o_custkey"), ("o_orderstatus", "string", "o_orderstatus"), ("o_totalprice", "double", "CAST(o_totalprice AS DECIMAL(38, 6))"), ("o_orderdate", "timestamp_ntz", "o_orderdate"), ("o_orderpriority", "string", "o_orderpriority")]
@@ -341,6 +364,8 @@ _PLAIN = {
     "dim_locations": "SELECT lower(replace(n_name, '_', '-')) AS slug, n_name AS name, r_name AS state, 'exact' AS match FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT lower(replace(r_name, ' ', '-')), r_name, r_name, 'state' FROM region",
     "url_strip_tracking": f"SELECT page_id, q AS query, array_to_string([p FOR p IN string_split(q, '&') IF NOT regexp_matches(split_part(p, '=', 1), '{fixed.TRACKING_PATTERN}')], '&') AS kept FROM (SELECT page_id, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q FROM pages)",
     "registrable_domain": f"SELECT page_id, host, CASE WHEN array_to_string(l[-2:], '.') IN {_in(fixed.SUFFIXES)} THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain FROM (SELECT page_id, {_pages_host} AS host, string_split({_pages_host}, '.') AS l FROM pages)",
+    "registrable_rules": _DOMAINS,
+    "phone_regions": _PHONES.replace("\\\\", "\\"),
     "html_title": f"SELECT page_id, {_title} AS title FROM pages",
     "html_parked": f"SELECT page_id, {_parked} AS parked FROM (SELECT page_id, lower(coalesce({_title} || ' ', '') || substr(html, 1, 4000)) AS t FROM pages)",
     "token_set_ratio": "WITH p AS (SELECT DISTINCT p_name AS a FROM part), pr AS (SELECT x.a AS a, y.a AS b, x.a AS x, y.a AS y FROM p x JOIN p y ON split_part(x.a, ' ', 1) = split_part(y.a, ' ', 1) AND x.a < y.a)," + _tsr("pr", "a, b") + " SELECT a, b, round_even(score, 6) AS ratio FROM tsr",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sievework.functions import fixed
 from sievework.functions import normalize as nz
 from sievework.functions.similarity import token_set_ratio
-from sievework.operators import quality, resolve, review, upsert, verify
+from sievework.operators import quality, resolve, review, suffixes, upsert, verify
 from sievework.plans import serve, stats
 from sievework.plans.serve import Filters
 from sievework.plans.store import NOW, mail_domains, owned_urls, store, survivors
@@ -62,7 +62,7 @@ def dim_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Normalisers.
 source("norm_email", lambda r: nz.add_email(r).select("row_id", "email_value", "email_typo", "email_confidence"))
 source("email_classify", lambda r: nz.add_email(r).select("row_id", "email_domain", "email_free", "email_role", "email_disposable"))
-source("norm_phone", lambda r: nz.add_phone(r).select("row_id", "phone_value", "phone_mobile", "phone_confidence"))
+source("norm_phone", lambda r: nz.add_phone(r).select("row_id", "phone_value", "phone_region", "phone_national", "phone_type", "phone_mobile", "phone_confidence"))
 source("norm_url", lambda r: nz.add_url(r).select("row_id", "website_value", "website_host", "website_confidence"))
 source("url_classify", lambda r: nz.add_url(r).select("row_id", "website_class", "website_owned"))
 source("url_handle", lambda r: nz.add_url(r, "facebook", "facebook").select("row_id", "facebook_handle", "facebook_numeric"))
@@ -92,6 +92,36 @@ def registrable_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.table(spark, sf_dir, "pages").select("page_id", host.alias("host"), nz.registrable_domain(host).alias("domain"))
 
 
+def suffix_rules(spark: SparkSession, hosts: DataFrame) -> DataFrame:
+    """The fixed rules and, so that all kinds of them meet ``hosts``, one for each domain of these: by its last label ``*.``, an exception or plain."""
+    labels = F.split("host", r"\.")
+    tail = hosts.where(F.size(labels) >= 3).select(F.array_join(F.slice(labels, -2, 2), ".").alias("two"), F.array_join(F.slice(labels, -3, 3), ".").alias("three"))
+    wild = tail.where(F.col("two").endswith(".net")).select(F.concat(F.lit("*."), "two").alias("rule"))
+    but = tail.where(F.col("two").endswith(".net") & (F.length("three") % 2 == 0)).select(F.concat(F.lit("!"), "three").alias("rule"))
+    plain = tail.where(F.col("two").endswith(".org") & (F.length("three") % 2 == 0)).select(F.col("three").alias("rule"))
+    return suffixes.rules_of(spark, fixed.SUFFIX_RULES).union(suffixes.parse_rules(wild.union(but).union(plain).distinct()))
+
+
+@query("registrable_rules")
+def registrable_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Public suffix and registrable domain of each page, by a table of plain, wildcard and exception rules."""
+    pages = batches.table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract("url", r"^https?://([^/?#:]*)", 1)).alias("host"))
+    return suffixes.add_domains(pages, "host", suffix_rules(spark, pages.select("host").distinct()))
+
+
+@query("phone_regions")
+def phone_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of all regions in five ways of writing, from the customers' keys; some too short, some outside of all ranges."""
+    n = len(fixed.PHONE_RULES)
+    example = lambda i: F.element_at(F.array(*[F.lit(r[i]) for r in fixed.PHONE_RULES]), (F.col("c_custkey") % n + 1).cast("int"))
+    k = F.col("c_custkey")
+    cut = F.when(k % 19 == 0, F.substring(example(7), 1, 3)).when(k % 17 == 0, F.concat(F.lit("0"), F.substr(example(7), F.lit(2)))).otherwise(F.concat(F.expr("left(n, length(n) - 2)"), F.lpad((k % 100).cast("string"), 2, "0")))
+    c = batches.table(spark, sf_dir, "customer").select("c_custkey").withColumn("n", example(7)).withColumn("n", cut).withColumn("c", example(0)).withColumn("t", example(6))
+    ways = [F.concat(F.lit("+"), "c", F.lit(" "), "n"), F.concat(F.lit("00"), "c", F.lit("-"), "n"), F.concat(F.lit("+"), "c", "n", F.lit(" ext. 12")), F.concat(F.lit("+"), "c", F.lit(" ("), "t", F.lit(")"), "n"), F.concat(F.lit("+"), "c", F.lit("."), "n", F.lit("x5"))]
+    rows = c.select("c_custkey", F.element_at(F.array(*ways), (k % 5 + 1).cast("int")).alias("phone"))
+    return nz.add_phone(rows).select("c_custkey", "phone", "phone_value", "phone_region", "phone_national", "phone_type", "phone_mobile", "phone_confidence")
+
+
 # Rules and resolution.
 simple("validate_issues", lambda s: s.issues.join(s.rows.select("row_id").distinct(), "row_id").where(F.col("code").isin("no_name", "no_contact_channel", "email_domain_website_mismatch", "thin_record", "zero_followers", "unverifiable_identity")).select("row_id", "field", "code", "severity"))
 simple("issues_by_code", lambda s: s.issues.groupBy("code", "severity").agg(F.count("*").alias("n")))

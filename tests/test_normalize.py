@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sievework.functions import fixed
 from sievework.functions import normalize as nz
 from sievework.functions.similarity import indel_ratio, lcs, token_set_ratio
 from sievework.functions.text import clean, nfkd, slug
@@ -24,10 +25,11 @@ def test_email(spark):
     assert rows[3].email_free and rows[3].email_role and rows[1].email_confidence == 0.75 and rows[2].email_confidence == 0.6 and rows[6].email_confidence == 0.2
 
 
-@pytest.mark.parametrize("raw,value,codes", [("+91 9010041297", "+919010041297", []), ("9010041297", "+919010041297", []), ("+91 12", None, ["phone_impossible"]), ("call me", None, ["phone_unparseable"]), ("+44 20 7946 0958", "+442079460958", ["phone_invalid"]), (None, None, [])])
-def test_phone(spark, raw, value, codes):
-    r = nz.add_phone(spark.createDataFrame([(raw,)], "phone string")).first()
-    assert (r.phone_value, r.phone_codes) == (value, codes)
+PHONES = [("+91 9010041297", "+919010041297", []), ("9010041297", "+919010041297", []), ("+91 12", None, ["phone_impossible"]), ("call me", None, ["phone_unparseable"]), ("+44 20 7946 0958", "+442079460958", []), ("+356 2100 1234", "+35621001234", ["phone_invalid"]), (None, None, [])]
+
+
+def test_phone(spark):
+    assert [(r.phone_value, r.phone_codes) for r in phones(spark, [x[0] for x in PHONES])] == [x[1:] for x in PHONES]
 
 
 def test_url(spark):
@@ -92,3 +94,48 @@ def test_unicode_folding(spark):
     df = spark.createDataFrame([("ﬁancé №5",), (None,)], "x string")
     assert [r[0] for r in df.select(nfkd("x")).collect()] == ["fiance No5", None]
     assert spark.range(1).select(slug(F.lit("São Paulo – East"))).first()[0] == "sao-paulo-east"
+
+
+def phones(spark, raws, **options):
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, phone string")
+    return [r for r in nz.add_phone(df, **options).orderBy("i").collect()]
+
+
+def test_phone_of_every_region(spark):
+    """Each region's example in five ways of writing it."""
+    rules = fixed.PHONE_RULES
+    assert len({r[2] for r in rules}) == len(rules) >= 50
+    for write in ("+{c} {n}", "00{c}-{n}", "+{c}{n} ext. 12", "+{c} ({t}){n}", "+{c}.{n}x5"):
+        for rule, r in zip(rules, phones(spark, [write.format(c=x[0], n=x[7], t=x[6]) for x in rules])):
+            assert (r.phone_value, r.phone_region, r.phone_national, r.phone_mobile, r.phone_confidence, r.phone_codes) == (f"+{rule[0]}{rule[7]}", rule[2], rule[7], True, 1.0, []), (write, rule)
+
+
+RANGES = [
+    ("+12042345678", "+12042345678", "CA", "fixed_line_or_mobile"), ("+1 876 210 1234", "+18762101234", "JM", "fixed_line_or_mobile"), ("+1 212 012 3456", "+12120123456", "US", "unknown"), ("+7 701 123 45 67", "+77011234567", "KZ", "mobile"),
+    ("+7 771 000 9998", "+77710009998", "KZ", "mobile"), ("+7 495 123-45-67", "+74951234567", "RU", "fixed_line"), ("+39 02 1234 5678", "+390212345678", "IT", "fixed_line"), ("+44 (0)20 7946 0018", "+442079460018", "GB", "fixed_line"), ("08123456789", "+918123456789", "IN", "mobile"),
+    ("918123456789", "+918123456789", "IN", "mobile"), ("9123456789", "+919123456789", "IN", "mobile"), ("+91 1234567890", "+911234567890", "IN", "unknown"), ("+49 30 123456", "+4930123456", "DE", "fixed_line"), ("+999 1234567", "+9991234567", None, "unknown"), ("+44 12", None, None, None), ("+1 202 555 01234", None, None, None),
+]
+
+
+def test_phone_ranges(spark):
+    for (raw, value, region, kind), r in zip(RANGES, phones(spark, [x[0] for x in RANGES])):
+        assert (r.phone_value, r.phone_region, r.phone_type) == (value, region, kind), raw
+        assert r.phone_codes == (["phone_impossible"] if value is None else ["phone_invalid"] if kind == "unknown" else [])
+
+
+def test_phone_home_region_and_own_rules(spark):
+    assert [r.phone_value for r in phones(spark, ["020 7946 0018", "2079460018", "442079460018", "+91 8123456789"], region="GB")] == ["+442079460018"] * 3 + ["+918123456789"]
+    own = [("5", "", "XA", "4", "1[0-9]{3}", "2[0-9]{3}", "", "2000"), ("5", "21", "XB", "4", "", "21[0-9]{2}", "", "2100"), ("59", "", "XC", "3", "[0-9]{3}", "[0-9]{3}", "9", "123")]
+    got = phones(spark, ["+52000", "+52100", "+5 1000", "+59123", "2001", "+59 9 123"], rules=own, region="XA")
+    assert [(r.phone_region, r.phone_type) for r in got] == [("XA", "mobile"), ("XB", "mobile"), ("XA", "fixed_line"), ("XC", "fixed_line_or_mobile"), ("XA", "mobile"), ("XC", "fixed_line_or_mobile")]
+    with pytest.raises(ValueError, match="no rule"):
+        phones(spark, [], region="ZZ")
+
+
+def test_urls_by_public_suffix_rules(spark):
+    from sievework.operators.suffixes import rules_of
+
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(["https://shop.a.foo.ck/x", "www.ck", "http://b.co.uk", "https://co.uk", None, "http://m.facebook.com/x"])], "i int, website string")
+    out = nz.add_url(df, rules=rules_of(spark, fixed.SUFFIX_RULES)).orderBy("i").collect()
+    assert [r.website_domain for r in out] == ["a.foo.ck", None, "b.co.uk", "co.uk", None, "facebook.com"]  # without its www. the second has no dot
+    assert out[5].website_class == "social" and out[0].website_owned and len(out) == 6
