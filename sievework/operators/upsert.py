@@ -8,17 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = (), fill: tuple[str, ...] = ()) -> DataFrame:
+def _latest(df: DataFrame, keys: list[str], order: tuple[str, ...]) -> DataFrame:
+    """One row for each key: the last by ``order``, then by the other columns in their order, maps as JSON."""
+    others = [c for c in df.columns if c not in keys]
+    if not others:
+        return df.select(*keys).distinct()
+    comparable = lambda c: F.to_json(c) if "map<" in df.schema[c].dataType.simpleString() else F.col(c)
+    rank = F.struct(*[F.col(c) for c in order], *[comparable(c).alias(f"_{i}") for i, c in enumerate(others) if c not in order])
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*others), rank).alias("_one")).select(*keys, *[F.col(f"_one.{c}").alias(c) for c in others])
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = (), fill: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
     """``new`` over ``old`` by ``keys``: old values stay in ``keep`` columns, and in ``fill`` columns where the new one is null.
 
     Rows of either side alone stay, so nothing stale is deleted. Keys compare null-safe; of new rows
-    with one key the one whose other columns are largest, in their order, stands for all.
+    with one key the last by the ``order`` columns stands for all, and of those that tie the one whose
+    other columns are largest.
     """
-    others = [c for c in old.columns if c not in keys]
-    if others:
-        new = new.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_one")).select(*keys, *[F.col(f"_one.{c}").alias(c) for c in others])
-    else:
-        new = new.select(*keys).distinct()
+    new = _latest(new, keys, order)
     there = lambda s: F.col(f"{s}._there").isNotNull()
     a, b = old.withColumn("_there", F.lit(1)).alias("a"), new.withColumn("_there", F.lit(1)).alias("b")
     cond = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
@@ -43,9 +50,25 @@ def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.join(old.select(*keys), keys, "left_anti").select(*old.columns).dropDuplicates(keys))
 
 
-def replace_for(old: DataFrame, new: DataFrame, owner: str) -> DataFrame:
-    """Delete then insert: all rows of the owners that ``new`` has rows of are replaced."""
-    return old.join(new.select(owner).distinct(), owner, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+def replace_for(old: DataFrame, new: DataFrame, owner: str, owners: DataFrame | None = None) -> DataFrame:
+    """Delete then insert: all rows of the ``owners`` are replaced, by default of those that ``new`` has rows of.
+
+    Given apart, owners that came again without any row lose the rows they had.
+    """
+    gone = (new if owners is None else owners).select(owner).distinct()
+    return old.join(gone, owner, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+
+
+def elect_primary(rows: DataFrame, newest: DataFrame, keys: tuple[str, ...] = ("lead_key", "kind"), value: str = "value", flag: str = "is_primary") -> DataFrame:
+    """``rows`` with ``flag`` on one row of each group of ``keys``: that which ``newest`` flags, else one that was flagged before.
+
+    Of several the smallest value is taken, also where none was flagged; so after any number of upserts
+    a group has one flagged row. ``value`` names a row within its group.
+    """
+    chosen = newest.where(flag).groupBy(*keys).agg(F.min(value).alias("_new"))
+    flagged = rows.join(chosen, list(keys), "left")
+    first = flagged.groupBy(*keys).agg(F.min(F.struct((~F.col(value).eqNullSafe(F.col("_new"))).alias("a"), (~F.col(flag)).alias("b"), F.col(value).alias("v"))).alias("_p"))
+    return rows.join(first, list(keys)).withColumn(flag, F.col(value) == F.col("_p.v")).select(*rows.columns)
 
 
 class Table:

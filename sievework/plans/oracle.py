@@ -299,7 +299,8 @@ _QUERIES = {
     "ingest_report": "SELECT 'rows' AS counter, batch AS name, count(*) AS n FROM rows_ GROUP BY 2 UNION ALL SELECT 'candidates', method, count(*) FROM cand GROUP BY 2 UNION ALL SELECT 'issues', severity, count(*) FROM iss GROUP BY 2",
     "upsert_companies": "SELECT coalesce(o.domain, n.domain) AS domain, coalesce(n.lead, o.lead) AS lead, CASE WHEN n.domain IS NOT NULL THEN 'new' ELSE 'old' END AS seen FROM (SELECT company_domain AS domain, min(lead_key) AS lead FROM leads WHERE first_batch < 3 AND company_domain IS NOT NULL GROUP BY 1) o FULL JOIN (SELECT company_domain AS domain, CASE WHEN min(lead_key) % 2 = 0 THEN min(lead_key) END AS lead FROM leads WHERE last_batch = 3 AND company_domain IS NOT NULL GROUP BY 1) n ON o.domain = n.domain",
     "upsert_observations": "SELECT * FROM obs",
-    "upsert_identifiers": "SELECT lead_key, kind, value, arg_max(CAST(confidence AS DOUBLE), CASE WHEN row_id >= 30000000 THEN 1 ELSE 0 END) AS confidence FROM id0 GROUP BY 1, 2, 3",
+    "upsert_identifiers": "SELECT lead_key, kind, value, value = first_value(value) OVER (PARTITION BY lead_key, kind ORDER BY CASE WHEN last_row < 30000000 THEN 1 ELSE 0 END, CASE WHEN last_row < 30000000 THEN first_row ELSE new_row END, value) AS is_primary, confidence FROM (SELECT lead_key, kind, value, max(row_id) AS last_row, min(row_id) AS first_row, min(row_id) FILTER (row_id >= 30000000) AS new_row, arg_max(CAST(confidence AS DOUBLE), CASE WHEN row_id >= 30000000 THEN 1 ELSE 0 END) AS confidence FROM id0 GROUP BY 1, 2, 3)",
+    "saved_merges": "SELECT lead_key, arg_max(p, hops) AS merged_into, (SELECT count(*) FROM cand0 WHERE (lead_a + lead_b) % 5 <= 1) + (SELECT count(*) FROM cand0 WHERE (lead_a + lead_b) % 15 = 0) AS stored_decisions FROM uw GROUP BY 1",
     "upsert_queries": "SELECT lead_key, matched_query AS query, bool_and(batch_seq = 3) AS inferred FROM rows_ WHERE matched_query IS NOT NULL GROUP BY ALL",
     "upsert_issues": "SELECT DISTINCT lead_key, code FROM iss WHERE row_id >= 30000000 OR lead_key NOT IN (SELECT lead_key FROM iss WHERE row_id >= 30000000)",
     "choose_survivor": "SELECT lead_a, lead_b, survivor FROM sv",
@@ -329,7 +330,11 @@ r{n}(a, b) AS (SELECT row_id, row_id FROM norm WHERE {where} UNION SELECT r{n}.a
 l{n} AS (SELECT a AS row_id, min(b) AS lead_key FROM r{n} GROUP BY a),
 id{n} AS (SELECT *, row_id = min(row_id) OVER (PARTITION BY lead_key, kind) AS is_primary FROM (SELECT l{n}.lead_key, kind, value, min(row_id) AS row_id FROM id0 JOIN l{n} USING (row_id) WHERE kind IN ('email', 'phone', 'facebook') GROUP BY ALL))"""
 _MATCH = "," + _keyed(2, "batch_seq < 3") + "," + _keyed(3, "batch_seq = 3") + "\n"
-_TAIL = {"companies": _COMPANIES, "companies_page": _COMPANIES, "reingest_match": _MATCH}
+_UNDONE = """,
+up AS (SELECT loser AS lead_key, min(target) AS p FROM ap WHERE why IS NULL AND (lead_a + lead_b) % 15 <> 0 GROUP BY 1),
+uw(lead_key, p, hops) AS (SELECT lead_key, p, 0 FROM up UNION ALL SELECT uw.lead_key, up.p, hops + 1 FROM uw JOIN up ON up.lead_key = uw.p WHERE hops < 16)
+"""
+_TAIL = {"saved_merges": _UNDONE, "companies": _COMPANIES, "companies_page": _COMPANIES, "reingest_match": _MATCH}
 _FACTS = ",\nfacts AS (" + " UNION ALL ".join(f"SELECT lead_key, '{n}' AS field, CAST({e} AS VARCHAR) AS value FROM leads l" for n, e in _compared) + ")\n"
 
 _RULES = "[" + ", ".join(f"'{r}'" for r in fixed.SUFFIX_RULES) + "]"

@@ -12,9 +12,10 @@ from sievework.functions import fixed
 from sievework.functions import normalize as nz
 from sievework.functions.similarity import token_set_ratio
 from sievework.operators import quality, resolve, review, suffixes, upsert, verify
-from sievework.plans import serve, stats
+from sievework.plans import serve, sink, stats
 from sievework.plans.serve import Filters
 from sievework.plans.store import NOW, mail_domains, owned_urls, store, survivors
+from sievework.scratch import new_dir
 from sievework.sources import batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -268,7 +269,27 @@ def upsert_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 simple("upsert_observations", lambda s: upsert.upsert(*_first(s, "observations"), ["lead_key", "batch"]))
-simple("upsert_identifiers", lambda s: upsert.upsert(*[x.select("lead_key", "kind", "value", "confidence") for x in _first(s, "merge_identifiers")], ["lead_key", "kind", "value"]))
+
+
+@query("upsert_identifiers")
+def upsert_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers of batches 1 and 2, then of 3: one primary of each kind, that of batch 3 where it has the kind."""
+    old, new = (x.select("lead_key", "kind", "value", "is_primary", "confidence") for x in _first(store(spark, sf_dir), "merge_identifiers"))
+    return upsert.elect_primary(upsert.upsert(old, new, ["lead_key", "kind", "value"]), new)
+
+
+@query("saved_merges")
+def saved_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merges of a store that was saved, of which every third confirmation was taken back, and that was read again."""
+    s, path = store(spark, sf_dir), new_dir(spark, "reviewed")
+    chosen = survivors(s.candidates, s.leads, s.scores, s.identifiers)
+    sink.save_reviews(spark, path, s.decisions, chosen, s.candidates)
+    undo = s.decisions.where("decision = 'confirmed_duplicate' and (lead_a + lead_b) % 15 = 0")
+    undo = undo.select((F.col("seq") + 1_000_000_000_000_000_000).alias("seq"), "lead_a", "lead_b", "method", F.lit("pending").alias("decision"), F.lit("second").alias("reviewer"), "survivor")
+    sink.save_reviews(spark, path, undo, chosen)
+    return upsert.Table(spark, f"{path}/merges").read().join(upsert.Table(spark, f"{path}/decisions").read().agg(F.count("*").alias("stored_decisions")))
+
+
 simple("upsert_queries", lambda s: upsert.insert_new(*_first(s, "source_queries"), ["lead_key", "query"]))
 simple("upsert_issues", lambda s: upsert.replace_for(*[s.issues.join(s.rows.where(c).select("row_id"), "row_id", "left_semi").select("lead_key", "code").distinct() for c in ("batch_seq < 3", "batch_seq = 3")], "lead_key"))
 

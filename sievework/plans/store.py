@@ -88,7 +88,8 @@ def owned_urls(identifiers: DataFrame) -> DataFrame:
     return identifiers.where("kind = 'website' and owned").select(F.col("value").alias("url")).distinct()
 
 
-def ingest(spark: SparkSession, sf_dir: str) -> Store:
+def ingest(spark: SparkSession, sf_dir: str, recorded: bool = True) -> Store:
+    """All tables of ``sf_dir``; with the ``recorded`` log of decisions, or with none, for a store that has its own."""
     gaz = batches.gazetteer(spark, sf_dir)
     with plain_constraints(spark):
         normalized = materialize(rules.add_rule_codes(normalize_rows(batches.source_rows(spark, sf_dir), gaz, batches.taxonomy(spark), materialize)), "normalized")
@@ -104,7 +105,7 @@ def ingest(spark: SparkSession, sf_dir: str) -> Store:
     keep = ["lead_key", "score", "base", "penalty_total", "penalties", "factors_evaluated", "weight_available", "rubric_version", *[f"f_{n}" for n in fixed.WEIGHTS]]
     pairs = materialize(resolve.candidates(rows), "candidates")
     scores = materialize(scores.select(*keep), "scores")
-    log = decisions(pairs)
+    log = decisions(pairs) if recorded else decisions(pairs).limit(0)
     folded = materialize(review.fold_decisions(log, survivors(pairs, leads, scores, identifiers)), "folded")
     return Store(
         rows=rows, issues=issues, leads=leads, identifiers=identifiers, observations=resolve.observations(rows), queries=resolve.source_queries(rows), companies=materialize(resolve.companies(leads, identifiers), "companies"),
