@@ -1,30 +1,49 @@
 """Connected components by alternating large-star and small-star rounds (Kiveris et al., SoCC 2014).
 
-Only equi-joins and partially aggregated minima: a node that holds a third of all edges is split by
-AQE's skew join, and nothing but the number of changed edges reaches the driver.
+Only equi-joins and partially aggregated minima. The minima that edges look up are aggregated, and
+Spark does not split a skewed join with such a side by itself; so the edges of a node that holds more
+than its share of a task are dealt by a salt (``skew.lookup``), by counts that come with the minima.
+Nothing but the number and a digest of the edges reaches the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from sievework.operators.skew import HEAVY_SHARE, lookup, tasks
 from sievework.scratch import materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _low(edges: DataFrame, n_edges: int) -> tuple[DataFrame, DataFrame]:
+    """The smallest neighbour of each u, and the nodes that are heavy among ``n_edges`` edges."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    most = max(1, n_edges) * HEAVY_SHARE / tasks(edges)
+    heavy = low.where(F.col("n") > most).select(F.col("u").alias("key"), F.ceil(F.col("n") / most).cast("int").alias("salts"))
+    return low.select(F.col("u").alias("of"), "m"), heavy
+
+
+def _star(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
     """One round over edges (u, v) with u > v; each node's neighbours move to the smallest of them."""
     if large:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        moved = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low, heavy = _low(both, 2 * n_edges)
+        moved = lookup(both, low, "u", "of", heavy=heavy).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
     else:
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        moved = moved.union(low.select("u", F.col("m").alias("v")))
+        low, heavy = _low(edges, n_edges)
+        moved = lookup(edges, low, "u", "of", heavy=heavy).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = moved.union(low.select(F.col("of").alias("u"), F.col("m").alias("v")))
     return moved.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, with a mark of them taken while they are written; two equal marks in a row mean no edge moved."""
+    mark = Observation()
+    out = materialize(edges.observe(mark, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("v", "u")).alias("x")), "cc")
+    got = mark.get
+    return out, (got["n"], got["s"], got["x"])
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has an edge; component is its smallest reachable node.
 
@@ -36,13 +55,13 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
     ) if {u, v} != {"u", "v"} else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(
         "u is not null and v is not null and u <> v"
     )
-    now = materialize(now.distinct(), "cc")
-    mark = _mark(now)
+    now, mark = _written(now.distinct())
     for _ in range(rounds):
         if mark[0] == 0:
             break
-        now = materialize(_star(_star(now, True), False), "cc")
-        last, mark = mark, _mark(now)
+        last = mark
+        # a large star keeps or lowers the number of edges, so the first mark's serves the small one too
+        now, mark = _written(_star(_star(now, True, mark[0]), False, mark[0]))
         if mark == last:
             break
     else:
@@ -50,9 +69,3 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
-
-
-def _mark(edges: DataFrame) -> tuple:
-    """Two equal marks in a row mean no edge moved."""
-    r = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first()
-    return tuple(r)

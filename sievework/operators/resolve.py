@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions import fixed
 from sievework.functions.similarity import token_set_ratio
 from sievework.operators.components import connected_components
+from sievework.operators.skew import heavy_of, lookup, tasks
 from sievework.scratch import materialize
 from sievework.sources.batches import row_text
 
@@ -26,11 +27,13 @@ def cluster_rows(rows: DataFrame) -> DataFrame:
     """row_id, lead_key: rows connected by shared keys; a lead's key is its smallest row_id.
 
     A key ties each of its rows to the smallest one, so a key that many rows share costs one edge a
-    row, and the first row of each key is a partially aggregated minimum.
+    row, and the first row of each key is a partially aggregated minimum. Rows of a key that is hot are
+    spread when they look that up.
     """
-    keys = identity_keys(rows)
-    first = keys.groupBy("key").agg(F.min("row_id").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
-    edges = keys.join(first, "key").where("row_id <> v").select(F.col("row_id").alias("u"), "v")
+    keys = identity_keys(rows).select("row_id", "key")
+    first = keys.groupBy("key").agg(F.min("row_id").alias("v"), F.count("*").alias("n"))
+    heavy = heavy_of(first, "key", "n", tasks(rows))
+    edges = lookup(keys, first.where("n > 1").select(F.col("key").alias("of"), "v"), "key", "of", heavy=heavy).where("row_id <> v").select(F.col("row_id").alias("u"), "v")
     found = connected_components(edges)
     return rows.select("row_id").join(found, F.col("row_id") == F.col("node"), "left").select("row_id", F.coalesce("component", "row_id").alias("lead_key"))
 

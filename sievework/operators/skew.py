@@ -35,17 +35,22 @@ def heavy_keys(df: DataFrame, key: str, n_tasks: int | None = None, share: float
     Counts are combined before they are shuffled. Only ``n_tasks`` / ``share`` keys can be that heavy,
     which is what bounds the result, whatever the size of ``df``. Null keys look nothing up and are none.
     """
-    n = n_tasks or tasks(df)
-    sizes = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count("*").alias("rows"))
-    every = df.agg(F.count("*").alias("every"))
-    salts = F.ceil(F.col("rows") * n / (F.col("every") * share)).cast("int")
-    return sizes.crossJoin(F.broadcast(every)).where(F.col("rows") * n > F.col("every") * share).select("key", salts.alias("salts"))
+    sizes = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"))
+    return heavy_of(sizes, "key", "n", n_tasks or tasks(df), share)
+
+
+def heavy_of(sizes: DataFrame, key: str, n: str, n_tasks: int, share: float = HEAVY_SHARE) -> DataFrame:
+    """The same from a table that has the number of rows of each key, as another aggregation of the rows may leave."""
+    most = F.col("every") * share / n_tasks
+    every = F.broadcast(sizes.agg(F.sum(n).alias("every")))  # one row
+    return sizes.select(F.col(key).alias("key"), F.col(n).alias("rows")).crossJoin(every).where(F.col("rows") > most).select("key", F.ceil(F.col("rows") / most).cast("int").alias("salts"))
 
 
 def lookup(df: DataFrame, table: DataFrame, key: str, table_key: str | None = None, how: str = "inner", heavy: DataFrame | None = None) -> DataFrame:
     """``df`` joined with ``table`` on ``key`` = ``table_key``, an inner or left join, with heavy keys spread.
 
-    ``table`` should have few rows of each key, as they are copied to every task that has rows of it.
+    ``heavy`` (key, salts) may be given where it is known already; it is broadcast, so it must be as bounded
+    as what ``heavy_keys`` gives. ``table`` should have few rows of each key, as they are copied to every task that has rows of it.
     The columns of both follow one another, ``table_key`` not among them unless it has another name than
     ``key``; other names must differ. Rows of null keys match nothing; repeated rows all stay.
     """
