@@ -258,6 +258,8 @@ _QUERIES = {
     "filter_mail_provider": "SELECT lead_key FROM act WHERE lead_key IN (SELECT lead_key FROM ident JOIN dc USING (domain) WHERE kind = 'email' AND provider = 'google')",
     "filter_issue_code": "SELECT lead_key FROM act WHERE lead_key IN (SELECT lead_key FROM iss WHERE code = 'thin_record')",
     "leads_count": "SELECT count(*) AS n FROM act WHERE lead_key IN (SELECT lead_key FROM ident WHERE kind = 'phone')",
+    "leads_deep_page": "SELECT lead_key, display_name, latest_followers FROM act ORDER BY latest_followers DESC NULLS LAST, lead_key LIMIT 25 OFFSET 750",
+    "search_index": " UNION ALL ".join(f"SELECT '{q}' AS q, lead_key FROM act WHERE contains(lower(display_name), lower('{q}')) OR contains(lower(normalized_name), lower('{q}')) OR lead_key IN (SELECT lead_key FROM ident WHERE contains(lower(value), lower('{q}')))" for q in ("clinic", "BIZ12", "@yahoo.com", "_")),
     "leads_page": "SELECT lead_key, display_name, latest_followers FROM act ORDER BY latest_followers DESC NULLS LAST, lead_key LIMIT 25 OFFSET 25",
     "lead_summary": "SELECT a.lead_key, display_name, entity_kind, channels, primary_email, primary_phone, primary_website, followers, observations, changed, coalesce(n, 0) AS issue_count, CASE WHEN primary_email IS NOT NULL THEN coalesce(mailbox_status, 'unknown') END AS mailbox_status, CASE WHEN company_domain IS NOT NULL THEN coalesce(website_status, 'unknown') END AS website_status FROM act a LEFT JOIN (SELECT lead_key, array_to_string(list_sort(list(DISTINCT kind)), ',') AS channels, min(value) FILTER (WHERE kind = 'email' AND is_primary) AS primary_email, min(value) FILTER (WHERE kind = 'phone' AND is_primary) AS primary_phone, min(value) FILTER (WHERE kind = 'website' AND is_primary) AS primary_website FROM ident GROUP BY 1) i ON i.lead_key = a.lead_key LEFT JOIN (SELECT lead_key, arg_max(value, batch_seq) AS followers, count(*) AS observations, count(DISTINCT value) > 1 AS changed FROM obs GROUP BY 1) o ON o.lead_key = a.lead_key LEFT JOIN (SELECT lead_key, count(*) AS n FROM iss GROUP BY 1) s ON s.lead_key = a.lead_key LEFT JOIN sig ON sig.lead_key = a.lead_key",
     "followers_rollup": "SELECT lead_key, arg_max(value, batch_seq) AS value, count(*) AS observations, count(DISTINCT value) > 1 AS changed FROM obs GROUP BY 1",
@@ -308,12 +310,17 @@ _QUERIES = {
     "profile_duplicates": "SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows FROM (SELECT phone_value, count(*) AS n FROM norm WHERE phone_value IS NOT NULL GROUP BY 1 HAVING count(*) > 1)",
     "profile_overlap": "SELECT a.batch AS left, b.batch AS right, count(*) AS shared FROM (SELECT DISTINCT batch, email_value FROM norm WHERE email_value IS NOT NULL) a JOIN (SELECT DISTINCT batch, email_value FROM norm) b ON a.email_value = b.email_value AND a.batch < b.batch GROUP BY 1, 2",
     "profile_agreement": " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) AS n, avg(CASE WHEN a.{f} IS NOT DISTINCT FROM b.{f} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share FROM src a JOIN src b ON a.k = b.k AND a.batch_seq = 1 AND b.batch_seq = 3" for f in ("name", "email", "followers")),
+    "profile_types": ", v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", trim(CAST({e} AS VARCHAR)) AS v FROM src" for c, e in [("serial", "k"), *[(c, c) for c in ("name", "email", "followers", "city", "matched_query", "relevance")]]) + r"""),
+  t AS (SELECT "column", CASE WHEN v IS NULL OR v = '' THEN 'null' WHEN regexp_matches(lower(v), '^(true|false|yes|no)$') THEN 'boolean' WHEN regexp_matches(v, '^[+-]?\d{1,18}$') THEN 'int' WHEN regexp_matches(v, '^[+-]?(\d+\.\d*|\.\d+|\d+)([eE][+-]?\d+)?$') THEN 'decimal'
+    WHEN regexp_matches(v, '^\d{4}-\d{2}-\d{2}$') AND TRY_CAST(v AS DATE) IS NOT NULL THEN 'date' ELSE 'text' END AS type, count(*) AS n FROM v GROUP BY ALL),
+  w AS (SELECT "column" AS c, CAST(sum(n) AS BIGINT) AS total, list(type) FILTER (type <> 'null') AS ts FROM t GROUP BY 1)
+SELECT "column", type, n, round_even(100 * n / total::DOUBLE, 4) AS share, CASE WHEN ts IS NULL THEN 'null' WHEN len(ts) = 1 THEN ts[1] WHEN len([x FOR x IN ts IF x NOT IN ('int', 'decimal')]) = 0 THEN 'decimal' ELSE 'text' END AS merged FROM t JOIN w ON c = "column" """,
     "profile_crosstab": "SELECT batch, fb_category, count(*) AS n FROM src WHERE fb_category IS NOT NULL GROUP BY ALL",
     "profile_completeness": "SELECT " + " + ".join(f"(CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END)" for c in ["email", "website", "fb_category", "niche", "followers", "matched_query"]) + " AS filled, count(*) AS n FROM src GROUP BY 1",
     "profile_regex_shares": "SELECT 'business' AS test, avg(CASE WHEN regexp_matches(name, '(?i)clinic|ltd') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share FROM src UNION ALL SELECT 'numeric_facebook', avg(CASE WHEN regexp_matches(facebook, '/\\d{8,}$') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FROM src",
     "flagship": "SELECT a.lead_key, display_name, entity_kind, category_slug, company_domain, factors_evaluated FROM act a JOIN xscore USING (lead_key)",
 }
-_ON_ROWS = {"profile_signals", "scan_union_batches", "row_hash", "norm_email", "email_classify", "email_lookalike", "norm_phone", "norm_url", "url_classify", "url_handle", "norm_followers", "norm_name", "entity_kind", "norm_city", "norm_category", "normalize_records", "validate_issues", "profile_duplicates", "profile_overlap", "profile_agreement", "profile_crosstab", "profile_completeness", "profile_regex_shares"}
+_ON_ROWS = {"profile_types", "profile_signals", "scan_union_batches", "row_hash", "norm_email", "email_classify", "email_lookalike", "norm_phone", "norm_url", "url_classify", "url_handle", "norm_followers", "norm_name", "entity_kind", "norm_city", "norm_category", "normalize_records", "validate_issues", "profile_duplicates", "profile_overlap", "profile_agreement", "profile_crosstab", "profile_completeness", "profile_regex_shares"}
 _COMPANIES = r""",
 cw AS (SELECT company_domain, lead_key, display_name, string_split(trim(regexp_replace(display_name, '\s+', ' ', 'g')), ' ') AS w FROM leads WHERE company_domain IS NOT NULL),
 cs AS (SELECT company_domain, count(*) AS branches, min(len(w)) AS shortest, arg_min(display_name, lead_key) AS first_name, arg_min(w, lead_key) AS fw FROM cw GROUP BY 1),
@@ -377,6 +384,8 @@ _PLAIN = {
     "merge_root": "WITH RECURSIVE w(lead_key, p, hops) AS (SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey > 0 UNION ALL SELECT lead_key, p - (p & -p), hops + 1 FROM w WHERE p > 0 AND hops < 16) SELECT lead_key, min(p) AS root FROM w GROUP BY 1",
     "profile_columns": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS type, count(v) AS non_null, round_even(100 * count(v) / count(*)::DOUBLE, 2) AS filled, count(DISTINCT v) AS \"distinct\", CAST(max(length(v)) AS BIGINT) AS max_length, min(v) AS sample FROM (SELECT CAST({e} AS VARCHAR) AS v FROM orders)" for c, t, e in _ORDERS),
     "is_public_ip": "SELECT c_custkey, ip, NOT (" + " OR ".join(f"n BETWEEN {int(x[0])} AND {int(x[-1])}" for x in map(ipaddress.ip_network, fixed.CLOSED_NETWORKS)) + ") AS public FROM (SELECT c_custkey, (c_custkey % 224) || '.' || (c_custkey % 256) || '.' || (c_custkey % 7) || '.1' AS ip, (c_custkey % 224) * 16777216 + (c_custkey % 256) * 65536 + (c_custkey % 7) * 256 + 1 AS n FROM customer)",
+    "deep_page": "SELECT l_quantity, l_orderkey, l_linenumber FROM lineitem ORDER BY l_quantity DESC NULLS LAST, l_orderkey, l_linenumber LIMIT 5 OFFSET 49995",
+    "source_records": "SELECT 'customer' AS source_sheet, row_number() OVER () AS row_no, c_custkey AS customer, NULL AS supplier, true AS by_content FROM customer UNION ALL SELECT 'supplier', row_number() OVER (), NULL, s_suppkey, true FROM supplier",
     "profile_topk": "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20",
     "profile_quantiles": "SELECT min(l_extendedprice) AS min, quantile_cont(l_extendedprice, 0.25) AS p25, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.75) AS p75, quantile_cont(l_extendedprice, 0.95) AS p95, max(l_extendedprice) AS max, round_even(avg(CASE WHEN l_extendedprice < 1000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS share_below FROM lineitem",
 }

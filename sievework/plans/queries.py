@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from sievework.functions import fixed
 from sievework.functions import normalize as nz
 from sievework.functions.similarity import token_set_ratio
-from sievework.operators import quality, resolve, review, suffixes, upsert, verify
+from sievework.operators import quality, resolve, review, suffixes, trigrams, upsert, verify
+from sievework.operators.close import close_matches
+from sievework.operators.paging import Key, deep_page
 from sievework.plans import serve, sink, stats
 from sievework.plans.serve import Filters
 from sievework.plans.store import NOW, mail_domains, owned_urls, store, survivors
 from sievework.scratch import new_dir
-from sievework.sources import batches
+from sievework.sources import batches, files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -212,6 +214,25 @@ leads_where("filter_location", location=("asia", "china", "france"), include_mer
 leads_where("filter_issue_code", issue_code="thin_record")
 simple("leads_count", lambda s: serve.filter_leads(s, Filters(has=("phone",))).agg(F.count("*").alias("n")))
 simple("leads_page", lambda s: serve.leads_page(s, Filters(), "-followers", 2, 25).select("lead_key", "display_name", "latest_followers"))
+simple("leads_deep_page", lambda s: serve.leads_page(s, Filters(), "-followers", 31, 25, deep=200).select("lead_key", "display_name", "latest_followers"))
+QUERIES["deep_page"] = lambda spark, d: deep_page(batches.table(spark, d, "lineitem"), [Key("l_quantity", True), Key("l_orderkey"), Key("l_linenumber")], 10_000, 5, most=5000).select("l_quantity", "l_orderkey", "l_linenumber")
+
+
+@query("search_index")
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active leads that hold each of four texts, by an index of which a part was added later."""
+    s, path = store(spark, sf_dir), new_dir(spark, "trigrams")
+    late = s.leads.where("first_batch > 1").select(F.col("lead_key").alias("key"))
+    texts = serve.search_texts(s)
+    trigrams.add_texts(texts.join(late, "key", "left_anti"), path)
+    trigrams.add_texts(texts.join(late, "key", "left_semi"), path)
+    out = None
+    for q in ("clinic", "BIZ12", "@yahoo.com", "_"):
+        found = serve.filter_leads(s, Filters(q=q), path).select(F.lit(q).alias("q"), "lead_key")
+        out = found if out is None else out.union(found)
+    return out
+
+
 simple("lead_summary", lambda s: serve.lead_summary(s, serve.active(s)).select("lead_key", "display_name", "entity_kind", "channels", "primary_email", "primary_phone", "primary_website", "followers", "observations", "changed", "issue_count", "mailbox_status", "website_status"))
 simple("followers_rollup", serve.followers_rollup)
 simple("verification_tristate", serve.tristate)
@@ -254,6 +275,17 @@ simple("reviewers", lambda s: s.candidates.where("reviewer is not null").groupBy
 simple("ingest_report", lambda s: s.rows.groupBy("batch").agg(F.count("*").alias("rows_read")).select(F.lit("rows").alias("counter"), F.col("batch").alias("name"), F.col("rows_read").alias("n")).union(s.candidates.groupBy("method").agg(F.count("*").alias("n")).select(F.lit("candidates"), "method", "n")).union(s.issues.groupBy("severity").agg(F.count("*").alias("n")).select(F.lit("issues"), "severity", "n")))
 
 
+
+@query("source_records")
+def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of two files by the files' content, saved twice: the second time changes nothing."""
+    path = new_dir(spark, "records")
+    for _ in range(2):
+        files.add_records(files.records(spark, {n: f"{sf_dir}/{n}.parquet" for n in ("customer", "supplier")}), path)
+    out = upsert.Table(spark, path).read()
+    return out.select("source_sheet", "row_no", F.get_json_object("raw", "$.c_custkey").cast("long").alias("customer"), F.get_json_object("raw", "$.s_suppkey").cast("long").alias("supplier"), (F.length("file_sha256") == 64).alias("by_content"))
+
+
 # State: batch 3 over batches 1 and 2.
 def _first(s, table: str) -> tuple[DataFrame, DataFrame]:
     rows = s.rows.where("batch_seq < 3"), s.rows.where("batch_seq = 3")
@@ -338,6 +370,9 @@ def review_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Profiles.
 QUERIES["profile_columns"] = lambda spark, d: stats.profile_columns(batches.table(spark, d, "orders"))
 QUERIES["profile_topk"] = lambda spark, d: stats.top_values(batches.table(spark, d, "lineitem"), "l_partkey", 20)
+source("profile_types", lambda r: stats.type_histogram(r.withColumn("serial", F.col("k").cast("string")), ["serial", "name", "email", "followers", "city", "matched_query", "relevance"]))
+QUERIES["profile_close_matches"] = lambda spark, d: close_matches(nz.add_email(batches.source_rows(spark, d)).select("email_domain"), spark.createDataFrame([(m,) for m in fixed.MAJORS], "domain string"), 0.85)
+QUERIES["close_names"] = lambda spark, d: close_matches(batches.table(spark, d, "customer").select("c_name"), batches.table(spark, d, "supplier").select("s_name"), 0.6, most=3)
 source("profile_duplicates", lambda r: stats.duplicate_groups(nz.add_phone(r), "phone_value"))
 QUERIES["profile_quantiles"] = lambda spark, d: stats.quantiles(batches.table(spark, d, "lineitem"), "l_extendedprice", 1000.0).withColumn("share_below", F.bround("share_below", 9))
 source("profile_signals", lambda r: stats.duplicate_signals(nz.add_url(nz.add_phone(nz.add_email(r))), ["phone_value", "email_value", "website_value"]))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import fixed
+from sievework.operators import trigrams
+from sievework.operators.paging import Key, deep_page
 from sievework.plans.store import Store
 
 
@@ -49,6 +51,12 @@ def like(c, text: str):
     return F.contains(F.lower(c), F.lit(text.lower()))
 
 
+def search_texts(s: Store) -> DataFrame:
+    """key, text: everything of a lead that a search looks into."""
+    names = [s.leads.select(F.col("lead_key").alias("key"), F.col(c).alias("text")) for c in ("display_name", "normalized_name")]
+    return names[0].union(names[1]).union(s.identifiers.select("lead_key", "value"))
+
+
 def merged_leads(s: Store) -> DataFrame:
     """lead_key, merged_into of the leads that applied confirmations took into the survivor that was chosen, at the end of its chain."""
     return s.merges
@@ -63,11 +71,14 @@ def current_scores(s: Store, version: str | None = None) -> DataFrame:
     return s.scores.where(F.col("rubric_version") == (version or fixed.RUBRIC_VERSION))
 
 
-def filter_leads(s: Store, f: Filters) -> DataFrame:
+def filter_leads(s: Store, f: Filters, index: str | None = None) -> DataFrame:
+    """Leads that meet all conditions. With the path of a trigram ``index`` of ``search_texts`` a search reads that first."""
     out = s.leads if f.include_merged else active(s)
     ids = s.identifiers
     semi = lambda df: out.join(df.select("lead_key"), "lead_key", "left_semi")
-    if f.q:
+    if f.q and index:
+        out = semi(trigrams.search(search_texts(s), index, f.q).withColumnRenamed("key", "lead_key"))
+    elif f.q:
         hit = ids.where(like(F.col("value"), f.q)).select("lead_key").union(s.leads.where(like(F.col("display_name"), f.q) | like(F.col("normalized_name"), f.q)).select("lead_key"))
         out = semi(hit)
     for column, values in (("category_slug", f.category), ("location_slug", f.location), ("location_state", f.state), ("entity_kind", f.entity_kind)):
@@ -129,6 +140,10 @@ def page(df: DataFrame, number: int = 1, size: int = 25) -> DataFrame:
     return df.offset((number - 1) * size).limit(size)
 
 
+#: Pages that begin behind so many rows are found by their rank.
+DEEP = 10_000
+
+
 def page_count(total: int, size: int) -> int:
     return ceil(total / min(size, 200))
 
@@ -139,8 +154,12 @@ def page_envelope(items: DataFrame, number: int = 1, size: int = 25) -> dict:
     return {"items": page(items, number, size), "total": total, "page": number, "page_size": min(size, 200), "page_count": page_count(total, size)}
 
 
-def leads_page(s: Store, f: Filters, sort: str = "-quality", number: int = 1, size: int = 25) -> DataFrame:
+def leads_page(s: Store, f: Filters, sort: str = "-quality", number: int = 1, size: int = 25, deep: int = DEEP) -> DataFrame:
+    """A page of leads; behind the first ``deep`` rows by ranges of the sort key, so that no offset grows with its number."""
     scored = filter_leads(s, f).join(current_scores(s).select("lead_key", "score"), "lead_key", "left")
+    name = sort.removeprefix("-")
+    if name in SORTS and number > 1 and (number - 1) * min(size, 200) >= deep:
+        return deep_page(scored, [Key(SORTS[name], sort.startswith("-")), Key("lead_key")], number, min(size, 200), max(deep, 1))
     return page(order(scored, sort, SORTS, ("lead_key",)), number, size)
 
 

@@ -173,3 +173,34 @@ def completeness(df: DataFrame, columns: list[str]) -> DataFrame:
 def regex_shares(df: DataFrame, tests: dict[str, tuple[str, str]]) -> DataFrame:
     own = [F.struct(F.lit(name).alias("test"), F.avg(F.coalesce(F.col(c).rlike(p), F.lit(False)).cast("double")).alias("share")) for name, (c, p) in tests.items()]
     return df.agg(F.array(*own).alias("a")).select(F.explode("a").alias("x")).select("x.*")
+
+
+#: Types that a text may be read as, the first that fits; empty and null ones are "null".
+VALUE_TYPES = [("boolean", r"(?i)^(true|false|yes|no)$"), ("int", r"^[+-]?\d{1,18}$"), ("decimal", r"^[+-]?(\d+\.\d*|\.\d+|\d+)([eE][+-]?\d+)?$"), ("date", r"^\d{4}-\d{2}-\d{2}$")]
+
+
+def value_type(c: F.Column) -> F.Column:
+    """null, boolean, int, decimal, date (one of the calendar) or text, of a text without the white space around it."""
+    t = F.trim(c.cast("string"))
+    out = F.lit("text")
+    for name, pattern in reversed(VALUE_TYPES):
+        fits = t.rlike(pattern) & t.try_cast("date").isNotNull() if name == "date" else t.rlike(pattern)
+        out = F.when(fits, name).otherwise(out)
+    return F.when(t.isNull() | (t == ""), "null").otherwise(out)
+
+
+def merged_type(types: F.Column) -> F.Column:
+    """The least type of a list that holds all its values: int and decimal are decimal, other mixtures text, nulls hold in any."""
+    own = F.array_except(types, F.array(F.lit("null")))
+    return F.when(F.size(own) == 0, "null").when(F.size(own) == 1, own[0]).when(F.size(F.array_except(own, F.array(F.lit("int"), F.lit("decimal")))) == 0, "decimal").otherwise("text")
+
+
+def type_histogram(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, type, n, share, merged: how many values of each text column are of which type, and the type that holds them all.
+
+    One pass over the rows: each is a few pairs (column, type), counted before they are shuffled.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), value_type(F.col(f"`{c}`")).alias("type")) for c in columns])).alias("x")
+    n = df.select(each).groupBy("x.column", "x.type").agg(F.count("*").alias("n"))
+    whole = n.groupBy(F.col("column").alias("of")).agg(F.sum("n").alias("all"), merged_type(F.array_sort(F.collect_set("type"))).alias("merged"))
+    return n.join(whole, F.col("column") == F.col("of")).select("column", "type", "n", F.bround(100 * F.col("n") / F.col("all"), 4).alias("share"), "merged")
