@@ -17,6 +17,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DECISIONS = ("confirmed_duplicate", "rejected_distinct", "pending")
 HOPS = 16
+#: Decisions of one connected group that are folded together; more are an error, as a group is one task.
+MOST_DECISIONS = 1_000_000
 
 
 class DecisionError(ValueError):
@@ -56,6 +58,8 @@ _FOLD = "lead_a long, lead_b long, method string, status string, reviewer string
 
 
 def _fold(log: pd.DataFrame) -> pd.DataFrame:
+    if len(log) > MOST_DECISIONS:
+        raise ValueError(f"a connected group of more than {MOST_DECISIONS} decisions")
     into: dict[int, int] = {}
     state: dict[tuple[int, int, str], dict] = {}
 
@@ -103,10 +107,12 @@ def fold_decisions(log: DataFrame, survivors: DataFrame | None = None) -> DataFr
     A confirmation that names no survivor takes that of ``survivors`` (lead_a, lead_b, survivor);
     without one it is refused. A refused decision changes nothing but ``conflict``. Decisions of pairs
     that share no lead, however far, do not touch each other, so each connected group is folded by
-    itself; a group is as large as people's decisions, not as the corpus.
+    itself; a group is as large as people's decisions, not as the corpus, and raises an error beyond
+    ``MOST_DECISIONS``. (a, b) and (b, a) are one pair, told with the smaller lead first.
     """
     if "method" not in log.columns:
         log = log.withColumn("method", F.lit(""))
+    log = log.withColumn("_a", F.least("lead_a", "lead_b")).withColumn("lead_b", F.greatest("lead_a", "lead_b")).withColumn("lead_a", F.col("_a")).drop("_a")
     if survivors is not None:
         log = log.join(survivors.withColumnRenamed("survivor", "_chosen"), ["lead_a", "lead_b"], "left").withColumn("survivor", F.coalesce("survivor", "_chosen")).drop("_chosen")
     comp = connected_components(log.select(F.col("lead_b").alias("u"), F.col("lead_a").alias("v"))).withColumnRenamed("node", "lead_a")

@@ -73,10 +73,11 @@ def verify_urls(urls: DataFrame, responses: DataFrame) -> DataFrame:
     return out.select("url", F.regexp_extract("url", r"^[a-z]+://([^/?#:]*)", 1).alias("host"), "status", F.col("code").alias("status_code"), "is_parked", live.alias("is_live"))
 
 
-def pending(targets: DataFrame, cache: DataFrame, key: str, now: Column, force: bool = False) -> DataFrame:
-    """Targets (key, n) without a fresh cache row."""
+def pending(targets: DataFrame, cache: DataFrame, key: str, now: Column, force: bool = False, limit: int | None = None) -> DataFrame:
+    """Targets (key, n) without a fresh cache row; of them the ``limit`` that most rows name, ties by key."""
     fresh = cache.where(F.col("expires_at") > now).select(key)
-    return targets if force else targets.join(fresh, key, "left_anti")
+    out = targets if force else targets.join(fresh, key, "left_anti")
+    return out if limit is None else out.orderBy(F.desc("n"), key).limit(limit)
 
 
 def signals(identifiers: DataFrame, domain_cache: DataFrame, url_cache: DataFrame) -> DataFrame:

@@ -224,7 +224,7 @@ _QUERIES = {
     "follower_observations": "SELECT * FROM obs",
     "source_queries": "SELECT lead_key, matched_query AS query, bool_and(source_inferred) AS inferred FROM rows_ WHERE matched_query IS NOT NULL GROUP BY ALL",
     "weak_labels": "SELECT lead_key, 'relevance' AS dimension, arg_min(relevance, row_id) AS label, 'weak_relevance' AS label_source FROM rows_ WHERE relevance IS NOT NULL GROUP BY 1",
-    "labels_by_source": "SELECT 'weak_relevance' AS label_source, count(DISTINCT lead_key) AS n FROM rows_ WHERE relevance IS NOT NULL",
+    "labels_by_source": "SELECT 'weak_relevance' AS label_source, count(DISTINCT lead_key) AS n FROM rows_ WHERE relevance IS NOT NULL HAVING count(*) > 0 UNION ALL SELECT 'document_quality', count(quality) FROM labels HAVING count(quality) > 0 UNION ALL SELECT 'document_toxic', count(toxic) FROM labels HAVING count(toxic) > 0",
     "latest_followers": "SELECT lead_key, latest_followers FROM leads",
     "companies": "SELECT cn.domain, name, website, branches, branches > 1 AS multi_branch FROM cn LEFT JOIN cu ON cu.domain = cn.domain",
     "companies_page": "SELECT cn.domain, name, coalesce(n, 0) AS branch_count, locations FROM cn LEFT JOIN (SELECT company_domain, count(*) AS n, array_to_string(list_sort(list(DISTINCT location_name)), ',') AS locations FROM act GROUP BY 1) a ON a.company_domain = cn.domain WHERE coalesce(n, 0) >= 2 ORDER BY branch_count DESC, cn.domain LIMIT 50",
@@ -238,6 +238,7 @@ _QUERIES = {
     "verify_domains": "SELECT domain, status, has_mx FROM dc",
     "mail_provider": "SELECT domain, provider FROM dc",
     "verify_urls": "SELECT url, host, status, status_code, is_parked, is_live FROM uc",
+    "verify_pending_first": "SELECT dm.domain, n FROM dm LEFT JOIN dx USING (domain) WHERE NOT coalesce(fresh, false) ORDER BY n DESC, dm.domain LIMIT 25",
     "verify_pending": "SELECT dm.domain, n FROM dm LEFT JOIN dx USING (domain) WHERE NOT coalesce(fresh, false)",
     "signals": "SELECT * FROM sig",
     "verify_report": "SELECT CAST(sum(n) AS BIGINT) AS addresses, count(*) AS domains, CAST(sum(n) - count(*) AS BIGINT) AS saved, count(*) FILTER (WHERE fresh) AS cache_hits FROM dm LEFT JOIN dx USING (domain)",
@@ -367,6 +368,15 @@ c AS (SELECT c_custkey, phone, national, r.code, r.region, list_contains(r.lengt
 SELECT c_custkey, phone, CASE WHEN ok THEN '+' || code || national END AS phone_value, CASE WHEN ok THEN region END AS phone_region, CASE WHEN ok THEN national END AS phone_national,
   CASE WHEN ok THEN CASE WHEN fx AND mb THEN 'fixed_line_or_mobile' WHEN mb THEN 'mobile' WHEN fx THEN 'fixed_line' ELSE 'unknown' END END AS phone_type, ok AND mb AS phone_mobile,
   CASE WHEN NOT ok THEN 0.0::DOUBLE WHEN fx OR mb THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS phone_confidence FROM c"""
+_REDIRECTS = rf"""
+WITH RECURSIVE p AS (SELECT url, min(page_id) AS id, lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1), '^.*@', ''), ':\d*$', '')) AS host FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages WHERE url IS NOT NULL) GROUP BY url),
+g AS (SELECT p.*, CASE WHEN id % 5 < 3 THEN (id * 3 + 1) % (SELECT count(*) FROM p) END AS goes, CASE WHEN id % 23 = 0 THEN 'connect' WHEN id % 31 = 0 THEN 'other' END AS err FROM p),
+h AS (SELECT g.url, g.host, q.url AS location, g.id % 29 <> 0 AS recorded, err, CASE WHEN err IS NULL THEN CASE WHEN goes IS NOT NULL THEN 301 + g.id % 2 WHEN g.id % 7 = 0 THEN 503 ELSE 200 END END AS code FROM g LEFT JOIN p q ON q.id = goes),
+s AS (SELECT *, CASE WHEN length(host) % 11 = 0 THEN 'no address' WHEN length(host) % 13 = 0 THEN 'private' WHEN NOT recorded THEN 'not recorded' WHEN err IS NOT NULL THEN err WHEN code BETWEEN 301 AND 302 AND location IS NOT NULL THEN 'goes on' ELSE 'answered' END AS why FROM h),
+w(url, now, chain, hops) AS (SELECT url, url, CAST([] AS VARCHAR[]), 0 FROM s UNION ALL SELECT w.url, s.location, list_append(chain, now), hops + 1 FROM w JOIN s ON s.url = now WHERE why = 'goes on' AND hops < 5),
+l AS (SELECT w.url, s.url AS final, chain, hops, CASE WHEN why = 'goes on' THEN 'redirects' ELSE why END AS why, code FROM w JOIN s ON s.url = now WHERE why <> 'goes on' OR hops = 5)
+SELECT url, CASE WHEN why = 'private' THEN 'skipped' WHEN why IN ('no address', 'connect', 'redirects') THEN 'unreachable' WHEN why IN ('not recorded', 'other') OR code >= 500 THEN 'unknown' ELSE 'verified' END AS status, CASE WHEN why = 'answered' THEN CAST(code AS INTEGER) END AS status_code,
+  CASE WHEN why = 'answered' THEN final END AS final_url, CAST(CASE WHEN why = 'answered' THEN hops ELSE 0 END AS BIGINT) AS redirect_count, CASE WHEN why = 'answered' THEN array_to_string(chain, ' ') ELSE '' END AS chain, CASE WHEN why <> 'answered' THEN why END AS error FROM l"""
 _parked = " OR ".join(f"contains(t, '{m}')" for m in fixed.PARKED_MARKERS)
 _title = r"nullif(substr(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), 1, 200), '')"
 _ORDERS = [("o_orderkey", "bigint", "o_orderkey"), ("o_custkey", "bigint", "o_custkey"), ("o_orderstatus", "string", "o_orderstatus"), ("o_totalprice", "double", "CAST(o_totalprice AS DECIMAL(38, 6))"), ("o_orderdate", "timestamp_ntz", "o_orderdate"), ("o_orderpriority", "string", "o_orderpriority")]
@@ -377,6 +387,7 @@ _PLAIN = {
     "url_strip_tracking": f"SELECT page_id, q AS query, array_to_string([p FOR p IN string_split(q, '&') IF NOT regexp_matches(split_part(p, '=', 1), '{fixed.TRACKING_PATTERN}')], '&') AS kept FROM (SELECT page_id, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q FROM pages)",
     "registrable_domain": f"SELECT page_id, host, CASE WHEN array_to_string(l[-2:], '.') IN {_in(fixed.SUFFIXES)} THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain FROM (SELECT page_id, {_pages_host} AS host, string_split({_pages_host}, '.') AS l FROM pages)",
     "registrable_rules": _DOMAINS,
+    "follow_redirects": _REDIRECTS.replace("\\\\", "\\"),
     "phone_regions": _PHONES.replace("\\\\", "\\"),
     "html_title": f"SELECT page_id, {_title} AS title FROM pages",
     "html_parked": f"SELECT page_id, {_parked} AS parked FROM (SELECT page_id, lower(coalesce({_title} || ' ', '') || substr(html, 1, 4000)) AS t FROM pages)",

@@ -14,6 +14,7 @@ from sievework.functions.similarity import token_set_ratio
 from sievework.operators import quality, resolve, review, suffixes, trigrams, upsert, verify
 from sievework.operators.close import close_matches
 from sievework.operators.paging import Key, deep_page
+from sievework.operators.redirects import follow_redirects, host_of
 from sievework.plans import serve, sink, stats
 from sievework.plans.serve import Filters
 from sievework.plans.store import NOW, mail_domains, owned_urls, store, survivors
@@ -172,7 +173,27 @@ simple("verify_domains", lambda s: s.domain_cache.select("domain", "status", "ha
 simple("mail_provider", lambda s: s.domain_cache.select("domain", "provider"))
 simple("verify_urls", lambda s: s.url_cache.select("url", "host", "status", "status_code", "is_parked", "is_live"))
 simple("verify_pending", lambda s: verify.pending(mail_domains(s.identifiers), s.domain_cache, "domain", F.lit(NOW).cast("timestamp_ntz")))
+simple("verify_pending_first", lambda s: verify.pending(mail_domains(s.identifiers), s.domain_cache, "domain", F.lit(NOW).cast("timestamp_ntz"), limit=25))
 simple("signals", lambda s: s.signals)
+
+
+@query("follow_redirects")
+def redirects_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's url followed over answers derived from the pages: three of five redirect to another page, hosts have addresses by their length."""
+    pages = batches.table(spark, sf_dir, "pages").where("url is not null").groupBy(F.regexp_replace("url", "#.*$", "").alias("url")).agg(F.min("page_id").alias("id"), F.min_by("html", "page_id").alias("html"))
+    n, host = pages.agg(F.count("*").alias("n_pages")), host_of(F.col("url"))
+    to = pages.select(F.col("id").alias("to_id"), F.col("url").alias("location"))
+    own = pages.crossJoin(F.broadcast(n)).withColumn("goes", F.when(F.col("id") % 5 < 3, (F.col("id") * 3 + 1) % F.col("n_pages")))
+    hops = own.join(to, F.col("goes") == F.col("to_id"), "left").where("id % 29 <> 0")
+    error = F.when(F.col("id") % 23 == 0, "connect").when(F.col("id") % 31 == 0, "read")
+    code = F.when(error.isNotNull(), None).when(F.col("goes").isNotNull(), F.lit(301) + F.col("id") % 2).when(F.col("id") % 7 == 0, 503).otherwise(200)
+    hops = hops.select("url", code.cast("int").alias("code"), "location", error.alias("error"), "html")
+    ip = F.when(F.length(host) % 13 == 0, "10.0.0.7").otherwise(F.concat(F.lit("93.184.216."), (F.length(host) % 250).cast("string")))
+    addresses = pages.select(host.alias("host"), ip.alias("ip")).where(F.length("host") % 11 != 0).distinct()
+    out = follow_redirects(pages.select("url"), hops, addresses)
+    return out.select("url", "status", "status_code", "final_url", F.col("redirect_count").cast("long").alias("redirect_count"), F.array_join("redirect_chain", " ").alias("chain"), "error")
+
+
 QUERIES["html_title"] = lambda spark, d: batches.table(spark, d, "pages").select("page_id", verify.html_title(F.col("html")).alias("title"))
 QUERIES["html_parked"] = lambda spark, d: batches.table(spark, d, "pages").select("page_id", verify.looks_parked(F.col("html")).alias("parked"))
 
@@ -262,7 +283,15 @@ simple("pair_comparison", serve.pair_comparison)
 # Statistics.
 simple("identifiers_by_kind", lambda s: s.identifiers.groupBy("kind").agg(F.count("*").alias("n")))
 simple("leads_by_entity_kind", lambda s: serve.active(s).groupBy("entity_kind").agg(F.count("*").alias("n")))
-simple("labels_by_source", lambda s: s.labels.groupBy("label_source").agg(F.count("*").alias("n")))
+
+
+@query("labels_by_source")
+def labels_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of leads and of documents, by where they come from."""
+    docs = batches.table(spark, sf_dir, "labels").select(F.explode(F.array(*[F.struct(F.lit(f"document_{c}").alias("label_source"), F.col(c).alias("label")) for c in ("quality", "toxic")])).alias("x")).select("x.*").where("label is not null")
+    return store(spark, sf_dir).labels.select("label_source").union(docs.select("label_source")).groupBy("label_source").agg(F.count("*").alias("n"))
+
+
 simple("corpus_stats", stats.corpus_stats)
 simple("quality_stats", lambda s: stats.quality_stats(s).select("n", F.bround("mean", 1).alias("mean"), F.bround("p10", 1).alias("p10"), F.bround("p50", 1).alias("p50"), F.bround("p90", 1).alias("p90")))
 simple("quality_histogram", stats.quality_histogram)
