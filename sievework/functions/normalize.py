@@ -64,8 +64,11 @@ def add_email(df: DataFrame) -> DataFrame:
 def _phone_table(rules: list[tuple]) -> tuple[Column, list[int]]:
     """Prefix (calling code and leading digits) to what its region does, and the lengths of prefixes, longest first."""
     by_prefix = {code + lead: (code, region, [int(n) for n in lengths.split()], fixed_line, mobile, trunk) for code, leads, region, lengths, fixed_line, mobile, trunk, _ in rules for lead in (leads.split() or [""])}
-    struct = lambda r: F.struct(*[F.lit(x).alias(n) for n, x in zip(("code", "region", "lengths", "fixed", "mobile", "trunk"), r)])
-    return F.create_map(*[x for k, r in by_prefix.items() for x in (F.lit(k), struct(r))]), sorted({len(k) for k in by_prefix}, reverse=True)
+    quoted = lambda x: "array(" + ", ".join(map(str, x)) + ")" if isinstance(x, list) else f"'{x}'"
+    struct = lambda r: "named_struct(" + ", ".join(f"'{n}', {quoted(x)}" for n, x in zip(("code", "region", "lengths", "fixed", "mobile", "trunk"), r)) + ")"
+    # one expression, since thousands of small ones take seconds to make
+    table = F.expr("map(" + ", ".join(f"'{k}', {struct(r)}" for k, r in by_prefix.items()) + ")")
+    return table, sorted({len(k) for k in by_prefix}, reverse=True)
 
 
 def add_phone(df: DataFrame, field: str = "phone", rules: list[tuple] = fixed.PHONE_RULES, region: str = "IN") -> DataFrame:

@@ -8,12 +8,18 @@ Nothing but the number and a digest of the edges reaches the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sievework.operators.skew import HEAVY_SHARE, lookup, tasks
 from sievework.scratch import materialize
 
+#: Edges that one task joins in a second or two; callers say whether they want that.
+SMALL = 20_000
+
 
 def _low(edges: DataFrame, n_edges: int) -> tuple[DataFrame, DataFrame]:
     """The smallest neighbour of each u, and the nodes that are heavy among ``n_edges`` edges."""
@@ -44,9 +50,29 @@ def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return out, (got["n"], got["s"], got["x"])
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -> DataFrame:
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same for all edges at once, in one task: each node's edge to the smallest of its component."""
+    low: dict = {}
+
+    def root(x):
+        while (y := low.get(x, x)) != x:
+            low[x] = low.get(y, y)
+            x = y
+        return x
+
+    for b in batches:
+        for u, v in zip(b["u"].tolist(), b["v"].tolist()):
+            x, y = root(u), root(v)
+            low[u], low[v] = low.get(u, u), low.get(v, v)
+            low[max(x, y)] = min(x, y)
+    ends = [(x, root(x)) for x in low]
+    yield pd.DataFrame([e for e in ends if e[0] != e[1]], columns=["u", "v"])
+
+
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60, small: int = 0) -> DataFrame:
     """(node, component) for every node that has an edge; component is its smallest reachable node.
 
+    A graph of at most ``small`` edges, counted first, is joined by one task instead of in rounds.
     Null ends, self-loops and repeated edges are ignored; without edges the result is empty. Raises
     if the stars have not settled after ``rounds`` rounds (they halve the depth each time).
     """
@@ -56,6 +82,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
         "u is not null and v is not null and u <> v"
     )
     now, mark = _written(now.distinct())
+    if 0 < mark[0] <= small:
+        now, mark = materialize(now.coalesce(1).mapInPandas(_joined, now.schema), "cc"), (0,)
     for _ in range(rounds):
         if mark[0] == 0:
             break

@@ -90,3 +90,38 @@ def explain(scored: DataFrame, weights: dict[str, float] = fixed.WEIGHTS) -> Dat
     each = F.array(*[F.struct(F.lit(n).alias("factor"), F.col(f"f_{n}").alias("value"), F.lit(float(w)).alias("weight")) for n, w in weights.items()])
     one = scored.select("lead_key", F.explode(each).alias("f")).select("lead_key", "f.*")
     return one.select("lead_key", "factor", F.bround("value", 4).alias("value"), "weight", F.coalesce(F.bround(F.col("value") * F.col("weight"), 3), F.lit(0.0)).alias("contribution"), F.col("value").isNotNull().alias("measured"))
+
+
+def explain_reasons(factored: DataFrame) -> DataFrame:
+    """lead_key, factor, measured, reason: in words why each factor of leads with facts and factors is what it is."""
+    f = lambda n: F.col(f"f_{n}")
+    domain, followers = F.col("company_domain"), F.col("latest_followers")
+    contact = F.when(f("contact_reachable") == 0, "no e-mail or phone")
+    for value, text in ((0.5, "phone only"), (1.0, "own domain, a person's"), (0.8, "own domain, a role's"), (0.6, "free provider, a person's")):
+        contact = contact.when(f("contact_reachable") == value, text)
+    unmeasured = lambda n, there, text: F.when(f(n).isNull(), F.when(there.isNull(), text).otherwise("not measured"))
+    reasons = {
+        "identity_present": F.when(f("identity_present") == 1, "named").otherwise("placeholder name"),
+        "contact_reachable": contact.otherwise("free provider, a role's"),
+        "mailbox_verified": unmeasured("mailbox_verified", F.col("email"), "no e-mail").when(f("mailbox_verified") == 0, "takes no mail").when(f("mailbox_verified") == 1, F.concat(F.lit("takes mail, managed by "), "mail_provider")).otherwise("takes mail"),
+        "owned_website": F.coalesce(F.concat(F.lit("owns "), domain), F.lit("no domain of its own")),
+        "website_live": unmeasured("website_live", domain, "no website").when(f("website_live") == 1, "answers").when(F.col("website_parked"), "parked").otherwise("does not answer"),
+        "channel_breadth": F.concat(F.round(f("channel_breadth") * len(fixed.CHANNEL_KINDS)).cast("int").cast("string"), F.lit(f" of {len(fixed.CHANNEL_KINDS)} channels")),
+        "audience_evidence": F.when(followers.isNull(), "no count").when(followers <= 0, "no followers").otherwise(F.concat(followers.cast("string"), F.lit(" followers"))),
+        "location_resolved": F.coalesce(F.concat(F.lit("in "), "location_name"), F.lit("not resolved")),
+        "category_known": F.when(f("category_known") == 1, F.concat(F.lit("is "), "category_slug")).otherwise("no category"),
+        "identity_verifiable": F.when(f("identity_verifiable") == 1, "named page").otherwise("numbered page"),
+        "provenance_observed": F.when(f("provenance_observed") == 1, "source observed").otherwise("source inferred"),
+    }
+    each = F.array(*[F.struct(F.lit(n).alias("factor"), f(n).isNotNull().alias("measured"), r.alias("reason")) for n, r in reasons.items()])
+    return factored.select("lead_key", F.explode(each).alias("x")).select("lead_key", "x.*")
+
+
+def explain_penalties(scored: DataFrame, rubric: Rubric = RUBRIC) -> DataFrame:
+    """lead_key, penalty, amount, triggered_by: each penalty of leads with facts and scores, and the first code or the finding behind it."""
+    amounts = F.create_map(*[F.lit(x) for k, v in (rubric.penalties or {"": 0.0}).items() for x in (k, float(v))])
+    by_code = F.create_map(*[F.lit(x) for kv in fixed.PENALTY_OF_CODE.items() for x in kv])
+    one = scored.select("lead_key", "codes", F.coalesce("website_parked", F.lit(False)).alias("parked"), F.explode("penalties").alias("penalty"))
+    first = F.get(F.filter(F.array_sort(F.coalesce("codes", F.array().cast("array<string>"))), lambda c: F.try_element_at(by_code, c) == F.col("penalty")), F.lit(0))
+    found = F.when(F.col("penalty") == "mailbox_domain_dead", "mx_absent").when(F.col("penalty") == "website_dead", F.when(F.col("parked"), "website_parked").otherwise("website_down")).otherwise(first)
+    return one.select("lead_key", "penalty", F.try_element_at(amounts, F.col("penalty")).alias("amount"), found.alias("triggered_by"))

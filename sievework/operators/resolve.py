@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import fixed
 from sievework.functions.similarity import token_set_ratio
-from sievework.operators.components import connected_components
+from sievework.operators.components import SMALL, connected_components
 from sievework.operators.skew import heavy_of, lookup, tasks
 from sievework.scratch import materialize
 from sievework.sources.batches import row_text
@@ -34,7 +34,7 @@ def cluster_rows(rows: DataFrame) -> DataFrame:
     first = keys.groupBy("key").agg(F.min("row_id").alias("v"), F.count("*").alias("n"))
     heavy = heavy_of(first, "key", "n", tasks(rows))
     edges = lookup(keys, first.where("n > 1").select(F.col("key").alias("of"), "v"), "key", "of", heavy=heavy).where("row_id <> v").select(F.col("row_id").alias("u"), "v")
-    found = connected_components(edges)
+    found = connected_components(edges, small=SMALL)
     return rows.select("row_id").join(found, F.col("row_id") == F.col("node"), "left").select("row_id", F.coalesce("component", "row_id").alias("lead_key"))
 
 

@@ -6,10 +6,10 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sievework.operators.components import connected_components
+from sievework.operators.components import SMALL, connected_components
 from sievework.scratch import materialize
 
 # workers get the fold with the plan, so they need no copy of the package
@@ -44,12 +44,15 @@ def choose_survivor(pairs: DataFrame, leads: DataFrame) -> DataFrame:
 
 
 def merge_root(pointers: DataFrame) -> DataFrame:
-    """lead_key, root for pointers (lead_key, merged_into), by doubling: each round follows twice as far, up to HOPS."""
+    """lead_key, root for pointers (lead_key, merged_into), by doubling: each round follows twice as far, up to HOPS or until nothing moves."""
     now = pointers.select("lead_key", F.col("merged_into").alias("root"))
     hops = 1
     while hops < HOPS:
-        step = now.select(F.col("lead_key").alias("_k"), F.col("root").alias("_r"))
-        now = materialize(now.join(step, F.col("root") == F.col("_k"), "left").select("lead_key", F.coalesce("_r", "root").alias("root")), "roots")
+        step, moved = now.select(F.col("lead_key").alias("_k"), F.col("root").alias("_r")), Observation()
+        now = now.join(step, F.col("root") == F.col("_k"), "left").observe(moved, F.count("_r").alias("n")).select("lead_key", F.coalesce("_r", "root").alias("root"))
+        now = materialize(now, "roots")
+        if not moved.get["n"]:
+            break
         hops *= 2
     return now
 
@@ -115,7 +118,7 @@ def fold_decisions(log: DataFrame, survivors: DataFrame | None = None) -> DataFr
     log = log.withColumn("_a", F.least("lead_a", "lead_b")).withColumn("lead_b", F.greatest("lead_a", "lead_b")).withColumn("lead_a", F.col("_a")).drop("_a")
     if survivors is not None:
         log = log.join(survivors.withColumnRenamed("survivor", "_chosen"), ["lead_a", "lead_b"], "left").withColumn("survivor", F.coalesce("survivor", "_chosen")).drop("_chosen")
-    comp = connected_components(log.select(F.col("lead_b").alias("u"), F.col("lead_a").alias("v"))).withColumnRenamed("node", "lead_a")
+    comp = connected_components(log.select(F.col("lead_b").alias("u"), F.col("lead_a").alias("v")), small=SMALL).withColumnRenamed("node", "lead_a")
     return log.join(comp, "lead_a").groupBy("component").applyInPandas(_fold, _FOLD)
 
 

@@ -231,6 +231,14 @@ _QUERIES = {
     "companies_multi_branch": "SELECT company_domain AS domain, count(*) AS branches FROM leads WHERE company_domain IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "quality_factors": "SELECT lead_key, " + ", ".join(f"round_even(f_{n}, 9) AS {n}" for n in fixed.WEIGHTS) + " FROM xscore",
     "quality_score": "SELECT lead_key, round_even(base, 6) AS base, penalty_total, factors_evaluated, weight_available, round_even(score, 1) AS score_1 FROM xscore",
+    "quality_reasons": "SELECT lead_key, factor, measured, reason FROM (" + " UNION ALL ".join(f"SELECT x.lead_key, '{n}' AS factor, f_{n} IS NOT NULL AS measured, {r} AS reason FROM xscore x JOIN leads l ON l.lead_key = x.lead_key LEFT JOIN ident m ON m.lead_key = x.lead_key AND m.kind = 'email' AND m.is_primary LEFT JOIN sig g ON g.lead_key = x.lead_key" for n, r in {
+        "identity_present": "CASE WHEN is_placeholder THEN 'placeholder name' ELSE 'named' END", "owned_website": "coalesce('owns ' || company_domain, 'no domain of its own')",
+        "contact_reachable": "CASE WHEN m.value IS NULL THEN CASE WHEN EXISTS (SELECT 1 FROM ident p WHERE p.lead_key = x.lead_key AND p.kind = 'phone') THEN 'phone only' ELSE 'no e-mail or phone' END ELSE CASE WHEN m.free THEN 'free provider, ' ELSE 'own domain, ' END || CASE WHEN m.role THEN 'a role''s' ELSE 'a person''s' END END",
+        "mailbox_verified": "CASE WHEN m.value IS NULL THEN 'no e-mail' WHEN f_mailbox_verified IS NULL THEN 'not measured' WHEN f_mailbox_verified = 0 THEN 'takes no mail' WHEN f_mailbox_verified = 1 THEN 'takes mail, managed by ' || mail_provider ELSE 'takes mail' END",
+        "website_live": "CASE WHEN company_domain IS NULL THEN 'no website' WHEN f_website_live IS NULL THEN 'not measured' WHEN f_website_live = 1 THEN 'answers' WHEN website_parked THEN 'parked' ELSE 'does not answer' END", "channel_breadth": "CAST(f_channel_breadth * 4 AS INTEGER) || ' of 4 channels'",
+        "audience_evidence": "CASE WHEN latest_followers IS NULL THEN 'no count' WHEN latest_followers <= 0 THEN 'no followers' ELSE latest_followers || ' followers' END", "location_resolved": "coalesce('in ' || location_name, 'not resolved')", "category_known": "CASE WHEN f_category_known = 1 THEN 'is ' || category_slug ELSE 'no category' END",
+        "identity_verifiable": "CASE WHEN f_identity_verifiable = 1 THEN 'named page' ELSE 'numbered page' END", "provenance_observed": "CASE WHEN source_inferred THEN 'source inferred' ELSE 'source observed' END"}.items()) + ")",
+    "quality_penalties": "SELECT lead_key, penalty, amount, triggered_by FROM (SELECT lead_key, penalty, min(code) AS triggered_by FROM (SELECT lead_key, unnest(codes) AS code FROM xscore) JOIN (VALUES " + ", ".join(f"('{c}', '{p}')" for c, p in fixed.PENALTY_OF_CODE.items()) + ") t(code, penalty) USING (code) GROUP BY 1, 2 UNION ALL SELECT lead_key, 'mailbox_domain_dead', 'mx_absent' FROM xscore WHERE f_mailbox_verified = 0 UNION ALL SELECT x.lead_key, 'website_dead', CASE WHEN website_parked THEN 'website_parked' ELSE 'website_down' END FROM xscore x LEFT JOIN sig g ON g.lead_key = x.lead_key WHERE f_website_live = 0) JOIN (VALUES " + ", ".join(f"('{p}', {a}.0::DOUBLE)" for p, a in fixed.PENALTIES.items()) + ") v(penalty, amount) USING (penalty)",
     "quality_explain": " UNION ALL ".join(f"SELECT lead_key, '{n}' AS factor, round_even(f_{n}, 4) AS value, {w}.0::DOUBLE AS weight, coalesce(round_even(f_{n} * {w}, 3), 0.0::DOUBLE) AS contribution, f_{n} IS NOT NULL AS measured FROM xscore" for n, w in fixed.WEIGHTS.items()),
     "rescore": "SELECT factors_evaluated, count(*) AS n, round_even(avg(base), 6) AS mean_base FROM zscore GROUP BY 1",
     "domains_with_counts": "SELECT domain, n FROM dm",

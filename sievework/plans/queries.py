@@ -155,6 +155,8 @@ def token_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 simple("quality_factors", lambda s: s.scores.select("lead_key", *[F.bround(f"f_{n}", 9).alias(n) for n in fixed.WEIGHTS]))
 simple("quality_score", lambda s: s.scores.select("lead_key", F.bround("base", 6).alias("base"), "penalty_total", "factors_evaluated", "weight_available", F.bround("score", 1).alias("score_1")))
 simple("quality_explain", lambda s: quality.explain(s.scores))
+simple("quality_reasons", lambda s: quality.explain_reasons(quality.add_factors(quality.lead_facts(s.leads, s.identifiers, s.signals, s.issues))))
+simple("quality_penalties", lambda s: quality.explain_penalties(quality.add_scores(quality.add_factors(quality.lead_facts(s.leads, s.identifiers, s.signals, s.issues)))))
 
 
 @query("rescore")

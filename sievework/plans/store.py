@@ -94,13 +94,13 @@ def ingest(spark: SparkSession, sf_dir: str, recorded: bool = True) -> Store:
     with plain_constraints(spark):
         normalized = materialize(rules.add_rule_codes(normalize_rows(batches.source_rows(spark, sf_dir), gaz, batches.taxonomy(spark), materialize)), "normalized")
     rows = resolve.resolve(normalized)
-    issues = rules.issues(rows).join(rows.select("row_id", "lead_key"), "row_id")
+    issues = materialize(rules.issues(rows).join(rows.select("row_id", "lead_key"), "row_id"), "issues")
     identifiers = materialize(resolve.merge_identifiers(rows), "identifiers")
     leads = materialize(resolve.merge_leads(rows), "leads")
     domains = materialize(_checked(verify.verify_domains(mail_domains(identifiers).select("domain"), dns_records(mail_domains(identifiers))).drop("mx_hosts"), "domain"), "domains")
     urls = owned_urls(identifiers)
     sites = materialize(_checked(verify.verify_urls(urls, http_responses(urls)), "url"), "urls")
-    signals = verify.signals(identifiers, domains, sites)
+    signals = materialize(verify.signals(identifiers, domains, sites), "signals")
     scores = quality.add_scores(quality.add_factors(quality.lead_facts(leads, identifiers, signals, issues)))
     keep = ["lead_key", "score", "base", "penalty_total", "penalties", "factors_evaluated", "weight_available", "rubric_version", *[f"f_{n}" for n in fixed.WEIGHTS]]
     pairs = materialize(resolve.candidates(rows), "candidates")

@@ -73,3 +73,12 @@ def test_a_hub_of_half_of_all_edges_is_spread(spark, many_tasks):
     for tasks in read:
         if sum(tasks) > 20_000:
             assert max(tasks) < 4 * sum(tasks) / len(tasks), tasks
+
+
+def test_small_graphs_in_one_task_are_the_same(spark):
+    import random
+
+    r = random.Random(3)
+    edges = spark.createDataFrame([(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(None, 4), (5, 5)], "u long, v long").repartition(5)
+    both = [sorted(map(tuple, connected_components(edges, small=n).collect())) for n in (0, 10_000)]
+    assert both[0] == both[1] and len({c for _, c in both[0]}) > 5
