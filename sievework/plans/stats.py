@@ -104,7 +104,8 @@ def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
 
 
 def duplicate_groups(df: DataFrame, column: str) -> DataFrame:
-    n = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).where("n > 1")
+    # nulls count 0: a condition on the column itself would be pushed below whatever it is derived by, and repeat that
+    n = df.groupBy(column).agg(F.count(column).alias("n")).where("n > 1")
     return n.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
 
 
