@@ -295,6 +295,10 @@ _QUERIES = {
     "category_counts": "SELECT v.slug, count(l.lead_key) FILTER (WHERE g.lead_key IS NULL) AS active, count(l.lead_key) AS total FROM (SELECT DISTINCT slug FROM (VALUES " + ", ".join(f"('{s}')" for _, s in VERTICALS) + ") t(slug)) v LEFT JOIN leads l ON l.category_slug = v.slug LEFT JOIN gone g ON g.lead_key = l.lead_key GROUP BY 1",
     "location_counts": "SELECT v.slug, count(l.lead_key) FILTER (WHERE g.lead_key IS NULL) AS active, count(l.lead_key) AS total FROM (SELECT lower(replace(n_name, '_', '-')) AS slug FROM nation UNION SELECT lower(replace(r_name, ' ', '-')) FROM region) v LEFT JOIN leads l ON l.location_slug = v.slug LEFT JOIN gone g ON g.lead_key = l.lead_key GROUP BY 1",
     "review_queue": "SELECT lead_a, lead_b, method, confidence FROM cand WHERE status = 'pending' ORDER BY confidence DESC, lead_a, lead_b, method LIMIT 50",
+    "companies_search": "SELECT cn.domain, name, coalesce(n, 0) AS branch_count FROM cn LEFT JOIN (SELECT company_domain, count(*) AS n FROM act GROUP BY 1) a ON a.company_domain = cn.domain WHERE cn.domain ILIKE '%biz1%' OR name ILIKE '%biz1%' ORDER BY cn.domain LIMIT 10 OFFSET 10",
+    "review_queue_filters": " UNION ALL ".join(f"SELECT '{n}' AS asked, * FROM (SELECT lead_a, lead_b, method, confidence FROM cand WHERE {w} ORDER BY {o}, lead_a, lead_b, method LIMIT 200)" for n, w, o in [
+        ("method", "method = 'fuzzy_name'", "confidence DESC"), ("confidence", "confidence BETWEEN 0.4::DOUBLE AND 0.95::DOUBLE", "method"), ("status", "status = 'rejected_distinct'", "confidence"), ("lead", "10000008 IN (lead_a, lead_b)", "method DESC"),
+    ]),
     "pair_comparison": "SELECT lead_a, lead_b, method, a.field, a.value AS value_a, b.value AS value_b, CASE WHEN a.value IS NOT NULL AND b.value IS NOT NULL THEN lower(a.value) = lower(b.value) END AS agrees FROM cand JOIN facts a ON a.lead_key = lead_a JOIN facts b ON b.lead_key = lead_b AND b.field = a.field",
     "identifiers_by_kind": "SELECT kind, count(*) AS n FROM ident GROUP BY 1",
     "leads_by_entity_kind": "SELECT entity_kind, count(*) AS n FROM act GROUP BY 1",
@@ -350,7 +354,7 @@ _UNDONE = """,
 up AS (SELECT loser AS lead_key, min(target) AS p FROM ap WHERE why IS NULL AND (lead_a + lead_b) % 15 <> 0 GROUP BY 1),
 uw(lead_key, p, hops) AS (SELECT lead_key, p, 0 FROM up UNION ALL SELECT uw.lead_key, up.p, hops + 1 FROM uw JOIN up ON up.lead_key = uw.p WHERE hops < 16)
 """
-_TAIL = {"saved_merges": _UNDONE, "companies": _COMPANIES, "companies_page": _COMPANIES, "reingest_match": _MATCH}
+_TAIL = {"saved_merges": _UNDONE, "companies": _COMPANIES, "companies_page": _COMPANIES, "companies_search": _COMPANIES, "reingest_match": _MATCH}
 _FACTS = ",\nfacts AS (" + " UNION ALL ".join(f"SELECT lead_key, '{n}' AS field, CAST({e} AS VARCHAR) AS value FROM leads l" for n, e in _compared) + ")\n"
 
 _RULES = "[" + ", ".join(f"'{r}'" for r in fixed.SUFFIX_RULES) + "]"
@@ -390,6 +394,8 @@ _title = r"nullif(substr(trim(regexp_replace(regexp_extract(html, '(?is)<title[^
 _ORDERS = [("o_orderkey", "bigint", "o_orderkey"), ("o_custkey", "bigint", "o_custkey"), ("o_orderstatus", "string", "o_orderstatus"), ("o_totalprice", "double", "CAST(o_totalprice AS DECIMAL(38, 6))"), ("o_orderdate", "timestamp_ntz", "o_orderdate"), ("o_orderpriority", "string", "o_orderpriority")]
 _PLAIN = {
     "remap_defaults": "SELECT CAST(c_custkey AS VARCHAR) AS serial, c_name AS name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment ELSE 'Meta Ads' END AS source, 'Day_3' AS batch, 3 AS batch_seq, true AS source_inferred FROM customer",
+    "clean_cells": r"SELECT p_partkey, CASE WHEN p_partkey % 7 < 3 THEN nullif(trim(p_name), '') END AS cell FROM part",
+    "lookup_keys": r"SELECT p_partkey, trim(regexp_replace(regexp_replace(t, '[^\w\s-]', ' ', 'g'), '\s+', ' ', 'g')) AS key, regexp_replace(regexp_replace(t, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM (SELECT p_partkey, lower(strip_accents('  É' || p_name || ' & Çô.  #' || p_partkey || '-Ñ/')) AS t FROM part)",
     "dim_categories": "SELECT slug, count(*) AS aliases FROM (VALUES " + ", ".join(f"('{a}', '{s}')" for a, s in VERTICALS) + ") t(alias, slug) GROUP BY 1",
     "dim_locations": "SELECT lower(replace(n_name, '_', '-')) AS slug, n_name AS name, r_name AS state, 'exact' AS match FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT lower(replace(r_name, ' ', '-')), r_name, r_name, 'state' FROM region",
     "url_strip_tracking": f"SELECT page_id, q AS query, array_to_string([p FOR p IN string_split(q, '&') IF NOT regexp_matches(split_part(p, '=', 1), '{fixed.TRACKING_PATTERN}')], '&') AS kept FROM (SELECT page_id, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q FROM pages)",

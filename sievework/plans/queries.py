@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import fixed
 from sievework.functions import normalize as nz
+from sievework.functions import text as tx
 from sievework.functions.similarity import token_set_ratio
 from sievework.operators import quality, resolve, review, suffixes, trigrams, upsert, verify
 from sievework.operators.close import close_matches
@@ -63,6 +64,21 @@ def dim_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.gazetteer(spark, sf_dir).where("slug is not null").select("slug", "name", "state", "match")
 
 
+@query("clean_cells")
+def clean_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts as cells of a sheet: padded, with no-break spaces, blank, or in place of a name what a sheet shows for no number."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    cell = F.element_at(F.array(name, F.concat(F.lit("  "), name, F.lit("\t")), F.concat(F.lit("\u00a0"), name, F.lit(" \u00a0")), F.lit(" NaN "), F.lit("-inf"), F.lit(" \u00a0 "), F.lit("")), (k % 7 + 1).cast("int"))
+    return batches.table(spark, sf_dir, "part").select("p_partkey", tx.clean(cell).alias("cell"))
+
+
+@query("lookup_keys")
+def lookup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookup key and slug of parts' names with accents, signs, hyphens and repeated spaces put in."""
+    name = F.concat(F.lit("  \u00c9"), F.col("p_name"), F.lit(" & \u00c7\u00f4.  #"), F.col("p_partkey").cast("string"), F.lit("-\u00d1/"))
+    return batches.table(spark, sf_dir, "part").select("p_partkey", tx.key(name).alias("key"), tx.slug(name).alias("slug"))
+
+
 # Normalisers.
 source("norm_email", lambda r: nz.add_email(r).select("row_id", "email_value", "email_typo", "email_confidence"))
 source("email_classify", lambda r: nz.add_email(r).select("row_id", "email_domain", "email_free", "email_role", "email_disposable"))
@@ -281,6 +297,24 @@ QUERIES["category_counts"] = lambda spark, d: serve.dim_counts(store(spark, d),
 QUERIES["location_counts"] = lambda spark, d: serve.dim_counts(store(spark, d), "location_slug", batches.gazetteer(spark, d).where("slug is not null"), "slug")
 simple("review_queue", lambda s: serve.review_queue(s, sort="-confidence", size=50).select("lead_a", "lead_b", "method", "confidence"))
 simple("pair_comparison", serve.pair_comparison)
+simple("companies_search", lambda s: serve.companies_page(s, q="BIZ1", sort="domain", number=2, size=10).select("domain", "name", "branch_count"))
+
+
+@query("review_queue_filters")
+def review_queue_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates by method, by a range of confidence, by status and by a lead on either side, each in an order of its own."""
+    s, Q = store(spark, sf_dir), serve.QueueFilters
+    asked = {
+        "method": (Q(status=None, methods=("fuzzy_name",)), "-confidence"), "confidence": (Q(status=None, min_confidence=0.4, max_confidence=0.95), "method"),
+        "status": (Q(status="rejected_distinct"), "confidence"), "lead": (Q(status=None, lead=10000008), "-method"),
+    }
+    out = None
+    for name, (f, sort) in asked.items():
+        one = serve.review_queue(s, f, sort, size=200).select(F.lit(name).alias("asked"), "lead_a", "lead_b", "method", "confidence")
+        out = one if out is None else out.union(one)
+    return out
+
+
 
 # Statistics.
 simple("identifiers_by_kind", lambda s: s.identifiers.groupBy("kind").agg(F.count("*").alias("n")))
