@@ -82,6 +82,9 @@ def add_phone(df: DataFrame, field: str = "phone", rules: list[tuple] = fixed.PH
     numbers outside of its ranges, and of regions without rules, are kept with confidence 0.5. type is
     mobile, fixed_line, fixed_line_or_mobile (where a region does not tell them apart) or unknown; the
     first and the third are mobile.
+
+    A condition on one of these columns that Spark can push below them repeats their derivation until
+    planning no longer ends; put it behind a grouping's count or a written table, as the ingest does.
     """
     table, sizes = _phone_table(rules)
     home = next((r for r in rules if r[2] == region), None)

@@ -61,3 +61,24 @@ def test_records_by_content(spark, tmp_path):
     import hashlib
 
     assert hashlib.sha256(one.read_bytes()).hexdigest() in {r.sha256 for r in files.file_hashes(spark, str(tmp_path / "one")).collect()}
+
+
+def test_duplicate_groups_of_a_column_that_is_derived_at_length(spark):
+    """Planned without repeating the derivation; nulls are no group, nor is a table of nulls or without rows."""
+    from sievework.functions.normalize import add_phone
+
+    rows = spark.createDataFrame([("+91 98765 43210",), ("09876543210",), ("+1 650 253 0000",), (None,), (None,), ("x",)], "phone string")
+    assert stats.duplicate_groups(add_phone(rows), "phone_value").first().asDict() == {"groups": 1, "rows": 2}
+    for none in (rows.where("phone is null"), rows.limit(0)):
+        assert stats.duplicate_groups(none, "phone").first().asDict() == {"groups": 0, "rows": 0}
+
+
+def test_clean_and_keys_of_odd_cells(spark):
+    from sievework.functions import text
+
+    cells = [None, "", "  \t", " NaN", "-Infinity ", "  Ünï  Co. ", "nancy"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    out = {r.i: r for r in df.select("i", text.clean(F.col("c")).alias("t"), text.key(F.col("c")).alias("k"), text.slug(F.col("c")).alias("s")).collect()}
+    assert [out[i].t for i in range(7)] == [None, None, None, None, None, "Ünï  Co.", "nancy"]
+    assert (out[6].k, out[6].s, out[0].k, out[0].s, out[1].s) == ("nancy", "nancy", None, None, "")
+    assert out[5].s == "uni-co"
