@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import sys
+from collections import Counter
+from collections.abc import Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sievework.operators.components import SMALL, connected_components
+from sievework.operators.skew import tasks
 from sievework.scratch import materialize
 
 # workers get the fold with the plan, so they need no copy of the package
@@ -19,6 +25,8 @@ DECISIONS = ("confirmed_duplicate", "rejected_distinct", "pending")
 HOPS = 16
 #: Decisions of one connected group that are folded together; more are an error, as a group is one task.
 MOST_DECISIONS = 1_000_000
+#: States that a task tells at once.
+OUT_ROWS = 10_000
 
 
 class DecisionError(ValueError):
@@ -60,11 +68,13 @@ def merge_root(pointers: DataFrame) -> DataFrame:
 _FOLD = "lead_a long, lead_b long, method string, status string, reviewer string, applied_loser long, applied_target long, conflict string"
 
 
-def _fold(log: pd.DataFrame) -> pd.DataFrame:
+def _fold_rows(log: list[tuple]) -> list[tuple]:
+    """The states (as in ``_FOLD``) that one group's decisions (lead_a, lead_b, method, decision, reviewer, survivor) leave, in the order they stand in."""
     if len(log) > MOST_DECISIONS:
         raise ValueError(f"a connected group of more than {MOST_DECISIONS} decisions")
     into: dict[int, int] = {}
     state: dict[tuple[int, int, str], dict] = {}
+    holders: Counter = Counter()  # candidates whose confirmation holds a pointer (loser, target)
 
     def root(x: int) -> int:
         seen = set()
@@ -73,17 +83,15 @@ def _fold(log: pd.DataFrame) -> pd.DataFrame:
             x = into[x]
         return x
 
-    for d in log.sort_values("seq").itertuples(index=False):
-        pair = (int(d.lead_a), int(d.lead_b))
-        s = state.setdefault((*pair, d.method), {"status": "pending", "reviewer": None, "loser": None, "target": None, "conflict": None})
+    for lead_a, lead_b, method, decision, reviewer, survivor in log:
+        pair = (lead_a, lead_b)
+        s = state.setdefault((*pair, method), {"status": "pending", "reviewer": None, "loser": None, "target": None, "conflict": None})
+        holds = (s["loser"], s["target"]) if s["status"] == DECISIONS[0] and s["loser"] is not None else None
         undone = None
-        if s["status"] == DECISIONS[0] and s["loser"] is not None:  # reverse what it applied, unless another candidate still holds it
-            held = any(o is not s and o["status"] == DECISIONS[0] and o["loser"] == s["loser"] and o["target"] == s["target"] for o in state.values())
-            if not held and into.get(s["loser"]) == s["target"]:
-                undone = s["loser"], into.pop(s["loser"])
+        if holds and holders[holds] == 1 and into.get(holds[0]) == holds[1]:  # reverse what it applied, unless another candidate still holds it
+            undone = holds[0], into.pop(holds[0])
         loser = target = conflict = None
-        if d.decision == DECISIONS[0]:
-            survivor = None if pd.isna(d.survivor) else int(d.survivor)
+        if decision == DECISIONS[0]:
             if survivor not in pair:
                 conflict = "survivor is not of the pair"
             else:
@@ -98,10 +106,38 @@ def _fold(log: pd.DataFrame) -> pd.DataFrame:
             if undone:
                 into[undone[0]] = undone[1]
             continue
+        if holds:
+            holders[holds] -= 1
         if loser is not None:
             into[loser] = target
-        s |= {"status": d.decision, "reviewer": d.reviewer, "loser": loser, "target": target, "conflict": None}
-    return pd.DataFrame([(*p, s["status"], s["reviewer"], s["loser"], s["target"], s["conflict"]) for p, s in state.items()], columns=["lead_a", "lead_b", "method", "status", "reviewer", "applied_loser", "applied_target", "conflict"]).astype({"applied_loser": "Int64", "applied_target": "Int64"})
+            holders[loser, target] += 1
+        s |= {"status": decision, "reviewer": reviewer, "loser": loser, "target": target, "conflict": None}
+    return [(*p, s["status"], s["reviewer"], s["loser"], s["target"], s["conflict"]) for p, s in state.items()]
+
+
+def _fold(log: pd.DataFrame) -> pd.DataFrame:
+    """The same for one group as a frame, in the order of seq."""
+    rows = [(int(d.lead_a), int(d.lead_b), d.method, d.decision, d.reviewer, None if pd.isna(d.survivor) else int(d.survivor)) for d in log.sort_values("seq").itertuples(index=False)]
+    return pd.DataFrame(_fold_rows(rows), columns=["lead_a", "lead_b", "method", "status", "reviewer", "applied_loser", "applied_target", "conflict"]).astype({"applied_loser": "Int64", "applied_target": "Int64"})
+
+
+def _fold_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folds groups whose decisions follow one another, by component and seq; most have one or two, so a frame for each would cost more than its fold."""
+    names, types = zip(*(x.split() for x in _FOLD.split(", ")))
+    schema = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in zip(names, types)])
+    told: list[tuple] = []
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*told), schema)], schema=schema)
+
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+    for _, group in groupby(rows, itemgetter(0)):
+        told += _fold_rows([r[1:] for r in islice(group, MOST_DECISIONS + 1)])
+        if len(told) >= OUT_ROWS:
+            yield out()
+            told = []
+    if told:
+        yield out()
 
 
 def fold_decisions(log: DataFrame, survivors: DataFrame | None = None) -> DataFrame:
@@ -119,7 +155,10 @@ def fold_decisions(log: DataFrame, survivors: DataFrame | None = None) -> DataFr
     if survivors is not None:
         log = log.join(survivors.withColumnRenamed("survivor", "_chosen"), ["lead_a", "lead_b"], "left").withColumn("survivor", F.coalesce("survivor", "_chosen")).drop("_chosen")
     comp = connected_components(log.select(F.col("lead_b").alias("u"), F.col("lead_a").alias("v")), small=SMALL).withColumnRenamed("node", "lead_a")
-    return log.join(comp, "lead_a").groupBy("component").applyInPandas(_fold, _FOLD)
+    own = log.join(comp, "lead_a").select("component", "lead_a", "lead_b", "method", "decision", "reviewer", F.col("survivor").cast("long"), "seq")
+    # the number is given, since decisions are few bytes and adaptive execution would put them all into one task
+    own = own.repartition(tasks(own), "component").sortWithinPartitions("component", F.asc_nulls_last("seq"), "lead_a", "lead_b", "method")
+    return own.drop("seq").mapInArrow(_fold_sorted, _FOLD)
 
 
 def pointers(folded: DataFrame) -> DataFrame:
