@@ -1,21 +1,34 @@
 """Close matches by the gestalt ratio: twice the characters of the longest matching blocks, by the length of both.
 
 The longest block two texts share is taken, then the same is done with what stands before and behind it.
-No more characters can match than both hold in common, so a pair below the cutoff by length or by
-multiset of characters is never compared: each text is known by its characters, numbered by occurrence
-and put in the order of how rare they are, and pairs at the cutoff share one of the first few of these.
+The blocks are a common subsequence, so the ratio is at most that of the longest one, which takes a few
+operations on words of bits for one text and a whole array of others. All pairs are bounded that way, in
+cells of a block of values and a chunk of targets; a value's blocks are compared from the highest bound
+down and end where no bound reaches the last match that is kept. No pair becomes a row before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from bisect import insort
 
+import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.operators.skew import tasks
 from sievework.scratch import materialize
 
+# workers get the comparison with the plan, so they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Values and targets of a cell at most, and the fewest values that a block is made for.
+BLOCK, CHUNK, LEAST = 4096, 16384, 128
+#: Values that are bounded at once, and bits of a word that hold characters (one more takes the carry).
+SLICE, WORD = 256, 62
+
 
 def gestalt(a: str, b: str) -> float:
     """The ratio of two texts, 0 to 1; two empty ones are alike. Of equally long blocks the first in ``a``, then in ``b``, is taken."""
@@ -42,19 +55,85 @@ def gestalt(a: str, b: str) -> float:
     return 2 * matched / (len(a) + len(b))
 
 
-def _characters(values: DataFrame, name: str) -> DataFrame:
-    """``name``, character with its occurrence (c) and length (n) of each distinct value."""
-    own = values.select(F.col(f"`{values.columns[0]}`").cast("string").alias(name)).where(F.col(name).isNotNull() & (F.col(name) != "")).distinct()
-    each = own.select(name, F.length(name).alias("n"), F.explode(F.split(name, "")).alias("x")).where("x <> ''")
-    counted = each.groupBy(name, "n", "x").agg(F.count("*").alias("k"))
-    return counted.select(name, "n", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "k"), lambda i: F.concat("x", i.cast("string")))).alias("c"))
-
-
-def _beginnings(chars: DataFrame, name: str, rank: DataFrame, cutoff: float) -> DataFrame:
-    """The rarest characters of each value, of which a pair at the cutoff shares one."""
-    least = F.ceil(F.col("n") * cutoff / (2 - cutoff) - 1e-9)  # characters that must match, whatever the other's length
-    placed = chars.join(rank, "c").withColumn("at", F.row_number().over(Window.partitionBy(name).orderBy("rank", "c")))
-    return placed.where(F.col("at") <= F.col("n") - least + 1).select(name, "n", "c")
+class Texts:
+    """Texts as columns of character numbers, those of about one length together."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.lengths = np.array([len(t) for t in texts], np.int64)
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        found, number = np.unique(points, return_inverse=True)
+        self.number = {chr(c): i + 1 for i, c in enumerate(found)}  # 0 stands behind the end
+        starts = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.parts = []
+        size = np.array([n.bit_length() for n in self.lengths.tolist()])
+        for k in np.unique(size):
+            at = np.flatnonzero(size == k)
+            codes = np.zeros((len(at), self.lengths[at].max()), np.intp)
+            for row, i in zip(codes, at):
+                row[: self.lengths[i]] = number[starts[i] : starts[i + 1]] + 1
+            self.parts.append((at, np.ascontiguousarray(codes.T)))
+
+    def lcs(self, text: str, cutoff: float) -> np.ndarray:
+        """Length of the longest subsequence that ``text`` shares with each; 0 where no length of a part is near enough for ``cutoff``.
+
+        Rows of bits as in ``similarity.lcs_length``, a word of them for each 62 characters of ``text``.
+        """
+        out, n = np.zeros(len(self.texts), np.int64), len(text)
+        words = range(0, n, WORD)
+        masks = np.zeros((len(words), len(self.number) + 1), np.uint64)
+        for i, c in enumerate(text):
+            if c in self.number:
+                masks[i // WORD, self.number[c]] |= np.uint64(1 << i % WORD)
+        whole = [np.uint64((1 << min(WORD, n - w)) - 1) for w in words]
+        for at, codes in self.parts:
+            m = self.lengths[at]
+            if not (2 * np.minimum(m, n) / (m + n) >= cutoff).any():
+                continue
+            rows = [np.full(len(at), w) for w in whole]
+            hit, kept = np.empty_like(rows[0]), np.empty_like(rows[0])
+            for column in codes:
+                carry = None
+                for row, mask, w in zip(rows, masks, whole):
+                    np.take(mask, column, out=hit, mode="clip")
+                    hit &= row
+                    np.subtract(row, hit, out=kept)
+                    row += hit
+                    if carry is not None:
+                        row += carry
+                    if len(rows) > 1:
+                        carry = row >> np.uint64(WORD)
+                    row |= kept
+                    if len(rows) > 1:
+                        row &= w
+            out[at] = n - sum(np.bitwise_count(row & w).astype(np.int64) for row, w in zip(rows, whole))
+        return out
+
+
+def closest(values: list[str], targets: list[str], cutoff: float, most: int) -> list[tuple[str, str, float]]:
+    """value, target, ratio of the ``most`` closest of ``targets`` for each value; both without repeats, null and empty texts."""
+    out, targets = [], sorted(targets)
+    there = Texts(targets)
+    for first in range(0, len(values), SLICE):
+        own = values[first : first + SLICE]
+        if len(targets) >= len(own):
+            bounds = (there.lcs(v, cutoff) for v in own)
+        else:
+            bounds = iter(np.stack([x.lcs(t, cutoff) for x in [Texts(own)] for t in targets], axis=1))
+        for v, common in zip(own, bounds):
+            bound = 2 * common / (len(v) + there.lengths)
+            near = np.flatnonzero(bound >= cutoff)
+            best: list[tuple[float, int]] = []
+            for j in near[np.argsort(-bound[near], kind="stable")].tolist():
+                # whatever follows has no higher bound, and of the same bound no smaller target
+                if len(best) == most and (-bound[j], j) > best[-1]:
+                    break
+                ratio = gestalt(v, targets[j])
+                if ratio >= cutoff:
+                    insort(best, (-ratio, j))
+                    del best[most:]
+            out += [(v, targets[j], -r) for r, j in best]
+    return out
 
 
 def close_matches(values: DataFrame, targets: DataFrame, cutoff: float = 0.85, most: int = 1) -> DataFrame:
@@ -62,22 +141,31 @@ def close_matches(values: DataFrame, targets: DataFrame, cutoff: float = 0.85, m
 
     Both are tables whose first column counts; null and empty texts match nothing. Ties go to the
     smaller target. Equal texts are each other's matches with ratio 1. ``cutoff`` is above 0, at most 1.
+    A cell holds about ``BLOCK`` values and ``CHUNK`` targets, whatever the size of the tables; the work
+    grows with the product of both, as every pair is bounded.
     """
     if not 0 < cutoff <= 1:
         raise ValueError("a cutoff is above 0 and at most 1")
-    a, b = (materialize(_characters(df, name), "close-characters") for df, name in ((values, "value"), (targets, "target")))
-    rank = a.select("c").unionAll(b.select("c")).groupBy("c").agg(F.count("*").alias("rank"))
-    met = _beginnings(a, "value", rank, cutoff).join(_beginnings(b, "target", rank, cutoff).withColumnRenamed("n", "m"), "c")
-    fits = F.least("n", "m") * 2 >= (F.col("n") + F.col("m")) * cutoff - 1e-9
-    pairs = met.where(fits).select("value", "target").distinct()
-    # the whole multiset before the blocks: characters in common, by occurrence
-    common = pairs.join(a.select("value", "c", "n"), "value").join(b.select("target", "c", F.col("n").alias("m")), ["target", "c"]).groupBy("value", "target", "n", "m").agg(F.count("*").alias("common"))
-    left = common.where(F.col("common") * 2 >= (F.col("n") + F.col("m")) * cutoff - 1e-9).select("value", "target")
-
-    def ratios(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield p.assign(ratio=[gestalt(x, y) for x, y in zip(p["value"], p["target"])])
-
-    compared = left.mapInPandas(ratios, "value string, target string, ratio double").where(F.col("ratio") >= cutoff)
+
+    def distinct(df: DataFrame, name: str) -> DataFrame:
+        own = df.select(F.col(f"`{df.columns[0]}`").cast("string").alias(name)).where(F.col(name).isNotNull() & (F.col(name) != "")).distinct()
+        return materialize(own, "close-texts")
+
+    a, b = distinct(values, "value"), distinct(targets, "target")
+    n = a.count()
+    chunks = -(-b.count() // CHUNK) or 1
+    blocks = max(-(-n // BLOCK), min(-(-4 * tasks(a) // chunks), -(-n // LEAST)), 1)
+    part = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = a.select("value", part("value", blocks).alias("block"), every(chunks).alias("chunk"))
+    b = b.select("target", every(blocks).alias("block"), part("target", chunks).alias("chunk"))
+
+    def compared(v: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        found = closest(v["value"].tolist(), t["target"].tolist(), cutoff, most) if len(v) and len(t) else []
+        return pd.DataFrame(found, columns=["value", "target", "ratio"])
+
+    # the number is given: texts are few bytes, and adaptive execution would put all cells into one task
+    x, y = (df.repartition(min(blocks * chunks, 2000), "block", "chunk").groupBy("block", "chunk") for df in (a, b))
+    found = x.cogroup(y).applyInPandas(compared, "value string, target string, ratio double")
     place = F.row_number().over(Window.partitionBy("value").orderBy(F.desc("ratio"), "target"))
-    return compared.withColumn("place", place).where(F.col("place") <= most)
+    return found.withColumn("place", place).where(F.col("place") <= most)
