@@ -5,9 +5,12 @@ sigmoid(s(better) - s(worse)) with scores s linear in features of the text, so t
 by logistic loss on feature differences. A document passes if its score reaches a quantile of the
 scores of labelled documents, the quantile at which the labels are told apart best.
 
-Labels become pairs: a document of label 1 is preferred to one of label 0. The fit is bounded: at
-most about ``FIT_DOCS`` documents of each label, drawn by a hash of doc_id, and ``PAIRS`` pairs.
-Scoring reads every whole text, in Arrow batches.
+Labels become pairs: a document of label 1 is preferred to one of label 0. Every labelled document
+teaches: all are dealt into blocks by a hash of doc_id, in which each of label 1 makes a pair with each
+of label 0. Newton's steps add slopes and curves of the blocks; they start from a fit on at most about
+``FIT_DOCS`` documents of each label and ``PAIRS`` pairs, which saves steps and decides nothing. The
+threshold is the best of all cuts through all labelled documents. Scoring reads every whole text, in
+Arrow batches.
 """
 
 from __future__ import annotations
@@ -17,14 +20,20 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.common import arrow_map, table
+from sievework.scratch import materialize
 
 #: Expected labelled documents of each label that the model is fitted on, and the pairs made of them.
 FIT_DOCS, PAIRS = 3000, 20_000
+#: Documents of the commoner label in a block, and at least how many of the rarer one are expected there.
+BLOCK_DOCS, BLOCK_RARE = 2000, 64
+#: Sums of blocks that reach the driver, and ranges that scores are cut in.
+SUMS, RANGES = 16, 256
 #: Ridge on the weights of standardised features, and the most Newton steps.
 RIDGE, STEPS = 1e-3, 30
 #: The score that the threshold is mapped to.
@@ -122,15 +131,124 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(x, pa.binary())], ["doc_id", "label", "x"])
 
 
+def _blocks(docs: DataFrame, known: DataFrame, size: dict[int, int]) -> DataFrame:
+    """block, y, own and x (features in 32 bits) of all ``known`` documents, one row for each block, by doc_id within it.
+
+    Where a label is rare its documents stand in several blocks, so that no block lacks it; own is 1 in the first.
+    """
+    rare = min(size, key=size.get)
+    blocks = -(-max(size.values()) // BLOCK_DOCS)
+    copies = min(blocks, -(-BLOCK_RARE * blocks // size[rare]))
+    dealt = known.select("of", "label", F.explode(F.sequence(F.lit(0), F.when(F.col("label") == rare, copies - 1).otherwise(0))).alias("copy"))
+    dealt = dealt.withColumn("block", F.pmod(F.pmod(F.xxhash64("of", F.lit("block")), F.lit(blocks)) + F.col("copy"), F.lit(blocks)).cast("long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([features(t).astype("<f4").tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "x"])
+
+    def packed(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["of", "x"]).drop_duplicates("of")
+        y, own = p["label"].to_numpy(np.int8), (p["copy"] == 0).to_numpy(np.int8)
+        return pd.DataFrame({"block": [p["block"].iat[0]], "y": [y.tobytes()], "own": [own.tobytes()], "x": [b"".join(p["x"])]})
+
+    # features are joined, not texts, which are larger
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    own = arrow_map(texts, run, "doc_id long, x binary").join(dealt, F.col("doc_id") == F.col("of")).select("block", "of", "label", "copy", "x")
+    return materialize(own.repartition(min(blocks, 2000), "block").groupBy("block").applyInPandas(packed, "block long, y binary, own binary, x binary"), "rank-blocks")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    for b in batches:
+        for block, y, own, x in zip(*(b.column(c).to_pylist() for c in ("block", "y", "own", "x"))):
+            yield block, np.frombuffer(y, np.int8), np.frombuffer(own, np.int8), np.frombuffer(x, "<f4").astype(float).reshape(-1, N_FEATURES)
+
+
+def _summed(blocks: DataFrame, of) -> np.ndarray:
+    """The sum over blocks of the array ``of`` (features, labels), in the order of blocks, so that reruns agree; ``SUMS`` arrays reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, y, _, x in _unpacked(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([of(x, y).astype("<f8").tobytes()], pa.binary())], ["block", "a"])
+
+    def add(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"g": [p["block"].iat[0] % SUMS], "a": [sum(np.frombuffer(a, "<f8") for a in p.sort_values("block")["a"]).tobytes()]})
+
+    parts = arrow_map(blocks, run, "block long, a binary").groupBy(F.col("block") % SUMS).applyInPandas(add, "g long, a binary").collect()
+    return sum((np.frombuffer(r.a, "<f8") for r in sorted(parts)), np.zeros(1))
+
+
+def refined(start: RankModel, blocks: DataFrame) -> RankModel:
+    """Newton's method over the pairs of all ``blocks``, from the weights of ``start``; a step that does not lower the loss is halved."""
+    n, *both = np.split(_summed(blocks, lambda x, y: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])), [1, 1 + N_FEATURES])
+    mean = both[0] / n
+    sd = np.sqrt(np.maximum(both[1] / n - mean * mean, 0))
+    scale = np.where(sd > 1e-6, 1 / np.maximum(sd, 1e-6), 0.0)
+    varied = np.flatnonzero(scale)
+    k = len(varied)
+    model = RankModel(mean, scale, np.zeros(N_FEATURES))
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            z = np.clip((x - mean) * scale, -4, 4)[:, varied]
+            g, b = z[y == 1], z[y == 0]
+            m = (g @ w)[:, None] - b @ w
+            p = 1 / (1 + np.exp(np.clip(m, -500, 500)))  # of the wrong order
+            q = p * (1 - p)
+            cross = g.T @ (q @ b)
+            curve = (g.T * q.sum(1)) @ g + (b.T * q.sum(0)) @ b - cross - cross.T
+            return np.concatenate([[m.size, np.logaddexp(0, -m).sum()], b.T @ p.sum(0) - g.T @ p.sum(1), curve.ravel()])
+
+        pairs, loss, slope, curve = np.split(_summed(blocks, of), [1, 2, 2 + k])
+        pairs = max(pairs[0], 1)
+        return loss[0] / pairs + RIDGE / 2 * w @ w, slope / pairs + RIDGE * w, curve.reshape(k, k) / pairs + RIDGE * np.eye(k)
+
+    w = (start.weights * start.scale)[varied] / scale[varied]
+    loss, slope, curve = at(w)
+    for _ in range(STEPS if k else 0):
+        step = np.linalg.solve(curve, slope)
+        while True:
+            now = at(w - step)
+            if now[0] <= loss + 1e-12 or np.abs(step).max() < 1e-4:
+                break
+            step = step / 2
+        w, (loss, slope, curve) = w - step, now
+        if np.abs(step).max() < 1e-3:
+            break
+    model.weights[varied] = w
+    return model
+
+
+def best_cut(scored: DataFrame) -> float:
+    """``best_quantile`` of a table (s, y) by equal weights: the running sums of ranges of scores, then the ranges' one after another."""
+    net = materialize(scored.groupBy("s").agg(F.sum(F.when(F.col("y") == 1, -1).otherwise(1)).alias("net")), "rank-scores")
+    ends = sorted(set(net.agg(F.percentile_approx("s", [i / RANGES for i in range(1, RANGES)])).first()[0]))  # only deals the scores
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("s")
+        s, net = p["s"].to_numpy(), p["net"].to_numpy()
+        before = np.cumsum(net) - net  # told right below each score less what is lost there
+        i = int(np.argmax(before))
+        return pd.DataFrame({"last": [s[-1]], "net": [int(net.sum())], "best": [int(before[i])], "low": [s[i - 1] if i else None], "high": [s[i]]})
+
+    ranged = net.groupBy(F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col("s"))).alias("r")).applyInPandas(run, "last double, net long, best long, low double, high double")
+    rows = sorted(ranged.collect(), key=lambda r: r.last)
+    told, most, cut, last = 0, -1, 0.0, None
+    for r in rows:
+        if told + r.best > most:
+            low = last if r.low is None or np.isnan(r.low) else r.low
+            most, cut = told + r.best, r.high - 1e-9 if low is None else (low + r.high) / 2
+        told, last = told + r.net, r.last
+    return float(last + 1e-9 if told > most else cut)
+
+
 def fit_labels(docs: DataFrame, labels: DataFrame, label: str = "quality") -> RankModel:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id and ``label``, 0 or 1).
 
-    Only rows whose ``remainder`` is not 2 teach. Null labels and doc_ids are left out; of several
-    labels of a document the largest counts, of several texts that of the smallest bytes. About
-    ``FIT_DOCS`` documents of each label are drawn by a hash of doc_id, so the join's labelled side is a
-    few thousand rows and texts are not shuffled; their features, not their texts, reach the driver.
-    The pairs are drawn from all of the two labels by a fixed seed. Without documents of both labels
-    there is no preference and the model scores every text alike.
+    Only rows whose ``remainder`` is not 2 teach, and all of them do. Null labels and doc_ids are left
+    out; of several labels of a document the largest counts, of several texts that of the smallest
+    bytes of features. For the start about ``FIT_DOCS`` documents of each label are drawn by a hash of
+    doc_id; features of these, not texts, reach the driver, and of all others only sums. Without
+    documents of both labels there is no preference and the model scores every text alike.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (remainder() != 2)).groupBy(F.col("doc_id").cast("long").alias("of")).agg(F.max(F.col(label).cast("int")).alias("label"))
     size = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
@@ -145,13 +263,20 @@ def fit_labels(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Ra
     y = np.array([r[1] for r in rows], int)
     x = np.stack([np.frombuffer(r[2], "<f8") for r in rows]) if rows else np.zeros((0, N_FEATURES))
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
-        return fit_preferences(x, good[:0], bad[:0])
     r = np.random.default_rng(11)
     n = min(PAIRS, len(good) * len(bad))
-    model = fit_preferences(x, r.choice(good, n), r.choice(bad, n))
-    weight = np.where(y == 1, size[1] / len(good), size[0] / len(bad))
-    model.threshold = best_quantile(model.raw(x), y, weight)
+    start = fit_preferences(x, r.choice(good, n), r.choice(bad, n)) if n else fit_preferences(x, good[:0], bad[:0])
+    blocks = _blocks(docs, known, size)
+    n_label = _summed(blocks, lambda x, y: np.array([(y == 0).sum(), (y == 1).sum()]))
+    if not np.all(n_label) or len(n_label) < 2:
+        return fit_preferences(x, good[:0], bad[:0])
+    model = refined(start, blocks)
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, y, own, x in _unpacked(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(model.raw(x)[own == 1]), pa.array(y[own == 1].astype(np.int32))], ["s", "y"])
+
+    model.threshold = best_cut(arrow_map(blocks, scores, "s double, y int"))
     return model
 
 
