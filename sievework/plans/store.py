@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,18 +19,30 @@ from sievework.sources import batches
 NOW = "2026-01-15 00:00:00"
 
 
+#: Bytes of a method above which the JVM does not compile but interprets it.
+HUGE_METHOD = 8000
+
+
 @contextmanager
-def plain_constraints(spark: SparkSession) -> Iterator[None]:
-    """Plan without inferring constraints: over the normalisers' many derived columns that takes minutes and finds nothing."""
-    key = "spark.sql.constraintPropagation.enabled"
+def _held(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def plain_constraints(spark: SparkSession) -> AbstractContextManager[None]:
+    """Plan without inferring constraints: over the normalisers' many derived columns that takes minutes and finds nothing."""
+    return _held(spark, "spark.sql.constraintPropagation.enabled", "false")
+
+
+def compiled_methods(spark: SparkSession) -> AbstractContextManager[None]:
+    """Fuse a stage's operators only where the method they make is one that the JVM compiles; that of many derived columns is interpreted for each row."""
+    return _held(spark, "spark.sql.codegen.hugeMethodLimit", str(HUGE_METHOD))
+
+
 @dataclass
 class Store:
     rows: DataFrame
@@ -91,7 +103,7 @@ def owned_urls(identifiers: DataFrame) -> DataFrame:
 def ingest(spark: SparkSession, sf_dir: str, recorded: bool = True) -> Store:
     """All tables of ``sf_dir``; with the ``recorded`` log of decisions, or with none, for a store that has its own."""
     gaz = batches.gazetteer(spark, sf_dir)
-    with plain_constraints(spark):
+    with plain_constraints(spark), compiled_methods(spark):
         normalized = materialize(rules.add_rule_codes(normalize_rows(batches.source_rows(spark, sf_dir), gaz, batches.taxonomy(spark), materialize)), "normalized")
     rows = resolve.resolve(normalized)
     issues = materialize(rules.issues(rows).join(rows.select("row_id", "lead_key"), "row_id"), "issues")

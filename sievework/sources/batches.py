@@ -11,6 +11,8 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.operators.skew import tasks
+
 FIELDS = ["name", "email", "phone", "whatsapp", "website", "facebook", "instagram", "youtube", "linkedin", "fb_category", "niche", "city", "followers", "source", "matched_query", "relevance"]
 
 
@@ -129,6 +131,9 @@ def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     three = c.where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nk"), none)
     rows = union_batches([d.select(F.lit(f"batch_{i}").alias("batch"), F.lit(i).alias("batch_seq"), "*") for i, d in ((1, one), (2, two), (3, three))])
     part, nation, region = (table(spark, sf_dir, t) for t in ("part", "nation", "region"))
+    # these rows are few bytes, so that one file's split holds most of them, and all that is derived of them would stay in its task
+    rows = rows.repartition(tasks(rows), "batch_seq", "k")
+    part = F.broadcast(part.where("p_partkey between -199 and 199"))  # all that a remainder by 200 can be
     rows = rows.join(part, part.p_partkey == rows.k % 200).join(nation, nation.n_nationkey == rows.nk).join(region, region.r_regionkey == nation.n_regionkey)
     e = F.expr
     return rows.select(

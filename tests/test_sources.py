@@ -2,6 +2,7 @@ import hashlib
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.sources import batches, policy
 
@@ -51,3 +52,9 @@ def test_policies(spark):
     for bad in (lambda: policy.gazetteer(spark, gaz | {"localities": [{"name": "x", "city": "none"}]}), lambda: policy.taxonomy(spark, {"verticals": []}), lambda: policy.rubric({"version": 1, "factors": {}}), lambda: policy.rubric({"version": 1, "factors": {"a": {"weight": 1}}, "parameters": {"channel_kinds": ["fax"]}}), lambda: policy.taxonomy(spark, tax | {"aliases": {"unclassified": ["Clinic"], "health": ["clinic"]}})):
         with pytest.raises(policy.PolicyError):
             bad()
+
+
+def test_source_rows_are_dealt_evenly(spark):
+    rows = batches.source_rows(spark, "/root/testdata/sf0.01")
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and sum(sizes) == 1815 and max(sizes) < 0.4 * sum(sizes)  # one file's split would hold most of them

@@ -209,3 +209,22 @@ def test_components_of_chains_and_hubs(spark):
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 300)}}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
     assert materialize(spark.range(0), "none").count() == 0
+
+
+def test_normalisers_run_in_methods_that_the_jvm_compiles(spark, monkeypatch):
+    from sievework.plans import store as plan
+
+    key, seen = "spark.sql.codegen.hugeMethodLimit", {}
+    before = spark.conf.get(key)
+
+    def written(df, name):
+        seen[name] = int(spark.conf.get(key))
+        if name == "normalized":
+            raise StopIteration
+        return df
+
+    monkeypatch.setattr(plan, "materialize", written)
+    with pytest.raises(StopIteration):
+        plan.ingest(spark, SF)
+    assert set(seen) == {"normalized-names", "normalized-contacts", "normalized"} and max(seen.values()) <= 8000
+    assert spark.conf.get(key) == before
