@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import fixed
 from sievework.functions.similarity import first_near
-from sievework.functions.text import clean, key, slug, strip_accents
+from sievework.functions.text import add_clean, clean, key, slug, strip_accents
 from sievework.operators.suffixes import add_domains
 
 
@@ -26,7 +26,14 @@ def _codes(*pairs: tuple[Column, str]) -> Column:
 
 def email_syntax(raw: Column) -> Column:
     """Lower case, no spaces, no punctuation around it; null if it is no address."""
-    e = F.btrim(F.regexp_replace(F.lower(clean(raw)), r"\s+", ""), F.lit(".,;:<>()[]\"'"))
+    return _address(_bare_email(clean(raw)))
+
+
+def _bare_email(c: Column) -> Column:
+    return F.btrim(F.regexp_replace(F.lower(c), r"\s+", ""), F.lit(".,;:<>()[]\"'"))
+
+
+def _address(e: Column) -> Column:
     return F.when(e.rlike(fixed.EMAIL_PATTERN), e)
 
 
@@ -40,11 +47,12 @@ def add_email(df: DataFrame) -> DataFrame:
 
     The resemblance of domains is worked out once for each distinct domain and joined back.
     """
-    e = email_syntax(F.col("email"))
-    first = F.split_part(e, F.lit("@"), F.lit(2))
-    out = df.withColumn("_e", e).withColumn("_d", first).withColumn("email_typo", F.coalesce(F.map_contains_key(_map(fixed.TYPOS), F.col("_d")), F.lit(False)))
+    # staged in columns, like the other fields: what an expression uses twice it works out twice
+    out = add_clean(df, "_c", F.col("email")).withColumn("_e", _bare_email(F.col("_c"))).withColumn("_e", _address(F.col("_e")))
+    out = out.withColumn("_d", F.split_part("_e", F.lit("@"), F.lit(2))).withColumn("email_typo", F.coalesce(F.map_contains_key(_map(fixed.TYPOS), F.col("_d")), F.lit(False)))
     out = out.withColumn("email_domain", F.coalesce(F.try_element_at(_map(fixed.TYPOS), F.col("_d")), F.col("_d")))
-    near = out.where("email_domain is not null and not email_typo").select("email_domain").distinct().withColumn("_near", lookalike_of(F.col("email_domain"))).where("_near is not null")
+    # conditions hang on the count, as Spark pushes others below the grouping and repeats the stages in them; corrected domains are told apart after
+    near = out.groupBy("email_domain").agg(F.count("*").alias("_n")).withColumn("_near", lookalike_of(F.when(F.col("_n") > 0, F.col("email_domain")))).where("_near is not null").drop("_n")
     out = out.join(near.withColumnRenamed("email_domain", "_dom"), F.col("email_domain") == F.col("_dom"), "left").drop("_dom")
     local = F.split_part(F.col("_e"), F.lit("@"), F.lit(1))
     d = F.col("email_domain")
@@ -57,8 +65,8 @@ def add_email(df: DataFrame) -> DataFrame:
     )
     confidence = F.when(F.col("email_typo"), 0.75).when(F.col("email_lookalike"), 0.6).otherwise(1.0)
     confidence = F.when(known, F.when(F.col("email_disposable"), F.least(confidence, F.lit(0.2))).otherwise(confidence)).otherwise(0.0)
-    codes = _codes((clean(F.col("email")).isNotNull() & ~known, "email_invalid_syntax"), (F.col("email_typo"), "email_typo_domain_corrected"), (F.col("email_lookalike"), "email_domain_lookalike"), (F.col("email_disposable"), "email_disposable_domain"))
-    return out.withColumn("email_confidence", confidence.cast("double")).withColumn("email_codes", codes).drop("_e", "_d", "_near")
+    codes = _codes((F.col("_c").isNotNull() & ~known, "email_invalid_syntax"), (F.col("email_typo"), "email_typo_domain_corrected"), (F.col("email_lookalike"), "email_domain_lookalike"), (F.col("email_disposable"), "email_disposable_domain"))
+    return out.withColumn("email_confidence", confidence.cast("double")).withColumn("email_codes", codes).drop("_c", "_e", "_d", "_near")
 
 
 def _phone_table(rules: list[tuple]) -> tuple[Column, list[int]]:
@@ -92,7 +100,7 @@ def add_phone(df: DataFrame, field: str = "phone", rules: list[tuple] = fixed.PH
         raise ValueError(f"no rule of region {region}")
     home_code, home_lengths = home[0], [int(n) for n in home[3].split()]
     # staged in columns, each used many times after: an expression built of the whole would repeat them all
-    out = df.withColumn("_raw", clean(F.col(field))).withColumn("_text", F.regexp_replace("_raw", r"(?i)[\s,;]*(ext\.?|extn\.?|x|#)\s*[0-9]{1,7}$", ""))
+    out = add_clean(df, "_raw", F.col(field)).withColumn("_text", F.regexp_replace("_raw", r"(?i)[\s,;]*(ext\.?|extn\.?|x|#)\s*[0-9]{1,7}$", ""))
     out = out.withColumn("_plus", F.regexp_replace(F.regexp_replace("_text", r"[^0-9+]", ""), r"^00", "+")).withColumn("_bare", F.regexp_replace("_plus", r"\+", ""))
     bare, code_length = F.col("_bare"), len(home_code)
     coded = bare.startswith(home_code) & (F.length(bare) - code_length).isin(home_lengths) & ~F.length(bare).isin(home_lengths)
@@ -127,11 +135,9 @@ def add_phone(df: DataFrame, field: str = "phone", rules: list[tuple] = fixed.PH
 
 def registrable_domain(host: Column, suffixes: list[str] = fixed.SUFFIXES) -> Column:
     """The label before the longest known public suffix, with it; null for a bare suffix."""
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    last = lambda k: F.array_join(F.slice(labels, n - k + 1, k), ".")
-    two = F.when(n >= 2, last(2)).isin(suffixes)
-    return F.when(host.isNull() | (n < 2), None).when(two & (n < 3), None).when(two, F.when(n >= 3, F.array_join(F.slice(labels, F.greatest(n - 2, F.lit(1)), 3), "."))).otherwise(F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), 2), "."))
+    two = F.substring_index(host, ".", -2)  # the host itself if it has no more labels
+    known = two.isin(suffixes)
+    return F.when(host.isNull() | ~F.contains(host, F.lit(".")), None).when(known & (two == host), None).when(known, F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def strip_tracking(query: Column) -> Column:
@@ -151,7 +157,7 @@ def add_url(df: DataFrame, field: str = "website", kind: str = "website", rules:
     The domain is the registrable one, or the host where there is none: by ``rules`` (a table of public
     suffix rules, see ``suffixes``), which are joined, or else by the short list of fixed suffixes.
     """
-    out = df.withColumn("_raw", clean(F.col(field)))
+    out = add_clean(df, "_raw", F.col(field))
     out = out.withColumn("_rest", F.regexp_replace("_raw", r"^[A-Za-z][A-Za-z0-9+.\-]*://", ""))
     host = F.lower(F.regexp_extract("_rest", r"^([^/?#]*)", 1))
     for pattern in (r"^.*@", r":\d*$", r"\.$", r"^www\."):  # user, port, trailing dot, www
@@ -183,19 +189,21 @@ def add_url(df: DataFrame, field: str = "website", kind: str = "website", rules:
 
 def add_followers(df: DataFrame) -> DataFrame:
     """followers_value, _exact, _confidence, _log, _codes from ``followers`` ("1,234", "1.4K", "12M")."""
-    raw = clean(F.col("followers"))
-    t = F.upper(F.regexp_replace(raw, r"[, ]", ""))
-    shaped = t.rlike(r"^-?\d+(\.\d+)?[KMB]?$")
-    unit = F.regexp_extract(t, r"([KMB])$", 1)
-    number = F.regexp_extract(t, r"^(-?\d+(\.\d+)?)", 1).try_cast("double") * F.when(unit == "K", 1e3).when(unit == "M", 1e6).when(unit == "B", 1e9).otherwise(1.0)
+    out = add_clean(df, "_raw", F.col("followers")).withColumn("_t", F.upper(F.regexp_replace("_raw", r"[, ]", "")))
+    raw, t = F.col("_raw"), F.col("_t")
+    out = out.withColumn("_shaped", t.rlike(r"^-?\d+(\.\d+)?[KMB]?$")).withColumn("_unit", F.regexp_extract(t, r"([KMB])$", 1))
+    shaped, unit = F.col("_shaped"), F.col("_unit")
+    out = out.withColumn("_number", F.regexp_extract(t, r"^(-?\d+(\.\d+)?)", 1).try_cast("double") * F.when(unit == "K", 1e3).when(unit == "M", 1e6).when(unit == "B", 1e9).otherwise(1.0))
+    number = F.col("_number")
     # a plain fraction is cut, one with a unit rounded to even
-    whole = F.when(unit == "", F.when(number < 0, F.ceil(number)).otherwise(F.floor(number))).otherwise(F.bround(number, 0)).cast("long")
-    negative = shaped & (whole < 0)
-    value = F.when(shaped & ~negative, whole)
+    out = out.withColumn("_whole", F.when(unit == "", F.when(number < 0, F.ceil(number)).otherwise(F.floor(number))).otherwise(F.bround(number, 0)).cast("long"))
+    negative = shaped & (F.col("_whole") < 0)
+    value = F.col("followers_value")
     return (
-        df.withColumn("followers_value", value).withColumn("followers_exact", F.coalesce(value.isNotNull() & (unit == ""), F.lit(False)))
+        out.withColumn("followers_value", F.when(shaped & ~negative, F.col("_whole"))).withColumn("followers_exact", F.coalesce(value.isNotNull() & (unit == ""), F.lit(False)))
         .withColumn("followers_confidence", F.when(value.isNull(), 0.0).when(unit != "", 0.85).otherwise(1.0).cast("double")).withColumn("followers_log", F.bround(F.log1p(value.cast("double")), 6))
         .withColumn("followers_codes", _codes((raw.isNotNull() & ~shaped, "followers_unparseable"), (negative, "followers_negative"), (value > fixed.FOLLOWERS_CEILING, "followers_implausible")))
+        .drop("_raw", "_t", "_shaped", "_unit", "_number", "_whole")
     )
 
 
@@ -205,19 +213,19 @@ def add_name(df: DataFrame, fold=strip_accents) -> DataFrame:
     ``fold`` takes accents off: ``text.nfkd`` covers all of Unicode in Arrow batches, the default
     stays in the JVM and covers Latin accents.
     """
-    whole = F.trim(F.regexp_replace(clean(F.col("name")), r"\s+", " "))
-    display = F.substring(whole, 1, fixed.NAME_LENGTH)
-    folded = F.trim(F.regexp_replace(F.regexp_replace(F.lower(fold(display)), r"(?U)[^\w\s]", " "), r"\s+", " "))
-    out = df.withColumn("name_display", display).withColumn("_f", folded)
+    out = add_clean(df, "_whole", F.col("name")).withColumn("_whole", F.trim(F.regexp_replace("_whole", r"\s+", " ")))
+    whole = F.col("_whole")
+    out = out.withColumn("name_display", F.substring(whole, 1, fixed.NAME_LENGTH))
+    out = out.withColumn("_f", F.trim(F.regexp_replace(F.regexp_replace(F.lower(fold(F.col("name_display"))), r"(?U)[^\w\s]", " "), r"\s+", " ")))
     bare = F.col("_f")
     for s in reversed(fixed.LEGAL_SUFFIXES):  # the first one in order that fits wins, so it is the outermost test
         bare = F.when(F.col("_f").endswith(" " + s), F.trim(F.expr(f"left(_f, length(_f) - {len(s) + 1})"))).otherwise(bare)
-    out = out.withColumn("name_value", F.coalesce(F.nullif(bare, F.lit("")), F.lower("name_display"))).drop("_f")
-    tokens = F.split("name_value", " ")
+    out = out.withColumn("_f", bare).withColumn("name_value", F.coalesce(F.nullif("_f", F.lit("")), F.lower("name_display"))).withColumn("_tokens", F.split("name_value", " "))
+    tokens = F.col("_tokens")
     kind = F.when(F.arrays_overlap(tokens, F.array(*map(F.lit, fixed.BUSINESS_TOKENS))), "business").when(F.arrays_overlap(tokens, F.array(*map(F.lit, fixed.HONORIFICS))), "person").when(F.size(tokens) >= 4, "business").otherwise("unknown")
     placeholder = F.coalesce(F.col("name_display").rlike(fixed.PLACEHOLDER_PATTERN), F.lit(False))
     out = out.withColumn("name_placeholder", placeholder).withColumn("name_kind", F.when(F.col("name_value").isNotNull(), kind).otherwise("unknown"))
-    return out.withColumn("name_confidence", F.when(F.col("name_value").isNull(), 0.0).when(F.col("name_placeholder"), 0.2).otherwise(1.0).cast("double")).withColumn("name_codes", _codes((F.col("name_placeholder"), "name_placeholder"), (F.length(whole) > fixed.NAME_LENGTH, "name_truncated")))
+    return out.withColumn("name_confidence", F.when(F.col("name_value").isNull(), 0.0).when(F.col("name_placeholder"), 0.2).otherwise(1.0).cast("double")).withColumn("name_codes", _codes((F.col("name_placeholder"), "name_placeholder"), (F.length(whole) > fixed.NAME_LENGTH, "name_truncated"))).drop("_whole", "_f", "_tokens")
 
 
 def add_city(df: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -226,15 +234,15 @@ def add_city(df: DataFrame, gazetteer: DataFrame) -> DataFrame:
     ``gazetteer`` has key, match (exact, alias, locality, state, fragment, non_place), slug, name and
     state, one row for each key. It is joined by key; Spark broadcasts it where its size allows.
     """
-    raw = clean(F.col("city"))
+    raw = F.col("_c")
     g = gazetteer.select(F.col("key").alias("_key"), F.col("match").alias("_match"), F.col("slug").alias("_slug"), F.col("name").alias("_name"), F.col("state").alias("_state"))
-    out = df.withColumn("_k", key(raw)).join(g, F.col("_k") == F.col("_key"), "left")
+    out = add_clean(df, "_c", F.col("city")).withColumn("_k", key(raw)).join(g, F.col("_k") == F.col("_key"), "left")
     place = F.col("_match").isin(list(fixed.PLACE_CONFIDENCE))
     return (
         out.withColumn("location_slug", F.when(place, F.col("_slug"))).withColumn("location_name", F.when(place, F.col("_name"))).withColumn("location_state", F.when(place, F.col("_state"))).withColumn("location_match", F.when(place, F.col("_match")))
         .withColumn("location_confidence", F.when(place, F.element_at(_map(fixed.PLACE_CONFIDENCE), F.col("_match"))).otherwise(0.0).cast("double"))
         .withColumn("city_codes", _codes((F.col("_match") == "fragment", "city_address_fragment"), (F.col("_match") == "non_place", "city_not_a_place"), (raw.isNotNull() & F.col("_match").isNull(), "city_unresolved"), (F.col("_match") == "state", "city_resolved_to_state_only")))
-        .drop("_k", "_key", "_match", "_slug", "_name", "_state")
+        .drop("_c", "_k", "_key", "_match", "_slug", "_name", "_state")
     )
 
 
@@ -244,27 +252,35 @@ def add_category(df: DataFrame, taxonomy: DataFrame) -> DataFrame:
     ``taxonomy`` has alias (a folded key) and slug, one row for each alias.
     """
     t = lambda p: taxonomy.select(F.col("alias").alias(f"_{p}a"), F.col("slug").alias(f"_{p}s"))
-    fb, niche = clean(F.col("fb_category")), clean(F.col("niche"))
-    out = df.withColumn("_fk", key(fb)).withColumn("_nk", key(niche)).join(t("f"), F.col("_fk") == F.col("_fa"), "left").join(t("n"), F.col("_nk") == F.col("_na"), "left")
+    fb, niche = F.col("_fc"), F.col("_nc")
+    out = add_clean(add_clean(df, "_fc", F.col("fb_category")), "_nc", F.col("niche")).withColumn("_fk", key(fb)).withColumn("_nk", key(niche)).join(t("f"), F.col("_fk") == F.col("_fa"), "left").join(t("n"), F.col("_nk") == F.col("_na"), "left")
     real = lambda c: F.when(F.col(c) != fixed.UNCLASSIFIED, F.col(c))
     hit = F.coalesce(real("_fs"), real("_ns"))
     anything = fb.isNotNull() | niche.isNotNull()
     generic = (F.coalesce(F.col("_fs"), F.lit("")) == fixed.UNCLASSIFIED) | (F.coalesce(F.col("_ns"), F.lit("")) == fixed.UNCLASSIFIED)
     return (
         out.withColumn("category_slug", F.when(anything, F.coalesce(hit, F.lit(fixed.UNCLASSIFIED)))).withColumn("category_confidence", F.when(real("_fs").isNotNull(), 0.9).when(real("_ns").isNotNull(), 0.8).otherwise(0.0).cast("double"))
-        .withColumn("category_codes", _codes((anything & hit.isNull() & generic, "category_generic"), (anything & hit.isNull() & ~generic, "category_unmapped"))).drop("_fk", "_nk", "_fa", "_fs", "_na", "_ns")
+        .withColumn("category_codes", _codes((anything & hit.isNull() & generic, "category_generic"), (anything & hit.isNull() & ~generic, "category_unmapped"))).drop("_fc", "_nc", "_fk", "_nk", "_fa", "_fs", "_na", "_ns")
     )
 
 
+def _carrying(df: DataFrame, fields: list[str], add: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``add`` over the columns ``fields``, all others carried beside them as one: each stage of a normaliser copies its rows, one column after another."""
+    rest = [c for c in df.columns if c not in fields]
+    out = add(df.select(F.struct(*rest).alias("_carried"), *fields))
+    return out.select(*[c if c in fields else F.col(f"_carried.{c}") for c in df.columns], *[c for c in out.columns if c not in ("_carried", *fields)])
+
+
 def normalize_rows(rows: DataFrame, gazetteer: DataFrame, taxonomy: DataFrame, cut: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """All normalisers over source rows; ``field_codes`` has every issue (field, code), field by field.
 
     ``cut`` may write the rows between the fields: planning and compiling cost grows faster than the
     number of derived columns, so three narrow plans take a fraction of one wide one.
     """
-    out = cut(add_followers(add_category(add_city(add_name(rows), gazetteer), taxonomy)), "normalized-names")
-    out = cut(add_phone(add_email(out)), "normalized-contacts")
-    out = add_url(add_url(out, "website"), "facebook", "facebook")
+    names = ["name", "city", "fb_category", "niche", "followers"]
+    out = cut(_carrying(rows, names, lambda df: add_followers(add_category(add_city(add_name(df), gazetteer), taxonomy))), "normalized-names")
+    out = cut(_carrying(out, ["email", "phone"], lambda df: add_phone(add_email(df))), "normalized-contacts")
+    out = _carrying(out, ["website", "facebook"], lambda df: add_url(add_url(df, "website"), "facebook", "facebook"))
     out = out.withColumn("display_name", F.coalesce("name_display", F.concat(F.lit("(unnamed "), "batch", F.lit("#"), F.col("row_no").cast("string"), F.lit(")"))))
     out = out.withColumn("normalized_name", F.coalesce("name_value", F.lower("display_name"))).withColumn("company_domain", F.when(F.col("website_owned"), F.col("website_domain")))
     pairs = [("name", "name_codes"), ("city", "city_codes"), ("category", "category_codes"), ("followers", "followers_codes"), ("email", "email_codes"), ("phone", "phone_codes"), ("website", "website_codes"), ("facebook", "facebook_codes")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -14,10 +14,22 @@ _ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüýÿçñÀÁÂÃÄÅ
 _BARE = "aaaaaaeeeeiiiiooooouuuuyycnAAAAAAEEEEIIIIOOOOOUUUUYCN"
 
 
+def trimmed(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c.cast("string"), r"^[\s ]+|[\s ]+$", ""))
+
+
+def of_trimmed(t: Column) -> Column:
+    return F.when(F.lower(t).isin("nan", "inf", "-inf", "infinity", "-infinity"), None).otherwise(F.nullif(t, F.lit("")))
+
+
 def clean(c: Column) -> Column:
     """Trimmed text; blank, NaN and infinite values become null."""
-    t = F.trim(F.regexp_replace(c.cast("string"), r"^[\s ]+|[\s ]+$", ""))
-    return F.when(F.lower(t).isin("nan", "inf", "-inf", "infinity", "-infinity"), None).otherwise(F.nullif(t, F.lit("")))
+    return of_trimmed(trimmed(c))
+
+
+def add_clean(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """``clean`` as the column ``name``, trimmed in a stage before: as one expression it trims three times for each use."""
+    return df.withColumn(name, trimmed(c)).withColumn(name, of_trimmed(F.col(name)))
 
 
 def strip_accents(c: Column) -> Column:

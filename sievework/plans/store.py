@@ -25,12 +25,12 @@ HUGE_METHOD = 8000
 
 @contextmanager
 def _held(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    before = spark.conf.get(key)
+    before = spark.conf.get(key, None)
     spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def plain_constraints(spark: SparkSession) -> AbstractContextManager[None]:
@@ -43,6 +43,11 @@ def compiled_methods(spark: SparkSession) -> AbstractContextManager[None]:
     return _held(spark, "spark.sql.codegen.hugeMethodLimit", str(HUGE_METHOD))
 
 
+def even_reads(spark: SparkSession) -> AbstractContextManager[None]:
+    """Read a written table by at least three tasks for each core: a few more tasks than cores, as Spark packs small files, take twice the time of one."""
+    return _held(spark, "spark.sql.files.minPartitionNum", str(3 * spark.sparkContext.defaultParallelism))
+
+
 @dataclass
 class Store:
     rows: DataFrame
@@ -103,7 +108,7 @@ def owned_urls(identifiers: DataFrame) -> DataFrame:
 def ingest(spark: SparkSession, sf_dir: str, recorded: bool = True) -> Store:
     """All tables of ``sf_dir``; with the ``recorded`` log of decisions, or with none, for a store that has its own."""
     gaz = batches.gazetteer(spark, sf_dir)
-    with plain_constraints(spark), compiled_methods(spark):
+    with plain_constraints(spark), compiled_methods(spark), even_reads(spark):
         normalized = materialize(rules.add_rule_codes(normalize_rows(batches.source_rows(spark, sf_dir), gaz, batches.taxonomy(spark), materialize)), "normalized")
     rows = resolve.resolve(normalized)
     issues = materialize(rules.issues(rows).join(rows.select("row_id", "lead_key"), "row_id"), "issues")

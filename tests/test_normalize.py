@@ -139,3 +139,34 @@ def test_urls_by_public_suffix_rules(spark):
     out = nz.add_url(df, rules=rules_of(spark, fixed.SUFFIX_RULES)).orderBy("i").collect()
     assert [r.website_domain for r in out] == ["a.foo.ck", None, "b.co.uk", "co.uk", None, "facebook.com"]  # without its www. the second has no dot
     assert out[5].website_class == "social" and out[0].website_owned and len(out) == 6
+
+
+def test_each_text_is_trimmed_in_one_place(spark):
+    from sievework.plans.store import plain_constraints
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    row = spark.createDataFrame([(" x ",) * 6], "name string, email string, phone string, website string, followers string, other string")
+    for add, field in ((nz.add_name, "name"), (nz.add_email, "email"), (nz.add_phone, "phone"), (nz.add_url, "website"), (nz.add_followers, "followers")):
+        with plain_constraints(spark):
+            shown = plan(add(row.select(field, "other")).drop("other"))
+        assert 1 <= shown.count(r"]+$") <= 1 + (field == "email"), field  # e-mail reads its rows once more for the distinct domains
+
+
+def test_stages_of_a_normaliser_carry_other_columns_as_one(spark):
+    from sievework.sources import batches
+
+    sf, wide = "/root/testdata/sf0.001", {}
+
+    def widths(p):
+        own = [p.output().size()] if p.nodeName() == "Project" else []
+        return own + [w for i in range(p.children().size()) for w in widths(p.children().apply(i))]
+
+    def cut(df, name):
+        out = spark.createDataFrame([], df.schema)
+        plan = df._jdf.queryExecution().optimizedPlan()
+        wide[name] = sum(w >= len(df.columns) - 5 for w in widths(plan))
+        return out
+
+    rows = nz.normalize_rows(spark.createDataFrame([], batches.source_rows(spark, sf).schema), batches.gazetteer(spark, sf), batches.taxonomy(spark), cut)
+    assert set(wide) == {"normalized-names", "normalized-contacts"} and max(wide.values()) <= 1
+    assert "_carried" not in rows.columns and rows.columns[:3] == ["batch", "batch_seq", "source_file"]
