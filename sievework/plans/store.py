@@ -166,5 +166,6 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
     key = (spark.sparkContext.applicationId, sf_dir)
     state = _state(spark, sf_dir)
     if _STORES.get(key, (None, None))[0] != state:
-        _STORES[key] = state, ingest(spark, sf_dir)
+        with compiled_methods(spark), even_reads(spark):
+            _STORES[key] = state, ingest(spark, sf_dir)
     return _STORES[key][1]

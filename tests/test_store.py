@@ -228,3 +228,15 @@ def test_normalisers_run_in_methods_that_the_jvm_compiles(spark, monkeypatch):
         plan.ingest(spark, SF)
     assert set(seen) == {"normalized-names", "normalized-contacts", "normalized"} and max(seen.values()) <= 8000
     assert spark.conf.get(key) == before
+
+
+def test_whole_ingest_runs_in_compiled_methods(spark, monkeypatch):
+    from sievework.plans import store as plan
+
+    keys = "spark.sql.codegen.hugeMethodLimit", "spark.sql.files.minPartitionNum"
+    before = [spark.conf.get(k, None) for k in keys]
+    monkeypatch.setattr(plan, "_STORES", {})
+    monkeypatch.setattr(plan, "ingest", lambda spark, sf: [int(spark.conf.get(k)) for k in keys])
+    limit, reads = plan.store(spark, SF)
+    assert limit <= 8000 and reads >= 3 * spark.sparkContext.defaultParallelism
+    assert [spark.conf.get(k, None) for k in keys] == before
