@@ -21,7 +21,8 @@ def _map(d: dict) -> Column:
 
 
 def _codes(*pairs: tuple[Column, str]) -> Column:
-    return F.filter(F.array(*[F.when(cond, F.lit(code)) for cond, code in pairs]), lambda x: x.isNotNull())
+    # no filter of an array: its function is interpreted for each row, and all the conditions with it
+    return F.concat(*[F.when(cond, F.array(F.lit(code))).otherwise(F.array().cast("array<string>")) for cond, code in pairs])
 
 
 def email_syntax(raw: Column) -> Column:
@@ -69,14 +70,13 @@ def add_email(df: DataFrame) -> DataFrame:
     return out.withColumn("email_confidence", confidence.cast("double")).withColumn("email_codes", codes).drop("_c", "_e", "_d", "_near")
 
 
-def _phone_table(rules: list[tuple]) -> tuple[Column, list[int]]:
-    """Prefix (calling code and leading digits) to what its region does, and the lengths of prefixes, longest first."""
+def _phone_tables(rules: list[tuple]) -> dict[int, Column]:
+    """Prefix (calling code and leading digits) to what its region does, a table for each length, longest first: a lookup compares with every key of its table."""
     by_prefix = {code + lead: (code, region, [int(n) for n in lengths.split()], fixed_line, mobile, trunk) for code, leads, region, lengths, fixed_line, mobile, trunk, _ in rules for lead in (leads.split() or [""])}
     quoted = lambda x: "array(" + ", ".join(map(str, x)) + ")" if isinstance(x, list) else f"'{x}'"
     struct = lambda r: "named_struct(" + ", ".join(f"'{n}', {quoted(x)}" for n, x in zip(("code", "region", "lengths", "fixed", "mobile", "trunk"), r)) + ")"
-    # one expression, since thousands of small ones take seconds to make
-    table = F.expr("map(" + ", ".join(f"'{k}', {struct(r)}" for k, r in by_prefix.items()) + ")")
-    return table, sorted({len(k) for k in by_prefix}, reverse=True)
+    # one expression each, since thousands of small ones take seconds to make
+    return {size: F.expr("map(" + ", ".join(f"'{k}', {struct(r)}" for k, r in by_prefix.items() if len(k) == size) + ")") for size in sorted({len(k) for k in by_prefix}, reverse=True)}
 
 
 def add_phone(df: DataFrame, field: str = "phone", rules: list[tuple] = fixed.PHONE_RULES, region: str = "IN") -> DataFrame:
@@ -94,7 +94,7 @@ def add_phone(df: DataFrame, field: str = "phone", rules: list[tuple] = fixed.PH
     A condition on one of these columns that Spark can push below them repeats their derivation until
     planning no longer ends; put it behind a grouping's count or a written table, as the ingest does.
     """
-    table, sizes = _phone_table(rules)
+    tables = _phone_tables(rules)
     home = next((r for r in rules if r[2] == region), None)
     if home is None:
         raise ValueError(f"no rule of region {region}")
@@ -106,7 +106,7 @@ def add_phone(df: DataFrame, field: str = "phone", rules: list[tuple] = fixed.PH
     coded = bare.startswith(home_code) & (F.length(bare) - code_length).isin(home_lengths) & ~F.length(bare).isin(home_lengths)
     abroad = F.col("_plus").startswith("+")
     out = out.withColumn("_full", F.when(abroad | coded, bare).otherwise(F.concat(F.lit(home_code), bare)))
-    ruled = lambda c: F.coalesce(*[F.try_element_at(table, F.substring(c, 1, k)) for k in sizes])
+    ruled = lambda c: F.coalesce(*[F.try_element_at(table, F.substring(c, 1, k)) for k, table in tables.items()])
     out = out.withColumn("_rule", ruled(F.col("_full")))
     rule = F.col("_rule")
     out = out.withColumn("_rest", F.coalesce(F.substr("_full", F.length(rule.code) + 1), F.col("_full")))
@@ -117,7 +117,7 @@ def add_phone(df: DataFrame, field: str = "phone", rules: list[tuple] = fixed.PH
     falls = lambda c: F.coalesce(F.regexp_like(c, F.concat(F.lit("^("), rule.fixed, F.lit("|"), rule.mobile, F.lit(")$"))), F.lit(False))
     out = out.withColumn("_national", F.when(has & (falls(bare_trunk) | (fits(bare_trunk) & ~falls(rest))), bare_trunk).otherwise(rest))
     national = F.col("_national")
-    out = out.withColumn("_rule", F.coalesce(ruled(F.concat(rule.code, national)), rule))  # leading digits may stand behind the trunk prefix
+    out = out.withColumn("_rule", F.when(national != rest, F.coalesce(ruled(F.concat(rule.code, national)), rule)).otherwise(rule))  # leading digits may stand behind the trunk prefix
     whole = lambda p: F.coalesce(F.regexp_like(national, F.concat(F.lit("^("), p, F.lit(")$"))), F.lit(False))
     out = out.withColumn("_readable", F.coalesce(F.col("_raw").isNotNull() & (F.length(bare) > 0) & ~F.col("_text").rlike("[A-Za-z]{3,}"), F.lit(False)))
     out = out.withColumn("_possible", F.when(rule.isNull(), F.length(national).between(*fixed.PHONE_LENGTHS)).otherwise(fits(national)))
@@ -163,7 +163,7 @@ def add_url(df: DataFrame, field: str = "website", kind: str = "website", rules:
     for pattern in (r"^.*@", r":\d*$", r"\.$", r"^www\."):  # user, port, trailing dot, www
         host = F.regexp_replace(host, pattern, "")
     out = out.withColumn("_host", host).withColumn("_path", F.regexp_replace(F.regexp_replace(F.regexp_extract("_rest", r"^[^/?#]*([^?#]*)", 1), r"/{2,}", "/"), r"/+$", ""))
-    out = out.withColumn("_query", strip_tracking(F.regexp_extract("_rest", r"^[^?#]*\?([^#]*)", 1)))
+    out = out.withColumn("_query", F.regexp_extract("_rest", r"^[^?#]*\?([^#]*)", 1)).withColumn("_query", F.when(F.col("_query") == "", "").otherwise(strip_tracking(F.col("_query"))))
     raw, path, query = F.col("_raw"), F.col("_path"), F.col("_query")
     ok = F.coalesce(raw.isNotNull() & F.contains("_host", F.lit(".")), F.lit(False))
     value = F.concat(F.lit("https://"), F.col("_host"), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
@@ -285,8 +285,8 @@ def normalize_rows(rows: DataFrame, gazetteer: DataFrame, taxonomy: DataFrame, c
     out = out.withColumn("normalized_name", F.coalesce("name_value", F.lower("display_name"))).withColumn("company_domain", F.when(F.col("website_owned"), F.col("website_domain")))
     pairs = [("name", "name_codes"), ("city", "city_codes"), ("category", "category_codes"), ("followers", "followers_codes"), ("email", "email_codes"), ("phone", "phone_codes"), ("website", "website_codes"), ("facebook", "facebook_codes")]
 
-    def named(f: str, c: str) -> Column:
-        return F.transform(c, lambda x: F.struct(F.lit(f).alias("field"), x.alias("code")))
+    def named(f: str, c: str) -> Column:  # a function of each element would be interpreted
+        return F.arrays_zip(F.array_repeat(F.lit(f), F.size(c)), c).cast("array<struct<field:string,code:string>>")
 
     each = [named(f, c) for f, c in pairs]
-    return out.withColumn("field_codes", F.flatten(F.array(*each))).drop(*[c for _, c in pairs])
+    return out.withColumn("field_codes", F.concat(*each)).drop(*[c for _, c in pairs])

@@ -20,7 +20,7 @@ KINDS = ["email", "phone", "whatsapp", "website", "facebook", "instagram", "yout
 def identity_keys(rows: DataFrame) -> DataFrame:
     """row_id, kind, key ("kind:value"); null values give none."""
     each = F.array(*[F.struct(F.lit(k).alias("kind"), F.concat(F.lit(f"{k}:"), F.col(f"{k}_value")).alias("key")) for k in IDENTITY if f"{k}_value" in rows.columns])
-    return rows.select("row_id", F.explode(F.filter(each, lambda x: x.key.isNotNull())).alias("i")).select("row_id", "i.kind", "i.key")
+    return rows.select("row_id", F.explode(each).alias("i")).select("row_id", "i.kind", "i.key").where("key is not null")
 
 
 def cluster_rows(rows: DataFrame) -> DataFrame:
@@ -30,12 +30,17 @@ def cluster_rows(rows: DataFrame) -> DataFrame:
     row, and the first row of each key is a partially aggregated minimum. Rows of a key that is hot are
     spread when they look that up.
     """
+    return add_lead_keys(rows.select("row_id", *[f"{k}_value" for k in IDENTITY if f"{k}_value" in rows.columns])).select("row_id", "lead_key")
+
+
+def add_lead_keys(rows: DataFrame) -> DataFrame:
+    """``rows`` with the ``lead_key`` of ``cluster_rows``."""
     keys = identity_keys(rows).select("row_id", "key")
     first = keys.groupBy("key").agg(F.min("row_id").alias("v"), F.count("*").alias("n"))
     heavy = heavy_of(first, "key", "n", tasks(rows))
     edges = lookup(keys, first.where("n > 1").select(F.col("key").alias("of"), "v"), "key", "of", heavy=heavy).where("row_id <> v").select(F.col("row_id").alias("u"), "v")
     found = connected_components(edges, small=SMALL)
-    return rows.select("row_id").join(found, F.col("row_id") == F.col("node"), "left").select("row_id", F.coalesce("component", "row_id").alias("lead_key"))
+    return rows.join(found, F.col("row_id") == F.col("node"), "left").select(*rows.columns, F.coalesce("component", "row_id").alias("lead_key"))
 
 
 def matched_by(rows: DataFrame) -> DataFrame:
@@ -76,7 +81,7 @@ def merge_identifiers(rows: DataFrame) -> DataFrame:
         return F.struct(F.lit(k).alias("kind"), F.col(f"{k}_value").alias("value"), F.col(f"{k}_confidence").alias("confidence"), (F.col("email_domain") if k == "email" else has(f"{k}_domain", None)).cast("string").alias("domain"), (F.col("email_free") if k == "email" else F.lit(False)).alias("free"), (F.col("email_role") if k == "email" else F.lit(False)).alias("role"), has(f"{k}_owned", False).alias("owned"), has(f"{k}_numeric", False).alias("numeric"))
 
     each = F.array(*[one(k) for k in KINDS if f"{k}_value" in rows.columns])
-    tall = rows.select("lead_key", "row_id", F.explode(F.filter(each, lambda x: x.value.isNotNull())).alias("i")).select("lead_key", "row_id", "i.*")
+    tall = rows.select("lead_key", "row_id", F.explode(each).alias("i")).select("lead_key", "row_id", "i.*").where("value is not null")
     once = tall.groupBy("lead_key", "kind", "value").agg(F.min_by(F.struct("confidence", "domain", "free", "role", "owned", "numeric"), "row_id").alias("a"), F.min("row_id").alias("row_id"))
     primary = once.groupBy("lead_key", "kind").agg(F.min(F.struct("row_id", "value")).alias("p")).select("lead_key", "kind", F.col("p.value").alias("pv"))
     return once.join(primary, ["lead_key", "kind"]).select("lead_key", "kind", "value", (F.col("value") == F.col("pv")).alias("is_primary"), "a.*")
@@ -165,6 +170,6 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 def resolve(rows: DataFrame) -> DataFrame:
     """Normalised rows with their lead_key, written once."""
-    return materialize(rows.join(cluster_rows(rows), "row_id"), "rows")
+    return materialize(add_lead_keys(rows), "rows")
 
 

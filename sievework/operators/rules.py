@@ -35,8 +35,10 @@ def add_rule_codes(rows: DataFrame) -> DataFrame:
         ("followers", "zero_followers", F.col("followers_value") == 0),
         ("facebook", "unverifiable_identity", F.col("facebook_numeric") & F.col("name_placeholder")),
     ]
-    each = [F.when(cond, F.struct(F.lit(field).alias("field"), F.lit(code).alias("code"))) for field, code, cond in rules]
-    return rows.withColumn("rule_codes", F.filter(F.array(*each), lambda x: x.isNotNull()))
+    # arrays of one or none, as a filter of all would be interpreted for each row with the conditions in it
+    none = F.array().cast("array<struct<field:string,code:string>>")
+    each = [F.when(cond, F.array(F.struct(F.lit(field).alias("field"), F.lit(code).alias("code")))).otherwise(none) for field, code, cond in rules]
+    return rows.withColumn("rule_codes", F.concat(*each))
 
 
 def issues(rows: DataFrame) -> DataFrame:

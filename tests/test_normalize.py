@@ -170,3 +170,28 @@ def test_stages_of_a_normaliser_carry_other_columns_as_one(spark):
     rows = nz.normalize_rows(spark.createDataFrame([], batches.source_rows(spark, sf).schema), batches.gazetteer(spark, sf), batches.taxonomy(spark), cut)
     assert set(wide) == {"normalized-names", "normalized-contacts"} and max(wide.values()) <= 1
     assert "_carried" not in rows.columns and rows.columns[:3] == ["batch", "batch_seq", "source_file"]
+
+
+def test_normalisers_have_no_interpreted_functions_of_arrays(spark):
+    # a filter or transform of an array is interpreted for each row, with the conditions in it
+    from sievework.operators import resolve, rules
+
+    text = spark.createDataFrame([], "row_id long, batch string, row_no int, name string, email string, phone string, followers string")
+    fields = [nz.add_name, nz.add_email, nz.add_phone, nz.add_followers]
+    rows = spark.createDataFrame([], "row_id long, lead_key long, name_value string, name_placeholder boolean, email_value string, email_confidence double, email_domain string, email_free boolean, email_role boolean, phone_value string, phone_confidence double, company_domain string, followers_value long, facebook_value string, facebook_numeric boolean, facebook_confidence double")
+    for df in [*[f(text) for f in fields], rules.add_rule_codes(rows), resolve.identity_keys(rows), resolve.merge_identifiers(rows)]:
+        assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_of_null_conditions_and_their_order(spark):
+    from sievework.operators import rules
+
+    schema = "name_value string, name_placeholder boolean, email_value string, email_domain string, email_free boolean, phone_value string, company_domain string, followers_value long, facebook_numeric boolean"
+    rows = spark.createDataFrame([(None, True, None, None, None, None, None, None, True), ("a", None, "x@b.org", "b.org", None, None, "c.org", 0, None), ("a", False, "x@b.org", "b.org", False, None, "c.org", 0, None)], schema)
+    got = [[tuple(x) for x in r.rule_codes] for r in rules.add_rule_codes(rows).collect()]
+    assert got == [[("name", "no_name"), ("contact", "no_contact_channel"), ("record", "thin_record"), ("facebook", "unverifiable_identity")], [("followers", "zero_followers")], [("email", "email_domain_website_mismatch"), ("followers", "zero_followers")]]
+
+
+def test_phone_prefixes_are_looked_up_by_length_and_behind_the_trunk(spark):
+    assert list(nz._phone_tables(fixed.PHONE_RULES)) == [4, 3, 2, 1]
+    assert values(spark, nz.add_phone, "phone", ["+1 1 416 555 0123", "+1 416 555 0123", "+1 1 201 555 0123"], "phone_region") == ["CA", "CA", "US"]
