@@ -19,22 +19,17 @@ BLOCK, BUCKETS = 1 << 16, 64
 SIZE = 3
 
 
-def grams(text: Column) -> Column:
-    """The distinct trigrams of a text in lower case; a shorter text has none, null none either."""
-    t = F.lower(text)
-    at = F.when(F.length(t) >= SIZE, F.sequence(F.lit(1), F.length(t) - (SIZE - 1)))
-    return F.array_distinct(F.transform(F.coalesce(at, F.array().cast("array<int>")), lambda i: F.substr(t, i, F.lit(SIZE))))
-
-
 def _bucket(gram: Column) -> Column:
     return F.pmod(F.hash(gram), F.lit(BUCKETS))
 
 
 def postings(texts: DataFrame) -> DataFrame:
-    """gram, block, n, keys of ``texts`` (key long, text); repeated rows count once, null keys and texts are left out."""
-    each = texts.where("key is not null").select(F.col("key").cast("long").alias("key"), F.explode(grams(F.col("text"))).alias("gram")).distinct()
+    """gram, block, n, keys of ``texts`` (key long, text), by the trigrams in lower case; repeated rows count once, null keys, null texts and shorter ones are left out."""
+    low = texts.where("key is not null").select(F.col("key").cast("long").alias("key"), F.lower("text").alias("text")).where(F.length("text") >= SIZE)
+    each = low.select("key", "text", F.explode(F.sequence(F.lit(1), F.length("text") - (SIZE - 1))).alias("i")).select("key", F.substr("text", "i", F.lit(SIZE)).alias("gram"))
     block = F.floor(F.col("key") / BLOCK).cast("long")
-    out = each.groupBy("gram", block.alias("block")).agg(F.sort_array(F.collect_list((F.col("key") - block * BLOCK).cast("int"))).alias("keys"))
+    # sets of at most BLOCK keys, begun where the texts are: making (gram, key) distinct before would shuffle each of them
+    out = each.groupBy("gram", block.alias("block")).agg(F.sort_array(F.collect_set((F.col("key") - block * BLOCK).cast("int"))).alias("keys"))
     return out.select("gram", "block", F.size("keys").alias("n"), "keys", _bucket(F.col("gram")).alias("bucket"))
 
 

@@ -72,3 +72,13 @@ def test_page_ten_thousand(spark):
     assert got == order[249_975:250_000]
     with pytest.raises(ValueError):
         deep_page(df, [Key("id")], 0, 5)
+
+
+def test_postings_are_sets_made_in_one_shuffle(spark):
+    far = trigrams.BLOCK + 5
+    texts = spark.createDataFrame([(1, "ABCABC"), (1, "abcabc"), (1, "xabc"), (far, "abc"), (2, "ab"), (3, None), (None, "abc"), (4, "")], "key long, text string")
+    out = trigrams.postings(texts)
+    assert sorted((r.gram, r.block, r.n, r["keys"]) for r in out.collect()) == [("abc", 0, 1, [1]), ("abc", 1, 1, [5]), ("bca", 0, 1, [1]), ("cab", 0, 1, [1]), ("xab", 0, 1, [1])]
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Generate explode") == 1
+    first = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert first.count("Exchange hashpartitioning") == 1
